@@ -18,5 +18,25 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op1_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS last FROM p)
+SELECT page_id, strlen(h) AS payload_bytes,
+       array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + CAST((CAST('0x' || substr(d, 1 + 10 * CAST(i // 8 AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31 AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id < last THEN last END AS refers_to, true AS intact
+FROM m
+""",
+    "op6_line_dedup": r"""
+WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents),
+w AS (SELECT doc_id, i, array_to_string(l[i : i + 2], chr(10)) AS win FROM (SELECT doc_id, l, unnest(generate_series(1, len(l) - 2)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM w WHERE regexp_matches(win, '\S')) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 2)) AS i FROM again),
+n AS (SELECT doc_id, count(*) AS n_removed, list(i) AS r FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(l) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN r IS NULL THEN l ELSE list_filter(l, lambda x, i: NOT list_contains(r, i)) END, chr(10)), '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id)
 """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import table
+from spanlake.llm.common import scratch, table
 from spanlake.llm.oracles import ORACLES as ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,27 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlake.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm import warc
+
+    pages = table(spark, sf_dir, "pages")
+    path = scratch(spark, "warc")
+    warc.write(warc.with_revisits(pages, "page_id", "url", "html"), path)
+    page = lambda c: F.expr(f"try_cast(split({c}, ':')[2] AS {dict(pages.dtypes)['page_id']})")
+    return warc.read(spark, path).select(
+        page("record_id").alias("page_id"),
+        F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_length")).alias("payload_bytes"),
+        F.coalesce(warc.base32(F.sha1("payload")), F.col("digest")).alias("payload_digest"),
+        F.col("type").alias("record_type"), page("refers_to").alias("refers_to"), "intact",
+    )
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm.line_dedup import dedup_lines
+
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
