@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,9 +70,7 @@ def dedup_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
     joined = docs.join(later, docs["doc_id"].eqNullSafe(F.col("later_id")) & (F.xxhash64(docs["text"]) == F.col("later_key")), "left")
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
-    def cut(texts, laters):
-        import pandas as pd
-
+    def cut(texts: pd.Series, laters: pd.Series) -> pd.DataFrame:
         out = []
         for text, later in zip(texts, laters):
             lines = [] if text is None else text.split("\n")

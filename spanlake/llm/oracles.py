@@ -38,5 +38,20 @@ n AS (SELECT doc_id, count(*) AS n_removed, list(i) AS r FROM gone GROUP BY doc_
 SELECT d.doc_id, len(l) AS n_lines, coalesce(n_removed, 0) AS n_removed,
        sha256(coalesce(array_to_string(CASE WHEN r IS NULL THEN l ELSE list_filter(l, lambda x, i: NOT list_contains(r, i)) END, chr(10)), '')) AS kept_sha256
 FROM d LEFT JOIN n USING (doc_id)
+""",
+    "op9_near_dedup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS g FROM d),
+c AS (SELECT list_sort(g) AS g, min(doc_id) AS rep FROM s WHERE len(g) > 0 GROUP BY 1),
+e AS (SELECT rep, len(g) AS n, unnest(g) AS x FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (na + nb - k)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+walk(node, root) AS (SELECT rep, rep FROM c UNION SELECT both_ways.b, walk.root FROM walk JOIN both_ways ON walk.node = both_ways.a),
+comp AS (SELECT node, min(root) AS component_id FROM walk GROUP BY node),
+named AS (SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id
+          FROM s LEFT JOIN c ON c.g = list_sort(s.g) LEFT JOIN comp ON comp.node = c.rep)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM named
 """,
 }

@@ -57,3 +57,28 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm.hyperminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.graded(table(spark, sf_dir, "labels")))
+    return quality.score(docs, model).select("doc_id", "expected_grade", "p_clean", (F.col("p_clean") >= model.keep).alias("kept"))
+
+
+@query
+def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from spanlake.llm.token_count import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
