@@ -82,3 +82,25 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlake.llm.token_count import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm.digest import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm.pii import find
+
+    found = find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm.passages import shared_passages
+
+    return shared_passages(table(spark, sf_dir, "documents"))
