@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Documents are long, so a batch of the default 10,000
 #: rows could take a large part of a Python worker's memory.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 #: log2 of the bits in a prefilter map; its size is fixed, whatever the input.
 MAP_BITS = 22
