@@ -15,9 +15,11 @@ the text from which a group of copies stems is in the largest bucket for every
 band. Pairs whose estimate, corrected for registers equal by chance, is near
 the bound are confirmed on the full sets and joined to components. Only where
 a bucket still holds several components are the pairs across them, and only
-those, compared by sketch, block by block, and confirmed likewise; each is
-proposed by the first band that the two share. So no link that could join two
-components is left out, while a group of n copies costs about n pairs.
+those, compared within the bucket's task, by sketch and then by their LOW
+least hashes (which is the whole set, if it has no more); what passes is
+confirmed likewise, and each pair is proposed by the first band that the two
+share. So no link that could join two components is left out, while a group
+of n copies lists about n pairs.
 
 Sets of up to MIN_SET - 1 shingles can reach the bound only if equal, which
 the classes show; they are not banded.
@@ -50,6 +52,11 @@ PERCENT = 80
 MARGIN = 0.14
 #: The chance that two unlike registers are equal: equal counts (1/3) and equal mantissas.
 CHANCE = 1 / 3 / (1 << MANTISSA)
+#: Least hashes, of 32 bits, by which pairs across components are compared, and how far
+#: below the bound that may be: 4 standard errors, or a chance equality in a whole set.
+LOW = 512
+LOW_MARGIN = 0.07
+WHOLE_MARGIN = 0.01
 #: Pairs with one class, its set held once, that one task confirms.
 PER_TASK = 2000
 
@@ -176,9 +183,24 @@ def near(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFr
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
+def low_alike(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Similarity of a set with others by their least hashes, less the margin due."""
+    n = np.array([len(o) for o in others])
+    joined = np.concatenate(others)
+    first = np.concatenate(([0], np.cumsum(n)[:-1]))
+    # Where a set is cut off, only what is below its last value can be compared.
+    end = lambda x: int(x[-1]) if len(x) == LOW else 1 << 32
+    top = np.minimum([end(o) for o in others], end(own))
+    both = own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined
+    under = joined <= np.repeat(top, n)
+    shared = np.add.reduceat(both & under, first, dtype=np.int64)
+    total = np.add.reduceat(under, first, dtype=np.int64) + np.searchsorted(own, top, "right") - shared
+    return shared / total + np.where(top < 1 << 32, LOW_MARGIN, WHOLE_MARGIN)
+
+
 def across(buckets: DataFrame, percent: int = PERCENT, block: int = 1024) -> DataFrame:
     """Pairs of classes of one bucket that are in unlike components and whose
-    sketches and sizes admit the bound; each from the first band they share."""
+    sketches, sizes and least hashes admit the bound; each from the first band they share."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def pairs(band: int, rows: list) -> Iterator[pa.RecordBatch]:
@@ -192,6 +214,7 @@ def across(buckets: DataFrame, percent: int = PERCENT, block: int = 1024) -> Dat
         # A row of a component meets the rows of later components only.
         order = np.argsort(roots, kind="stable")
         sketch, keys, n, roots = sketch[order], keys[order], n[order], roots[order]
+        low = [np.frombuffer(rows[i][4], np.uint32) for i in order]
         ends = np.searchsorted(roots, roots, "right")
         for i in range(len(rows)):
             a, b = [], []
@@ -200,7 +223,10 @@ def across(buckets: DataFrame, percent: int = PERCENT, block: int = 1024) -> Dat
                 fit = 100 * np.minimum(n[i], n[to]) >= percent * np.maximum(n[i], n[to])
                 fit &= estimate(sketch[i], sketch[to]) >= percent / 100 - MARGIN
                 fit &= (keys[to] == keys[i]).argmax(axis=1) == band
-                for k in np.flatnonzero(fit):
+                some = np.flatnonzero(fit)
+                if len(some):
+                    some = some[low_alike(low[i], [low[j + k] for k in some]) >= percent / 100]
+                for k in some:
                     a.append(sids[order[i]])
                     b.append(sids[order[j + k]])
             if a:
@@ -209,7 +235,7 @@ def across(buckets: DataFrame, percent: int = PERCENT, block: int = 1024) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            for bucket, band, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "band", "sid", "root", "n", "sketch"))):
+            for bucket, band, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "band", "sid", "root", "n", "sketch", "low"))):
                 if now != (bucket, band):
                     if rows:
                         yield from pairs(now[1], rows)
@@ -218,12 +244,13 @@ def across(buckets: DataFrame, percent: int = PERCENT, block: int = 1024) -> Dat
         if rows:
             yield from pairs(now[1], rows)
 
-    return buckets.select("bucket", "band", "sid", "root", "n", "sketch").repartition("bucket").sortWithinPartitions("bucket", "sid").mapInArrow(run, "a binary, b binary")
+    return buckets.select("bucket", "band", "sid", "root", "n", "sketch", "low").repartition("bucket").sortWithinPartitions("bucket", "sid").mapInArrow(run, "a binary, b binary")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """sid, values (the set's sorted hashes) of wanted (key, sid): the rows whose key is in
-    a map of fixed size are hashed again; the join drops what the map let through."""
+def class_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE, low: bool = False) -> DataFrame:
+    """sid, values (the set's sorted hashes; low: the upper half of the LOW least ones) of
+    wanted (key, sid): the rows whose key is in a map of fixed size are hashed again; the
+    join drops what the map let through."""
     spark = docs.sparkSession
     packed = spark.sparkContext.broadcast(bit_map(wanted, "key"))
 
@@ -235,7 +262,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> Da
             sets = []
             for _, _, data, offs in slices(batch.column("text")):
                 values, bounds = document_sets(data, offs, shingle)
-                sets += [values[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    sets.append((values[a : min(a + LOW, b)] >> U(32)).astype(np.uint32).tobytes() if low else values[a:b].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.binary())], ["key", "values"])
 
     found = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, values binary")
@@ -294,7 +322,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     joined = components(links)
     placed = shared.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-    open_ = placed.join(split, "bucket", "left_semi").join(classes.select("sid", "n", "sketch"), "sid")
+    open_ = stored(placed.join(split, "bucket", "left_semi").select("bucket", "band", "sid", "root"), "open")
+    known = classes.join(open_.select("sid").distinct(), "sid", "left_semi")
+    low = class_sets(docs, known, shingle, low=True).groupBy("sid").agg(F.first("values").alias("low"))
+    open_ = open_.join(known.select("sid", "n", "sketch"), "sid").join(low, "sid")
     more = stored(confirmed(across(open_, percent), docs, classes, percent, shingle), "links")
 
     every = links.union(more)
