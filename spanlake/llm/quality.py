@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from spanlake.llm.textvec import ALNUM, U, Words, mix, slices, span_hash
 
 BITS = 22
-SAMPLE = 12_000
+SAMPLE = 8_000
 GRADES = 3
 SURE = 4.5
 #: Bytes of a word's beginning that are features.
@@ -115,24 +115,39 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
 
-def fit(first: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, bits: int = BITS, steps: int = 600, rate: float = 0.3, l1: float = 1e-4) -> Model:
-    """first: each document's first feature and the end. Proximal Adam steps on
+def bearing(places: list[np.ndarray], grade: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The places whose presence differs by SURE standard errors between the grades
+    above and below some threshold; counted in one array for each grade."""
+    has = np.zeros((GRADES, 1 << bits), np.int32)
+    for g, p in zip(grade, places):
+        has[g, p] += 1  # a document has each place once
+    seen = np.bincount(grade, minlength=GRADES)
+    found = [np.zeros(0, np.int64)]
+    used = np.flatnonzero(has.any(axis=0))
+    has = has[:, used]
+    share = has.sum(axis=0) / len(grade)
+    for k in range(GRADES - 1):
+        m, n = seen[k + 1 :].sum(), seen[: k + 1].sum()
+        if m and n:
+            gap = np.abs(has[k + 1 :].sum(axis=0) / m - has[: k + 1].sum(axis=0) / n)
+            found.append(used[gap >= SURE * np.sqrt(share * (1 - share) * (1 / m + 1 / n) + 1e-12)])
+    return np.unique(np.concatenate(found))
+
+
+def fit(places: list[np.ndarray], values: list[np.ndarray], grade: np.ndarray, bits: int = BITS, steps: int = 600, rate: float = 0.3, l1: float = 1e-4) -> Model:
+    """Places and values of each document's features. Proximal Adam steps on
     the mean negative log-likelihood, grades weighted alike."""
     weights = np.zeros(1 << bits, np.float32)
     seen = np.bincount(grade, minlength=GRADES)
     if (seen > 0).sum() < 2:
         return Model(weights, np.full(GRADES - 1, -np.inf))
-    rows = np.repeat(np.arange(len(grade)), np.diff(first))
-    names, at, count = np.unique(place, return_inverse=True, return_counts=True)
-    bears = np.zeros(len(names), bool)
-    for k in range(GRADES - 1):
-        above = grade > k
-        m, n = above.sum(), (~above).sum()
-        if m and n:
-            has = np.bincount(at, weights=above[rows], minlength=len(names))
-            p = count / (m + n)
-            bears |= np.abs(has / m - (count - has) / n) >= SURE * np.sqrt(p * (1 - p) * (1 / m + 1 / n) + 1e-12)
-    names, at, rows, value = names[bears], (np.cumsum(bears) - 1)[at[bears[at]]], rows[bears[at]], value[bears[at]].astype(np.float64)
+    names = bearing(places, grade, bits)
+    if not len(names):
+        names = np.zeros(1, np.int64)
+    hits = [np.isin(p, names) for p in places]
+    rows = np.repeat(np.arange(len(grade)), [int(h.sum()) for h in hits])
+    at = np.searchsorted(names, np.concatenate([p[h] for p, h in zip(places, hits)]))
+    value = np.concatenate([v[h] for v, h in zip(values, hits)]).astype(np.float64)
     share = 1 / (np.maximum(seen, 1) * (seen > 0).sum())
     each = share[grade]
     n = len(names)
@@ -185,18 +200,16 @@ def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, bits: int =
                 doc, place, value = features(data, offs, bits)
                 cut = np.searchsorted(doc, np.arange(len(offs)))
                 for a, b in zip(cut[:-1], cut[1:]):
-                    places.append(place[a:b].astype(np.int32).tobytes())
-                    values.append(value[a:b].tobytes())
+                    own, first = np.unique(place[a:b], return_index=True)  # places that meet count once
+                    places.append(own.astype(np.int32).tobytes())
+                    values.append(value[a:b][first].astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["grade", "places", "values"])
 
     # The chosen rows are at most `sample` ids and grades, so they may be broadcast.
     rows = docs.join(F.broadcast(chosen), "doc_id").select("grade", F.col("text").cast("string").alias("text")).limit(2 * sample).mapInArrow(run, "grade int, places binary, values binary").toPandas()
     if not len(rows):
         return Model(np.zeros(1 << bits, np.float32), np.full(GRADES - 1, -np.inf))
-    place = [np.frombuffer(x, np.int32) for x in rows["places"]]
-    first = np.concatenate(([0], np.cumsum([len(x) for x in place])))
-    value = np.frombuffer(b"".join(rows["values"]), np.float32)
-    return fit(first, np.concatenate(place).astype(np.int64), value, rows["grade"].to_numpy(np.int64), bits)
+    return fit([np.frombuffer(x, np.int32) for x in rows["places"]], [np.frombuffer(x, np.float16) for x in rows["values"]], rows["grade"].to_numpy(np.int64), bits)
 
 
 SCORES = "expected_grade double, p_clean double"
