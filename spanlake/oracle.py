@@ -274,3 +274,12 @@ PRIVATE_LINKS = [
 _at = [(i, dict(fixtures.TEXTS)[i].encode().find(u.encode()), u) for i, u in PRIVATE_LINKS]
 ORACLES["private_links_in_text"] = 'SELECT CAST(id AS BIGINT) AS id, start, "end", text FROM ' + fixtures.values([(i, a, a + len(u), u) for i, a, u in _at], 'id, start, "end", text')
 ORACLES["domains_normalized"] = r"SELECT page_id, regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?(?:www\.)?([^/:?#]+)', 1) AS domain FROM pages"
+ORACLES["chunk_merge"] = f"""WITH {candidates()} SELECT doc_id, start, start + CAST(strlen(m) AS INT) AS "end", entity_type, m AS text FROM cand WHERE entity_type IN ('EMAIL', 'IP_ADDRESS')"""
+ORACLES["model_labels"] = "SELECT * FROM (VALUES (0, 'PERSON'), (1, 'LOCATION'), (2, 'PERSON'), (3, 'ORGANIZATION'), (4, 'PHONE'), (5, NULL), (6, NULL)) AS v(id, entity_type)"
+ORACLES["code_tags"] = "SELECT i = 0 AS in_code, CASE i WHEN 0 THEN '10.1.2.3' ELSE '10.9.8.7' END AS text, count(*) AS n FROM conversations, generate_series(0, 1) g(i) GROUP BY ALL"
+ORACLES["stream_debounce"] = """WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 10 MINUTE AS fires, count(*) AS n_updates FROM s GROUP BY user_id, n"""
+ORACLES["stream_suppressed"] = """WITH e AS (SELECT user_id, ts, max(event_type) AS v FROM events GROUP BY ALL), l AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM e) SELECT user_id, count(*) AS n FROM l WHERE b IS NULL OR b <> v GROUP BY user_id"""
+ORACLES["token_filing"] = f"""WITH {CHATS}, t AS (SELECT unnest(regexp_extract_all(text, '\\[[A-Z]+(?:_[A-Z]+)*_[0-9]+\\]')) AS token, conv_id, conv_id * 100 + turn AS seen FROM chats)
+SELECT token, arg_max(conv_id, seen) AS conversation FROM t WHERE token <> '[NOPE_1]' GROUP BY token"""

@@ -51,3 +51,20 @@ def paths(spark: SparkSession) -> DataFrame:
 
 def numbers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(NUMBERS)], "id long, text string, entity_type string")
+
+CODE = [
+    (1, "Please look:\n```python\nimport pandas as pd\ndef load_invoice(customer_name, total=0):\n    invoice_total = total + 1\n    # customer_name is a person\n    return invoice_total\nprint(load_invoice('a'))\n```\nDoes load_invoice work?"),
+    (2, "```js\nconst userName = fetch(url);\nfunction showUser(userName) { console.log(`hi ${userName}`); }\n```"),
+    (3, 'Traceback (most recent call last):\n  File "/home/anna/app/main.py", line 3, in load_invoice\n    x = 1\n  File "/usr/lib/python3/site-packages/a.py", line 9, in run\nValueError: bad \'customer_id\''),
+    (4, "java.lang.NullPointerException: x\n\tat com.acme.Billing.load(Billing.java:12)\n\tat java.util.List.get(List.java:3)\n"),
+    (5, "src/a.ts(12,5): error TS2339: Property 'customerName' does not exist"),
+    (6, "public class InvoiceService {\n    private int MAX_SIZE = 3;\n    public String loadInvoice(int invoiceId) {\n        return \"\" + invoiceId;\n    }\n}"),
+    (7, "Just prose about a table and its columns, nothing else."),
+    (8, "<pre>x = 1</pre> und größer <code>y</code>"),
+    (9, "package main\nimport \"fmt\"\nfunc total(items []int) int {\n\tsum := 0\n\tfor _, price := range items {\n\t\tsum += price\n\t}\n\treturn sum\n}"),
+    (10, ""),
+]
+
+
+def code(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CODE, "id long, text string")

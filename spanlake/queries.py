@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake import rules
+from spanlake.code import columns as code
 from spanlake.config import Config, parsed_config
 from spanlake.functions import checksum, spans, text, urls
-from spanlake.operators import detection, pseudonym, restore, review, scoring
+from spanlake.operators import detection, models, pseudonym, restore, review, scoring, synthetic
 from spanlake.plans import fixtures
 from spanlake.sources import corpus
+from spanlake.streaming import observe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -472,3 +474,122 @@ def name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", text.fingerprint("text").alias("fingerprint"))
+
+
+# ---- models
+
+
+@query
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = models.chunked(documents(spark, sf_dir), "doc_id")
+    return got.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("end_char").alias("chars"), F.max("end_byte").alias("bytes"))
+
+
+@query
+def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans found chunk by chunk, moved to their place and merged: those of whole texts."""
+    c = models.chunked(documents(spark, sf_dir), "doc_id").withColumn("at", F.col("start_byte"))
+    c = spans.computed(c, "s", models.shifted(spans.recognized(F.col("text"), ("EMAIL", "IP_ADDRESS")), F.col("at")))
+    long = c.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.start", "s.end", "s.entity_type", "s.score", "s.text")
+    return models.merged_same_type(long, "doc_id").select("doc_id", "start", "end", "entity_type", "text")
+
+
+@query
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = fixtures.texts(spark).select("id", F.concat_ws(" ", "text", F.lit("by Anna Kovacs, Berlin")).alias("text"))
+    return t.select("id", F.explode(models.gazetteer(F.col("text"))).alias("s")).select("id", "s.start", "s.entity_type", "s.text")
+
+
+@query
+def model_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(i, x) for i, x in enumerate(["B-PER", "I-LOC", "GIVENNAME", "S-ORG", "TELEPHONENUM", "odd", "O"])]
+    return spark.createDataFrame(rows, "id int, raw string").select("id", models.model_label(F.col("raw")).alias("entity_type"))
+
+
+@query
+def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of word pieces: each capitalized word of a text is tagged."""
+    docs = documents(spark, sf_dir).where("doc_id < 1000000").select("doc_id", F.left("text", F.lit(200)).alias("text"))
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    items = F.transform(words, lambda w: F.struct(F.concat(F.lit("▁"), w).alias("word"), F.when(w.rlike("^[A-Z]"), F.lit("PERSON")).alias("entity"), F.lit(0.9).alias("score")))
+    df = spans.computed(docs, "s", models.spans_of_tokens(F.col("text"), items))
+    return detection.long(df, "doc_id", "s").select("doc_id", "start", "end", "entity_type", "score", "text")
+
+
+# ---- code
+
+
+@query
+def code_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.code(spark).select("id", F.explode(code.code_regions(F.col("text"))).alias("r")).select("id", "r.start", "r.end", "r.language")
+
+
+@query
+def marked_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.code(spark).select("id", F.explode(code.marked_regions(F.col("text"))).alias("r")).select("id", "r.start", "r.end")
+
+
+@query
+def error_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.code(spark).select("id", F.explode(code.error_slots(F.col("text"))).alias("s")).select("id", "s.start", "s.end", "s.name", "s.kind", "s.library")
+
+
+@query
+def language_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.code(spark).select("id", F.transform(code.code_regions(F.col("text")), lambda r: r["language"]).alias("languages"))
+
+
+@query
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.code(spark).select("id", code.profiles(F.col("text")).alias("profiles"))
+
+
+@query
+def rename_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.code(spark).select("id", F.explode(code.renamed(F.col("text"))["aliases"]).alias("name", "alias"))
+
+
+@query
+def redact_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.code(spark).select("id", code.renamed(F.col("text"))["renamed"].alias("renamed"))
+
+
+@query
+def split_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.code(spark).select("id", code.split_identifiers(F.col("text")).alias("view"))
+
+
+@query
+def code_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans in conversations, tagged where they are in marked code."""
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("```\nip 10.1.2.3\n```\n"), "text", F.lit(" 10.9.8.7")).alias("text"))
+    df = spans.computed(detection.detect(chats), "regions", code.marked_regions(F.col("text")))
+    df = review.review(df, review.Settings(), regions="regions")
+    return df.select("conv_id", "turn", F.explode(F.arrays_zip("spans", "in_code")).alias("z")).groupBy(F.col("z.in_code").alias("in_code"), F.col("z.spans.text").alias("text")).agg(F.count("*").alias("n")).where("text LIKE '10.%'")
+
+
+@query
+def synthetic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", synthetic.links("url").alias("link"))
+
+
+# ---- streams
+
+
+@query
+def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quiet periods of users' events, ten minutes long."""
+    e = table(spark, sf_dir, "events")
+    return observe.quiet_periods(e, "user_id", "ts", "event_type", "10 minutes").select("user_id", "started", "fires", "n_updates")
+
+
+@query
+def stream_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").groupBy("user_id", "ts").agg(F.max("event_type").alias("event_type"))
+    return observe.changed(e, "user_id", "ts", "event_type").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query
+def token_filing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _chats(spark, sf_dir).select(F.explode(pseudonym.observed_tokens(F.col("text"), rules.ENTITY_TYPES)).alias("token"), F.col("conv_id").alias("conversation"), (F.col("conv_id") * 100 + F.col("turn")).alias("seen"))
+    return observe.filed(c)
