@@ -138,4 +138,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs without the rows that hold a benchmark window."""
     bad = decontaminate(docs, items, window, gram).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_key")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_key"]), "left_anti")

@@ -343,4 +343,4 @@ def dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> Da
     """docs without the rows that near_duplicates() doesn't keep. Of rows alike in all that
     is kept one stays."""
     gone = near_duplicates(docs, percent, shingle).where("NOT kept").select(F.col("key").alias("gone")).distinct()
-    return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("gone"), "left_anti")
+    return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["gone"], "left_anti")

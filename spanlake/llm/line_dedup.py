@@ -65,9 +65,9 @@ def later_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """docs with text rid of the removed lines, and n_lines, n_removed."""
+    """docs with text rid of the removed lines, and n_lines, n_removed, which replace columns of these names."""
     later = later_windows(docs, size).select(F.col("doc_id").alias("later_id"), F.col("key").alias("later_key"), "later")
-    joined = docs.join(later, docs["doc_id"].eqNullSafe(F.col("later_id")) & (F.xxhash64(docs["text"]) == F.col("later_key")), "left")
+    joined = docs.join(later, docs["doc_id"].eqNullSafe(later["later_id"]) & (F.xxhash64(docs["text"]) == later["later_key"]), "left")
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def cut(texts: pd.Series, laters: pd.Series) -> pd.DataFrame:
@@ -78,5 +78,6 @@ def dedup_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
             out.append((text if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
-    own = [c for c in docs.columns if c != "text"]
-    return joined.withColumn("cut", cut(docs["text"].cast("string"), "later")).select(*(docs[c] for c in own), "cut.text", "cut.n_lines", "cut.n_removed")
+    own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    done = joined.select(*(docs[c] for c in own), cut(docs["text"].cast("string"), later["later"]).alias("cut__"))
+    return done.select(*own, "cut__.text", "cut__.n_lines", "cut__.n_removed")

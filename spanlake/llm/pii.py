@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from spanlake.llm.textvec import slices
 
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 KINDS = ("email", "ip", "card", "phone")
 # The patterns that the base spans are defined by.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -352,6 +353,11 @@ def added_spans(text: str, tags: np.ndarray, base: list[Span]) -> list[Span]:
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
         if tags[a]:
             kind = KINDS[tags[a] - 1]
+            # A tagged part of a number or address stands for all of it.
+            while a and (text[a - 1] in "0123456789+(" or kind == "email" and LOCAL.match(text[a - 1])):
+                a -= 1
+            while b < len(text) and (text[b] in "0123456789" or kind == "email" and LOCAL.match(text[b])):
+                b += 1
             piece = text[a:b]
             a, b = a + len(piece) - len(piece.lstrip(" ,;:=.")), b - (len(piece) - len(piece.rstrip(" ,;:=(.")))
             if a < b and sound(kind, text[a:b]) and not (a and text[a - 1].isdigit()) and not (b < len(text) and text[b].isdigit()) and all(b <= x or y <= a for x, y, _ in base):

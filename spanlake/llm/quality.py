@@ -206,7 +206,7 @@ def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, bits: int =
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["grade", "places", "values"])
 
     # The chosen rows are at most `sample` ids and grades, so they may be broadcast.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("grade", F.col("text").cast("string").alias("text")).limit(2 * sample).mapInArrow(run, "grade int, places binary, values binary").toPandas()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("grade", "text").limit(2 * sample).mapInArrow(run, "grade int, places binary, values binary").toPandas()
     if not len(rows):
         return Model(np.zeros(1 << bits, np.float32), np.full(GRADES - 1, -np.inf))
     return fit([np.frombuffer(x, np.int32) for x in rows["places"]], [np.frombuffer(x, np.float16) for x in rows["values"]], rows["grade"].to_numpy(np.int64), bits)
@@ -216,7 +216,7 @@ SCORES = "expected_grade double, p_clean double"
 
 
 def score(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
-    """docs with expected_grade and p_clean, the chance of the top grade."""
+    """docs with expected_grade and p_clean, the chance of the top grade; columns of these names are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(SCORES)
@@ -230,7 +230,8 @@ def score(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
             tails = m.tails(np.concatenate(out) if out else np.zeros(0))
             yield pd.DataFrame({"expected_grade": tails.sum(axis=1), "p_clean": tails[:, -1]})
 
-    return docs.withColumn("scores__", rate(F.col("text").cast("string"))).select(*docs.columns, "scores__.expected_grade", "scores__.p_clean")
+    own = [c for c in docs.columns if c not in ("expected_grade", "p_clean")]
+    return docs.select(*own, rate(F.col("text").cast("string")).alias("scores__")).select(*own, "scores__.expected_grade", "scores__.p_clean")
 
 
 def clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
