@@ -118,3 +118,77 @@ def alias(role: Column, name: Column, index: Column) -> Column:
         .when(F.trim(name, F.lit("_")).contains("_"), F.concat(F.lower(stem), F.lit("_"), n))
         .otherwise(F.concat(F.lower(F.left(stem, F.lit(1))), F.call_function("substring", stem, F.lit(2)), n))
     )
+
+
+# ---- spans and code together
+
+RANGES = "array<struct<start:int,end:int,text:string>>"
+
+
+def _chars(text: str, at: int) -> int:
+    """Code points before a byte offset."""
+    return at if text.isascii() else len(text.encode()[:at].decode("utf-8", "ignore"))
+
+
+def _ranged(text: str, found) -> list[dict]:
+    b = Bytes(text)
+    return [{"start": b(x), "end": b(y), "text": text[x:y]} for x, y in found]
+
+
+@arrow(RANGES)
+def _propagated(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    out = []
+    for text, own in zip(texts, spans):
+        flagged = [w for s in own for w in identifiers.words(s["text"].replace(" ", "_"))]
+        out.append(_ranged(text, [(a, b) for a, b, _ in identifiers.propagated(text, regions.all_code(text), flagged)]))
+    return pd.Series(out)
+
+
+@arrow(RANGES)
+def _widened(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    out = []
+    for text, own in zip(texts, spans):
+        ranges = [(_chars(text, s["start"]), _chars(text, s["end"])) for s in own]
+        out.append(_ranged(text, identifiers.widened(text, regions.all_code(text), ranges)))
+    return pd.Series(out)
+
+
+@arrow("array<boolean>")
+def _generic(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    out = []
+    for text, own in zip(texts, spans):
+        code = regions.all_code(text)
+        ranges = [(_chars(text, s["start"]), _chars(text, s["end"])) for s in own]
+        out.append([identifiers.only_generic(text, a, b, any(x <= a < y for x, y in code)) for a, b in ranges])
+    return pd.Series(out)
+
+
+@arrow("array<boolean>")
+def _bare(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([[identifiers.takes_bare(t, _chars(t, s["start"]), _chars(t, s["end"])) for s in own] for t, own in zip(texts, spans)])
+
+
+def propagated(text: Column, spans: Column) -> Column:
+    """The words of spans, at every identifier in code that has them."""
+    return _propagated(F.coalesce(text, F.lit("")), spans)
+
+
+def widened(text: Column, spans: Column) -> Column:
+    """Spans in code as whole identifiers, everywhere in code."""
+    return _widened(F.coalesce(text, F.lit("")), spans)
+
+
+def without_generic(text: Column, spans: Column) -> Column:
+    """Without a model's spans that are generic words within identifiers or code."""
+    zipped = F.arrays_zip(spans.alias("s"), _generic(F.coalesce(text, F.lit("")), spans).alias("g"))
+    return F.transform(F.filter(zipped, lambda z: ~((z["s"]["source"] == "ner") & z["g"])), lambda z: z["s"])
+
+
+def takes_bare(text: Column, spans: Column) -> Column:
+    """For each span whether its replacement must go without brackets."""
+    return _bare(F.coalesce(text, F.lit("")), spans)
+
+
+@arrow("string")
+def path_view(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else identifiers.path_view(t))

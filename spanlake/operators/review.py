@@ -33,6 +33,29 @@ class Settings:
     block: tuple[Entry, ...] = ()
 
 
+    @classmethod
+    def normalized(cls, given: dict | None) -> Settings:
+        """Settings of a stored object: unknown, missing or ill-typed values give defaults."""
+        given = given if isinstance(given, dict) else {}
+        part = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and 0 <= v <= 1
+        sliders, on = given.get("groupThresholds"), given.get("groupsEnabled")
+        base = cls()
+        groups_on = dict(base.groups_on) | {g: v for g, v in (on if isinstance(on, dict) else {}).items() if g in rules.GROUPS and isinstance(v, bool)}
+
+        def entries(name: str) -> tuple[Entry, ...]:
+            rows = given.get(name) if isinstance(given.get(name), list) else []
+            return tuple(Entry(r["pattern"].strip(), r.get("scope") if r.get("scope") in rules.ENTITY_TYPES else "any") for r in rows if isinstance(r, dict) and isinstance(r.get("pattern"), str) and r["pattern"].strip())
+
+        return cls(
+            slider=float(given["minConfidence"]) if part(given.get("minConfidence")) else base.slider,
+            individual=given.get("sensitivityMode") == "individual",
+            group_sliders={g: float(v) for g, v in (sliders if isinstance(sliders, dict) else {}).items() if g in rules.GROUPS and part(v)},
+            groups_on=groups_on,
+            allow=entries("allowlist"),
+            block=entries("blocklist"),
+        )
+
+
 # ---- groups and thresholds
 
 

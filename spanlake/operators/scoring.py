@@ -135,6 +135,19 @@ def deduplicated(df: DataFrame, content: str, group: str, cap: int) -> DataFrame
     return one.withColumn("n__", F.row_number().over(Window.partitionBy(group).orderBy("sha__"))).where(F.col("n__") <= cap).drop("n__", "sha__")
 
 
+def usage(spans: DataFrame, time: str) -> DataFrame:
+    """entity_type, normalized_key, uses, first_seen, last_seen of each identity."""
+    from spanlake.functions.text import normalized_key
+
+    keyed = spans.withColumn("normalized_key", normalized_key(F.col("text")))
+    return keyed.groupBy("entity_type", "normalized_key").agg(F.count("*").alias("uses"), F.min(time).alias("first_seen"), F.max(time).alias("last_seen"))
+
+
+def dataset_stats(rows: DataFrame, split: str, group: str, label: str) -> DataFrame:
+    """split, rows, groups, positives and their share."""
+    return rows.groupBy(split).agg(F.count("*").alias("rows"), F.countDistinct(group).alias("groups"), F.sum(F.col(label).cast("long")).alias("positives"), F.round(F.avg(F.col(label).cast("double")), 9).alias("share"))
+
+
 def report(rows: DataFrame) -> pd.DataFrame:
     """The few rows of a finished report, for the driver."""
     return rows.limit(10 * len(rules.ENTITY_TYPES)).toPandas()

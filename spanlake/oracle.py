@@ -283,3 +283,14 @@ SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 10 MINUTE AS fires, count
 ORACLES["stream_suppressed"] = """WITH e AS (SELECT user_id, ts, max(event_type) AS v FROM events GROUP BY ALL), l AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM e) SELECT user_id, count(*) AS n FROM l WHERE b IS NULL OR b <> v GROUP BY user_id"""
 ORACLES["token_filing"] = f"""WITH {CHATS}, t AS (SELECT unnest(regexp_extract_all(text, '\\[[A-Z]+(?:_[A-Z]+)*_[0-9]+\\]')) AS token, conv_id, conv_id * 100 + turn AS seen FROM chats)
 SELECT token, arg_max(conv_id, seen) AS conversation FROM t WHERE token <> '[NOPE_1]' GROUP BY token"""
+ORACLES["score_grouping_sets"] = f"WITH {ALL}, {SCORED} SELECT entity_type, language, length_bucket, {COUNTS} FROM head GROUP BY GROUPING SETS ((entity_type), (language), (length_bucket), ())"
+ORACLES["usage_stats"] = f"WITH {ALL}, {VAULT.split(',' + chr(10) + 'idents')[0]} SELECT entity_type, normalized_key, count(*) AS uses, min(doc_id) AS first_seen, max(doc_id) AS last_seen FROM keyed GROUP BY ALL"
+ORACLES["dataset_stats"] = f"""WITH s AS ({ORACLES["hash_splits"]}) SELECT split, count(*) AS rows, count(DISTINCT source) AS groups, count(*) FILTER (lang = 'en') AS positives, round(avg(CASE WHEN lang = 'en' THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS share FROM documents JOIN s USING (source) GROUP BY split"""
+ORACLES["history_kept"] = "SELECT conv_id AS id, max(conv_id * 100 + turn) AS created, length(arg_max(text, conv_id * 100 + turn)) > 20000 AS truncated FROM conversations GROUP BY conv_id ORDER BY created DESC LIMIT 50"
+ORACLES["feedback_kept"] = "SELECT event_id FROM events ORDER BY event_id DESC LIMIT 1000"
+ORACLES["conversation_store"] = f"""WITH {CHATS}, t AS (SELECT DISTINCT conv_id AS conversation, unnest(regexp_extract_all(text, '\\[[A-Z]+(?:_[A-Z]+)*_[0-9]+\\]')) AS token FROM chats)
+SELECT conversation, string_agg(token, ' ' ORDER BY token) AS tokens, CAST(CASE WHEN conversation % 3 = 0 THEN count(*) ELSE 0 END AS INT) AS originals FROM t WHERE token <> '[NOPE_1]' AND (conversation % 2 = 0 OR conversation % 3 = 0) GROUP BY conversation"""
+ORACLES["examples_from_raw"] = f"""SELECT 'docs-' || lang || '-' || doc_id AS id, lang AS language, {BUCKET.format('length(text)')} AS bucket, 0 AS start, CAST(strlen(w) AS INT) AS "end", 'PERSON' AS entity_type, w AS text
+FROM (SELECT *, regexp_extract(text, '^[^\\s]+') AS w FROM documents WHERE lang IN ('en', 'de')) WHERE w <> ''"""
+ORACLES["auto_approved"] = with_spans("SELECT doc_id, start, score FROM spans WHERE score >= 0.8")
+ORACLES["used_mappings"] = f"WITH {CHATS} SELECT '[PERSON_' || i || ']' AS token, 'p' || i AS original, count(*) AS n FROM chats, generate_series(1, 9) g(i) WHERE contains(text, 'PERSON_' || i) GROUP BY i"

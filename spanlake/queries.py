@@ -593,3 +593,108 @@ def stream_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_filing(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _chats(spark, sf_dir).select(F.explode(pseudonym.observed_tokens(F.col("text"), rules.ENTITY_TYPES)).alias("token"), F.col("conv_id").alias("conversation"), (F.col("conv_id") * 100 + F.col("turn")).alias("seen"))
     return observe.filed(c)
+
+
+# ---- more of code, stores and scores
+
+
+def _names_in_code(spark: SparkSession) -> DataFrame:
+    """Code with a model's spans on a word of an identifier."""
+    t = fixtures.code(spark)
+    a = F.instr("text", "nvoice") - 1
+    own = F.when(a >= 0, F.array(spans.span(F.octet_length(F.left("text", a)), F.octet_length(F.left("text", a + 6)), F.lit("PERSON"), F.lit(0.9), F.lit("nvoice"), F.lit("ner"), F.lit(0)))).otherwise(spans.no_spans())
+    return spans.computed(t, "spans", own)
+
+
+@query
+def identifiers_propagated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spans.computed(fixtures.code(spark), "spans", F.array(spans.span(F.lit(0), F.lit(7), F.lit("PERSON"), F.lit(0.9), F.lit("Invoice"), F.lit("ner"), F.lit(0))))
+    return t.select("id", F.explode(code.propagated(F.col("text"), F.col("spans"))).alias("p")).select("id", "p.start", "p.end", "p.text")
+
+
+@query
+def identifiers_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names_in_code(spark).select("id", F.explode(code.widened(F.col("text"), F.col("spans"))).alias("p")).select("id", "p.start", "p.end", "p.text")
+
+
+@query
+def generic_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = fixtures.code(spark).where("text LIKE '%total%'")
+    a = F.instr("text", "total") - 1
+    both = F.array(*(spans.span(F.octet_length(F.left("text", a)), F.octet_length(F.left("text", a + 5)), F.lit("PERSON"), F.lit(0.9), F.lit("total"), F.lit(source), F.lit(0)) for source in ("ner", "regex")))
+    df = spans.computed(t, "spans", both)
+    return df.select("id", F.explode(code.without_generic(F.col("text"), F.col("spans"))).alias("s")).select("id", "s.text", "s.source")
+
+
+@query
+def bare_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names_in_code(spark).select("id", code.takes_bare(F.col("text"), F.col("spans")).alias("bare"))
+
+
+@query
+def path_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.paths(spark).select("id", code.path_view("path").alias("view"))
+
+
+@query
+def synthetic_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.paths(spark).select("id", synthetic.paths("path").alias("path"))
+
+
+@query
+def score_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.breakdowns(scoring.events(*_scored(spark, sf_dir)))
+
+
+@query
+def usage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.usage(found_long(spark, sf_dir), "doc_id")
+
+
+@query
+def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select(scoring.hash_split(F.col("source")).alias("split"), "source", (F.col("lang") == "en").alias("label"))
+    return scoring.dataset_stats(rows, "split", "source", "label")
+
+
+@query
+def history_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    e = c.select(F.col("conv_id").alias("id"), (F.col("conv_id") * 100 + F.col("turn")).alias("created"), F.col("text").alias("original"), F.upper("text").alias("anonymized"))
+    return corpus.history(e).select("id", "created", "truncated")
+
+
+@query
+def feedback_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.feedback(table(spark, sf_dir, "events").select(F.col("event_id"), F.col("event_id").alias("timestamp"))).select("event_id")
+
+
+@query
+def conversation_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _chats(spark, sf_dir).select(F.col("conv_id").alias("conversation"), F.explode(pseudonym.observed_tokens(F.col("text"), rules.ENTITY_TYPES)).alias("token"))
+    got = corpus.conversations(t.where("conversation % 2 = 0"), t.withColumn("original", F.lower("token")).where("conversation % 3 = 0"))
+    return got.select("conversation", F.array_join("tokens", " ").alias("tokens"), F.size("originals").alias("originals"))
+
+
+@query
+def examples_from_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as raw records, with the first word as a labelled span without offsets."""
+    word = F.regexp_extract("text", r"^[^\s]+", 0)
+    record = F.to_json(F.struct(F.col("doc_id").alias("uid"), F.col("lang").alias("locale"), "text", F.array(F.struct(word.alias("value"), F.lit("given name").alias("label"))).alias("privacy_mask")))
+    raw = documents(spark, sf_dir).select(F.lit("f").alias("file"), F.col("doc_id").alias("row"), record.alias("json"))
+    got = corpus.examples_from_raw(raw, "docs")
+    return got.select("id", "language", F.col("lengthBucket").alias("bucket"), F.explode("goldSpans").alias("g")).select("id", "language", "bucket", "g.start", "g.end", "g.entity_type", "g.text")
+
+
+@query
+def auto_approved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = found(spark, sf_dir)
+    own = review.auto_approved(F.col("spans"), F.transform("spans", lambda s: F.lit(False)), 0.8)
+    return detection.long(spans.computed(df, "spans", own), "doc_id").select("doc_id", "start", "score")
+
+
+@query
+def used_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = F.map_from_arrays(F.array(*(F.lit(f"[PERSON_{i}]") for i in range(1, 10))), F.array(*(F.lit(f"p{i}") for i in range(1, 10))))
+    got = _chats(spark, sf_dir).select("conv_id", "turn", F.explode(restore.used_mappings(F.col("text"), tokens)).alias("token", "original"))
+    return got.groupBy("token", "original").agg(F.count("*").alias("n"))
