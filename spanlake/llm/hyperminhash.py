@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """docs without the rows that near_duplicates() doesn't keep. Of rows alike in all that
-    is kept one stays."""
+    """docs without the rows that near_duplicates() doesn't keep. Rows alike in doc_id and
+    text are one document stated twice, and stay or go together."""
     gone = near_duplicates(docs, percent, shingle).where("NOT kept").select(F.col("key").alias("gone")).distinct()
     return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["gone"], "left_anti")
