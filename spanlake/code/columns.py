@@ -110,14 +110,16 @@ def profiles(text: Column) -> Column:
 
 def alias(role: Column, name: Column, index: Column) -> Column:
     """rename.alias() natively."""
-    stem = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in rename.STEMS.items() for x in kv)), role), F.lit("name"))
-    n = index.cast("string")
-    return (
-        F.when(name.rlike("^[A-Z][A-Z0-9_]+$"), F.concat(F.upper(stem), F.lit("_"), n))
-        .when(name.rlike("^[A-Z]"), F.concat(F.upper(F.left(stem, F.lit(1))), F.call_function("substring", stem, F.lit(2)), n))
-        .when(F.trim(name, F.lit("_")).contains("_"), F.concat(F.lower(stem), F.lit("_"), n))
-        .otherwise(F.concat(F.lower(F.left(stem, F.lit(1))), F.call_function("substring", stem, F.lit(2)), n))
+    word = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in rename.STEMS.items() for x in kv)), role), F.lit("var"))
+    lead, bare, n = F.regexp_extract(name, "^_*", 0), F.regexp_replace(name, "^_+", ""), index.cast("string")
+    styled = (
+        F.when(word == "Class", F.concat(F.lit("Class"), n))
+        .when(bare.rlike("^[A-Z][A-Z0-9_]+$"), F.concat(F.upper(word), F.lit("_"), n))
+        .when(bare.rlike("^[A-Z]"), F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.call_function("substring", word, F.lit(2))), n))
+        .when(bare.contains("_"), F.concat(F.lower(word), F.lit("_"), n))
+        .otherwise(F.concat(F.lower(word), n))
     )
+    return F.concat(lead, styled)
 
 
 # ---- spans and code together

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import keyword
 import re
-from collections import defaultdict
 from dataclasses import dataclass, field
 
 from spanlake.code.identifiers import IDENTIFIER
@@ -190,28 +189,32 @@ def rename_plan(text: str, regions: list[tuple[int, int, str]] | None = None) ->
     return plan
 
 
-STEMS = {"class": "Class", "type": "Type", "function": "func", "variable": "var", "constant": "CONST", "parameter": "param", "property": "prop"}
+#: The word of each role; fixed values.
+STEMS = {"class": "Class", "type": "Class", "function": "func", "variable": "var", "constant": "CONST", "parameter": "param", "property": "field", "namespace": "ns"}
 
 
 def alias(name: str, role: str, index: int) -> str:
-    """An alias in the case of the name: CONST_4, Class1, local_var_2, var3."""
-    stem = STEMS.get(role, "name")
-    if re.fullmatch(r"[A-Z][A-Z0-9_]+", name):
-        return f"{stem.upper()}_{index}"
-    if name[:1].isupper():
-        return f"{stem[0].upper()}{stem[1:]}{index}"
-    return f"{stem.lower()}_{index}" if "_" in name.strip("_") else f"{stem[0].lower()}{stem[1:]}{index}"
+    """An alias in the case of the name: var1, _field2, Field3, CONST_4, func_5, Class6."""
+    bare = name.lstrip("_")
+    lead, word = name[: len(name) - len(bare)], STEMS.get(role, "var")
+    if word == "Class":
+        return f"{lead}Class{index}"
+    if len(bare) > 1 and re.fullmatch(r"[A-Z][A-Z0-9_]*", bare):
+        return f"{lead}{word.upper()}_{index}"
+    if bare[:1].isupper():
+        return f"{lead}{word.capitalize()}{index}"
+    return f"{lead}{word.lower()}_{index}" if "_" in bare else f"{lead}{word.lower()}{index}"
 
 
 def aliases(plan: Plan, taken: set[str] = frozenset()) -> dict[str, str]:
-    """One alias for each own name, by first place; none that the text already has."""
-    used, out, counts = set(taken) | plan.identifiers, {}, defaultdict(int)
+    """One alias for each own name, numbered by first place; none that the text already has."""
+    used, out, count = set(taken) | plan.identifiers, {}, 0
     first = dict(reversed([(n, a) for a, _, n in plan.occurrences]))
     for name in sorted(plan.roles, key=lambda n: (first.get(n, 1 << 60), n)):
         role = plan.roles[name]
         while True:
-            counts[role] += 1
-            new = alias(name, role, counts[role])
+            count += 1
+            new = alias(name, role, count)
             if new not in used:
                 break
         used.add(new)

@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanlake.functions.arrow import arrow
+from spanlake.functions.spans import let
 from spanlake import rules
 
 
@@ -77,20 +78,28 @@ def base36(n: int) -> str:
 
 
 def text_fingerprint(text: str) -> str:
+    text = text.replace("\r\n", "\n").strip()
     units = memoryview(text.encode("utf-16-le", "surrogatepass")).cast("H")
     one, two, mask = 0xDEADBEEF, 0x41C6CE57, 0xFFFFFFFF
     for u in units:
         one = (one ^ u) * 2654435761 & mask
         two = (two ^ u) * 1597334677 & mask
-    one, two = (
-        ((one ^ one >> 16) * 2246822507 & mask) ^ ((two ^ two >> 13) * 3266489909 & mask),
-        ((two ^ two >> 16) * 2246822507 & mask) ^ ((one ^ one >> 13) * 3266489909 & mask),
-    )
+    one = ((one ^ one >> 16) * 2246822507 & mask) ^ ((two ^ two >> 13) * 3266489909 & mask)
+    two = ((two ^ two >> 16) * 2246822507 & mask) ^ ((one ^ one >> 13) * 3266489909 & mask)  # of the new one
     return f"{base36(len(units))}-{base36(4294967296 * (2097151 & two) + one)}"
 
 
-def context(text: Column, start: Column, end: Column, around: int = 48) -> Column:
-    """A range with what is around it, white space collapsed and cuts marked; code points."""
-    a, b = F.greatest(start - around, F.lit(0)), F.least(end + around, F.length(text))
-    piece = F.regexp_replace(F.call_function("substring", text, (a + 1).cast("int"), (b - a).cast("int")), r"(?U)\s+", " ")
-    return F.concat(F.when(a > 0, "...").otherwise(""), piece, F.when(b < F.length(text), "...").otherwise(""))
+def context(text: Column, piece: Column, around: int = 48) -> Column:
+    """A piece of a text with what is around it, white space collapsed and cuts marked; the
+    text's beginning if the piece isn't in it."""
+    flat = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
+
+    def cut(x: Column) -> Column:
+        t, p = x["t"], x["p"]
+        at = F.call_function("locate", p, t) - 1
+        a, b = F.greatest(at - around, F.lit(0)), F.least(at + F.length(p) + around, F.length(t))
+        found = F.concat(F.when(a > 0, "...").otherwise(""), F.call_function("substring", t, (a + 1).cast("int"), (b - a).cast("int")), F.when(b < F.length(t), "...").otherwise(""))
+        head = F.when(F.length(t) <= 2 * around, t).otherwise(F.concat(F.left(t, F.lit(2 * around - 3)), F.lit("...")))
+        return F.when((p != "") & (at >= 0), found).otherwise(head)
+
+    return let(F.struct(flat(text).alias("t"), flat(piece).alias("p")), cut)

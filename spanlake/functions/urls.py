@@ -178,8 +178,9 @@ def private_links(text: Column, public_domains: Sequence[str] = (), order: int =
 
 
 def normalized_domain(entry: Column) -> Column:
-    """A listed domain without scheme, user, path, www. and final dot; null if it is none."""
+    """A listed domain without scheme, user, what follows the host, www. and final dot; null
+    if what is left isn't two labels at least."""
     d = F.lower(F.trim(entry))
-    for pattern in ("^[a-z][a-z0-9+.-]*://", "[/?#].*$", "^.*@", ":[0-9]+$", "^www\\.", "\\.$"):
+    for pattern in ("^[a-z][a-z0-9+.-]*://", "^[^@/]*@", "[/?#:].*$", "^www\\.", "\\.$"):
         d = F.regexp_replace(d, pattern, "")
-    return F.when(d.rlike("^(?=.{1,253}$)(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\\.)*[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?$"), d)
+    return F.when(d.rlike("^(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\\.)+[a-z][a-z0-9-]{1,62}$"), d)

@@ -9,17 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanlake import rules
 from spanlake.functions.arrow import arrow
 from spanlake.functions.spans import SPANS, lookup, no_spans, scan
 
-#: A stand-in for a model: literal names, their types and scores; our own.
-GAZETTEER = (
-    ("Anna Kovacs", "PERSON", 0.97), ("John Smith", "PERSON", 0.96), ("Maria Garcia", "PERSON", 0.95), ("Berlin", "LOCATION", 0.92), ("Budapest", "LOCATION", 0.93),
-    ("Northwind Labs", "ORGANIZATION", 0.91), ("Summit Group", "ORGANIZATION", 0.90), ("12 Oak Street", "ADDRESS", 0.90),
-)
-
-
-def gazetteer(text: Column, entries: Sequence[tuple[str, str, float]] = GAZETTEER) -> Column:
+def gazetteer(text: Column, entries: Sequence[tuple[str, str, float]] = rules.GAZETTEER) -> Column:
     """All occurrences of the entries as a model's spans, by start."""
     import re
 
@@ -125,22 +119,19 @@ def merged_same_type(spans: DataFrame, key: str) -> DataFrame:
 
 # ---- labels
 
-#: Raw labels of common models; fixed values.
-MODEL_LABELS = {
-    "PER": "PERSON", "PERSON": "PERSON", "NAME": "PERSON", "GIVENNAME": "PERSON", "SURNAME": "PERSON", "FIRSTNAME": "PERSON", "LASTNAME": "PERSON",
-    "LOC": "LOCATION", "GPE": "LOCATION", "CITY": "LOCATION", "STATE": "LOCATION", "COUNTRY": "LOCATION", "LOCATION": "LOCATION",
-    "ORG": "ORGANIZATION", "ORGANIZATION": "ORGANIZATION", "COMPANY": "ORGANIZATION", "COMPANYNAME": "ORGANIZATION",
-    "STREET": "ADDRESS", "ADDRESS": "ADDRESS", "BUILDINGNUM": "ADDRESS", "EMAIL": "EMAIL", "TELEPHONENUM": "PHONE", "PHONE": "PHONE", "PHONENUMBER": "PHONE",
-    "CREDITCARDNUMBER": "CREDIT_CARD", "CREDIT_CARD": "CREDIT_CARD", "SOCIALNUM": "SSN", "SSN": "SSN", "IBAN": "IBAN", "IP": "IP_ADDRESS", "IPV4": "IP_ADDRESS", "IP_ADDRESS": "IP_ADDRESS",
-    "URL": "URL", "USERNAME": "USERNAME", "PASSWORD": "PASSWORD", "ACCOUNTNUM": "BANK_ACCOUNT", "BANK_ACCOUNT": "BANK_ACCOUNT", "DATE": "DATE", "DATEOFBIRTH": "DATE", "DOB": "DATE",
-    "MISC": "MISC", "IDCARDNUM": "MISC", "DRIVERLICENSENUM": "MISC", "TAXNUM": "MISC", "ZIPCODE": "MISC",
-}
-
-
-def model_label(raw: Column) -> Column:
-    """A model's label without its B-, I- or other position mark, mapped to a type; null if unknown."""
-    clean = F.upper(F.regexp_replace(F.trim(raw), "^[BIESLU][-_]", ""))
-    return F.coalesce(lookup(MODEL_LABELS, clean), lookup(MODEL_LABELS, F.regexp_replace(clean, "[^A-Z0-9]", "")))
+def model_label(raw: Column, kind: str = "general") -> Column:
+    """The type of a model's label (without its position mark, words apart by _); null if unknown."""
+    table = {label: t for t, labels in rules.MODEL_LABELS[kind].items() for label in labels.split()}
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce(raw, F.lit("")), "^[BIbi]-", ""), r"^\[|\]$", "")
+    for pattern, by in (("([a-z])([A-Z])", "$1_$2"), ("[^A-Za-z0-9]+", "_"), ("^_+|_+$", "")):
+        clean = F.regexp_replace(clean, pattern, by)
+    return lookup(table, F.upper(clean))
+
+
+def gated(spans: Column, kind: str = "general") -> Column:
+    """Spans that reach the least score of their type for a kind of model."""
+    least = rules.MODEL_MINIMUM | rules.MODEL_GATE[kind]
+    return F.filter(spans, lambda s: s["score"] >= F.coalesce(lookup(least, s["entity_type"]), F.lit(1.0)))
 
 
 def with_raw_labels(spans: DataFrame, raw: DataFrame, key: str) -> DataFrame:

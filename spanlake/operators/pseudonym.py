@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake import rules
 from spanlake.functions.spans import byte_slice, computed
 from spanlake.functions.text import normalized_key
 
@@ -108,7 +109,7 @@ def vault_update(spans: DataFrame, key: str, vault: DataFrame | None = None, par
     index = (F.col("local") + F.col("before") + (F.coalesce("most", F.lit(0)) if vault is not None else 0)).cast("long")
     new = new.withColumn("index", index).select(
         F.sha1(F.concat_ws("\x1f", "entity_type", "normalized_key")).alias("id"), "original_text", "normalized_key", "entity_type",
-        placeholder(F.col("entity_type"), F.col("index")).alias("placeholder"), "index", synthetic(F.col("entity_type"), F.col("index")).alias("synthetic_value"),
+        placeholder(F.col("entity_type"), F.col("index")).alias("placeholder"), "index", stand_in(F.col("entity_type"), F.col("index"), F.col("original_text")).alias("synthetic_value"),
         F.lit("placeholder").alias("mode"), F.lit(False).alias("pinned"), F.col("k").alias("first_key"), F.col("used").alias("usage_count"),
     )
     return new if vault is None else known.select(*new.columns).unionByName(new)
@@ -142,35 +143,29 @@ def recent(vault: DataFrame, order: str = "first_key") -> DataFrame:
     return vault.orderBy(F.desc(order), "id")
 
 
-#: Values that stand for others, cycled; our own choice, all fictitious.
-POOLS = {
-    "PERSON": ["Alex Morgan", "Jordan Park", "Sam Rivera", "Robin Vale", "Casey Lind", "Devon Marsh", "Noa Berg", "Kim Sorel"],
-    "LOCATION": ["Springfield", "Riverton", "Lakeside", "Hillcrest", "Fairview", "Brookdale"],
-    "ORGANIZATION": ["Northwind Labs", "Blue Harbor Ltd", "Cedar Works", "Summit Group", "Orchid Partners"],
-    "ADDRESS": ["12 Oak Street", "48 Mill Lane", "7 Station Road", "230 Lake Avenue"],
-    "PHONE": ["+1 555 0100", "+1 555 0101", "+1 555 0102", "+1 555 0103"],
-    "CREDIT_CARD": ["4000 0000 0000 0002", "5100 0000 0000 0008"],
-    "SSN": ["900-00-0001", "900-00-0002"],
-    "IBAN": ["XX00 0000 0000 0000 01", "XX00 0000 0000 0000 02"],
-    "IP_ADDRESS": ["192.0.2.1", "192.0.2.2", "198.51.100.1", "203.0.113.1"],
-    "USERNAME": ["user_alpha", "user_beta", "user_gamma"],
-    "BANK_ACCOUNT": ["000000001", "000000002"],
-    "MISC": ["item-a", "item-b", "item-c"],
-}
-
-
 def synthetic(entity_type: Column, index: Column) -> Column:
-    """The pool's value for an index; later rounds get the round as a suffix. Types
-    without a pool have none ('')."""
-    email = F.concat(F.lower(F.regexp_replace(_pooled(POOLS["PERSON"], index), " ", ".")), F.lit("@example.com"))
-    out = F.when(entity_type == "EMAIL", email)
-    for t, values in POOLS.items():
+    """The pool's value for an index from 1 on; types without a pool have none ('')."""
+    name = F.lower(_pooled(rules.POOLS["PERSON"], index))
+    local = F.regexp_replace(F.regexp_replace(name, "[^a-z0-9]+", "."), r"^\.+|\.+$", "")
+    out = F.when(entity_type == "EMAIL", F.concat(local, F.lit("@"), _cycled(rules.EMAIL_DOMAINS, index)))
+    for t, values in rules.POOLS.items():
         out = out.when(entity_type == t, _pooled(values, index))
     return out.otherwise(F.lit(""))
 
 
+def stand_in(entity_type: Column, index: Column, original: Column) -> Column:
+    """synthetic(), and for links and paths one that keeps the original's shape."""
+    from spanlake.operators import synthetic as shapes
+
+    only = lambda t: F.when(entity_type == t, original).otherwise(F.lit(""))
+    return F.when(entity_type == "URL", shapes.links(only("URL"))).when(entity_type == "FILE_PATH", shapes.paths(only("FILE_PATH"))).otherwise(synthetic(entity_type, index))
+
+
+def _cycled(values: list[str], index: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(v) for v in values)), (F.pmod(index - 1, F.lit(len(values))) + 1).cast("int"))
+
+
 def _pooled(values: list[str], index: Column) -> Column:
-    n = len(values)
-    at, round_ = (F.pmod(index - 1, F.lit(n)) + 1).cast("int"), F.floor((index - 1) / n)
-    value = F.element_at(F.array(*(F.lit(v) for v in values)), at)
-    return F.when(round_ > 0, F.concat(value, F.lit(" "), (round_ + 1).cast("string"))).otherwise(value)
+    """Later rounds get the round as a suffix, behind a dash if the value is a number."""
+    value, round_ = _cycled(values, index), F.floor((index - 1) / len(values))
+    return F.when(round_ > 0, F.concat(value, F.when(value.rlike(r"^[0-9\s+\-()]+$"), "-").otherwise(" "), (round_ + 1).cast("string"))).otherwise(value)

@@ -275,7 +275,7 @@ _at = [(i, dict(fixtures.TEXTS)[i].encode().find(u.encode()), u) for i, u in PRI
 ORACLES["private_links_in_text"] = 'SELECT CAST(id AS BIGINT) AS id, start, "end", text FROM ' + fixtures.values([(i, a, a + len(u), u) for i, a, u in _at], 'id, start, "end", text')
 ORACLES["domains_normalized"] = r"SELECT page_id, regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?(?:www\.)?([^/:?#]+)', 1) AS domain FROM pages"
 ORACLES["chunk_merge"] = f"""WITH {candidates()} SELECT doc_id, start, start + CAST(strlen(m) AS INT) AS "end", entity_type, m AS text FROM cand WHERE entity_type IN ('EMAIL', 'IP_ADDRESS')"""
-ORACLES["model_labels"] = "SELECT * FROM (VALUES (0, 'PERSON'), (1, 'LOCATION'), (2, 'PERSON'), (3, 'ORGANIZATION'), (4, 'PHONE'), (5, NULL), (6, NULL)) AS v(id, entity_type)"
+ORACLES["model_labels"] = "SELECT * FROM (VALUES (0, 'PERSON'), (1, 'LOCATION'), (2, 'PERSON'), (3, 'ORGANIZATION'), (4, NULL), (5, NULL), (6, NULL)) AS v(id, entity_type)"
 ORACLES["code_tags"] = "SELECT i = 0 AS in_code, CASE i WHEN 0 THEN '10.1.2.3' ELSE '10.9.8.7' END AS text, count(*) AS n FROM conversations, generate_series(0, 1) g(i) GROUP BY ALL"
 ORACLES["stream_debounce"] = """WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
@@ -294,3 +294,5 @@ ORACLES["examples_from_raw"] = f"""SELECT 'docs-' || lang || '-' || doc_id AS id
 FROM (SELECT *, regexp_extract(text, '^[^\\s]+') AS w FROM documents WHERE lang IN ('en', 'de')) WHERE w <> ''"""
 ORACLES["auto_approved"] = with_spans("SELECT doc_id, start, score FROM spans WHERE score >= 0.8")
 ORACLES["used_mappings"] = f"WITH {CHATS} SELECT '[PERSON_' || i || ']' AS token, 'p' || i AS original, count(*) AS n FROM chats, generate_series(1, 9) g(i) WHERE contains(text, 'PERSON_' || i) GROUP BY i"
+ORACLES["gazetteer"] = "SELECT id, strlen(substr(t, 1, instr(t, w) - 1))::INT AS start, k AS entity_type, w AS text FROM (SELECT id::BIGINT AS id, concat_ws(' ', text, 'by Anna Müller, Berlin') AS t FROM " + FIXTURE + "), (VALUES ('Anna Müller', 'PERSON'), ('Berlin', 'LOCATION')) AS g(w, k)"
+ORACLES["code_alias"] = "SELECT * FROM (VALUES (1, 'var1'), (2, '_field2'), (3, 'Field3'), (4, 'CONST_4'), (5, 'func_5'), (6, 'Class6'), (7, 'param7')) AS v(id, alias)"

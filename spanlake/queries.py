@@ -496,13 +496,13 @@ def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fixtures.texts(spark).select("id", F.concat_ws(" ", "text", F.lit("by Anna Kovacs, Berlin")).alias("text"))
+    t = fixtures.texts(spark).select("id", F.concat_ws(" ", "text", F.lit("by Anna Müller, Berlin")).alias("text"))
     return t.select("id", F.explode(models.gazetteer(F.col("text"))).alias("s")).select("id", "s.start", "s.entity_type", "s.text")
 
 
 @query
 def model_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(i, x) for i, x in enumerate(["B-PER", "I-LOC", "GIVENNAME", "S-ORG", "TELEPHONENUM", "odd", "O"])]
+    rows = [(i, x) for i, x in enumerate(["B-PER", "I-LOC", "givenName", "[ORG]", "TELEPHONENUM", "odd", "O"])]
     return spark.createDataFrame(rows, "id int, raw string").select("id", models.model_label(F.col("raw")).alias("entity_type"))
 
 
@@ -698,3 +698,9 @@ def used_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.map_from_arrays(F.array(*(F.lit(f"[PERSON_{i}]") for i in range(1, 10))), F.array(*(F.lit(f"p{i}") for i in range(1, 10))))
     got = _chats(spark, sf_dir).select("conv_id", "turn", F.explode(restore.used_mappings(F.col("text"), tokens)).alias("token", "original"))
     return got.groupBy("token", "original").agg(F.count("*").alias("n"))
+
+
+@query
+def code_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, "alma", "variable"), (2, "_etags", "property"), (3, "ClientName", "property"), (4, "MAX_SIZE", "constant"), (5, "load_user", "function"), (6, "acme", "class"), (7, "x1", "parameter")]
+    return spark.createDataFrame(rows, "id int, name string, role string").select("id", code.alias(F.col("role"), F.col("name"), F.col("id")).alias("alias"))

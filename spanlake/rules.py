@@ -126,3 +126,83 @@ SITE_PAGES = (
 SENSITIVE_KEYS = "key sig sid code user username uid userid user_id account phone pwd pass ssn otp state".split()
 SENSITIVE_KEY_PARTS = "token secret signature password passwd session auth apikey api_key credential email".split()
 SHARED_HOMES = ["shared", "public", "default", "guest", "user", "username", "all users", "default user"]
+
+#: Synthetic values, by type; cycled.
+POOLS = {
+    "PERSON": [
+        "Jordan Park", "Casey Morrow", "Avery Quinn", "Riley Bennett", "Morgan Sato", "Sage Carrillo", "Quinn Holloway", "Reese Aldana", "Hayden Pereira", "Devon Tatsumi", "Emery Coleman", "Skyler Bishop",
+        "Rowan Esposito", "Cameron Liu", "Drew Whitfield", "Logan Marquez", "Phoenix Andrade", "Tatum Okafor", "Noor Aldridge", "Aspen Fontaine", "Indigo Ramos", "Wren Sutherland", "Ellis Vargas", "Frankie Bowen",
+    ],
+    "LOCATION": [
+        "Springwood", "Bridgewater", "Northvale", "Cedar Hollow", "Westmoor", "Stonebrook", "Fairhaven", "Riverbend", "Hillcrest", "Oakridge", "Pinewell", "Brookline Park", "Lakeshore", "Foxglen", "Maple Heights", "Silverpoint",
+    ],
+    "ORGANIZATION": [
+        "Quantum Ridge Industries", "Atlas Group", "Midwest Holdings", "Northstar Solutions", "Cobalt Logistics", "Vertex Manufacturing", "Greenline Partners", "Harborwave Capital",
+        "Ironcrest Software", "Silverthorn Media", "Pinepoint Research", "Brightwater Systems", "Cedarpath Consulting", "Lumiscope Labs", "Foxhaven Enterprises", "Riftgate Holdings",
+    ],
+    "ADDRESS": [
+        "742 Evergreen Ln", "1521 Maple Ave", "38 Foxglove Rd", "904 Cedar Hollow Dr", "227 Westmoor Ct", "610 Hawthorn St", "1843 Brookline Way", "76 Pineapple Ridge", "350 Aurora Pkwy", "1109 Linden Cir", "85 Birchcrest Ter", "6204 Silverpoint Ave",
+    ],
+    "USERNAME": ["parkour_jordan", "casey_dev", "avery_2025", "riley_writes", "morgan_codes", "sage_says", "quinn_q", "reese_reader", "hayden_makes", "devon_dev"],
+    "MISC": ["Project Bluebird", "Initiative Echo", "Item Falcon", "Reference Spruce", "Codename Lantern", "Token Mariner"],
+    "PHONE": ["+1 (555) 010-0123", "+1 (555) 010-0145", "+1 (555) 010-0167", "+1 (555) 010-0189", "+1 (555) 010-0211", "+1 (555) 010-0233"],
+    "CREDIT_CARD": ["4111 1111 1111 1111", "5555 5555 5555 4444", "3782 822463 10005", "6011 1111 1111 1117"],
+    "SSN": ["900-92-0001", "900-92-0042", "900-92-0117", "900-92-0234", "900-92-0367"],
+    "IBAN": ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606"],
+    "IP_ADDRESS": ["192.0.2.10", "192.0.2.42", "198.51.100.7", "198.51.100.55", "203.0.113.21", "203.0.113.99"],
+    "BANK_ACCOUNT": ["9999 0001 2345 6701", "9999 0001 9876 5432", "9999 0002 1357 9024"],
+}
+EMAIL_DOMAINS = ["example.com", "example.org", "example.net"]
+
+#: Entities that stand in for a model's: text, type, score.
+GAZETTEER = (
+    ("Ada Lovelace", "PERSON", 0.92), ("David Smith", "PERSON", 0.92), ("Anna Müller", "PERSON", 0.92), ("Acme Corp", "ORGANIZATION", 0.90), ("Beispiel GmbH", "ORGANIZATION", 0.90), ("Berlin", "LOCATION", 0.88),
+    ("München", "LOCATION", 0.88), ("42 Cedar St", "ADDRESS", 0.91), ("https://portal.example/private", "URL", 0.94), ("alice_admin", "USERNAME", 0.89), ("correct-horse", "PASSWORD", 0.87), ("1234567890", "BANK_ACCOUNT", 0.86),
+)
+
+#: Labels of three kinds of models: type -> labels, as normalized.
+MODEL_LABELS = {
+    "general": {
+        "PERSON": "PER PERSON NAME FULL_NAME FIRSTNAME FIRST_NAME GIVEN_NAME LASTNAME LAST_NAME FAMILY_NAME MIDDLENAME MIDDLE_NAME",
+        "ORGANIZATION": "ORG ORGANIZATION ORGANISATION COMPANY COMPANY_NAME COMPANYNAME BUSINESS",
+        "LOCATION": "LOC LOCATION GPE CITY COUNTRY STATE COUNTY REGION",
+        "ADDRESS": "ADDRESS STREET STREET_ADDRESS STREETADDRESS POSTAL_ADDRESS POSTCODE POSTAL_CODE ZIP ZIPCODE ZIP_CODE",
+        "URL": "URL URI WEBSITE WEB_URL",
+        "USERNAME": "USERNAME USER_NAME HANDLE LOGIN",
+        "PASSWORD": "PASSWORD PASSWD PASSCODE PIN",
+        "BANK_ACCOUNT": "BANK_ACCOUNT BANKACCOUNT ACCOUNT_NUMBER ACCOUNTNUMBER BANK_ACCOUNT_NUMBER",
+        "EMAIL": "EMAIL EMAIL_ADDRESS MAIL",
+        "PHONE": "PHONE PHONE_NUMBER PHONENUMBER TELEPHONE MOBILE",
+        "CREDIT_CARD": "CREDIT_CARD CREDITCARD CREDIT_CARD_NUMBER CREDITCARDNUMBER",
+        "SSN": "SSN SOCIAL_SECURITY_NUMBER SOCIALSECURITYNUMBER",
+        "IBAN": "IBAN IBAN_CODE",
+        "IP_ADDRESS": "IP IP_ADDRESS IPV4 IPV6",
+        "DATE": "DATE DOB DATE_OF_BIRTH BIRTHDATE",
+        "MISC": "MISC PASSPORT PASSPORT_NUMBER DRIVER_LICENSE DRIVERS_LICENSE NATIONAL_ID ID_CARD",
+    },
+    "sensitive": {
+        "USERNAME": "ACCOUNT_IDENTIFIER CONTACT_HANDLE",
+        "PASSWORD": "AUTH_SECRET",
+        "BANK_ACCOUNT": "BANK_ACCOUNT_IDENTIFIER",
+        "MISC": (
+            "BIOMETRIC_DATA CRIMINAL_OFFENCE_DATA DEVICE_IDENTIFIER DOCUMENT_IDENTIFIER DOCUMENT_REFERENCE ETHNIC_ORIGIN FINANCIAL_AMOUNT HEALTH_DATA PERSON_ATTRIBUTE PERSON_IDENTIFIER PERSON_ROLE_OR_TITLE "
+            "POLITICAL_OPINION PROPER_NAME RELIGION_OR_BELIEF SEXUAL_ORIENTATION TRADE_UNION_MEMBERSHIP VEHICLE_IDENTIFIER"
+        ),
+        "DATE": "DATE_OF_BIRTH",
+        "EMAIL": "EMAIL_ADDRESS",
+        "LOCATION": "GEO_LOCATION LOCATION",
+        "URL": "IDENTIFYING_LINK",
+        "IP_ADDRESS": "IP_ADDRESS",
+        "ORGANIZATION": "ORGANIZATION_IDENTIFIER ORGANIZATION_NAME",
+        "CREDIT_CARD": "PAYMENT_CARD PAYMENT_CARD_SECURITY",
+        "PERSON": "PERSON_ALIAS PERSON_NAME",
+        "PHONE": "PHONE_NUMBER",
+        "ADDRESS": "POSTAL_ADDRESS",
+    },
+    "compact": {
+        "PERSON": "GIVENNAME SURNAME", "DATE": "DATEOFBIRTH", "USERNAME": "USERNAME", "PASSWORD": "PASSWORD", "EMAIL": "EMAIL", "PHONE": "TELEPHONENUM", "ADDRESS": "STREET BUILDINGNUM ZIPCODE", "LOCATION": "CITY",
+        "CREDIT_CARD": "CREDITCARDNUMBER", "BANK_ACCOUNT": "ACCOUNTNUM", "SSN": "SOCIALNUM", "MISC": "TAXNUM DRIVERLICENSENUM IDCARDNUM",
+    },
+}
+#: Least scores of a model's spans before they are passed on; where a kind differs from MODEL_MINIMUM.
+MODEL_GATE = {"general": {"MISC": 0.90}, "sensitive": {"MISC": 0.70}, "compact": {"MISC": 0.90}}

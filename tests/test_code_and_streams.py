@@ -58,7 +58,7 @@ def test_rename_is_consistent():
         back = back.replace(new, old)
     assert back == value
     assert rename.renamed("no code here") == ("no code here", {})
-    assert rename.alias("MAX_SIZE", "constant", 4) == "CONST_4" and rename.alias("Invoice", "class", 1) == "Class1"
+    assert rename.alias("MAX_SIZE", "constant", 4) == "CONST_4" and rename.alias("_Invoice", "class", 1) == "_Class1" and rename.alias("ClientName", "property", 3) == "Field3"
 
 
 def test_synthetic_links():
