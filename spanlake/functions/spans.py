@@ -69,16 +69,27 @@ def scan(text: Column, pattern: str, entity_type: str, score: float, order: int,
     return F.when(clean.rlike(unicode), every).otherwise(no_spans())
 
 
+#: What each pattern needs: an @, or a digit of any script. Most texts have neither.
+NEEDS = {"EMAIL": "@"}
+DIGIT = r"\p{Nd}"
+
+
 def recognized(text: Column, types: tuple[str, ...] | None = None) -> Column:
-    """Candidate spans of the pattern recognizers, in their order."""
-    found = []
+    """Candidate spans of the pattern recognizers, in their order. Patterns run only
+    over texts that have what they need."""
+    plain, numeric = [], []
     for order, (entity_type, pattern, score) in enumerate(rules.RECOGNIZERS):
         if types is None or entity_type in types:
             own = scan(text, pattern, entity_type, score, order)
             if entity_type == "PHONE":  # a date in full is no phone number
                 own = F.filter(own, lambda s: F.regexp_extract(s["text"], "(?U)" + rules.DATE, 0) != s["text"])
-            found.append(own)
-    return F.concat(*found)
+            if entity_type in NEEDS:
+                plain.append(F.when(F.contains(text, F.lit(NEEDS[entity_type])), own).otherwise(no_spans()))
+            else:
+                numeric.append(own)
+    if numeric:
+        plain.append(F.when(text.rlike(DIGIT), F.concat(*numeric)).otherwise(no_spans()))
+    return F.concat(*plain)
 
 
 def overlaps(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanlake import rules
-from spanlake.functions.spans import let, scan
+from spanlake.functions.spans import let, no_spans, scan
 
 PUNCTUATION = ".,;:!?'\"*"
 
@@ -168,7 +168,7 @@ def private_url(url: Column, public_domains: Sequence[str] = ()) -> Column:
 
 def links(text: Column, order: int = 100) -> Column:
     """Every link in the text, trimmed."""
-    found = scan(text, rules.URL, "URL", rules.URL_SCORE, order)
+    found = F.when(F.contains(text, F.lit("://")) | text.rlike(r"(?i)www\."), scan(text, rules.URL, "URL", rules.URL_SCORE, order)).otherwise(no_spans())
 
     return F.transform(F.transform(found, lambda s: s.withField("text", trimmed(s["text"]))), lambda s: s.withField("end", (s["start"] + F.octet_length(s["text"])).cast("int")))
 
