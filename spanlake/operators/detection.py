@@ -33,6 +33,8 @@ SECRETS = (
     ("HOSTNAME", r"\b[a-z][a-z0-9+.\-]*://[^\s:/@]+:[^\s/@]+@", r"[A-Za-z0-9.\-]+"),
 )
 SECRET_SCORE = 0.90
+#: For each of them, what a text must have for the pattern to be tried.
+SECRET_NEEDS = ("AKIA|ASIA", "gh[pousr]_|github_pat_", "sk-", "k_(?:live|test)_", "xox", "AIza", "eyJ", "PRIVATE KEY", "(?i)pass|pwd", "(?i)api|secret|token|access", "://", "://", "://")
 #: Values that stand for one: calls, lookups of the environment, templates, placeholders.
 NO_SECRET = r"(?i)^(?:\$\{.*\}|\{\{.*\}\}|<.*>|\$[A-Za-z_]+|%\(.*|.*\(.*\)|(?:process\.env|os\.environ|env)\b.*|x{4,}|\*{4,}|changeme.*|your[_\-].*|example.*|placeholder.*)$"
 
@@ -40,7 +42,7 @@ NO_SECRET = r"(?i)^(?:\$\{.*\}|\{\{.*\}\}|<.*>|\$[A-Za-z_]+|%\(.*|.*\(.*\)|(?:pr
 def secrets(text: Column) -> Column:
     found = []
     for i, (entity_type, before, pattern) in enumerate(SECRETS):
-        own = scan(text, pattern, entity_type, SECRET_SCORE, 20 + i, prefix=before)
+        own = F.when(text.rlike(SECRET_NEEDS[i]), scan(text, pattern, entity_type, SECRET_SCORE, 20 + i, prefix=before)).otherwise(no_spans())
         if before and entity_type != "HOSTNAME":
             own = F.filter(own, lambda s: ~s["text"].rlike(NO_SECRET))
         if before and entity_type == "SECRET":  # a token looks random: digits and letters
@@ -55,8 +57,10 @@ BOUNDARY = r"""(?<=^|file://|[\s"'`=(\[{,:;>~])"""
 
 def infrastructure(text: Column) -> Column:
     """Internal host names, and account names in home paths."""
-    hosts = scan(text, rules.INTERNAL_HOST, "HOSTNAME", rules.INTERNAL_HOST_SCORE, 60)
-    users = scan(text, rules.ACCOUNT, "USERNAME", rules.HOME_USER_SCORE, 61, prefix=BOUNDARY + rules.HOME_PATH)
+    suffixed = text.rlike(r"(?i)\.(?:internal|intranet|intra|corp|local|lan|localdomain)")
+    hosts = F.when(suffixed, scan(text, rules.INTERNAL_HOST, "HOSTNAME", rules.INTERNAL_HOST_SCORE, 60)).otherwise(no_spans())
+    homes = F.contains(text, F.lit("/home/")) | F.contains(text, F.lit("Users"))
+    users = F.when(homes, scan(text, rules.ACCOUNT, "USERNAME", rules.HOME_USER_SCORE, 61, prefix=BOUNDARY + rules.HOME_PATH)).otherwise(no_spans())
     return F.concat(hosts, F.filter(users, lambda s: ~F.lower(s["text"]).isin(*rules.SHARED_HOMES[:6])))
 
 
