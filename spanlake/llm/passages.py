@@ -4,8 +4,14 @@ Words are runs without white space, A-Z lower-cased. Seeds are SEED-word
 k-mers, thinned by winnowing: every run of SEED + SPARSE - 1 words or more
 that two texts share has a seed in both. Of a seed's occurrences, one text's
 (that of the least row hash) stands for all; every other text's occurrence is
-joined to it and to none else, so n occurrences give n - 1 links. What that
-leaves apart, a passage partly in one standing text and partly in another,
+joined to it, so n occurrences give n - 1 links. A frequent seed may stand in a
+text that shares nothing else. So an occurrence carries hashes of CONTEXTS, the
+longer windows around it, and where one differs from that of the standing
+occurrence, it is also joined to the text that stands, in the same way, for that
+seed within that window. Texts that share LENGTH + 5 words in a row so have, for
+a window of LENGTH words of them, a standing text in common, however many other
+texts hold their seeds. A link whose window is shared too needs no second link.
+What is left apart, a passage partly in one standing text and partly in another,
 the alignment brings together, as it goes on past a chain's ends.
 
 The links of a pair of texts are chained: the best sequence ascending in both,
@@ -33,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm.common import bit_map, in_map, stored
-from spanlake.llm.textvec import SPACED, U, Words, grams, slices
+from spanlake.llm.textvec import SPACED, U, Words, grams, mix, powers, slices
 
 SEED = 5
 SPARSE = 12
@@ -44,6 +50,10 @@ RESUME = 4
 MARGIN = 64
 LENGTH = 45
 SHARE = 256
+#: (first word, counted from the seed's; words). A run of LENGTH + 5 words has a seed within
+#: its first SPARSE words, and from it one of the latter two windows lies within the run.
+CONTEXTS = ((0, 16), (0, LENGTH), (-SPARSE // 2, LENGTH))
+AROUND = [f"c{i}" for i in range(len(CONTEXTS))]
 
 
 def sown(words: Words, seed: int = SEED, sparse: int = SPARSE) -> np.ndarray:
@@ -71,8 +81,23 @@ def sown(words: Words, seed: int = SEED, sparse: int = SPARSE) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
+def contexts(words: Words, at: np.ndarray, doc: np.ndarray) -> list[pa.Array]:
+    """For each of CONTEXTS the hashes of the windows at those words; null where a window leaves the text."""
+    up, down = powers(len(words) + 1)
+    total = np.zeros(len(words) + 1, U)
+    np.cumsum(words.hash * up[:-1], out=total[1:])
+    out = []
+    for first, n in CONTEXTS:
+        a = at + first
+        ok = (a >= words.first[doc]) & (a + n <= words.first[doc + 1])
+        a = np.where(ok, a, 0)
+        h = mix((total[np.where(ok, a + n, 0)] - total[a]) * down[a])
+        out.append(pa.array((h >> U(32)).astype(np.uint32).view(np.int32), mask=~ok))
+    return out
+
+
 def seeds(docs: DataFrame) -> DataFrame:
-    """row (hash of doc_id and text), pos, seed."""
+    """row (hash of doc_id and text), pos, seed, and hashes of the seed's contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,9 +106,9 @@ def seeds(docs: DataFrame) -> DataFrame:
                 w = Words(data, offs, SPACED)
                 at = sown(w)
                 doc = np.searchsorted(w.first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(rows[i + doc]), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(grams(w.hash, SEED)[at].view(np.int64))], ["row", "pos", "seed"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[i + doc]), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(grams(w.hash, SEED)[at].view(np.int64)), *contexts(w, at, doc)], ["row", "pos", "seed", *AROUND])
 
-    return with_row(docs).select("row", "text").mapInArrow(run, "row long, pos int, seed long")
+    return with_row(docs).select("row", "text").mapInArrow(run, "row long, pos int, seed long, " + ", ".join(f"{c} int" for c in AROUND))
 
 
 def with_row(docs: DataFrame) -> DataFrame:
@@ -190,23 +215,32 @@ PASSAGES = "b_row long, b_doc {0}, b_start int, b_end int, a_row long, a_doc {0}
 
 def shared_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, other_id, other_start, other_end (in words), equal (words):
-    each passage that a document shares with the one that stands for its seeds."""
+    each passage that a document shares with those that stand for its seeds and their contexts."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     sown_ = seeds(docs)
     # Written, so that the join deals both sides anew and Spark can split a frequent seed.
-    first = sown_.groupBy("seed").agg(F.min(F.struct("row", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1").select("seed", F.col("f.row").alias("a_row"), F.col("f.pos").alias("a"))
+    first = sown_.groupBy("seed").agg(F.min(F.struct("row", "pos", *AROUND)).alias("f"), F.count("*").alias("n")).where("n > 1").select("seed", F.col("f.row").alias("a_row"), F.col("f.pos").alias("a"), *(F.col(f"f.{c}").alias(f"a_{c}") for c in AROUND))
     first = stored(first, "firsts")
-    links = sown_.join(first, "seed").where("row != a_row").select(F.col("row").alias("b_row"), "a_row", F.col("pos").alias("b"), "a")
+    # wide: a context is shared too; keys: the contexts that are not.
+    wide = F.coalesce(F.greatest(*(F.col(c) == F.col(f"a_{c}") for c in AROUND)), F.lit(False))
+    keys = F.array_compact(F.array(*(F.when(F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"a_{c}")), F.xxhash64(F.lit(i), "seed", c)) for i, c in enumerate(AROUND))))
+    met = sown_.join(first, "seed").select(F.col("row").alias("b_row"), "a_row", F.col("pos").alias("b"), "a", wide.alias("wide"), keys.alias("keys"))
+    met = stored(met.where((F.col("b_row") != F.col("a_row")) | (F.size("keys") > 0)), "met")
+    rest = met.select(F.explode("keys").alias("key"), "b_row", "b")
+    heads = rest.groupBy("key").agg(F.min(F.struct("b_row", "b")).alias("f"), F.count("*").alias("n")).where("n > 1").select("key", F.col("f.b_row").alias("a_row"), F.col("f.b").alias("a"))
+    within = rest.join(stored(heads, "heads"), "key").select("b_row", "a_row", "b", "a", F.lit(True).alias("wide"))
+    links = met.drop("keys").unionByName(within).where("b_row != a_row")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, points = None, []
+        now, points, strong = None, set(), set()
         rows: list[tuple] = []
         schema = pa.schema([("b_row", pa.int64()), ("a_row", pa.int64()), ("b_from", pa.int32()), ("b_to", pa.int32()), ("a_from", pa.int32()), ("a_to", pa.int32()), ("anchors", pa.binary())])
 
         def close() -> None:
-            if now is not None and len(points) >= LEAST_SEEDS:
+            if len(points) >= LEAST_SEEDS or strong:
+                found = chains(points, least=1)
                 # A run of one word over and over has many places on one side, one on the other.
-                for c in chains(points) or chains(points, least=1)[:1]:
+                for c in [c for c in found if len(c) >= LEAST_SEEDS or not strong.isdisjoint(c)] or found[:1]:
                     rows.append((*now, c[0][0], c[-1][0], c[0][1], c[-1][1], np.array(c, "<i4").tobytes()))
 
         def out() -> pa.RecordBatch:
@@ -215,11 +249,13 @@ def shared_passages(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
         for batch in batches:
-            for b_row, a_row, b, a in zip(*(batch.column(c).to_pylist() for c in ("b_row", "a_row", "b", "a"))):
+            for b_row, a_row, b, a, wide in zip(*(batch.column(c).to_pylist() for c in ("b_row", "a_row", "b", "a", "wide"))):
                 if now != (b_row, a_row):
                     close()
-                    now, points = (b_row, a_row), []
-                points.append((b, a))
+                    now, points, strong = (b_row, a_row), set(), set()
+                points.add((b, a))
+                if wide:
+                    strong.add((b, a))
             yield out()
         close()
         yield out()

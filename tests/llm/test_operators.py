@@ -304,6 +304,25 @@ def test_passages_are_found(spark):
     assert shared_passages(documents(spark, [])).count() == 0
 
 
+def test_passages_whose_seeds_are_all_elsewhere(spark):
+    from spanlake.llm.passages import shared_passages
+
+    r = random.Random(12)
+    own = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    exact, fuzzy = own(50), own(70)
+    other = fuzzy[:35] + ["changed"] + fuzzy[36:]
+    rows = [(1, own(30) + exact + own(30)), (2, own(50) + exact + own(10)), (3, own(30) + fuzzy), (4, own(20) + other + own(5))]
+    # Each 5-gram is in 20 texts more, and in a text of the pair before the passage as well.
+    for words in (exact, fuzzy, other):
+        rows += [(100 + len(rows), own(9) + words[i : i + 5] + own(9)) for i in range(len(words) - 4) for _ in range(20)]
+    rows[1] = (2, [w for i in range(0, 46, 2) for w in exact[i : i + 5] + own(3)] + rows[1][1])
+    rows = [(i, " ".join(w)) for i, w in rows]
+    got = shared_passages(documents(spark, rows, extra=False)).collect()
+    assert {frozenset((x["doc_id"], x["other_id"])) for x in got} == {frozenset((1, 2)), frozenset((3, 4))}
+    texts = dict(rows)
+    assert any(" ".join(texts[x["doc_id"]].split()[x["start"] : x["end"]]) == " ".join(exact) for x in got)
+
+
 def test_chains_equal_quadratic_search():
     from spanlake.llm.passages import GAP, SEED, chains
 
