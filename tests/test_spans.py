@@ -1,5 +1,8 @@
 """Recognizers, checks, context, merging, the pipeline and the filters after it."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +229,19 @@ def test_tokens():
 def test_tables_agree():
     assert set(rules.MODEL_MINIMUM) == set(rules.SENSITIVITY) == set(rules.ENTITY_TYPES)
     assert set(rules.GROUP_OF) == set(rules.ENTITY_TYPES) - {"IDENTIFIER"}
+
+
+def test_token_spans_cover_whole_texts_of_all_documents(spark, tmp_path):
+    from spanlake.queries import QUERIES
+
+    def long(seed):
+        r = random.Random(seed)
+        word = lambda: "".join(r.choice("abcdefgéßж") for _ in range(r.randrange(6, 9)))
+        # Capitalized words stand over 16 characters apart, so each is a span.
+        return " ".join("".join(r.choice("ABC")) + word() if i % 5 == 2 else word() for i in range(3000))
+
+    rows = [(1, long(1)), (2_000_000, long(2)), (None, long(3)), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["start"], r["end"], r["text"]) for r in QUERIES["token_spans"](spark, str(tmp_path)).collect()}
+    want = {(i, len(t[: m.start()].encode()), len(t[: m.end()].encode()), m[0]) for i, t in rows if t for m in re.finditer(r"\S+", t) if "A" <= m[0][0] <= "Z"}
+    assert got == want and len(got) == 1800
