@@ -13,7 +13,7 @@ from spanlake.code import identifiers, regions, rename, traces
 from spanlake.functions.arrow import arrow
 
 MAY_BE_CODE = r"```|<code|<pre|[;{}]|=>|\(\)|\bdef |\bimport |=\s|\w\("
-MAY_BE_TRACE = r"Traceback|\n\s+at |^\s+at |panic|goroutine|[Ee]rror|Exception|warning"
+MAY_BE_TRACE = f"(?mU){traces.HINTS}"
 REGIONS = "array<struct<start:int,end:int,language:string>>"
 SLOTS = "array<struct<start:int,end:int,name:string,kind:string,library:boolean>>"
 

@@ -63,6 +63,16 @@ CODE = [
     (8, "<pre>x = 1</pre> und größer <code>y</code>"),
     (9, "package main\nimport \"fmt\"\nfunc total(items []int) int {\n\tsum := 0\n\tfor _, price := range items {\n\t\tsum += price\n\t}\n\treturn sum\n}"),
     (10, ""),
+    (11, "./main.go:12:5: undefined: customerName"),
+    (12, "e: src/a.kt:3:5: unresolved reference 'loadInvoice'"),
+    (13, "KeyboardInterrupt"),
+    (14, "com.acme.BillingExit: customer 7"),
+    (15, "java.lang.Throwable"),
+    (16, "acme.LedgerPanic: closed"),
+    (17, "acme.SegmentFault"),
+    (18, "  --> src/ledger.rs:4:9"),
+    (19, '  File "/home/anna/app/main.py", line 3, in load_invoice'),
+    (20, "\t/home/anna/ledger.go:12 +0x1d"),
 ]
 
 

@@ -36,6 +36,17 @@ def test_traces():
         assert all(t[s.start : s.end] == s.name for s in traces.error_slots(t))
 
 
+def test_single_lines_of_error_output(spark):
+    from spanlake.queries import QUERIES
+
+    want = {
+        (11, "./main.go", "path"), (12, "src/a.kt", "path"), (12, "loadInvoice", "mention"), (13, "KeyboardInterrupt", "type"), (14, "com.acme.BillingExit", "type"), (15, "java.lang.Throwable", "type"),
+        (16, "acme.LedgerPanic", "type"), (17, "acme.SegmentFault", "type"), (18, "src/ledger.rs", "path"), (19, "/home/anna/app/main.py", "path"), (19, "load_invoice", "function"), (20, "/home/anna/ledger.go", "path"),
+    }
+    assert {(r["id"], r["name"], r["kind"]) for r in QUERIES["error_slots"](spark, "").where("id > 10").collect()} == want
+    assert traces.error_slots("console.log(total)\nledger.load(a, b)") == []
+
+
 def test_identifiers():
     assert identifiers.words("getHTTPServer_name2X") == ["get", "HTTP", "Server", "name2", "X"]
     value = "see loadAnnaInvoice and anna_total"
