@@ -7,8 +7,9 @@ that two texts share has a seed in both. Of a seed's occurrences, one text's
 joined to it, so n occurrences give n - 1 links. A frequent seed may stand in a
 text that shares nothing else. So an occurrence carries hashes of CONTEXTS, the
 longer windows around it, and where one differs from that of the standing
-occurrence, it is also joined to the text that stands, in the same way, for that
-seed within that window. Texts that share LENGTH + 5 words in a row so have, for
+occurrence and is not within a passage with the standing text, it is also joined
+to a text that stands for that seed within that window: one where the window is
+within such a passage if there is any. Texts that share LENGTH + 5 words in a row so have, for
 a window of LENGTH words of them, a standing text in common, however many other
 texts hold their seeds. A link whose window is shared too needs no second link.
 What is left apart, a passage partly in one standing text and partly in another,
@@ -19,7 +20,9 @@ worth SEED for each seed, less GAP for each word from one to the next on either
 found with a Fenwick tree of prefix maxima in n log n. Chains ask for their
 surroundings; those slices alone are fetched, as word hashes, and aligned from
 the chain outwards: runs of equal words, and where they end the cheapest
-resumption within RESYNC words. Alignments of LENGTH words or more on both
+resumption within RESYNC words. A chain whose alignment comes to the edge of a
+slice within its text asks again for slices that go FURTHER, until all alignments
+end by themselves. Alignments of LENGTH words or more on both
 sides are passages.
 
 Defined results: null and short texts have no seeds; rows alike in doc_id and
@@ -32,6 +35,7 @@ many requests are asked for in shares of SHARE.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +52,7 @@ LEAST_SEEDS = 2
 RESYNC = 24
 RESUME = 4
 MARGIN = 64
+FURTHER = 8
 LENGTH = 45
 SHARE = 256
 #: (first word, counted from the seed's; words). A run of LENGTH + 5 words has a seed within
@@ -194,9 +199,12 @@ def stretch(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int, int
     return i, j, equal
 
 
-def aligned(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]], least: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
-    """Passages (b0, b1, a0, a1, equal words) around the anchors (places in x and y)."""
-    out, done = [], (-1, -1)
+def aligned(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]], least: int = LENGTH, ends: tuple[bool, bool, bool, bool] = (True,) * 4) -> tuple[list[tuple[int, int, int, int, int]], bool]:
+    """Passages (b0, b1, a0, a1, equal words) around the anchors (places in x and y), and whether more
+    words could change them. ends: whether x begins and ends, and y begins and ends, where its text does."""
+    out, done, more = [], (-1, -1), False
+    x_first, x_last, y_first, y_last = ends
+    near = RESYNC + RESUME
     for b, a in anchors:
         if b < done[0] or a < done[1] or b >= len(x) or a >= len(y) or x[b] != y[a]:
             continue
@@ -205,31 +213,58 @@ def aligned(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]], least:
         lb, la, left = stretch(x[:b][::-1], y[:a][::-1], 0, 0)
         b0, a0 = b - lb, a - la
         done = (b1, a1)
+        if not (x_last and b1 == len(x) or y_last and a1 == len(y)):
+            more |= not x_last and b1 + near > len(x) or not y_last and a1 + near > len(y)
+        if not (x_first and not b0 or y_first and not a0):
+            more |= not x_first and b0 < near or not y_first and a0 < near
         if min(b1 - b0, a1 - a0) >= least:
             out.append((b0, b1, a0, a1, left + right))
-    return out
+    return out, more
 
 
-PASSAGES = "b_row long, b_doc {0}, b_start int, b_end int, a_row long, a_doc {0}, a_start int, a_end int, equal int"
+PASSAGES = "b_row long, b_doc {0}, b_start int, b_end int, a_row long, a_doc {0}, a_start int, a_end int, equal int, chain long, more boolean"
 
 
 def shared_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, other_id, other_start, other_end (in words), equal (words):
     each passage that a document shares with those that stand for its seeds and their contexts."""
-    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    kind = dict(docs.dtypes)["doc_id"]
     sown_ = seeds(docs)
     # Written, so that the join deals both sides anew and Spark can split a frequent seed.
     first = sown_.groupBy("seed").agg(F.min(F.struct("row", "pos", *AROUND)).alias("f"), F.count("*").alias("n")).where("n > 1").select("seed", F.col("f.row").alias("a_row"), F.col("f.pos").alias("a"), *(F.col(f"f.{c}").alias(f"a_{c}") for c in AROUND))
     first = stored(first, "firsts")
     # wide: a context is shared too; keys: the contexts that are not.
     wide = F.coalesce(F.greatest(*(F.col(c) == F.col(f"a_{c}") for c in AROUND)), F.lit(False))
-    keys = F.array_compact(F.array(*(F.when(F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"a_{c}")), F.xxhash64(F.lit(i), "seed", c)) for i, c in enumerate(AROUND))))
+    key = lambda i, at, n: F.struct(F.xxhash64(F.lit(i), "seed", AROUND[i]).alias("key"), (F.col("pos") + at).alias("from"), (F.col("pos") + at + n).alias("to"))
+    keys = F.array_compact(F.array(*(F.when(F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"a_{c}")), key(i, *CONTEXTS[i])) for i, c in enumerate(AROUND))))
     met = sown_.join(first, "seed").select(F.col("row").alias("b_row"), "a_row", F.col("pos").alias("b"), "a", wide.alias("wide"), keys.alias("keys"))
     met = stored(met.where((F.col("b_row") != F.col("a_row")) | (F.size("keys") > 0)), "met")
-    rest = met.select(F.explode("keys").alias("key"), "b_row", "b")
-    heads = rest.groupBy("key").agg(F.min(F.struct("b_row", "b")).alias("f"), F.count("*").alias("n")).where("n > 1").select("key", F.col("f.b_row").alias("a_row"), F.col("f.b").alias("a"))
-    within = rest.join(stored(heads, "heads"), "key").select("b_row", "a_row", "b", "a", F.lit(True).alias("wide"))
-    links = met.drop("keys").unionByName(within).where("b_row != a_row")
+    chained = chains_of(met.where("b_row != a_row").select("b_row", "a_row", "b", "a", "wide"))
+    got = [with_slices(docs, chained, kind)]
+    ranges = got[0].where("b_start is not null").groupBy("b_row", "a_row").agg(F.collect_list(F.struct("b_start", "b_end")).alias("ranges"))
+    rest = met.where(F.size("keys") > 0).join(ranges, ["b_row", "a_row"], "left").select(F.explode("keys").alias("k"), "b_row", "b", "ranges")
+    within = F.exists("ranges", lambda r: (r["b_start"] <= F.col("k.from")) & (r["b_end"] >= F.col("k.to")))
+    rest = stored(rest.select("k.key", "b_row", "b", (~F.coalesce(within, F.lit(False))).alias("left")), "rest")
+    heads = rest.groupBy("key").agg(F.min(F.struct("left", "b_row", "b")).alias("f"), F.count("*").alias("n"), F.max("left").alias("any")).where("n > 1 and any")
+    heads = stored(heads.select("key", F.col("f.b_row").alias("a_row"), F.col("f.b").alias("a")), "heads")
+    again = rest.where("left").join(heads, "key").where("b_row != a_row").select("b_row", "a_row", "b", "a", F.lit(True).alias("wide"))
+    later = chains_of(again)
+    while True:
+        open_ = got[-1].where("more").select("chain", "b_row", "a_row").distinct()
+        chained = chained.join(open_, ["chain", "b_row", "a_row"], "left_semi").withColumn("margin", F.col("margin") * FURTHER).select(*later.columns)
+        chained = stored(chained if len(got) > 1 else chained.unionByName(later), "further")
+        if chained.isEmpty():
+            break
+        got.append(with_slices(docs, chained, kind))
+    passages = reduce(DataFrame.unionByName, got).where("not more")
+    return passages.dropDuplicates(["b_row", "b_start", "b_end", "a_row", "a_start", "a_end"]).select(
+        F.col("b_doc").alias("doc_id"), F.col("b_start").alias("start"), F.col("b_end").alias("end"),
+        F.col("a_doc").alias("other_id"), F.col("a_start").alias("other_start"), F.col("a_end").alias("other_end"), F.col("equal").alias("equal_words"),
+    )
+
+
+def chains_of(links: DataFrame) -> DataFrame:
+    """The chains of links (b_row, a_row, b, a, wide), written."""
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, points, strong = None, set(), set()
@@ -260,11 +295,16 @@ def shared_passages(docs: DataFrame) -> DataFrame:
         close()
         yield out()
 
-    found = stored(links.repartition("b_row", "a_row").sortWithinPartitions("b_row", "a_row", "b").mapInArrow(chain, "b_row long, a_row long, b_from int, b_to int, a_from int, a_to int, anchors binary"), "chains")
+    found = links.repartition("b_row", "a_row").sortWithinPartitions("b_row", "a_row", "b").mapInArrow(chain, "b_row long, a_row long, b_from int, b_to int, a_from int, a_to int, anchors binary")
     # A chain is named by its texts and its first point, which no other chain of theirs has.
-    named = found.withColumn("chain", F.xxhash64("b_row", "a_row", "anchors"))
+    return stored(found.withColumn("chain", F.xxhash64("b_row", "a_row", "anchors")).withColumn("margin", F.lit(MARGIN)), "chains")
+
+
+def with_slices(docs: DataFrame, named: DataFrame, kind: str) -> DataFrame:
+    """PASSAGES of chains by the slices they ask for, written; more: a wider slice could change the chain's."""
+    spark = docs.sparkSession
     sides = [
-        named.select(F.col(f"{side}_row").alias("row"), "chain", F.lit(side).alias("side"), F.greatest(F.col(f"{side}_from") - MARGIN, F.lit(0)).alias("from"), (F.col(f"{side}_to") + SEED + MARGIN).alias("to"), "b_row", "a_row", (F.col("anchors") if side == "b" else F.lit(None).cast("binary")).alias("anchors"))
+        named.select(F.col(f"{side}_row").alias("row"), "chain", F.lit(side).alias("side"), F.greatest(F.col(f"{side}_from") - F.col("margin"), F.lit(0)).alias("from"), (F.col(f"{side}_to") + SEED + F.col("margin")).alias("to"), "b_row", "a_row", (F.col("anchors") if side == "b" else F.lit(None).cast("binary")).alias("anchors"))
         for side in "ba"
     ]
     wanted = sides[0].unionByName(sides[1])
@@ -289,9 +329,10 @@ def shared_passages(docs: DataFrame) -> DataFrame:
                 words = [h[x["from"] : x["to"]].tobytes() for x in asks]
                 types = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 ids = pa.array([batch.column("doc_id")[at].as_py()] * len(asks), doc_type)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), ids, pa.array(words, pa.binary())], ["chain", "side", "from", "b_row", "a_row", "anchors", "doc_id", "words"])
+                last = pa.array([x["to"] >= len(h) for x in asks])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), ids, pa.array(words, pa.binary()), last], ["chain", "side", "from", "b_row", "a_row", "anchors", "doc_id", "words", "last"])
 
-    pieces = texts.join(asked, "row").select("doc_id", "text", "asks").mapInArrow(cut, f"chain long, side string, from int, b_row long, a_row long, anchors binary, doc_id {kind}, words binary")
+    pieces = texts.join(asked, "row").select("doc_id", "text", "asks").mapInArrow(cut, f"chain long, side string, from int, b_row long, a_row long, anchors binary, doc_id {kind}, words binary, last boolean")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PASSAGES.split(", ")]
@@ -307,14 +348,14 @@ def shared_passages(docs: DataFrame) -> DataFrame:
                     raise ValueError("a chain came without its other side")
                 x, y = np.frombuffer(r["words"], np.int64), np.frombuffer(other["words"], np.int64)
                 points = np.frombuffer(r["anchors"], "<i4").reshape(-1, 2) - [r["from"], other["from"]]
-                for b0, b1, a0, a1, equal in aligned(x, y, [tuple(p) for p in points.tolist()]):
-                    out.append((r["b_row"], r["doc_id"], b0 + r["from"], b1 + r["from"], r["a_row"], other["doc_id"], a0 + other["from"], a1 + other["from"], equal))
-            cols = list(zip(*out)) or [[]] * 9
-            types = (pa.int64(), doc_type, pa.int32(), pa.int32(), pa.int64(), doc_type, pa.int32(), pa.int32(), pa.int32())
+                own, more = aligned(x, y, [tuple(p) for p in points.tolist()], ends=(not r["from"], r["last"], not other["from"], other["last"]))
+                for b0, b1, a0, a1, equal in own:
+                    out.append((r["b_row"], r["doc_id"], b0 + r["from"], b1 + r["from"], r["a_row"], other["doc_id"], a0 + other["from"], a1 + other["from"], equal, r["chain"], more))
+                if more and not own:
+                    out.append((r["b_row"], r["doc_id"], None, None, r["a_row"], other["doc_id"], None, None, None, r["chain"], more))
+            cols = list(zip(*out)) or [[]] * 11
+            types = (pa.int64(), doc_type, pa.int32(), pa.int32(), pa.int64(), doc_type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     passages = pieces.repartition("chain").sortWithinPartitions("chain", "b_row", "a_row", "side").mapInArrow(align, PASSAGES.format(kind))
-    return passages.dropDuplicates(["b_row", "b_start", "b_end", "a_row", "a_start", "a_end"]).select(
-        F.col("b_doc").alias("doc_id"), F.col("b_start").alias("start"), F.col("b_end").alias("end"),
-        F.col("a_doc").alias("other_id"), F.col("a_start").alias("other_start"), F.col("a_end").alias("other_end"), F.col("equal").alias("equal_words"),
-    )
+    return stored(passages, "passages")

@@ -323,6 +323,22 @@ def test_passages_whose_seeds_are_all_elsewhere(spark):
     assert any(" ".join(texts[x["doc_id"]].split()[x["start"] : x["end"]]) == " ".join(exact) for x in got)
 
 
+def test_passages_go_on_past_the_slices_first_asked_for(spark):
+    from spanlake.llm.passages import shared_passages
+
+    r = random.Random(13)
+    own = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    head, tail = own(60), own(900)
+    changed = [w if i % 9 else f"x{i}" for i, w in enumerate(tail)]
+    rows = [(1, own(200) + head + tail + own(200)), (2, own(300) + head + changed + own(200)), (3, own(200) + tail[::-1] + head[::-1] + own(30)), (4, own(100) + changed[::-1] + head[::-1] + own(200))]
+    # Beyond the head no run is long enough for a context, and all seeds stand in other texts.
+    for words in (tail, tail[::-1]):
+        rows += [(100 + len(rows), own(9) + words[i : i + 5] + own(9)) for i in range(len(words) - 4) for _ in range(3)]
+    got = shared_passages(documents(spark, [(i, " ".join(w)) for i, w in rows], extra=False)).collect()
+    for pair in ({1, 2}, {3, 4}):
+        assert max(x["end"] - x["start"] for x in got if {x["doc_id"], x["other_id"]} == pair) >= 950
+
+
 def test_chains_equal_quadratic_search():
     from spanlake.llm.passages import GAP, SEED, chains
 
