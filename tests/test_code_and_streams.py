@@ -47,6 +47,15 @@ def test_single_lines_of_error_output(spark):
     assert traces.error_slots("console.log(total)\nledger.load(a, b)") == []
 
 
+def test_gate_lets_code_through(spark):
+    from spanlake.code import columns
+
+    values = ["const total=1\nlet rest=2", "  $(total)", "a=1\nb=2", "x->y\na::b", "  const a\n  let b ", "if a&&b", "<CODE>x</CODE>", *(t for _, t in fixtures.CODE)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(values)], "i int, t string")
+    got = {r["i"]: [(x["start"], x["end"]) for x in r["r"]] for r in df.select("i", columns.code_regions(F.col("t")).alias("r")).collect()}
+    assert all(bool(got[i]) == bool(regions.all_code(t)) for i, t in enumerate(values)) and all(got[i] for i in range(7))
+
+
 def test_identifiers():
     assert identifiers.words("getHTTPServer_name2X") == ["get", "HTTP", "Server", "name2", "X"]
     value = "see loadAnnaInvoice and anna_total"
