@@ -1,7 +1,7 @@
 """Line dedup over overlapping windows of three lines.
 
 Lines end at a line feed and are compared as they are. A window is SIZE
-consecutive lines, not all of them blank, known by a 128-bit digest. Of the
+consecutive lines, not all of them blank (BLANK, or empty), known by a 128-bit digest. Of the
 windows with one digest, over all documents, the first by (doc_id, text hash,
 position) stays; the lines that any later one covers are removed.
 
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE = 3
+#: What a blank line may hold; other white space, as U+00A0, is content.
+BLANK = " \t\r\f"
 
 
 def line_windows(text: str | None, size: int = SIZE) -> list[bytes | None]:
@@ -33,8 +35,9 @@ def line_windows(text: str | None, size: int = SIZE) -> list[bytes | None]:
     lines = text.split("\n")
     if len(lines) < size:
         return []
-    own = [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() if x and not x.isspace() else b"" for x in lines]
-    return [hashlib.blake2b(b"\n".join(own[i : i + size]), digest_size=16).digest() if any(own[i : i + size]) else None for i in range(len(lines) - size + 1)]
+    own = [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in lines]
+    full = [bool(x.strip(BLANK)) for x in lines]
+    return [hashlib.blake2b(b"".join(own[i : i + size]), digest_size=16).digest() if any(full[i : i + size]) else None for i in range(len(lines) - size + 1)]
 
 
 def occurrences(docs: DataFrame, size: int = SIZE) -> DataFrame:

@@ -1,13 +1,15 @@
 """Vectorised work on the UTF-8 bytes of Arrow string columns.
 
 Words and lines are found and hashed for many documents at once with numpy;
-no Python string is made for them. Hashes are polynomial modulo 2**64 over
-prefix sums, finished with a mixing step. They propose; where equality
-matters, callers compare a 128-bit digest or the full sets.
+no Python string is made for them. Words are hashed by blocks of eight bytes with
+a mixing step after each, runs of words by a polynomial of such hashes, so equal
+hashes of unlike runs are chance (2**-64). Where equality must be certain,
+callers compare bytes (unlike()) or digests.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,8 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SLICE_BYTES = 1 << 18
+#: Bytes of the longest span that is hashed by blocks.
+LONG = 256
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -120,14 +124,51 @@ class Words:
         return b" ".join(self.bytes[a:b].tobytes() for a, b in zip(self.start[i:j], self.end[i:j]))
 
 
+def blocks_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on, as uint64; zeros follow its end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+
+
+#: The first n bytes of a block.
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+
+
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """uint64 hashes of data[start:end] for many spans."""
+    """uint64 hashes of data[start:end] for many spans, mixed block by block, so no
+    sum of blocks can cancel out. Spans of up to eight bytes without a zero byte
+    have a hash each; those over LONG are hashed by blake2b."""
     if not len(start):
         return np.zeros(0, U)
-    up, down = powers(len(data))
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up, out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+    length = end - start
+    block = blocks_at(data)
+    h = mix((block[start] & _HEAD[np.minimum(length, 8)]) ^ BASE)
+    more = np.flatnonzero(length > 8)
+    for at in range(8, LONG, 8):
+        more = more[length[more] > at]
+        if not len(more):
+            break
+        h[more] = mix(h[more] * BASE + mix(block[start[more] + at] & _HEAD[np.minimum(length[more] - at, 8)]) + U(at))
+    for i in more[length[more] > LONG].tolist() if len(more) else ():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def unlike(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which spans differ in their bytes from the span whose number other gives."""
+    length = end - start
+    out = length != length[other]
+    block = blocks_at(data)
+    live = np.flatnonzero(~out & (np.arange(len(start)) != other))
+    at = 0
+    while len(live):
+        head = _HEAD[np.minimum(length[live] - at, 8)]
+        bad = (block[start[live] + at] ^ block[start[other[live]] + at]) & head != 0
+        out[live[bad]] = True
+        at += 8
+        live = live[~bad & (length[live] > at)]
+    return out
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.textvec import Words, slices
+from spanlake.llm.textvec import Words, slices, unlike
 
 CACHE = 500_000
 
@@ -118,6 +118,9 @@ def token_counts(docs: DataFrame, vocab: str) -> DataFrame:
             for _, _, data, offs in slices(batch.column("text")):
                 w = Words(data, offs, RAW)
                 _, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
+                odd = np.flatnonzero(unlike(w.bytes, w.start, w.end, at[back]))  # an equal hash by chance
+                back[odd] = len(at) + np.arange(len(odd))
+                at = np.concatenate([at, odd])
                 if len(known) > CACHE:
                     known.clear()
                 raw, counts = w.bytes.tobytes(), np.zeros(len(at), np.int64)
