@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 #: rows could take a large part of a Python worker's memory.
 BATCH_ROWS = 500
 
-#: log2 of the bits in a prefilter map; its size is fixed, whatever the input.
-MAP_BITS = 22
+#: log2 of the least and most bits in a prefilter map. A map has 16 bits or more for each
+#: key until it has the most; then it lets more through to the exact join after it.
+MAP_BITS = (16, 26)
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -28,19 +29,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where that is
-    unset (a single machine, as in tests), a temporary one that is then set."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset on a
+    single machine, as in tests, a temporary one is set; on a cluster it must be set."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base is None:
         base = spark.sparkContext.getCheckpointDir()
         if base is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="spanlake-")
             spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -52,12 +60,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bit_map(df: DataFrame, key: str, bits: int = MAP_BITS) -> np.ndarray:
+def mark() -> int:
+    """A point in the list of scratch folders, for dropped()."""
+    return len(_made)
+
+
+def dropped(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Delete the scratch folders made since a mark, but for those that keep reads. An
+    operator drops what its result doesn't read; when the result is written, its
+    caller may drop the rest."""
+    needed = keep.inputFiles() if keep is not None else []
+    for path in _made[since:]:
+        if any(path.rsplit("/", 1)[1] in f for f in needed):
+            continue
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _made.remove(path)
+
+
+def bit_map(df: DataFrame, key: str) -> np.ndarray:
     """A one-hash Bloom map of an int64 column: bit (key >> (64 - bits)).
 
-    At most 2**bits / 64 rows reach the driver. A fuller map only lets more
-    rows through to the exact join that follows it.
+    At most 2**26 / 64 rows, a million, reach the driver.
     """
+    least, most = MAP_BITS
+    bits = min(max(df.count() * 16, 1).bit_length(), most)
+    bits = max(bits, least)
     slot = F.shiftrightunsigned(F.col(key), 64 - bits)
     words = (
         df.where(F.col(key).isNotNull())
@@ -71,7 +99,7 @@ def bit_map(df: DataFrame, key: str, bits: int = MAP_BITS) -> np.ndarray:
     return packed
 
 
-def in_map(packed: np.ndarray, keys: np.ndarray, bits: int = MAP_BITS) -> np.ndarray:
+def in_map(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each uint64 key may be in the map."""
-    slot = keys >> np.uint64(64 - bits)
+    slot = keys >> np.uint64(64 - (len(packed).bit_length() - 1 + 6))
     return (packed[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0

@@ -23,11 +23,11 @@ the cut. Memory is bounded by a slice of texts or the longest text.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,37 +165,50 @@ def edited(text: str, following: str) -> str:
 
 
 RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-LEAST = -(1 << 63)
+#: Bytes of text that a range of documents is meant to hold, and the most ranges.
+RANGE_BYTES = 32 << 20
+RANGES = 1 << 16
+#: Ids sampled for each range to set the bounds; they don't bear on the result.
+SAMPLED = 20
+#: Ids that Spark and Python put in the same order.
+ID_TYPES = ("tinyint", "smallint", "int", "bigint", "string", "binary", "date", "boolean")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """doc_id, text, lead by descending doc_id, in as many sorted ranges as there are
-    shuffle partitions; lead marks the first row of the following range (or, after
-    the last, of the first), put behind a range's own rows.
+    """doc_id, text, hash, range, lead: ranges of descending (doc_id, text hash), each sorted;
+    lead marks the first row of the following range (or, after the last, of the first), put
+    behind a range's own rows.
 
-    The bounds are approximate quantiles, and a range's first row is known by id and
-    hash, so the driver holds two numbers for each range.
+    Ranges are as many as the texts' bytes ask for, between the number of shuffle partitions
+    and RANGES. The driver holds SAMPLED ids and hashes for each of them.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("place", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))).withColumn("hash", F.xxhash64("text"))
-    cuts = rows.agg(F.percentile_approx("place", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("q")).first()["q"]
-    bounds = sorted(set(cuts or []))
-    sent = spark.sparkContext.broadcast(np.array(bounds, np.int64))
-
-    @F.pandas_udf("int")
-    def range_of(place: pd.Series) -> pd.Series:
-        return pd.Series(len(sent.value) - np.searchsorted(sent.value, place.to_numpy(), "left"))
-
-    keyed = rows.withColumn("range", range_of("place"))
-    heads = keyed.groupBy("range").agg(F.max(F.struct("place", "hash")).alias("head")).select("range", "head.place", "head.hash").collect()
+    kind = dict(docs.dtypes)["doc_id"]
+    if kind not in ID_TYPES and not kind.startswith("decimal"):
+        raise TypeError(f"doc_id of type {kind} has no order that is supported; cast it to one of {', '.join(ID_TYPES)}")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    count, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // RANGE_BYTES + 1), RANGES)
+    rank = lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1])
+    some = rows.select("doc_id", "hash").sample(min(1.0, SAMPLED * parts / max(count, 1)), 7).collect()
+    some = sorted(rank(r) for r in some)
+    bounds = sorted({some[len(some) * i // parts] for i in range(1, parts)}) if some else []
+    sent = spark.sparkContext.broadcast(bounds)
+
+    @F.arrow_udf("int")
+    def range_of(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        cuts = sent.value
+        return pa.array([len(cuts) - bisect.bisect_left(cuts, rank(r)) for r in zip(ids.to_pylist(), hashes.to_pylist())], pa.int32())
+
+    keyed = rows.withColumn("range", range_of("doc_id", "hash"))
+    heads = keyed.groupBy("range").agg(F.max(F.struct("doc_id", "hash")).alias("head")).select("range", "head.doc_id", "head.hash").collect()
     order = sorted(heads, key=lambda r: r["range"])
-    firsts = [(r["place"], r["hash"], order[i - 1]["range"]) for i, r in enumerate(order)]
-    head = spark.createDataFrame(firsts, "place long, hash long, before int")
-    # A row for each range: as many as there are shuffle partitions.
-    marked = keyed.join(F.broadcast(head), ["place", "hash"], "left")
-    spread = marked.select("doc_id", "text", "place", "hash", F.explode(F.array_compact(F.array(F.struct(F.col("range"), F.lit(False).alias("lead")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("range"), F.lit(True).alias("lead")))))).alias("to"))
-    return spread.select("doc_id", "text", "place", "hash", "to.range", "to.lead").repartition(parts, "range").sortWithinPartitions("range", "lead", F.desc("place"), F.desc("hash"))
+    firsts = [(r["doc_id"], r["hash"], order[i - 1]["range"]) for i, r in enumerate(order)]
+    head = spark.createDataFrame(firsts, f"head_id {kind}, head_hash long, before int")
+    # A row for each range, RANGES at most.
+    marked = keyed.join(F.broadcast(head), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("hash") == F.col("head_hash")), "left")
+    spread = marked.select("doc_id", "text", "hash", F.explode(F.array_compact(F.array(F.struct(F.col("range"), F.lit(False).alias("lead")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("range"), F.lit(True).alias("lead")))))).alias("to"))
+    return spread.select("doc_id", "text", "hash", "to.range", "to.lead").repartition(parts, "range").sortWithinPartitions("range", "lead", F.desc("doc_id"), F.desc("hash"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -203,7 +216,9 @@ def digests(docs: DataFrame) -> DataFrame:
 
     The next document is that of the next smaller doc_id, after the last the first;
     rows of one doc_id follow each other by a hash of their text; those without
-    doc_id come last. Null texts are empty. Texts are shuffled once.
+    doc_id come last. Null texts are empty. Ids may be of ID_TYPES or decimals, others are
+    refused by a TypeError. Texts are shuffled once. Rows alike in doc_id and text share a
+    range, which is read as a stream.
     """
     kind = dict(docs.dtypes)["doc_id"]
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import bit_map, in_map, stored
+from spanlake.llm.common import bit_map, dropped, in_map, mark, stored
 from spanlake.llm.graph import components
 from spanlake.llm.textvec import SPACED, U, Words, grams, mix, slices
 
@@ -131,6 +131,11 @@ def _batch(cols: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
+def set_id(values: np.ndarray) -> bytes | None:
+    """A 128-bit digest of a sorted set; null if it is empty."""
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
+
+
 def sketched(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, key, n, sid (digest of the set; null if empty), sketch of each row."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -143,7 +148,7 @@ def sketched(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 regs = registers(values, bounds)
                 for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                     n.append(b - a)
-                    sid.append(hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None)
+                    sid.append(set_id(values[a:b]))
                     sketch.append(regs[i].tobytes() if b > a else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "key", "n", "sid", "sketch"])
 
@@ -248,9 +253,9 @@ def across(buckets: DataFrame, percent: int = PERCENT, block: int = 1024) -> Dat
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE, low: bool = False) -> DataFrame:
-    """sid, values (the set's sorted hashes; low: the upper half of the LOW least ones) of
-    wanted (key, sid): the rows whose key is in a map of fixed size are hashed again; the
-    join drops what the map let through."""
+    """sid, values (the set's sorted hashes; low: the upper half of the LOW least ones), once
+    for each of wanted (key, sid): the rows whose key is in a map are hashed again; the join
+    on the row's key and the set's digest drops what the map let through."""
     spark = docs.sparkSession
     packed = spark.sparkContext.broadcast(bit_map(wanted, "key"))
 
@@ -259,22 +264,23 @@ def class_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE, low:
         for batch in batches:
             keep = in_map(bits, batch.column("key").to_numpy().view(U))
             batch = batch.filter(pa.array(keep))
-            sets = []
+            sids, sets = [], []
             for _, _, data, offs in slices(batch.column("text")):
                 values, bounds = document_sets(data, offs, shingle)
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    sids.append(set_id(values[a:b]))
                     sets.append((values[a : min(a + LOW, b)] >> U(32)).astype(np.uint32).tobytes() if low else values[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.binary())], ["key", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sids, pa.binary()), pa.array(sets, pa.binary())], ["key", "sid", "values"])
 
-    found = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, values binary")
-    return found.join(wanted.select("key", "sid"), "key").select("sid", "values")
+    found = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, sid binary, values binary")
+    return found.join(wanted.select("key", "sid"), ["key", "sid"]).groupBy("key", "sid").agg(F.first("values").alias("values")).select("sid", "values")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) with 100 * |both| >= percent * |either| on full sets."""
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    sets = stored(class_sets(docs, classes.join(ids, "sid", "left_semi"), shingle), "sets")
+    sets = stored(class_sets(docs, stored(classes.join(ids, "sid", "left_semi"), "wanted"), shingle), "sets")
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("shares"))
     salted = pairs.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
     others = salted.join(sets.withColumnRenamed("sid", "b"), "b").select("a", "share", "b", "values")
@@ -304,6 +310,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, key, n_shingles, component_id, kept, n_links (of the row's class to others that
     were confirmed; links within a component that it needed no more aren't sought)."""
+    begun = mark()
     min_set = next(n for n in range(1, 102) if 100 * n >= percent * (n + 1))
     rows = stored(sketched(docs, shingle), "sketches")
     classes = stored(
@@ -323,8 +330,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     placed = shared.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
     open_ = stored(placed.join(split, "bucket", "left_semi").select("bucket", "band", "sid", "root"), "open")
-    known = classes.join(open_.select("sid").distinct(), "sid", "left_semi")
-    low = class_sets(docs, known, shingle, low=True).groupBy("sid").agg(F.first("values").alias("low"))
+    known = stored(classes.join(open_.select("sid").distinct(), "sid", "left_semi"), "known")
+    low = class_sets(docs, known, shingle, low=True).withColumnRenamed("values", "low")
     open_ = open_.join(known.select("sid", "n", "sketch"), "sid").join(low, "sid")
     more = stored(confirmed(across(open_, percent), docs, classes, percent, shingle), "links")
 
@@ -336,11 +343,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     named = named.join(ends, "sid", "left")
     out = rows.drop("sketch").join(named, "sid", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    dropped(docs.sparkSession, begun, out)
+    return out
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """docs without the rows that near_duplicates() doesn't keep. Rows alike in doc_id and
     text are one document stated twice, and stay or go together."""
-    gone = near_duplicates(docs, percent, shingle).where("NOT kept").select(F.col("key").alias("gone")).distinct()
-    return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["gone"], "left_anti")
+    gone = near_duplicates(docs, percent, shingle).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone")).distinct()
+    return docs.join(gone, (F.xxhash64(docs["doc_id"], docs["text"]) == gone["gone"]) & docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")

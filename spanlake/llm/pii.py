@@ -35,6 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 # The patterns that the base spans are defined by.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: IP from the beginnings of runs of digits only: its matches begin nowhere else.
+IP_RUN = re.compile(r"(?<![0-9])" + IP.pattern)
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -76,9 +78,15 @@ def email_spans(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def octet(digits: str) -> bool:
+    """Whether ASCII digits, with any zeros before them, are at most 255."""
+    bare = digits.lstrip("0")
+    return len(bare) < 3 or len(bare) == 3 and bare <= "255"
+
+
 def base_spans(text: str) -> list[Span]:
     found: list[Span] = [(a, b, "email") for a, b in email_spans(text)]
-    found += [(*m.span(), "ip") for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(*m.span(), "ip") for m in IP_RUN.finditer(text) if all(map(octet, m[0].split(".")))]
     for m in CARD.finditer(text):
         d = _digits(m[0])
         if 14 <= len(d) <= 19 and luhn(d):

@@ -394,6 +394,14 @@ def test_line_dedup_equals_brute_force(spark):
 # ---- op 7
 
 
+def test_blank_lines_of_unlike_white_space_are_unlike(spark):
+    from spanlake.llm.line_dedup import dedup_lines
+
+    rows = [(1, "alpha\n\nbeta"), (2, "alpha\n \nbeta"), (3, "alpha\n\u00a0\nbeta"), (4, "\n\n\n"), (5, "\n\n\n"), (6, "\u3000\n\n"), (7, "\u3000\n\n"), (8, "alpha\n\nbeta")]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(documents(spark, rows)).collect()}
+    assert got == dict(rows) | {7: "", 8: ""}
+
+
 def brute_pii(t):
     spans = [(*m.span(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     spans += [(*m.span(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
@@ -532,6 +540,51 @@ def brute_near(rows, shingle=4):
     return sorted(((d, len(s), c := least.get(find(i), d), d == c) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=repr)
 
 
+def even_odd(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_polynomials_confuse_are_told_apart(spark):
+    """Sums of letters times the powers of any odd base are the same for these words."""
+    import public_tokenizers
+
+    from spanlake.llm.hyperminhash import near_duplicates
+    from spanlake.llm.token_count import Automaton, token_counts, vocabulary
+
+    for n in (64, 256, 1024, 4096):
+        rows = [(1, even_odd(n, "ab") + " w1 w2 w3"), (2, even_odd(n, "ba") + " w1 w2 w3")]
+        assert all(r["kept"] for r in near_duplicates(documents(spark, rows)).collect())
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    machine = Automaton(vocabulary(path))
+    rows = [(i, even_odd(1024, x)) for i, x in enumerate(("ab", "ba", "th", "ht"))]
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts(documents(spark, rows).coalesce(1), path).collect()} == {i: machine.count(b" " + t.encode()) for i, t in rows}
+
+
+def test_unlike_spans():
+    from spanlake.llm.textvec import unlike
+
+    words = [b"a", b"ab", b"ab", b"x" * 40, b"x" * 40, b"x" * 39 + b"y", b"12345678", b"12345678", b"123456789"]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    start = end - [len(w) for w in words]
+    for shift in range(len(words)):
+        other = np.roll(np.arange(len(words)), shift)
+        assert unlike(data, start, end, other).tolist() == [words[i] != words[j] for i, j in enumerate(other)]
+
+
+def test_pairs_of_a_large_bucket_are_met_in_blocks(spark, monkeypatch):
+    """Blocks of three classes give the links that whole buckets give."""
+    from spanlake.llm import hyperminhash
+
+    base = text_of(200, 77).split()
+    rows = []
+    for i in range(40):  # a chain: each is near the next, and not near those further on
+        rows.append((i, " ".join(base[3 * i :] + [f"new{j}" for j in range(3 * i)])))
+    monkeypatch.setattr(hyperminhash, "PER_TASK", 2)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in hyperminhash.near_duplicates(documents(spark, rows)).collect()}
+    assert got == set(brute_near(rows))
+
+
 def near_rows():
     r, rows = random.Random(11), []
     for g in range(12):
@@ -589,28 +642,83 @@ def test_components(spark):
 # ---- op 10
 
 
-def test_digests_and_order(spark):
+def brute_filters(text):
+    """The filters of one text, window by window."""
+    from spanlake.llm.digest import FILTER_BITS, FUNCTIONS, PER_FILTER, POINTS, TYPICAL, WEAK, WINDOW
+    from spanlake.llm.textvec import span_hash
+
+    data = text.encode()
+    if not data:
+        return []
+    if len(data) < WINDOW:
+        picked = [(0, len(data))]
+    else:
+        keys = []
+        for i in range(len(data) - WINDOW + 1):
+            total = sum(round(c * np.log2(c) * 65536) for c in Counter(data[i : i + WINDOW]).values())
+            e = (round(WINDOW * np.log2(WINDOW) * 65536) - total) * 1000 // round(WINDOW * np.log2(WINDOW) * 65536)
+            keys.append((1 << 19 if e < WEAK else 1000 - abs(e - TYPICAL), i))
+        points = Counter(m[1] for i in range(len(keys) - WINDOW + 1) if (m := min(keys[i : i + WINDOW]))[0] < 1 << 19)
+        picked = [(i, i + WINDOW) for i in sorted(points) if points[i] >= POINTS] or [(min(keys)[1], min(keys)[1] + WINDOW)]
+    out, seen = [], set()
+    for a, b in picked:
+        if data[a:b] in seen:
+            continue
+        if len(seen) % PER_FILTER == 0:
+            out.append(np.zeros(FILTER_BITS, bool))
+        seen.add(data[a:b])
+        h = int(span_hash(np.frombuffer(data, np.uint8), np.array([a]), np.array([b]))[0])
+        for i in range(FUNCTIONS):
+            out[-1][(h >> 11 * i) % FILTER_BITS] = True
+    return out
+
+
+def brute_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    if len(a) > len(b):
+        a, b = b, a
+    scores = []
+    for f in a:
+        best = 0.0
+        for g in b:
+            most, chance = min(f.sum(), g.sum()), f.sum() * g.sum() / len(f)
+            best = max(best, min(max((int((f & g).sum()) - chance) / max(most - chance, 1e-9), 0), 1))
+        scores.append(best)
+    return float(np.mean(scores))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_digests_equal_brute_force(spark, kind):
+    """Every row of the result, repeated rows and null ids among them."""
     from spanlake.llm.digest import digests
 
-    rows = odd_rows() + [(100 + i, text_of(20 * i, i)) for i in range(30)]
-    got = digests(documents(spark, rows)).collect()
-    order = sorted(rows, key=lambda r: -(1 << 63) if r[0] is None else r[0], reverse=True)
-    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
-    print_of = {}
-    for r in got:
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        for (d, t), (_, n) in zip(order, order[1:] + order[:1]):
-            if d == r["doc_id"] and d is not None and [x for x, _ in order].count(d) == 1 and _ is not None and [x for x, _ in order].count(_) == 1:
-                t, n = t or "", n or ""
-                half = len(t) // 2
-                assert r["n_chars"] == len(t)
-                assert r["edited_sha256"] == hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()
-        if [x for x, _ in rows].count(r["doc_id"]) == 1:
-            print_of.setdefault(dict(rows)[r["doc_id"]] or "", set()).add(r["fingerprint"])
-    assert all(len(p) == 1 for p in print_of.values())
-    single = digests(documents(spark, [(5, "only one text here")])).collect()
-    assert single[0]["near_next"] == 1.0
+    rows = odd_rows() + [(1 << 60, "large"), ((1 << 60) + 1, "larger"), (3, "x" * 300)] + [(100 + i, text_of(20 * i, i)) for i in range(16)]
+    rows = [(i, t[:4000] if t else t) for i, t in rows]
+    if kind == "string":
+        rows = [(None if i is None else f"id:{i}é", t) for i, t in rows]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], f"doc_id {kind}, text string, hash string").repartition(5)
+    hashed = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).select("doc_id", "text", "h").collect()
+    order = sorted(((r[0] is not None, r[0] or ("" if kind == "string" else 0), r[2], r[1] or "") for r in hashed), reverse=True)
+    want = Counter()
+    for (known, i, _, t), (_, _, _, n) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        changed = t[: len(t) - half] + n[:half]
+        own, after, following = brute_filters(t), brute_filters(changed), brute_filters(n)
+        text = lambda fs: base64.b64encode(b"".join(np.packbits(f).tobytes() for f in fs)).decode()
+        want[i if known else None, len(t), hashlib.sha256(changed.encode()).hexdigest(), text(own), text(after), round(brute_likeness(own, after), 9), round(brute_likeness(own, following), 9)] += 1
+    got = Counter((*tuple(r)[:5], round(r[5], 9), round(r[6], 9)) for r in digests(docs).collect())
+    assert got == want
+
+
+def test_digests_of_few_rows_and_of_odd_ids(spark):
+    from spanlake.llm.digest import digests
+
+    (single,) = digests(documents(spark, [(5, "only one text here")])).collect()
+    assert single["near_next"] == 1.0
     assert digests(documents(spark, [])).count() == 0
+    with pytest.raises(TypeError, match="double"):
+        digests(spark.createDataFrame([(1.5, "x")], "doc_id double, text string"))
 
 
 def test_entropies_equal_direct_ones():
