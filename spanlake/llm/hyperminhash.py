@@ -15,7 +15,7 @@ the text from which a group of copies stems is in the largest bucket for every
 band. Pairs whose estimate, corrected for registers equal by chance, is near
 the bound are confirmed on the full sets and joined to components. Only where
 a bucket still holds several components are the pairs across them, and only
-those, compared within the bucket's task, by sketch and then by their LOW
+those, compared, by blocks of the bucket, by sketch and then by their LOW
 least hashes (which is the whole set, if it has no more); what passes is
 confirmed likewise, and each pair is proposed by the first band that the two
 share. So no link that could join two components is left out, while a group
@@ -58,7 +58,9 @@ LOW = 512
 LOW_MARGIN = 0.07
 WHOLE_MARGIN = 0.01
 #: Pairs with one class, its set held once, that one task confirms.
-PER_TASK = 2000
+PER_TASK = 256
+#: Classes in a block of a bucket whose pairs across components are compared.
+BLOCK = 256
 
 
 def document_sets(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -203,53 +205,61 @@ def low_alike(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return shared / total + np.where(top < 1 << 32, LOW_MARGIN, WHOLE_MARGIN)
 
 
-def across(buckets: DataFrame, percent: int = PERCENT, block: int = 1024) -> DataFrame:
+def across(buckets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of classes of one bucket that are in unlike components and whose
-    sketches, sizes and least hashes admit the bound; each from the first band they share."""
+    sketches, sizes and least hashes admit the bound; each from the first band they share.
+
+    A bucket's classes are put in blocks of about BLOCK; each two blocks are a cell, and
+    cells are dealt to tasks. Classes of the bucket's largest component (major) needn't
+    meet each other, so their blocks share no cell.
+    """
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    minors, majors = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("minors", "majors"))
+    place = F.xxhash64("sid")
+    own = F.when(F.col("root") == F.col("major"), minors + F.pmod(place, majors).cast("int")).otherwise(F.pmod(place, minors).cast("int"))
+    others = F.when(F.col("root") == F.col("major"), minors).otherwise(minors + majors)
+    cells = buckets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    cells = cells.select("bucket", "band", "sid", "root", "n", "sketch", "low", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
     def pairs(band: int, rows: list) -> Iterator[pa.RecordBatch]:
-        sids = [r[0] for r in rows]
-        roots = np.unique(np.array([r[1].hex() for r in rows]), return_inverse=True)[1]
-        if roots.max() == 0:
-            return
-        n = np.array([r[2] for r in rows])
-        sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), -1)
+        left, right = ([r for r in rows if r[5] == b] for b in (rows[0][5], rows[-1][5]))
+        same = rows[0][5] == rows[-1][5]
+        root = np.array([r[1] for r in right], object)
+        n = np.array([r[2] for r in right])
+        sketch = np.frombuffer(b"".join(r[3] for r in right), np.uint16).reshape(len(right), -1)
         keys = band_keys(sketch)
-        # A row of a component meets the rows of later components only.
-        order = np.argsort(roots, kind="stable")
-        sketch, keys, n, roots = sketch[order], keys[order], n[order], roots[order]
-        low = [np.frombuffer(rows[i][4], np.uint32) for i in order]
-        ends = np.searchsorted(roots, roots, "right")
-        for i in range(len(rows)):
-            a, b = [], []
-            for j in range(int(ends[i]), len(rows), block):
-                to = slice(j, min(j + block, len(rows)))
-                fit = 100 * np.minimum(n[i], n[to]) >= percent * np.maximum(n[i], n[to])
-                fit &= estimate(sketch[i], sketch[to]) >= percent / 100 - MARGIN
-                fit &= (keys[to] == keys[i]).argmax(axis=1) == band
-                some = np.flatnonzero(fit)
-                if len(some):
-                    some = some[low_alike(low[i], [low[j + k] for k in some]) >= percent / 100]
-                for k in some:
-                    a.append(sids[order[i]])
-                    b.append(sids[order[j + k]])
-            if a:
-                yield _batch([a, b], schema)
+        low = [np.frombuffer(r[4], np.uint32) for r in right]
+        a, b = [], []
+        for i, (sid, own_root, own_n, own_sketch, own_low, _) in enumerate(left):
+            mine = np.frombuffer(own_sketch, np.uint16)
+            fit = 100 * np.minimum(own_n, n) >= percent * np.maximum(own_n, n)
+            fit &= root != own_root
+            if same:
+                fit[: i + 1] = False
+            fit &= estimate(mine, sketch) >= percent / 100 - MARGIN
+            some = np.flatnonzero(fit)
+            if len(some):
+                some = some[(keys[some] == band_keys(mine[None])[0]).argmax(axis=1) == band]
+            if len(some):
+                some = some[low_alike(np.frombuffer(own_low, np.uint32), [low[k] for k in some]) >= percent / 100]
+            a += [sid] * len(some)
+            b += [right[k][0] for k in some]
+        yield _batch([a, b], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            for bucket, band, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "band", "sid", "root", "n", "sketch", "low"))):
-                if now != (bucket, band):
+            for bucket, band, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "band", "lo", "hi", "sid", "root", "n", "sketch", "low", "own"))):
+                if now != (bucket, lo, hi, band):
                     if rows:
-                        yield from pairs(now[1], rows)
-                    now, rows = (bucket, band), []
+                        yield from pairs(now[3], rows)
+                    now, rows = (bucket, lo, hi, band), []
                 rows.append(row)
         if rows:
-            yield from pairs(now[1], rows)
+            yield from pairs(now[3], rows)
 
-    return buckets.select("bucket", "band", "sid", "root", "n", "sketch", "low").repartition("bucket").sortWithinPartitions("bucket", "sid").mapInArrow(run, "a binary, b binary")
+    dealt = cells.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "own", "sid")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE, low: bool = False) -> DataFrame:
@@ -328,8 +338,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
     joined = components(links)
     placed = shared.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-    open_ = stored(placed.join(split, "bucket", "left_semi").select("bucket", "band", "sid", "root"), "open")
+    split = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("roots"))
+    split = split.where("roots > 1").select("bucket", F.col("most.root").alias("major"), F.col("most.n").alias("majors"), (F.col("n") - F.col("most.n")).alias("minors"))
+    open_ = stored(placed.join(split, "bucket").select("bucket", "band", "sid", "root", "major", "majors", "minors"), "open")
     known = stored(classes.join(open_.select("sid").distinct(), "sid", "left_semi"), "known")
     low = class_sets(docs, known, shingle, low=True).withColumnRenamed("values", "low")
     open_ = open_.join(known.select("sid", "n", "sketch"), "sid").join(low, "sid")
