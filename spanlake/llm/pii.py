@@ -1,37 +1,44 @@
 """Personal data: fixed patterns, and a character-level BiLSTM with a CRF.
 
-Patterns give the base spans; the tagger adds spans that they miss. It is a
-bidirectional LSTM over byte classes of characters with a linear-chain CRF,
-trained in numpy on labelled spans that a generator of fixed seed and size
-writes (its bound is TRAINING windows). A text is cut to overlapping windows;
-each is decoded by Viterbi, and the text's tags are put together by taking
-every character's tag from the window in which it lies most centrally, so
-spans that cross windows are whole.
-
-A span of any kind holds a digit or an @. Windows without one can't add a
-span and aren't decoded; a text without one has no base span either. Added
-spans must hold what their kind needs, and don't overlap base spans.
+Patterns give the base spans; the tagger adds spans that they miss: the same
+kinds in other notations (addresses with at and dot spelled out, phones without
+a plus, cards with dots, defanged and version 6 IPs), and secrets, values that
+are assigned to a key, password or token. It is a bidirectional LSTM over
+classes of characters with a linear-chain CRF, trained in numpy on labelled
+spans that a generator of fixed seed and size writes (its bound is TRAINING
+texts). A text is cut to overlapping windows; each is decoded by Viterbi, and
+the text's tags are put together by taking every character's tag from the
+window in which it lies most centrally, so spans that cross windows are whole.
+
+A span of any kind has a mark: a digit, an @ or a spelled-out dot. Windows with a
+mark are decoded, and the windows that overlap them, so every character of a
+window with a mark has the tag that decoding all windows would give it; other
+characters have none. Added spans must be what their kind is (sound()) and
+don't overlap base spans.
 
 Defined results: null text is empty and has no spans; rows alike give rows
 alike; other columns are ignored. Memory follows the decoded windows, at most
-CHUNK at a time.
+CHUNK at a time, and a text's own length.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.textvec import slices
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
-KINDS = ("email", "ip", "card", "phone")
+#: The first four have base patterns; secrets come from the tagger only.
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS = KINDS[:4]
 # The patterns that the base spans are defined by.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -42,10 +49,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 WINDOW = 64
 STRIDE = 32
-HIDDEN = 16
+HIDDEN = 20
 EMBED = 12
-TRAINING = 1536
-EPOCHS = 14
+TRAINING = 4000
+EPOCHS = 11
 CHUNK = 2048
 
 Span = tuple[int, int, str]
@@ -259,55 +266,88 @@ def fit(chars: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, seed: int = 3
 
 
 def labelled(count: int = TRAINING, seed: int = 5) -> list[tuple[str, list[Span]]]:
-    """Generated texts of about WINDOW characters with their labelled spans: each
-    kind in common and less common notations, and numbers that are none of them."""
+    """Generated texts of up to some 200 characters with their labelled spans: each kind
+    in notations that the patterns know and that they miss, in running text, lists,
+    tables and settings, and numbers and names that are none of them."""
     r = np.random.default_rng(seed)
     pick = lambda xs: xs[int(r.integers(len(xs)))]
     digits = lambda n: "".join(str(int(d)) for d in r.integers(0, 10, n))
-    word = lambda: "".join(pick(["an", "the", "ti", "on", "er", "ou", "le", "ge", "ch", "st", "ñ", "é", "ü", "ra", "do", "in", "es"]) for _ in range(int(r.integers(1, 5))))
+    syllables = ["an", "the", "ti", "on", "er", "ou", "le", "ge", "ch", "st", "ñ", "é", "ü", "ra", "do", "in", "es", "ción", "ß", "k", "wh", "au", "m", "pa"]
+    letters = "abcdefghijklmnopqrstuvwxyzxqjyzvABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def word() -> str:
+        out = "".join(pick(syllables) for _ in range(int(r.integers(1, 5)))) if r.random() < 0.75 else "".join(pick(letters) for _ in range(int(r.integers(1, 12))))
+        return out.capitalize() if r.random() < 0.15 else out
+
+    plain = lambda: "".join(c for c in word() if c.isascii()) or "jo"
+    drawn = lambda alphabet, n: "".join(pick(alphabet) for _ in range(n))
 
     def card() -> str:
-        d = pick(["4", "5", "6", "37"])
+        d = pick(["4", "5", "6", "2", "37"])
         d += digits(15 - len(d))
         d += next(c for c in "0123456789" if luhn(d + c))
-        return pick([d, f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}", f"{d[:4]}-{d[4:8]}-{d[8:12]}-{d[12:]}", f"{d[:4]}.{d[4:8]}.{d[8:12]}.{d[12:]}"])
+        a, b, c, e = d[:4], d[4:8], d[8:12], d[12:]
+        return pick([d, f"{a} {b} {c} {e}", f"{a}-{b}-{c}-{e}", f"{a}.{b}.{c}.{e}", f"{a}.{b}.{c}.{e}", f"{a}/{b}/{c}/{e}", f"{a}_{b}_{c}_{e}"])
 
     def phone() -> str:
-        a, b, c = digits(3), digits(3), digits(4)
-        return pick([f"+1 {a} {b} {c}", f"+{digits(2)} {a} {digits(7)}", f"+1-{a}-{b}-{c}", f"({a}) {b}-{c}", f"00{digits(2)} {a} {digits(7)}", f"+1 ({a}) {b}-{c}"])
+        a, b, c, land = digits(3), digits(3), digits(4), digits(2)
+        return pick([f"+1 {a} {b} {c}", f"+1 ({a}) 555-{c}", f"+{land} {a} {digits(7)}", f"+1-{a}-{b}-{c}", f"({a}) {b}-{c}", f"({a}) {b}-{c}", f"00{land} {a} {digits(7)}", f"{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{digits(2)} {digits(4)} {digits(4)}", f"(0{digits(2)}) {digits(3)} {digits(4)}", f"0{digits(3)}/{digits(7)}"])
 
     def email() -> str:
-        return pick(["", word() + "."]) + word() + pick(["", digits(2)]) + "@" + word() + pick([".com", ".org", ".example.net", ".de"])
+        user = pick(["", plain() + ".", plain() + "_"]) + plain() + pick(["", digits(2), "." + digits(2)])
+        host, end = plain() + pick(["", digits(1)]), pick(["com", "org", "net", "de", "fr", "es", "io"])
+        more = pick(["", "", ".example", "." + plain()])
+        return pick([
+            f"{user}@{host}{more}.{end}", f"{user}@{host}{more}.{end}", f"{user} (at) {host} (dot) {end}", f"{user}[at]{host}[dot]{end}", f"{user} [at] {host} [dot] {end}",
+            f"{user}(at){host}(dot){end}", f"{user} at {host} dot {end}", f"{user} AT {host} DOT {end}", f"{user} @ {host}.{end}",
+        ])
 
     def ip() -> str:
-        return ".".join(str(int(x)) for x in r.integers(0, 256, 4))
+        parts = [str(int(x)) for x in r.integers(0, 256, 4)]
+        six = [drawn("0123456789abcdef", int(r.integers(1, 5))) for _ in range(8)]
+        return pick([".".join(parts), "[.]".join(parts), "[.]".join(parts), "(.)".join(parts), " . ".join(parts), ":".join(six), ":".join(six), ":".join(six[:3]) + "::" + ":".join(six[3:5])])
+
+    def secret() -> tuple[str, str, str]:
+        key = pick(["token", "password", "secret", "api_key", "apikey", "access_key", "auth", "client_secret", "API_KEY", "passwd", "private_key"])
+        value = pick([drawn("0123456789abcdef", 40), drawn("0123456789abcdef", pick([32, 40, 64])), drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", int(r.integers(16, 49))), "sk_" + drawn("abcdefghijklmnopqrstuvwxyz0123456789", 24)])
+        q = pick(['"', '"', "'", ""])
+        return f"{key}{pick([' = ', ' = ', '=', ': ', ' := '])}{q}", value, q
 
     def other() -> str:
-        return pick([digits(int(r.integers(1, 8))), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(1)}.{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(1)}", "@" + word(), f"0x{digits(8)}", f"{digits(2)}:{digits(2)}", digits(40)])
+        return pick([
+            digits(int(r.integers(1, 8))), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(2)}/{digits(2)}/{digits(4)}", f"{digits(1)}.{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(1)}", "@" + word(), f"0x{digits(8)}",
+            f"{digits(2)}:{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", drawn("0123456789abcdef", 40), f"id={drawn('0123456789abcdef', 32)}", f"{word()} at {word()}", f"{word()} (at) {word()}", f"{digits(3)},{digits(3)}", f"{digits(2)}%", f"${digits(3)}.{digits(2)}", f"the {word()} dot {word()}", digits(12), f"{digits(1)}, {digits(1)}, {digits(1)}",
+        ])
 
     make = {"email": email, "ip": ip, "card": card, "phone": phone}
     out = []
     for _ in range(count):
-        text, spans = " ".join(word() for _ in range(int(r.integers(0, 5)))), []
-        for _ in range(int(r.integers(1, 3))):
-            kind = pick([*KINDS, None, None])
-            text += pick([" ", ": ", " (", "="]) if text else ""
-            piece = make[kind]() if kind else other()
+        gap = pick([" ", " ", " ", " ", " | ", "### ", "\n", ", "])
+        run = lambda lo, hi: gap.join(word() for _ in range(int(r.integers(lo, hi))))
+        text, spans = run(0, 12), []
+        for _ in range(int(r.integers(1, 4))):
+            kind = pick([*KINDS, "secret", None, None])
+            text += pick([gap, ": ", " (", "=", ". "]) if text else ""
+            lead, piece, tail = ("", other(), "") if kind is None else secret() if kind == "secret" else ("", make[kind](), "")
+            text += lead
             if kind:
                 spans.append((len(text), len(text) + len(piece), kind))
-            text += piece + pick(["", ",", ".", ")", ";"]) + " " + " ".join(word() for _ in range(int(r.integers(0, 4))))
+            text += piece + tail + pick(["", "", ",", ".", ")", ";"]) + gap + run(0, 10)
         out.append((text, spans))
     return out
 
 
-def training_windows(texts: list[tuple[str, list[Span]]]) -> tuple[np.ndarray, np.ndarray]:
+def training_windows(texts: list[tuple[str, list[Span]]], seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """A window of each text, placed at random, so that it may begin and end within spans."""
+    r = np.random.default_rng(seed)
     chars, tags = np.full((len(texts), WINDOW), PAD), np.zeros((len(texts), WINDOW), np.int64)
     for i, (text, spans) in enumerate(texts):
         c, t = codes(text), np.zeros(len(text), np.int64)
         for a, b, k in spans:
             t[a:b] = 1 + KINDS.index(k)
+        at = int(r.integers(0, max(len(c) - WINDOW, 0) + 1))
         n = min(len(c), WINDOW)
-        chars[i, :n], tags[i, :n] = c[:n], t[:n]
+        chars[i, :n], tags[i, :n] = c[at : at + n], t[at : at + n]
     return chars, tags
 
 
@@ -321,11 +361,24 @@ def trained(count: int = TRAINING, epochs: int = EPOCHS) -> Tagger:
     return _trained[count, epochs]
 
 
-def windows(c: np.ndarray) -> list[int]:
-    """Starts of the overlapping windows that hold a digit or an @."""
-    mark = np.concatenate(([0], np.cumsum((c == ord("@")) | ((c >= ord("0")) & (c <= ord("9"))))))
-    starts = np.arange(0, max(len(c) - STRIDE, 1), STRIDE)
-    return starts[mark[np.minimum(starts + WINDOW, len(c))] > mark[starts]].tolist()
+#: What spans have at least one of.
+MARK = r"[0-9@]|(?i:[\s\[({]dot[\s\])}])"
+_MARK = re.compile(MARK)
+
+
+def windows(text: str, every: bool = False) -> list[int]:
+    """Starts of the overlapping windows with a mark and of those that overlap them."""
+    starts = np.arange(0, max(len(text) - STRIDE, 1), STRIDE)
+    if every:
+        return starts.tolist()
+    marked = np.zeros(len(starts), bool)
+    for m in _MARK.finditer(text):
+        last = m.start() // STRIDE
+        marked[max(last - 1, 0) : last + 1] = True
+    near = marked.copy()
+    near[1:] |= marked[:-1]
+    near[:-1] |= marked[1:]
+    return starts[near].tolist()
 
 
 def reconciled(length: int, starts: list[int], tags: list[np.ndarray]) -> np.ndarray:
@@ -343,40 +396,59 @@ def reconciled(length: int, starts: list[int], tags: list[np.ndarray]) -> np.nda
     return out
 
 
+AT = re.compile(r"\s*[\[({]\s*at\s*[\])}]\s*|\s+at\s+|\s*@\s*", re.I)
+DOT = re.compile(r"\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*|\s+dot\s+", re.I)
+DATE = re.compile(r"[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:[0-9]{2}|[0-9]{4})")
+SECRET = re.compile(r"[A-Za-z0-9+/=_.-]{16,}")
+#: Characters over which a span of a kind goes on.
+GOES_ON = {"email": LOCAL, "ip": re.compile("[0-9a-fA-F]"), "card": re.compile("[0-9]"), "phone": re.compile("[0-9+(]"), "secret": re.compile("[A-Za-z0-9+/=_-]")}
+
+
 def sound(kind: str, s: str) -> bool:
-    """Whether an added span holds what its kind needs."""
+    """Whether a text is of a kind by the kind's definition, in any notation."""
     d = len(_digits(s))
     if kind == "email":
-        return 0 < s.find("@") < len(s) - 3 and "." in s[s.find("@") :] and not any(c.isspace() for c in s)
+        return EMAIL.fullmatch(AT.sub("@", DOT.sub(".", s))) is not None
     if kind == "ip":
-        return s.count(".") == 3 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in s.split("."))
+        four = re.sub(r"\s*\.\s*", ".", DOT.sub(".", s))
+        if IP.fullmatch(four):
+            return all(map(octet, four.split(".")))
+        try:
+            return s.count(":") > 2 and ipaddress.ip_address(s).version == 6
+        except ValueError:
+            return False
     if kind == "card":
-        return 14 <= d <= 19 and luhn(_digits(s)) and set(s) <= set("0123456789 -.")
-    return 10 <= d <= 15 and set(s) <= set("0123456789 -.()+") and any(c in s for c in "+ (-.")
+        return 14 <= d <= 19 and luhn(_digits(s)) and set(s) <= set("0123456789 -./_")
+    if kind == "phone":
+        return 9 <= d <= 15 and set(s) <= set("0123456789 -./()+") and any(c in s for c in "+ (-./") and not DATE.fullmatch(s)
+    return SECRET.fullmatch(s) is not None and 0 < d < len(s)
 
 
 def added_spans(text: str, tags: np.ndarray, base: list[Span]) -> list[Span]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], tags, [0]))))
-    out = []
+    out: list[Span] = []
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
         if tags[a]:
             kind = KINDS[tags[a] - 1]
-            # A tagged part of a number or address stands for all of it.
-            while a and (text[a - 1] in "0123456789+(" or kind == "email" and LOCAL.match(text[a - 1])):
+            more = GOES_ON[kind]
+            # A tagged part of a number, address or value stands for all of it.
+            while a and text[a - 1] != "=" and more.match(text[a - 1]):
                 a -= 1
-            while b < len(text) and (text[b] in "0123456789" or kind == "email" and LOCAL.match(text[b])):
+            while b < len(text) and more.match(text[b]):
                 b += 1
             piece = text[a:b]
-            a, b = a + len(piece) - len(piece.lstrip(" ,;:=.")), b - (len(piece) - len(piece.rstrip(" ,;:=(.")))
-            if a < b and sound(kind, text[a:b]) and not (a and text[a - 1].isdigit()) and not (b < len(text) and text[b].isdigit()) and all(b <= x or y <= a for x, y, _ in base):
+            a, b = a + len(piece) - len(piece.lstrip(" ,;:=.|\"'")), b - (len(piece) - len(piece.rstrip(" ,;:=(.|\"'")))
+            while kind == "phone" and text[a:b].startswith("(") and text.count("(", a, b) > text.count(")", a, b):
+                a += 1
+            if a < b and sound(kind, text[a:b]) and not (a and text[a - 1].isdigit()) and not (b < len(text) and text[b].isdigit()) and all(b <= x or y <= a for x, y, _ in base) and (not out or out[-1][1] <= a):
                 out.append((a, b, kind))
     return out
 
 
-def decoded(m: Tagger, texts: list[str]) -> list[np.ndarray]:
-    """Tags of each text."""
+def decoded(m: Tagger, texts: list[str], every: bool = False) -> list[np.ndarray]:
+    """Tags of each text; every: windows without a mark are decoded too."""
     all_codes = [codes(t) for t in texts]
-    starts = [windows(c) for c in all_codes]
+    starts = [windows(t, every) for t in texts]
     flat = [(i, s) for i, ss in enumerate(starts) for s in ss]
     found: list[list[np.ndarray]] = [[] for _ in texts]
     for at in range(0, len(flat), CHUNK):
@@ -390,30 +462,23 @@ def decoded(m: Tagger, texts: list[str]) -> list[np.ndarray]:
     return [reconciled(len(t), s, f) for t, s, f in zip(texts, starts, found)]
 
 
-MARK = np.zeros(256, bool)
-MARK[[ord("@"), *range(ord("0"), ord("9") + 1)]] = True
-
-
 def find(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
-    """doc_id, base, spans (each written as kind:start:end by start) and base counts of each row."""
+    """doc_id, base, spans (each written as kind:start:end by start), base counts, n_added and n_spans of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(model or trained())
     kind = dict(docs.dtypes)["doc_id"]
-    counts = [f"n_{k}" for k in KINDS]
+    counts = [*(f"n_{k}" for k in BASE_KINDS), "n_added", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column("text")
-            hot = []
-            for i, _, data, offs in slices(col):
-                seen = np.concatenate(([0], np.cumsum(MARK[data])))[offs]
-                hot += (i + np.flatnonzero(seen[1:] > seen[:-1])).tolist()
+            hot = np.flatnonzero(pc.fill_null(pc.match_substring_regex(col, MARK), False)).tolist()
             texts = [col[i].as_py() for i in hot]
             base, spans = [[] for _ in range(len(batch))], [[] for _ in range(len(batch))]
             for i, text, tags in zip(hot, texts, decoded(sent.value, texts)):
                 base[i] = base_spans(text)
                 spans[i] = in_order(base[i] + added_spans(text, tags, base[i]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([written(x) for x in base]), pa.array([written(x) for x in spans]), *(pa.array([sum(s[2] == k for s in x) for x in base], pa.int64()) for k in KINDS)],
+                [batch.column("doc_id"), pa.array([written(x) for x in base]), pa.array([written(x) for x in spans]), *(pa.array([sum(s[2] == k for s in x) for x in base], pa.int64()) for k in BASE_KINDS), pa.array([len(x) - len(y) for x, y in zip(spans, base)], pa.int64()), pa.array([len(x) for x in spans], pa.int64())],
                 ["doc_id", "base", "spans", *counts],
             )
 
