@@ -12,11 +12,7 @@ from pyspark.sql import functions as F
 from spanlake.code import identifiers, regions, rename, traces
 from spanlake.functions.arrow import arrow
 
-#: Marked regions, or a line with a point in regions.line_points(), which sees lines without blanks around them.
-MAY_BE_CODE = r"(?mU)```|(?i:<code|<pre)|" + "|".join(
-    p.replace("^", r"^\s*", 1) if p.startswith("^") else p
-    for p in (f"^{regions.STATEMENT.pattern}", regions.LINE_END.pattern.replace("$", r"\s*$"), regions.OPERATOR.pattern.replace("|^", r"|^\s*"), r"^[A-Za-z_$][\w$.]*\(")
-)
+MAY_BE_CODE = regions.MAY_BE
 MAY_BE_TRACE = f"(?mU){traces.HINTS}"
 REGIONS = "array<struct<start:int,end:int,language:string>>"
 SLOTS = "array<struct<start:int,end:int,name:string,kind:string,library:boolean>>"

@@ -25,6 +25,70 @@ def test_languages(code, lang):
     assert regions.language_of(code)[0] == lang
 
 
+def test_runs_of_code():
+    runs = lambda t: [t[a:b] for a, b in regions.code_runs(t)]
+    assert runs("It is defined there. let x = 1;\nThanks a lot for this") == ["let x = 1;"]
+    assert runs("Look at this:\nint a = 1; var b = a;") == ["int a = 1; var b = a;"]
+    assert runs("class A:\n    total: int = 0\n    def f(self):\n        return 1\n\nThe end of it all") == ["class A:\n    total: int = 0\n    def f(self):\n        return 1"]
+    assert runs("if the weather is fine, we go") == runs("don't you know it won't work (at all)") == runs("Name: Anna\nAge: 3") == []
+
+
+@pytest.mark.parametrize(
+    "code,lang",
+    [
+        ("module Main where\nimport qualified Data.Map as M\nmain :: IO ()", "haskell"), ("local function f(a)\n  local x = 1\nend", "lua"), ("import Foundation\nguard let x = y else { return }", "swift"), ("use strict;\nmy $x = 1;", "perl"),
+        ("defmodule A do\n  def f(), do: IO.puts \"x\"\nend", "elixir"), ("module a(input wire clk);\nalways @(posedge clk) begin end\nendmodule", "verilog"), ("(ns a.b (:require [c]))\n(defn f [x] (let [y 1] y))", "clojure"),
+        ("program a\nimplicit none\ninteger :: i\nend program a", "fortran"), ("x <- c(1,2)\nlibrary(dplyr)\ny <- x %>% f()", "r"), ("section .text\nglobal _start\n mov eax, 1", "x86asm"), ("using System;\nnamespace A { class B { public int X { get; set; } } }", "csharp"),
+    ],
+)
+def test_more_languages(code, lang):
+    assert regions.language_of(code)[0] == lang
+
+
+def test_labels():
+    assert [regions.language_of("x", label)[0] for label in ("c#", "PWSH {1}", "tsx", "yml", "nothing")] == ["csharp", "powershell", "typescript", "yaml", "unknown"]
+
+
+OUTPUT = {
+    "node": "TypeError: Cannot read properties of undefined (reading 'total')\n    at InvoiceService.loadInvoice (/app/src/invoice.ts:42:13)\n    at async Object.run [as go] (/app/node_modules/x/index.js:1:2)\n    at /app/src/index.js:5:3\n    at Array.map (<anonymous>)",
+    "dotnet": "Unhandled exception. System.NullReferenceException: Object reference not set\n   at Acme.InvoiceService.Load(Int32 id) in C:\\src\\InvoiceService.cs:line 42\n   at System.Threading.Tasks.Task.Execute()\n   --- End of inner exception stack trace ---",
+    "mono": "System.Exception: bad\n  at Acme.Foo.Bar (System.Int32 id) [0x00012] in /src/Foo.cs:12 ",
+    "java": "Exception in thread \"main\" java.lang.IllegalStateException: no 'customer'\n\tat com.acme.Billing.load(Billing.java:12)\n\tat java.util.List.get(List.java:3)\nCaused by: com.acme.LedgerException\n\t... 3 more",
+    "javac": "Invoice.java:12: error: cannot find symbol\n    total = custmerName;\n            ^\n  symbol:   variable custmerName\n  location: class Invoice",
+    "go": "goroutine 1 [running]:\nmain.(*Ledger).load(0xc0000)\n\t/home/anna/ledger.go:12 +0x1d\ncreated by main.start in goroutine 1\n\t/home/anna/main.go:9 +0x11",
+    "rust": "stack backtrace:\n   0: rust_begin_unwind\n             at /rustc/abc/library/std/src/panicking.rs:5:5\n   1: ledger::load_invoice\n             at ./src/main.rs:5:10",
+    "rustc": "error[E0425]: cannot find value `customer_nam` in this scope\n  --> src/main.rs:4:5\n   |\n4  |     customer_nam\n   |     ^^^^ help: `customer_name`",
+    "tsc": "src/invoice.ts:12:5 - error TS2339: Property 'customerName' does not exist",
+    "gcc": "main.c:12:5: error: 'total' undeclared\n   12 |     total = 1;\n      |     ^~~~~",
+    "kotlin": "e: file:///src/Main.kt:5:13 Unresolved reference: customerName",
+    "csc": "C:\\src\\Foo.cs(42,17): error CS0103: The name 'customer' does not exist",
+}
+NAMES = {
+    "node": "type:TypeError mention:total function:InvoiceService.loadInvoice path:/app/src/invoice.ts function:Object.run* path:/app/node_modules/x/index.js* path:/app/src/index.js function:Array.map",
+    "dotnet": "type:System.NullReferenceException function:Acme.InvoiceService.Load path:C:\\src\\InvoiceService.cs function:System.Threading.Tasks.Task.Execute*",
+    "mono": "type:System.Exception function:Acme.Foo.Bar path:/src/Foo.cs",
+    "java": "type:java.lang.IllegalStateException mention:customer function:com.acme.Billing.load path:Billing.java function:java.util.List.get* path:List.java* type:com.acme.LedgerException",
+    "javac": "path:Invoice.java mention:custmerName mention:Invoice",
+    "go": "function:main.(*Ledger).load path:/home/anna/ledger.go function:main.start path:/home/anna/main.go",
+    "rust": "function:rust_begin_unwind* path:/rustc/abc/library/std/src/panicking.rs* function:ledger::load_invoice path:./src/main.rs",
+    "rustc": "mention:customer_nam path:src/main.rs", "tsc": "path:src/invoice.ts mention:customerName", "gcc": "path:main.c mention:total", "kotlin": "path:/src/Main.kt mention:customerName", "csc": "path:C:\\src\\Foo.cs mention:customer",
+}
+
+
+@pytest.mark.parametrize("kind", sorted(OUTPUT))
+def test_error_output(kind):
+    """Whole outputs are one region; a * marks library frames."""
+    text = OUTPUT[kind]
+    assert " ".join(f"{s.kind}:{s.name}{'*' * s.library}" for s in traces.error_slots(text)) == NAMES[kind]
+    assert traces.error_regions("We ran it.\n\n" + text + "\nThat is all we know")[0] == (12, 12 + len(text))
+    assert all(text[s.start : s.end] == s.name for s in traces.error_slots(text))
+
+
+def test_prose_is_no_error_output():
+    assert traces.error_slots("We met at home (2020) and saw an error: nothing else.\nat work (see below)\n  at noon (maybe)\nIt was a Fault\nerror: see the manual page\n1: first\n | table | cell |") == []
+    assert traces.error_regions("x" * 100_000 + " Error\n" + "a.b" * 50_000 + ":" + " at" * 50_000) == []
+
+
 def test_traces():
     value = fixtures.CODE[2][1]
     slots = {(s.name, s.kind, s.library) for s in traces.error_slots(value)}
@@ -40,7 +104,7 @@ def test_single_lines_of_error_output(spark):
     from spanlake.queries import QUERIES
 
     want = {
-        (11, "./main.go", "path"), (12, "src/a.kt", "path"), (12, "loadInvoice", "mention"), (13, "KeyboardInterrupt", "type"), (14, "com.acme.BillingExit", "type"), (15, "java.lang.Throwable", "type"),
+        (11, "./main.go", "path"), (11, "customerName", "mention"), (12, "src/a.kt", "path"), (12, "loadInvoice", "mention"), (13, "KeyboardInterrupt", "type"), (14, "com.acme.BillingExit", "type"), (15, "java.lang.Throwable", "type"),
         (16, "acme.LedgerPanic", "type"), (17, "acme.SegmentFault", "type"), (18, "src/ledger.rs", "path"), (19, "/home/anna/app/main.py", "path"), (19, "load_invoice", "function"), (20, "/home/anna/ledger.go", "path"),
     }
     assert {(r["id"], r["name"], r["kind"]) for r in QUERIES["error_slots"](spark, "").where("id > 10").collect()} == want
