@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanlake import rules
 from spanlake.functions.spans import byte_slice, computed
 from spanlake.functions.text import normalized_key
+from spanlake.plans.scratch import stored
 
 
 def placeholder(entity_type: Column, index: Column) -> Column:
@@ -79,22 +80,25 @@ def anonymized(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 VAULT = "id string, original_text string, normalized_key string, entity_type string, placeholder string, index long, synthetic_value string, mode string, pinned boolean, first_key long, usage_count long"
 
 
-def vault_update(spans: DataFrame, key: str, vault: DataFrame | None = None, parts: int | None = None) -> DataFrame:
-    """The vault with the identities of long spans (key, start, entity_type, text), numbered
-    per type on from what it has, in the order (key, start).
+def identities(spans: DataFrame, key: str) -> DataFrame:
+    """entity_type, normalized_key, k, start, original_text of each identity's first span, and
+    how often it is used. spans: long (key, start, entity_type, text)."""
+    own = spans.select(F.col(key).cast("long").alias("k"), "start", "entity_type", F.col("text").alias("original_text"), normalized_key(F.col("text")).alias("normalized_key")).where("normalized_key != ''")
+    seen = own.groupBy("entity_type", "normalized_key").agg(F.min(F.struct("k", "start", "original_text")).alias("f"), F.count("*").alias("used"))
+    return stored(seen.select("entity_type", "normalized_key", "f.k", "f.start", "f.original_text", "used"), "identities")
+
+
+def numbered(seen: DataFrame, vault: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """Vault records of those of identities() that the vault lacks, numbered per type on from
+    what it has, in the order (k, start).
 
     Numbering is global, but no task sees a whole type: identities are sorted into
     ranges, counted per range and type, and a range's numbers begin after the counts
     of the ranges before it.
     """
-    spark = spans.sparkSession
-    own = spans.select(F.col(key).cast("long").alias("k"), "start", "entity_type", F.col("text").alias("original_text"), normalized_key(F.col("text")).alias("normalized_key")).where("normalized_key != ''")
-    seen = own.groupBy("entity_type", "normalized_key").agg(F.min(F.struct("k", "start", "original_text")).alias("f"), F.count("*").alias("used"))
-    seen = seen.select("entity_type", "normalized_key", "f.k", "f.start", "f.original_text", "used")
+    spark = seen.sparkSession
     if vault is not None:
-        known = vault.join(seen.select("entity_type", "normalized_key", "used"), ["entity_type", "normalized_key"], "left").withColumn("usage_count", F.col("usage_count") + F.coalesce("used", F.lit(0))).drop("used")
         seen = seen.join(vault.select("entity_type", "normalized_key"), ["entity_type", "normalized_key"], "left_anti")
-        most = vault.groupBy("entity_type").agg(F.max("index").alias("most"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = [b for b in sorted(set(seen.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5])).first()[0] or []))]
     where = F.size(F.filter(F.array(*(F.lit(int(b)) for b in bounds)), lambda b: b <= F.col("k"))) if bounds else F.lit(0)
@@ -105,14 +109,24 @@ def vault_update(spans: DataFrame, key: str, vault: DataFrame | None = None, par
     local = F.row_number().over(Window.partitionBy("range", "entity_type").orderBy("k", "start", "normalized_key"))
     new = ranged.withColumn("local", local).join(before, ["range", "entity_type"])
     if vault is not None:
-        new = new.join(most, "entity_type", "left")
+        new = new.join(vault.groupBy("entity_type").agg(F.max("index").alias("most")), "entity_type", "left")
     index = (F.col("local") + F.col("before") + (F.coalesce("most", F.lit(0)) if vault is not None else 0)).cast("long")
-    new = new.withColumn("index", index).select(
+    return new.withColumn("index", index).select(
         F.sha1(F.concat_ws("\x1f", "entity_type", "normalized_key")).alias("id"), "original_text", "normalized_key", "entity_type",
         placeholder(F.col("entity_type"), F.col("index")).alias("placeholder"), "index", stand_in(F.col("entity_type"), F.col("index"), F.col("original_text")).alias("synthetic_value"),
         F.lit("placeholder").alias("mode"), F.lit(False).alias("pinned"), F.col("k").alias("first_key"), F.col("used").alias("usage_count"),
     )
-    return new if vault is None else known.select(*new.columns).unionByName(new)
+
+
+def vault_update(spans: DataFrame, key: str, vault: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """The vault with the identities of long spans (key, start, entity_type, text). Identities are
+    written once; the spans are read once."""
+    seen = identities(spans, key)
+    new = numbered(seen, vault, parts)
+    if vault is None:
+        return new
+    known = vault.join(seen.select("entity_type", "normalized_key", "used"), ["entity_type", "normalized_key"], "left").withColumn("usage_count", F.col("usage_count") + F.coalesce("used", F.lit(0))).drop("used")
+    return known.select(*new.columns).unionByName(new)
 
 
 def active(mode: Column, placeholder_: Column, synthetic_: Column) -> Column:
@@ -120,10 +134,11 @@ def active(mode: Column, placeholder_: Column, synthetic_: Column) -> Column:
     return F.when((mode == "synthetic") & (synthetic_ != ""), synthetic_).otherwise(placeholder_)
 
 
-def with_vault(df: DataFrame, vault: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """df (with spans) plus redacted, by the vault's replacements. Joined on type and key."""
+def with_vault(df: DataFrame, vault: DataFrame, key: str, text: str = "text", spans: DataFrame | None = None) -> DataFrame:
+    """df plus redacted, by the vault's replacements of its spans, or of those of the table
+    spans (key, spans). Joined on type and key."""
     known = vault.select("entity_type", "normalized_key", active(F.col("mode"), F.col("placeholder"), F.col("synthetic_value")).alias("token"))
-    rows = df.select(key, F.explode("spans").alias("s")).select(key, "s", F.col("s.entity_type").alias("entity_type"), normalized_key(F.col("s.text")).alias("normalized_key"))
+    rows = (df if spans is None else spans).select(key, F.explode("spans").alias("s")).select(key, "s", F.col("s.entity_type").alias("entity_type"), normalized_key(F.col("s.text")).alias("normalized_key"))
     tokens = rows.join(known, ["entity_type", "normalized_key"], "left").groupBy(key).agg(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.coalesce("token", F.col("s.text")).alias("token"))).alias("t__"))
     joined = df.join(tokens, key, "left")
     t = F.coalesce(F.col(text), F.lit(""))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.arrow import arrow
+from spanlake.plans.scratch import stored
 from spanlake.operators.pseudonym import PLACEHOLDER
 
 SHAPE = r"\[?[A-Z]{2,}[A-Z_]*[_ ]?[0-9]+(?![0-9])\]?"
@@ -141,16 +142,26 @@ def _restore_vault(texts: pd.Series, records: pd.Series) -> pd.Series:
     return pd.Series([t if t is None or r is None else restore_with_vault(t, [(x["placeholder"], x["synthetic_value"] or "", x["original_text"]) for x in r]) for t, r in zip(texts, records)])
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)[^\w]+", -1), lambda w: w != "")
+
+
 def restored_by_vault(replies: DataFrame, vault: DataFrame, text: str = "reply") -> DataFrame:
     """replies plus restored. A reply meets only the records whose placeholder (in any
-    variant) or synthetic value it may hold: those of its tokens' numbers and of its
-    words; joined on them, not on everything."""
-    rows = replies.withColumn("row__", F.monotonically_increasing_id())
-    digits = rows.select("row__", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([0-9]+)"), 1))).alias("n")).select("row__", F.concat(F.lit("#"), F.regexp_replace("n", "^0+(?=.)", "")).alias("k"))
-    words = rows.select("row__", F.explode(F.array_distinct(F.split(F.coalesce(text, F.lit("")), r"(?U)[^\w]+", -1))).alias("k")).where("k != ''")
-    first = F.try_element_at(F.filter(F.split("synthetic_value", r"(?U)[^\w]+", -1), lambda w: w != ""), F.lit(1))
-    keys = vault.select("placeholder", "synthetic_value", "original_text", F.explode(F.array_compact(F.array(F.concat(F.lit("#"), F.col("index").cast("string")), first))).alias("k"))
-    hits = digits.union(words).join(keys, "k").groupBy("row__").agg(F.array_sort(F.collect_set(F.struct("placeholder", "synthetic_value", "original_text"))).alias("records__"))
+    variant) or synthetic value it may hold: those of its tokens' numbers, and those whose
+    synthetic value has the words of a run of its words; joined on the whole run, as many
+    values share their first words. The runs' lengths are those of the vault's values."""
+    rows = stored(replies.withColumn("row__", F.monotonically_increasing_id()), "replies")
+    value = vault.where("synthetic_value != ''").withColumn("w__", _words(F.col("synthetic_value")))
+    sizes = sorted(r[0] for r in value.select(F.size("w__")).distinct().collect() if r[0])  # as many as pools have lengths
+    words = _words(F.col(text))
+    runs = [F.transform(F.sequence(F.lit(1), F.size("w__") - n + 1), lambda i, n=n: F.array_join(F.slice("w__", i, n), " ")) for n in sizes]
+    some = [F.when(F.size("w__") >= n, r).otherwise(F.array().cast("array<string>")) for n, r in zip(sizes, runs)]
+    digits = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([0-9]+)"), 1), lambda n: F.concat(F.lit("#"), F.regexp_replace(n, "^0+(?=.)", "")))
+    asked = rows.select("row__", digits.alias("d__"), words.alias("w__")).select("row__", F.explode(F.array_distinct(F.concat("d__", *some))).alias("k"))
+    record = ["placeholder", "synthetic_value", "original_text"]
+    keys = vault.select(*record, F.concat(F.lit("#"), F.col("index").cast("string")).alias("k")).unionByName(value.select(*record, F.array_join("w__", " ").alias("k")).where("k != ''"))
+    hits = asked.join(keys, "k").groupBy("row__").agg(F.array_sort(F.collect_set(F.struct(*record))).alias("records__"))
     return rows.join(hits, "row__", "left").withColumn("restored", F.coalesce(_restore_vault(F.col(text), F.col("records__")), F.col(text))).drop("row__", "records__")
 
 

@@ -140,8 +140,9 @@ def adaptive_thresholds(log: DataFrame, base: float) -> DataFrame:
 
 
 def above_adaptive(spans: DataFrame, adaptive: DataFrame, default: float) -> DataFrame:
-    """Long spans at or above their type's threshold. The table has a row for each type."""
-    known = F.broadcast(adaptive.select("entity_type", F.col("threshold").alias("least__")).limit(len(rules.ENTITY_TYPES) * 4))
+    """Long spans at or above their type's threshold. The table has a row for each type;
+    Spark broadcasts it if it is small."""
+    known = adaptive.select("entity_type", F.col("threshold").alias("least__"))
     return spans.join(known, "entity_type", "left").where(F.col("score") >= F.coalesce("least__", F.lit(default))).drop("least__")
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake import rules
+from spanlake.plans.scratch import stored
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -52,7 +51,7 @@ def bucket(gold: DataFrame, examples: DataFrame) -> DataFrame:
 def events(examples: DataFrame, gold: DataFrame, found: DataFrame, **options: float) -> DataFrame:
     """One row for each true positive, false negative and false positive: example_id, kind,
     language, length_bucket, entity_type (gold's, for false positives the detection's), event."""
-    m = matches(gold, found, **options)
+    m = stored(matches(gold, found, **options), "matches")
     rows = (
         m.select("example_id", F.col("gold_type").alias("entity_type"), F.lit("tp").alias("event"), "type_correct")
         .unionByName(unmatched(gold, m, "g_idx").select("example_id", "entity_type", F.lit("fn").alias("event"), F.lit(None).cast("boolean").alias("type_correct")))
@@ -80,12 +79,9 @@ def breakdown(rows: DataFrame, by: str, values: list[str]) -> DataFrame:
 
 def breakdowns(rows: DataFrame) -> DataFrame:
     """By type, language and length bucket in one pass of grouping sets."""
-    head = rows.where("kind = 'headline'")
-    head.createOrReplaceTempView("events__")
-    return head.sparkSession.sql(
-        "SELECT entity_type, language, length_bucket, count_if(event='tp') AS tp, count_if(event='fp') AS fp, count_if(event='fn') AS fn "
-        "FROM events__ GROUP BY GROUPING SETS ((entity_type), (language), (length_bucket), ())"
-    )
+    sets = [["entity_type"], ["language"], ["length_bucket"], []]
+    counts = (F.count_if(F.col("event") == e).alias(e) for e in ("tp", "fp", "fn"))
+    return rows.where("kind = 'headline'").groupingSets(sets, "entity_type", "language", "length_bucket").agg(*counts)
 
 
 def negatives(examples: DataFrame, gold: DataFrame, found: DataFrame) -> DataFrame:
@@ -128,10 +124,11 @@ def hash_split(repository: Column) -> Column:
 
 
 def deduplicated(df: DataFrame, content: str, group: str, cap: int) -> DataFrame:
-    """One row for each content, at most cap of each group, by hash: a top-k by group."""
+    """One row for each content, that of the least group, at most cap of each group, by hash: a top-k by group."""
     from pyspark.sql import Window
 
-    one = df.withColumn("sha__", F.sha1(F.col(content))).dropDuplicates(["sha__"])
+    least = Window.partitionBy("sha__").orderBy(*(F.col(c) for c in [group, *sorted(df.columns)]))
+    one = df.withColumn("sha__", F.sha1(F.col(content))).withColumn("n__", F.row_number().over(least)).where("n__ = 1")
     return one.withColumn("n__", F.row_number().over(Window.partitionBy(group).orderBy("sha__"))).where(F.col("n__") <= cap).drop("n__", "sha__")
 
 
@@ -146,8 +143,3 @@ def usage(spans: DataFrame, time: str) -> DataFrame:
 def dataset_stats(rows: DataFrame, split: str, group: str, label: str) -> DataFrame:
     """split, rows, groups, positives and their share."""
     return rows.groupBy(split).agg(F.count("*").alias("rows"), F.countDistinct(group).alias("groups"), F.sum(F.col(label).cast("long")).alias("positives"), F.round(F.avg(F.col(label).cast("double")), 9).alias("share"))
-
-
-def report(rows: DataFrame) -> pd.DataFrame:
-    """The few rows of a finished report, for the driver."""
-    return rows.limit(10 * len(rules.ENTITY_TYPES)).toPandas()

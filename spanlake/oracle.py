@@ -214,7 +214,7 @@ ORACLES["restore_with_vault"] = ORACLES["restore_roundtrip"]
 VAULT = r"""keyed AS (SELECT *, lower(regexp_replace(trim(text), '\s+', ' ', 'g')) AS normalized_key FROM spans),
 idents AS (SELECT entity_type, normalized_key, min((doc_id, start)) AS f, count(*) AS usage_count FROM keyed GROUP BY 1, 2),
 vault AS (SELECT entity_type, normalized_key, row_number() OVER (PARTITION BY entity_type ORDER BY f, normalized_key) AS index, usage_count FROM idents)"""
-ORACLES["vault_numbering"] = f"WITH {ALL}, {VAULT} SELECT entity_type, normalized_key, '[' || entity_type || '_' || index || ']' AS placeholder, index, usage_count FROM vault"
+ORACLES["vault_numbering"] = ORACLES["stream_vault"] = f"WITH {ALL}, {VAULT} SELECT entity_type, normalized_key, '[' || entity_type || '_' || index || ']' AS placeholder, index, usage_count FROM vault"
 ORACLES["vault_extended"] = f"""WITH {ALL}, {VAULT.split(',' + chr(10) + 'idents')[0]},
 idents AS (SELECT entity_type, normalized_key, min((doc_id % 2, doc_id, start)) AS f, count(*) AS usage_count FROM keyed GROUP BY 1, 2)
 SELECT entity_type, normalized_key, row_number() OVER (PARTITION BY entity_type ORDER BY f, normalized_key) AS index, usage_count FROM idents"""

@@ -13,6 +13,7 @@ from spanlake.config import Config, parsed_config
 from spanlake.functions import checksum, spans, text, urls
 from spanlake.operators import detection, models, pseudonym, restore, review, scoring, synthetic
 from spanlake.plans import fixtures
+from spanlake.plans.scratch import scratch, stored
 from spanlake.sources import corpus
 from spanlake.streaming import observe
 
@@ -36,6 +37,11 @@ def found(spark: SparkSession, sf_dir: str, config: Config = Config()) -> DataFr
     return detection.detect(documents(spark, sf_dir), config)
 
 
+def found_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, spans of the documents with a span, written, for queries that use them several times."""
+    return stored(found(spark, sf_dir).where(F.size("spans") > 0).select("doc_id", "spans"), "spans")
+
+
 def found_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection.long(found(spark, sf_dir), "doc_id")
 
@@ -273,19 +279,35 @@ def vault_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("entity_type", "normalized_key", "placeholder", "index", "usage_count")
 
 
+@query
+def stream_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vault as a stream of documents fills it."""
+    path = scratch(spark, "vault-stream")
+    # A pattern, as the table may be a folder or a file and a stream reads no single file.
+    stream = spark.readStream.schema(documents(spark, sf_dir).schema).parquet(f"{sf_dir}/documents.parque[t]")
+    observe.vault_stream(detection.long(detection.detect(stream), "doc_id"), "doc_id", f"{path}/vault", f"{path}/state").awaitTermination()
+    return spark.read.schema(pseudonym.VAULT).parquet(f"{path}/vault").select("entity_type", "normalized_key", "placeholder", "index", "usage_count")
+
+
 @query
 def vault_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vault of the first half of the documents, extended by the rest."""
-    rows = found_long(spark, sf_dir)
+    rows = detection.long(found_once(spark, sf_dir), "doc_id")
     first = pseudonym.vault_update(rows.where("doc_id % 2 = 0"), "doc_id")
     return pseudonym.vault_update(rows.where("doc_id % 2 = 1"), "doc_id", first).select("entity_type", "normalized_key", "index", "usage_count")
 
 
+def _redacted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with spans, redacted by the vault of them all, and the vault."""
+    own = found_once(spark, sf_dir)
+    vault = stored(pseudonym.vault_update(detection.long(own, "doc_id"), "doc_id"), "vault")
+    docs = documents(spark, sf_dir).join(own.select("doc_id"), "doc_id", "left_semi")
+    return pseudonym.with_vault(docs, vault, "doc_id", spans=own), vault
+
+
 @query
 def redact_with_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = found(spark, sf_dir).where(F.size("spans") > 0)
-    vault = pseudonym.vault_update(detection.long(df, "doc_id"), "doc_id")
-    return pseudonym.with_vault(df, vault, "doc_id").select("doc_id", "redacted")
+    return _redacted(spark, sf_dir)[0].select("doc_id", "redacted")
 
 
 @query
@@ -304,9 +326,8 @@ def resolve_mangled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def restore_with_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = found(spark, sf_dir).where(F.size("spans") > 0)
-    vault = pseudonym.vault_update(detection.long(df, "doc_id"), "doc_id")
-    replies = pseudonym.with_vault(df, vault, "doc_id").select("doc_id", F.col("redacted").alias("reply"))
+    redacted, vault = _redacted(spark, sf_dir)
+    replies = redacted.select("doc_id", F.col("redacted").alias("reply"))
     return restore.restored_by_vault(replies, vault).select("doc_id", "restored")
 
 
@@ -387,8 +408,8 @@ def label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Examples, gold and detections: gold is what detection finds, but for every seventh
     span; of what is found, every fifth is shifted by a byte and every eleventh by ten."""
-    f = found(spark, sf_dir)
-    rows = f.select(F.col("doc_id").alias("example_id"), F.posexplode("spans").alias("idx", "s")).select("example_id", "idx", "s.start", "s.end", "s.entity_type")
+    f = documents(spark, sf_dir)
+    rows = found_once(spark, sf_dir).select(F.col("doc_id").alias("example_id"), F.posexplode("spans").alias("idx", "s")).select("example_id", "idx", "s.start", "s.end", "s.entity_type")
     k = F.col("start") + F.col("example_id")
     gold = rows.where(k % 7 != 0)
     by = F.when(k % 11 == 0, 10).when(k % 5 == 0, 1).otherwise(0)

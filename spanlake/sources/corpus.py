@@ -27,9 +27,17 @@ def read_corpus(spark: SparkSession, path: str, fail: bool = True) -> DataFrame:
 
     Blank lines are skipped. error says what is wrong with a line; with fail, a
     wrong line stops the query. That there is one metadata row and at least one
-    example is checked by check_corpus(). Lines are numbered per file.
+    example is checked by check_corpus(). Lines are numbered per file, by their bytes'
+    places: lines are counted per part of a file, and a part's numbers begin after
+    the counts of the parts before it.
     """
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id() % (1 << 33) + 1).where(F.length(F.trim("value")) > 0)
+    parts = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    # Within a part, ids ascend in the order of lines.
+    parts = parts.withColumn("id", F.monotonically_increasing_id())
+    seen = parts.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seen = seen.select("file", "block", (before - F.col("first") + 1).alias("shift"))
+    lines = parts.join(seen, ["file", "block"]).select("value", (F.col("id") + F.col("shift")).alias("line")).where(F.length(F.trim("value")) > 0)
     row = F.from_json("value", EXAMPLE + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     got = lines.withColumn("r", row).where(F.coalesce(F.col("r.recordType"), F.lit("")) != "metadata")
     checked = got.select("line", "r.*").withColumn("error", example_error())
@@ -57,13 +65,14 @@ def example_error() -> Column:
 
 
 def check_corpus(spark: SparkSession, path: str) -> None:
-    rows = spark.read.schema(METADATA).json(path).groupBy("recordType").agg(F.count("*").alias("n"), F.min("spanOffsetUnit").alias("unit")).limit(10).collect()
-    n = {r["recordType"]: r for r in rows}
-    if "metadata" not in n or n["metadata"]["n"] != 1:
+    """Raise unless there is one metadata row, of the right unit, and an example."""
+    is_meta = F.col("recordType") == "metadata"
+    rows = spark.read.schema(METADATA).json(path).agg(F.count_if(is_meta).alias("metadata"), F.min(F.when(is_meta, F.col("spanOffsetUnit"))).alias("unit"), F.count_if(F.col("recordType") == "example").alias("examples")).first()
+    if rows["metadata"] != 1:
         raise ValueError("a corpus has exactly one metadata row")
-    if n["metadata"]["unit"] != "utf8-bytes":
+    if rows["unit"] != "utf8-bytes":
         raise ValueError("spanOffsetUnit must be utf8-bytes")
-    if "example" not in n:
+    if not rows["examples"]:
         raise ValueError("a corpus has at least one example")
 
 

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanlake.functions.text import normalized_key
-from spanlake.operators.pseudonym import placeholder
+from spanlake.operators.pseudonym import VAULT, identities, numbered
+from spanlake.plans.scratch import dropped, mark
 
 QUIET = "500 milliseconds"
 
@@ -54,28 +55,25 @@ def changed_stream(checks: DataFrame, key: str, time: str, value: str) -> DataFr
     return checks.select(key, time, value).groupBy(key).applyInPandasWithState(step, schema, f"last {types[value]}", "append", GroupStateTimeout.NoTimeout)
 
 
-def vault_stream(spans: DataFrame) -> DataFrame:
-    """entity_type, normalized_key, placeholder, index: an identity is numbered when it is
-    first seen, within its type. spans: (entity_type, text, order).
+def vault_stream(spans: DataFrame, key: str, path: str, checkpoint: str, **trigger: object) -> StreamingQuery:
+    """Extend the vault under path by a stream of long spans (key, start, entity_type, text): the
+    identities of a batch that the vault lacks are numbered on from it, in the order (key, start).
 
-    Numbers of a type must not repeat, so a type is one key with its counter; what is known
-    of it are 64-bit hashes of its identities. Batches are made distinct before.
+    The vault is a table, not a state: a batch is joined with it, so no task holds a type, and
+    its own records make up the folder batch=<number>. A batch that is run again sees
+    the batches before it only and writes the same folder anew. Uses are those of the
+    batch in which an identity is first seen.
     """
-    rows = spans.select("entity_type", normalized_key(F.col("text")).alias("normalized_key"), F.col("order").cast("long").alias("order"))
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, known = (state.get[0], set(state.get[1])) if state.exists else (0, set())
-        out = []
-        for name, code in pd.concat(list(batches)).sort_values("order")[["normalized_key", "code"]].itertuples(index=False):
-            if code not in known:
-                known.add(code)
-                count += 1
-                out.append((k[0], name, count))
-        state.update((count, sorted(known)))
-        yield pd.DataFrame(out, columns=["entity_type", "normalized_key", "index"])
-
-    got = rows.withColumn("code", F.xxhash64("normalized_key")).groupBy("entity_type").applyInPandasWithState(step, "entity_type string, normalized_key string, index long", "count long, known array<long>", "append", GroupStateTimeout.NoTimeout)
-    return got.withColumn("placeholder", placeholder(F.col("entity_type"), F.col("index")))
+    def extend(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        begun = mark()
+        known = spark.read.schema(VAULT + ", batch long").parquet(path).where(F.col("batch") < number) if number else None
+        new = numbered(identities(batch, key), known)
+        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        dropped(spark, begun)
+
+    return spans.writeStream.foreachBatch(extend).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def filed(sightings: DataFrame) -> DataFrame:

@@ -220,11 +220,19 @@ def run(df, name, tmp_path, mode="append"):
 
 
 def test_vault_stream(spark, tmp_path):
-    rows = [("EMAIL" if i % 3 else "PHONE", f"Name {i % 12}", i) for i in range(60)]
-    got = run(observe.vault_stream(stream_of(spark, tmp_path, "v", rows, "entity_type string, text string, order long")), "vault_s", tmp_path)
+    """Two batches, each with new and known identities; the second is run again."""
+    rows = [(i, 0, "EMAIL" if i % 3 else "PHONE", f"Name {i % (8 + 4 * (i % 2))}") for i in range(60)]
+    stream = stream_of(spark, tmp_path, "v", rows, "k long, start int, entity_type string, text string")
+    path, state = str(tmp_path / "vault"), str(tmp_path / "state")
+    for _ in range(2):
+        q = observe.vault_stream(stream, "k", path, state)
+        q.awaitTermination(120)
+    got = spark.read.parquet(path).collect()
+    assert {r["batch"] for r in got} == {0, 1}
     for kind in ("EMAIL", "PHONE"):
         own = [r for r in got if r["entity_type"] == kind]
         assert sorted(r["index"] for r in own) == list(range(1, len(own) + 1)) and len({r["normalized_key"] for r in own}) == len(own)
+    assert {(r["entity_type"], r["normalized_key"]) for r in got} == {(t, n.lower()) for _, _, t, n in rows}
 
 
 def test_quiet_periods_in_a_stream(spark, tmp_path):
