@@ -39,12 +39,14 @@ _encoders: dict = {}
 class Encoder:
     """Token ids of a byte-level BPE vocabulary, as the tokenizers library gives them.
 
-    tiktoken runs the same merges about four times as fast; texts that name an
-    added token, and one text in each batch as a control, go through
-    tokenizers. If a control differs, so does all that follows.
+    tiktoken runs the same merges about four times as fast. It is used if the file says
+    what it takes for granted (byte-level split, no normalizer, pieces numbered in the
+    order of their merges); texts that name an added token go through tokenizers, and so
+    does the shortest text of each batch, as a control. A control that differs is an error:
+    such a file needs exact=True, which uses tokenizers alone.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, exact: bool = False):
         import json
 
         import tiktoken
@@ -59,7 +61,7 @@ class Encoder:
         # The split that a byte-level pre-tokenizer makes; a fixed value.
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.trusted = True
+        self.trusted = not exact and self.expected(spec)
 
     @staticmethod
     def _byte_names(alphabet: list[str]) -> dict[str, int]:
@@ -68,21 +70,31 @@ class Encoder:
         rest = [b for b in range(256) if chr(b) not in own]
         return own | {chr(256 + i): b for i, b in enumerate(rest)}
 
+    @staticmethod
+    def expected(spec: dict) -> bool:
+        """Whether a file's settings are those of the split and the merges above."""
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+        made = [model["vocab"].get(a + b, -1) for a, b in merges]
+        plain = spec.get("normalizer") is None and model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        return plain and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and made == sorted(made) and (not made or made[0] >= 0)
+
     def __call__(self, texts: list[str]) -> Iterator[list[int]]:
+        control = min(range(len(texts)), key=lambda i: (not texts[i], len(texts[i]))) if texts else 0
         for i, text in enumerate(texts):
             if not self.trusted or any(a in text for a in self.added):
                 yield self.exact.encode(text, add_special_tokens=False).ids
                 continue
             ids = self.fast.encode_ordinary(text)
-            if i == 0 and len(text) < 20_000:
-                self.trusted = ids == (ids := self.exact.encode(text, add_special_tokens=False).ids)
+            if i == control and ids != self.exact.encode(text, add_special_tokens=False).ids:
+                raise ValueError("this vocabulary's merges give other ids by rank; use exact=True")
             yield ids
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, exact: bool = False) -> Encoder:
+    if (path, exact) not in _encoders:
+        _encoders[path, exact] = Encoder(path, exact)
+    return _encoders[path, exact]
 
 
 def cuts(n: int, capacity: int = CAPACITY, small: int = SMALL) -> list[int]:
@@ -135,12 +147,12 @@ class Bins:
             self._write(pieces)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, exact: bool = False) -> DataFrame:
     """One row for each piece of a row of docs; tokenizer: a byte-level BPE file of the tokenizers library."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, bins = encoder(tokenizer), Bins(TaskContext.get().partitionId(), capacity)
+        encode, bins = encoder(tokenizer, exact), Bins(TaskContext.get().partitionId(), capacity)
         ids_of: dict = {}
         names = ["doc_id", *(x.split()[0] for x in PIECES.split(", "))]
 

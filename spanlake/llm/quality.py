@@ -205,8 +205,11 @@ def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, bits: int =
                     values.append(value[a:b][first].astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["grade", "places", "values"])
 
-    # The chosen rows are at most `sample` ids and grades, so they may be broadcast.
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("grade", "text").limit(2 * sample).mapInArrow(run, "grade int, places binary, values binary").toPandas()
+    # The chosen rows are at most `sample` ids and grades, so they may be broadcast; an id's text is
+    # that of the least hash, so there are no more texts than ids.
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = one.select("grade", "t.text").mapInArrow(run, "grade int, places binary, values binary").toPandas()
     if not len(rows):
         return Model(np.zeros(1 << bits, np.float32), np.full(GRADES - 1, -np.inf))
     return fit([np.frombuffer(x, np.int32) for x in rows["places"]], [np.frombuffer(x, np.float16) for x in rows["values"]], rows["grade"].to_numpy(np.int64), bits)

@@ -42,7 +42,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     path = scratch(spark, "warc")
     warc.write(warc.with_revisits(pages, "page_id", "url", "html"), path)
-    page = lambda c: F.expr(f"try_cast(split({c}, ':')[2] AS {dict(pages.dtypes)['page_id']})")
+    page = lambda c: warc.id_of(F.col(c), dict(pages.dtypes)["page_id"])
     return warc.read(spark, path).select(
         page("record_id").alias("page_id"),
         F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_length")).alias("payload_bytes"),

@@ -7,7 +7,8 @@ orders them by segment number, verifies the total length and decodes the
 chunked framing. Of equal payloads one row is the response; the others are
 revisit records without a payload.
 
-Archives are gzip files of at most file_records records in the shared folder.
+Archives are gzip files of at most file_bytes bytes of records (or one row's) in the
+shared folder; a row's records are in one file.
 The reader streams each of them; besides the compressed file a task holds one
 record's segments. Records in one piece are not shuffled.
 
@@ -86,18 +87,26 @@ def records(record_id: str, uri: str | None, payload: bytes, digest: str, refers
             yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{record_id}:{n}>"), ("WARC-Date", date), ("WARC-Segment-Number", n), ("WARC-Segment-Origin-ID", f"<{record_id}>"), ("WARC-Segment-Total-Length", total)], block[i : i + segment_bytes])
 
 
-def write(rows: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z", segment_bytes: int = 8192, chunk_bytes: int = 4096, file_records: int = 5000) -> None:
+def write(rows: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z", segment_bytes: int = 8192, chunk_bytes: int = 4096, file_bytes: int = 128 << 20) -> None:
     """Archives of rows (record_id, uri, payload, digest, refers_to) under path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = size = 0
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("record_id", "uri", "payload", "digest", "refers_to")]
-            out = [r for i, u, p, d, t in zip(*cols) for r in records(i, u, p or b"", d, t, date, segment_bytes, chunk_bytes)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+            out, files = [], []
+            for i, u, p, d, t in zip(*cols):
+                own = list(records(i, u, p or b"", d, t, date, segment_bytes, chunk_bytes))
+                if size and size + sum(map(len, own)) > file_bytes:
+                    file, size = file + 1, 0
+                size += sum(map(len, own))
+                out += own
+                files += [file] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(files, pa.int32())], ["record", "file"])
 
     # The text writer puts any bytes as they are; its line end is the one that ends a record.
-    lines = rows.select("record_id", "uri", F.col("payload").cast("binary"), "digest", "refers_to").mapInArrow(run, "record binary")
-    lines.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    lines = rows.select("record_id", "uri", F.col("payload").cast("binary"), "digest", "refers_to").mapInArrow(run, "record binary, file int")
+    lines.select(F.col("record").cast("string"), "file").write.partitionBy("file").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def inflated(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
@@ -245,6 +254,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(whole, FIELDS).unionByName(joined)
 
 
+def id_of(record_id: Column, kind: str) -> Column:
+    """The id, of an SQL type, in a record's name from with_revisits(); null if it has none."""
+    part = F.split(record_id, ":")[2]
+    return F.when(part.startswith("id="), F.try_url_decode(F.substring(part, 4, 1 << 30))).try_cast(kind)
+
+
 def with_revisits(rows: DataFrame, id_col: str, uri: str, payload_col: str, scheme: str = "urn:page") -> DataFrame:
     """record_id, uri, payload, digest, refers_to: of rows with equal payloads
     that with the largest id is the response. Counting is pre-aggregated; the
@@ -252,6 +267,6 @@ def with_revisits(rows: DataFrame, id_col: str, uri: str, payload_col: str, sche
     base = rows.select(F.col(id_col).alias("id"), F.col(uri).cast("string").alias("uri"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     base = base.withColumn("digest", base32(F.sha1("payload"))).withColumn("row", F.xxhash64("uri", "payload"))
     last = base.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("last"))
-    name = lambda i, r: F.concat_ws(":", F.lit(scheme), F.coalesce(i.cast("string"), F.lit("none")), F.lower(F.hex(r)))
+    name = lambda i, r: F.concat_ws(":", F.lit(scheme), F.coalesce(F.concat(F.lit("id="), F.url_encode(i.cast("string"))), F.lit("none")), F.lower(F.hex(r)))
     own, of = name(F.col("id"), F.col("row")), name(F.col("last.id"), F.col("last.row"))
     return base.join(last, "digest").select(own.alias("record_id"), "uri", "payload", "digest", F.when(own != of, of).alias("refers_to"))

@@ -56,8 +56,13 @@ def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, digest string")
     for segment in (64, 8192):
         path = scratch(spark, "test-warc")
-        warc.write(warc.with_revisits(pages, "page_id", "url", "html"), path, segment_bytes=segment if segment > 64 else 997, chunk_bytes=777, file_records=3)
-        got = warc.read(spark, path).collect()
+        warc.write(warc.with_revisits(pages, "page_id", "url", "html"), path, segment_bytes=segment if segment > 64 else 997, chunk_bytes=777, file_bytes=40_000)
+        files = spark.read.format("binaryFile").load(path).select("content").collect()
+        for f in files:
+            held = [(x.get("warc-segment-origin-id", x["warc-record-id"]), len(b)) for x, b in warc.parsed(bytes(f["content"]))]
+            assert sum(n for _, n in held) <= 40_000 or len({o for o, _ in held}) == 1
+        assert len(files) > 3
+        got = warc.read(spark, path).withColumn("id", warc.id_of(F.col("record_id"), "long")).collect()
         assert len(got) == len(rows) and all(r["intact"] for r in got)
         last = {}
         for i, _, h in rows:
@@ -68,14 +73,23 @@ def test_warc_round_trip(spark):
             expect[i, digest, "response" if last[h or ""] in (i, -1) else "revisit"] += 1
         seen = Counter()
         for r in got:
-            i = r["record_id"].split(":")[2]
+            i = r["id"]
             if r["type"] == "response":
                 assert base64.b32encode(hashlib.sha1(bytes(r["payload"])).digest()).decode() == r["digest"]
                 assert len(r["payload"]) == r["payload_length"]
-            seen[None if i == "none" else int(i), r["digest"], r["type"]] += 1
+            seen[i, r["digest"], r["type"]] += 1
         assert seen == expect
 
 
+def test_warc_ids_of_strings(spark, tmp_path):
+    from spanlake.llm.queries import op1_warc
+
+    rows = [("a:b", "same"), ("a:c", "same"), ("none", "x"), (None, "y"), ("", "z"), ("id=1 %41+é", "long" * 9000), (None, "same")]
+    spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id string, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in op1_warc(spark, str(tmp_path)).collect())
+    assert got == Counter((i, len(t.encode()), "revisit" if t == "same" and i != "a:c" else "response", "a:c" if t == "same" and i != "a:c" else None) for i, t in rows)
+
+
 def test_warc_reports_broken_records(spark):
     from spanlake.llm import warc
     from spanlake.llm.common import scratch
@@ -281,6 +295,29 @@ def test_packing_round_trip(spark):
     assert sum(a for a, _ in used) >= 0.99 * sum(b for _, b in used)
 
 
+def test_encoder_takes_the_exact_way_where_a_file_differs(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    from spanlake.llm.packing import Encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    spec = json.loads(open(path, encoding="utf-8").read())
+    assert Encoder.expected(spec) and Encoder(path).trusted and not Encoder(path, exact=True).trusted
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}):
+        assert not Encoder.expected(spec | change)
+    (tmp_path / "lower.json").write_text(json.dumps(spec | {"normalizer": {"type": "Lowercase"}}))
+    texts = [text_of(3000, 5), "Some ÜPPER text", "", "  odd \x00 spaces\n\n "]
+    for p in (path, str(tmp_path / "lower.json")):
+        e = Encoder(p)
+        assert list(e(texts)) == [e.exact.encode(t, add_special_tokens=False).ids for t in texts]
+    broken = Encoder(path)
+    broken.fast = type("Off", (), {"encode_ordinary": staticmethod(lambda t: [0])})
+    with pytest.raises(ValueError, match="exact=True"):
+        list(broken(texts))
+
+
 def test_packing_cuts():
     from spanlake.llm.packing import Bins, cuts
 
@@ -332,6 +369,52 @@ def test_passages_are_found(spark):
     assert shared_passages(documents(spark, [])).count() == 0
 
 
+def test_passages_link_every_shared_window(spark):
+    """Brute force: of each window of 50 words that several texts hold, 45 words are in passages
+    that link all of them, if by way of other texts; texts in passages share 45 words."""
+    from spanlake.llm.passages import shared_passages
+
+    r = random.Random(21)
+    own = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    blocks = [own(r.randrange(50, 120)) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        words = own(r.randrange(5, 40))
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            block = r.choice(blocks)
+            at = r.randrange(0, len(block) - 49)
+            part = block[at : r.randrange(at + 50, len(block) + 1)]
+            words += part * r.choice([1, 1, 1, 3]) + own(r.randrange(0, 30))
+        rows.append((i, words))
+    rows += [(200, ["und"] * 70), (201, ["und"] * 90 + own(5)), (202, own(3) + ["und"] * 49), (203, rows[5][1]), (204, own(400))]
+    rows += [(300 + i, own(10) + b[k : k + 20] + own(10)) for i, b in enumerate(blocks) for k in (0, 15)]
+    got = shared_passages(documents(spark, [(i, " ".join(w)) for i, w in rows], extra=False)).collect()
+
+    def holders(n):
+        out = defaultdict(dict)
+        for i, w in rows:
+            for p in range(len(w) - n + 1):
+                out[tuple(w[p : p + n])].setdefault(i, []).append(p)
+        return [at for at in out.values() if len(at) > 1]
+
+    assert {x for g in got for x in (g["doc_id"], g["other_id"])} <= {i for at in holders(45) for i in at}
+    shared = holders(50)
+    assert len(shared) > 200
+    for at in shared:
+        root = {i: i for i, _ in rows}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        over = lambda i, start, end, at=at: any(min(end, p + 50) - max(start, p) >= 45 for p in at.get(i, []))
+        for g in got:
+            if over(g["doc_id"], g["start"], g["end"]) or over(g["other_id"], g["other_start"], g["other_end"]):
+                root[find(g["doc_id"])] = find(g["other_id"])
+        assert len({find(i) for i in at}) == 1, at
+
+
 def test_passages_whose_seeds_are_all_elsewhere(spark):
     from spanlake.llm.passages import shared_passages
 
