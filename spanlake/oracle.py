@@ -296,3 +296,21 @@ ORACLES["auto_approved"] = with_spans("SELECT doc_id, start, score FROM spans WH
 ORACLES["used_mappings"] = f"WITH {CHATS} SELECT '[PERSON_' || i || ']' AS token, 'p' || i AS original, count(*) AS n FROM chats, generate_series(1, 9) g(i) WHERE contains(text, 'PERSON_' || i) GROUP BY i"
 ORACLES["gazetteer"] = "SELECT id, strlen(substr(t, 1, instr(t, w) - 1))::INT AS start, k AS entity_type, w AS text FROM (SELECT id::BIGINT AS id, concat_ws(' ', text, 'by Anna Müller, Berlin') AS t FROM " + FIXTURE + "), (VALUES ('Anna Müller', 'PERSON'), ('Berlin', 'LOCATION')) AS g(w, k)"
 ORACLES["code_alias"] = "SELECT * FROM (VALUES (1, 'var1'), (2, '_field2'), (3, 'Field3'), (4, 'CONST_4'), (5, 'func_5'), (6, 'Class6'), (7, 'param7')) AS v(id, alias)"
+
+#: Text between tags; comments and what pages don't show are cut out first. The pages have four kinds of references.
+ORACLES["page_transcripts"] = r"""
+WITH cut AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '<>', 'g'), '(?si)<script\b.*?</script>', '<>', 'g'), '(?si)<style\b.*?</style>', '<>', 'g') AS h FROM pages),
+nodes AS (SELECT page_id, html, list_transform(string_split_regex(h, '<[^>]*>'), lambda t: regexp_replace(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^\s+|\s+$', '', 'g')) AS t FROM cut)
+SELECT page_id, CASE WHEN html IS NOT NULL THEN array_to_string(list_filter(t, lambda x: x <> ''), chr(10)) END AS text FROM nodes"""
+
+
+def pooled(values: list[str]) -> str:
+    """The pool's value for index; later rounds have their number behind a blank or dash."""
+    value, n = f"{listed(values)}[1 + (index - 1) % {len(values)}]", len(values)
+    return f"({value} || CASE WHEN index > {n} THEN CASE WHEN regexp_full_match({value}, '[0-9\\s+\\-()]+') THEN '-' ELSE ' ' END || CAST((index - 1) // {n} + 1 AS VARCHAR) ELSE '' END)"
+
+
+_LOCAL = f"regexp_replace(regexp_replace(lower({pooled(rules.POOLS['PERSON'])}), '[^a-z0-9]+', '.', 'g'), '^\\.+|\\.+$', '', 'g')"
+_DOMAIN = f"{listed(rules.EMAIL_DOMAINS)}[1 + (index - 1) % {len(rules.EMAIL_DOMAINS)}]"
+ORACLES["synthetic_values"] = f"""WITH {ALL}, {VAULT} SELECT '[' || entity_type || '_' || index || ']' AS placeholder,
+CASE entity_type WHEN 'EMAIL' THEN {_LOCAL} || '@' || {_DOMAIN} {' '.join(f"WHEN '{t}' THEN {pooled(v)}" for t, v in rules.POOLS.items() if t != 'EMAIL')} ELSE '' END AS synthetic_value FROM vault"""
