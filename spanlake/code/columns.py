@@ -5,6 +5,8 @@ Texts without any sign of code or of error output are answered natively.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -155,16 +157,6 @@ def _widened(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@arrow("array<boolean>")
-def _generic(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
-    for text, own in zip(texts, spans):
-        code = regions.all_code(text)
-        ranges = [(_chars(text, s["start"]), _chars(text, s["end"])) for s in own]
-        out.append([identifiers.only_generic(text, a, b, any(x <= a < y for x, y in code)) for a, b in ranges])
-    return pd.Series(out)
-
-
 @arrow("array<boolean>")
 def _bare(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([[identifiers.takes_bare(t, _chars(t, s["start"]), _chars(t, s["end"])) for s in own] for t, own in zip(texts, spans)])
@@ -180,9 +172,20 @@ def widened(text: Column, spans: Column) -> Column:
     return _widened(F.coalesce(text, F.lit("")), spans)
 
 
-def without_generic(text: Column, spans: Column) -> Column:
+def without_generic(text: Column, spans: Column, generic: Iterable[str] = identifiers.GENERIC) -> Column:
     """Without a model's spans that are generic words within identifiers or code."""
-    zipped = F.arrays_zip(spans.alias("s"), _generic(F.coalesce(text, F.lit("")), spans).alias("g"))
+    known = frozenset(generic)
+
+    @arrow("array<boolean>")
+    def marked(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, own in zip(texts, spans):
+            code = regions.all_code(text)
+            ranges = [(_chars(text, s["start"]), _chars(text, s["end"])) for s in own]
+            out.append([identifiers.only_generic(text, a, b, any(x <= a < y for x, y in code), known) for a, b in ranges])
+        return pd.Series(out)
+
+    zipped = F.arrays_zip(spans.alias("s"), marked(F.coalesce(text, F.lit("")), spans).alias("g"))
     return F.transform(F.filter(zipped, lambda z: ~((z["s"]["source"] == "ner") & z["g"])), lambda z: z["s"])
 
 

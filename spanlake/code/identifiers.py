@@ -93,11 +93,11 @@ def widened(text: str, regions: Sequence[tuple[int, int]], spans: Iterable[tuple
     return sorted({m.span() for a, b in regions for m in IDENTIFIER.finditer(text, a, b) if m[0] in names})
 
 
-def only_generic(text: str, a: int, b: int, in_code: bool) -> bool:
+def only_generic(text: str, a: int, b: int, in_code: bool, generic: frozenset[str] | set[str] = frozenset(GENERIC)) -> bool:
     """Whether a span has generic words alone and is glued, compound, or in code."""
     parts = [w.lower() for i in IDENTIFIER.findall(text[a:b]) for w in words(i)]
     glued = (a > 0 and re.match(r"[\w$]", text[a - 1])) or (b < len(text) and re.match(r"[\w$]", text[b]))
-    return bool(parts) and all(w in GENERIC for w in parts) and bool(in_code or glued or len(parts) > 1)
+    return bool(parts) and all(w in generic for w in parts) and bool(in_code or glued or len(parts) > 1)
 
 
 def takes_bare(text: str, a: int, b: int) -> bool:

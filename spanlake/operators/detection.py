@@ -103,7 +103,8 @@ def model_spans(given: Column, text: Column, public_domains: tuple[str, ...] = (
     return F.filter(cut, lambda s: (s["entity_type"] != "URL") | private_url(s["text"], public_domains))
 
 
-REVEALING = ("PERSON", "USERNAME", "EMAIL", "ORGANIZATION", "LOCATION", "ADDRESS", "PHONE")
+# Fixed value: types that make a path private.
+REVEALING = ("PERSON", "USERNAME", "ORGANIZATION", "EMAIL", "ADDRESS", "PHONE", "MISC")
 
 
 def promoted(df: DataFrame, minimum: float, text: str = "text") -> DataFrame:

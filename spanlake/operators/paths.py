@@ -30,21 +30,28 @@ def trim(s: str) -> str:
     return s
 
 
+#: Fixed value: characters that file names can't have.
+NOT_IN_NAMES = frozenset("<>|*?\"")
+
+
 def path_may_start(text: str, at: int) -> bool:
     """At the text's start, after file://, white space, or an opening mark."""
     return at == 0 or text.endswith("file://", 0, at) or text[at - 1].isspace() or text[at - 1] in OPENERS
 
 
 def extended(text: str, start: int, end: int) -> int:
-    """The end of a path whose file name has spaces: up to the closing quote if it is
-    quoted, else over at most MORE_WORDS words that lead to a file extension."""
+    """The end of a path whose file name has spaces: up to the closing quote if it is quoted
+    and nothing before it that names can't have; else, if the last name has no dot, over at
+    most MORE_WORDS words that lead to a file extension."""
     line = text.find("\n", end)
     rest = text[end : line if line >= 0 else len(text)]
     quote = text[start - 1] if start and text[start - 1] in "\"'`" else ""
     if quote:
         close = rest.find(quote)
-        return end + close if close >= 0 else end
-    if EXTENSION.search(text[start:end]):
+        if close >= 0 and not set(rest[:close]) & NOT_IN_NAMES:
+            return end + close
+    name = re.split(r"[\\/]", text[start:end])[-1]
+    if not name or "." in name:
         return end
     at = 0
     for _ in range(MORE_WORDS):

@@ -245,3 +245,22 @@ def test_token_spans_cover_whole_texts_of_all_documents(spark, tmp_path):
     got = {(r["doc_id"], r["start"], r["end"], r["text"]) for r in QUERIES["token_spans"](spark, str(tmp_path)).collect()}
     want = {(i, len(t[: m.start()].encode()), len(t[: m.end()].encode()), m[0]) for i, t in rows if t for m in re.finditer(r"\S+", t) if "A" <= m[0][0] <= "Z"}
     assert got == want and len(got) == 1800
+
+
+def test_ends_of_paths_with_spaces():
+    from spanlake.operators.paths import path_ranges
+
+    want = {
+        'see "C:\\Users\\Anna Kovacs\\my plan.docx" now': ["C:\\Users\\Anna Kovacs\\my plan.docx"], 'see "C:\\Users\\Anna a<b" now': ["C:\\Users\\Anna"], "/home/anna/my offer final.pdf yes": ["/home/anna/my offer final.pdf"],
+        "/home/anna/a.b more.pdf": ["/home/anna/a.b"], "/home/anna/ dir.pdf": ["/home/anna/"],
+    }
+    assert {t: [t[a:b] for a, b in path_ranges(t)] for t in want} == want
+
+
+def test_words_that_are_generic_are_a_parameter(spark):
+    from spanlake.code import columns
+
+    s = "array<struct<start:int,end:int,text:string,source:string>>"
+    df = spark.createDataFrame([("const walrusData = f(1);", [(6, 16, "walrusData", "ner")])], f"t string, s {s}")
+    kept = lambda *words: len(df.select(columns.without_generic(F.col("t"), F.col("s"), *words).alias("s")).first()["s"])
+    assert kept() == 1 and kept({"walrus", "data"}) == 0
