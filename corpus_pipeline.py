@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.llm import decontamination, hyperminhash, line_dedup, quality
-from spanlake.llm.common import scratch, table, tune
+from spanlake.llm.common import dropped, mark, scratch, table, tune
 from spanlake.llm.packing import pack
 
 SHINGLE = 5
@@ -50,9 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage and its operator wrote is deleted when the next stage is written."""
+    docs, begun = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        dropped(spark, begun, docs)
     return docs
