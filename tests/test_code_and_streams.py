@@ -249,3 +249,19 @@ def test_changed_stream_equals_table(spark, tmp_path):
     got = run(observe.changed_stream(stream_of(spark, tmp_path, "c", rows, schema, files=1), "k", "t", "v"), "changed_s", tmp_path)
     table = observe.changed(spark.createDataFrame(rows, schema), "k", "t", "v").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, table))
+
+
+def test_scratch_tables_are_dropped(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from spanlake.plans import scratch
+
+    begun = scratch.mark()
+    a, b = (scratch.stored(spark.range(5), f"test-{x}") for x in "ab")
+    folders = [Path(urlparse(f).path).parent for df in (a, b) for f in df.inputFiles()[:1]]
+    assert all(f.exists() for f in folders)
+    scratch.dropped(spark, begun, keep=b)
+    assert [f.exists() for f in folders] == [False, True] and b.count() == 5
+    scratch.dropped(spark, begun)
+    assert not any(f.exists() for f in folders)
