@@ -259,6 +259,78 @@ def test_quality_on_odd_rows(spark):
     assert quality.score(documents(spark, []), model).count() == 0
 
 
+def brute_score(text, weights, bits):
+    """The sum of a text's features times their weights, word by word."""
+    from spanlake.llm import quality
+    from spanlake.llm.textvec import U, mix, span_hash
+
+    def place(piece, salt):
+        h = span_hash(np.frombuffer(piece, np.uint8), np.array([0]), np.array([len(piece)]))
+        return int(mix(h + U(salt))[0]) >> (64 - bits)
+
+    data = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode()
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", data)
+    counts = Counter(place(w, 11) for w in words)
+    total = sum((1 + np.log(n)) * weights[p] for p, n in counts.items())
+    for n in quality.STEMS:
+        total += sum((1 + np.log(c)) * weights[p] for p, c in Counter(place(w[:n], 20 + n) for w in words if len(w) > n).items())
+    raw = (text or "").encode()
+    forms = [bytes(quality.SHAPE[list(t)]) for t in re.split(rb"[ \t\n\x0b\x0c\r\0]+", raw) if t]
+    forms = Counter(place(re.sub(rb"(.)\1+", rb"\1", f, flags=re.S), 12) for f in forms)
+    total += sum(4 * np.sqrt(n / sum(forms.values())) * weights[p] for p, n in forms.items())
+    if words and len(counts) / len(words) < quality.REPEATED:
+        total += weights[int(mix(np.array([int(16 * len(counts) / len(words)) + (13 << 32)], U))[0]) >> (64 - bits)]
+    return total
+
+
+def test_quality_scores_equal_brute_force(spark):
+    from spanlake.llm import quality
+
+    bits = 10
+    weights = -np.random.default_rng(2).random(1 << bits).astype(np.float32) / 50
+    model = quality.Model(weights, np.array([-3.0, -1.5]))
+    rows = [(i, t) for i, t in odd_rows() if t is None or len(t) < 20_000] + [(100, "the " * 60 + "End."), (101, "A1 b2!! CCC-ddd\n\n3,14 ÄÖ"), (102, "x")]
+    got = sorted(((r["doc_id"], r["expected_grade"], r["p_clean"]) for r in quality.score(documents(spark, rows), model, bits).select("doc_id", "expected_grade", "p_clean").collect()), key=repr)
+    want = []
+    for i, t in rows:
+        tails = [1 / (1 + np.exp(b - brute_score(t, weights, bits))) for b in model.thresholds]
+        want.append((i, sum(tails), tails[-1]))
+    for (i, e, p), (j, f, q) in zip(got, sorted(want, key=repr)):
+        assert i == j and abs(e - f) < 1e-4 and abs(p - q) < 1e-4
+    none = quality.score(documents(spark, []), model, bits)
+    assert none.count() == 0
+
+
+def test_quality_fit_is_a_least_of_its_loss():
+    """No small step of a single weight or threshold lowers the penalised loss that is fitted."""
+    from spanlake.llm import quality
+
+    r = np.random.default_rng(4)
+    grade = np.repeat([0, 1, 2], 60)
+    places = [np.array(sorted(r.choice([1, 2, 3, 4, 5], p=[[0.6, 0.1, 0.1, 0.1, 0.1], [0.1, 0.6, 0.1, 0.1, 0.1], [0.05, 0.05, 0.3, 0.3, 0.3]][g], size=2, replace=False))) for g in grade]
+    values = [np.ones(len(p), np.float32) for p in places]
+    m = quality.fit(places, values, grade, bits=8, steps=3000, l1=1e-4)
+
+    def loss(weights, thresholds):
+        score = np.array([weights[p].sum() for p in places])
+        tail = 1 / (1 + np.exp(thresholds[None, :] - score[:, None]))
+        p = np.column_stack([1 - tail[:, 0], tail[:, 0] - tail[:, 1], tail[:, 1]])[np.arange(len(grade)), grade]
+        return -np.mean(np.log(np.maximum(p, 1e-12))) + 1e-4 * np.abs(weights).sum()
+
+    best = loss(m.weights.astype(float), m.thresholds)
+    assert (m.weights <= 0).all() and m.thresholds[0] < m.thresholds[1] and (m.weights[[1, 2]] < -0.1).all()
+    for at in np.flatnonzero(m.weights):
+        for step in (-0.05, 0.05):
+            w = m.weights.astype(float)
+            w[at] = min(w[at] + step, 0)
+            assert loss(w, m.thresholds) > best - 2e-4
+    for k in range(2):
+        for step in (-0.05, 0.05):
+            t = m.thresholds.copy()
+            t[k] += step
+            assert loss(m.weights.astype(float), t) > best - 2e-4
+
+
 # ---- op 4
 
 
