@@ -59,6 +59,8 @@ LOW_MARGIN = 0.07
 WHOLE_MARGIN = 0.01
 #: Pairs with one class, its set held once, that one task confirms.
 PER_TASK = 256
+#: Parts of the counts of a class's pairs, so that a frequent class isn't one key.
+SALTS = 16
 #: Classes in a block of a bucket whose pairs across components are compared.
 BLOCK = 256
 
@@ -175,19 +177,27 @@ def banded(classes: DataFrame) -> DataFrame:
     return classes.select("sid", "sketch").mapInArrow(run, "bucket long, band int, sid binary")
 
 
+def dealt(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) with the share of a's pairs that each is in; PER_TASK or so make up a share."""
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("shares")).where("shares > 1")
+    hubs = hubs.select("a", "shares", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")).join(hubs, ["a", "salt"], "left")
+    return salted.select("a", "b", F.pmod(F.xxhash64("b", F.lit(1)), F.coalesce("shares", F.lit(1))).cast("int").alias("share"))
+
+
 def near(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (a, b), those whose sketches and sizes admit the bound."""
-    left = classes.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    """Of pairs (a, b, share), those whose sketches and sizes admit the bound."""
+    left = pairs.select("a", "share").distinct().join(classes.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     right = classes.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    both = pairs.join(right, "b").where("b != a").join(left, "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    both = pairs.join(right, "b").join(left, ["a", "share"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(len(batch), -1) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array(estimate(x, y) >= percent / 100 - MARGIN))
+                yield batch.select(["a", "b", "share"]).filter(pa.array(estimate(x, y) >= percent / 100 - MARGIN))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "share", "sa", "sb").mapInArrow(run, "a binary, b binary, share int")
 
 
 def low_alike(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -287,14 +297,12 @@ def class_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE, low:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) with 100 * |both| >= percent * |either| on full sets."""
+    """The pairs (a, b, share) with 100 * |both| >= percent * |either| on full sets."""
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     sets = stored(class_sets(docs, stored(classes.join(ids, "sid", "left_semi"), "wanted"), shingle), "sets")
-    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("shares"))
-    salted = pairs.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
-    others = salted.join(sets.withColumnRenamed("sid", "b"), "b").select("a", "share", "b", "values")
-    centres = shares.join(sets.withColumnRenamed("sid", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("binary").alias("b"), "values")
+    others = pairs.join(sets.withColumnRenamed("sid", "b"), "b").select("a", "share", "b", "values")
+    centres = pairs.select("a", "share").distinct().join(sets.withColumnRenamed("sid", "a"), "a").select("a", "share", F.lit(None).cast("binary").alias("b"), "values")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, np.zeros(0, U)
@@ -333,8 +341,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     score = shared.groupBy("sid").agg(F.sum("members").alias("score"))
     ranked = shared.join(score, "sid").select("bucket", "sid", F.struct("score", "sid").alias("rank"))
     centres = ranked.groupBy("bucket").agg(F.max("rank").alias("top")).select("bucket", F.col("top.sid").alias("a"))
-    stars = shared.join(centres, "bucket").select("a", F.col("sid").alias("b")).where("a != b").distinct()
-    links = stored(confirmed(near(stars, classes, percent), docs, classes, percent, shingle), "links")
+    stars = stored(shared.join(centres, "bucket").select("a", F.col("sid").alias("b")).where("a != b").distinct(), "stars")
+    links = stored(confirmed(near(stored(dealt(stars), "dealt"), classes, percent), docs, classes, percent, shingle), "links")
 
     joined = components(links)
     placed = shared.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -344,7 +352,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     known = stored(classes.join(open_.select("sid").distinct(), "sid", "left_semi"), "known")
     low = class_sets(docs, known, shingle, low=True).withColumnRenamed("values", "low")
     open_ = open_.join(known.select("sid", "n", "sketch"), "sid").join(low, "sid")
-    more = stored(confirmed(across(open_, percent), docs, classes, percent, shingle), "links")
+    more = stored(confirmed(dealt(stored(across(open_, percent), "across")), docs, classes, percent, shingle), "links")
 
     every = links.union(more)
     final = components(every)
