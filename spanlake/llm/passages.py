@@ -18,7 +18,7 @@ the alignment brings together, as it goes on past a chain's ends.
 The links of a pair of texts are chained: the best sequence ascending in both,
 worth SEED for each seed, less GAP for each word from one to the next on either side,
 found with a Fenwick tree of prefix maxima in n log n. Chains ask for their
-surroundings; those slices alone are fetched, as word hashes, and aligned from
+surroundings; those slices alone are fetched, as 32-bit word hashes, and aligned from
 the chain outwards: runs of equal words, and where they end the cheapest
 resumption within RESYNC words. A chain whose alignment comes to the edge of a
 slice within its text asks again for slices that go FURTHER, until all alignments
@@ -26,10 +26,13 @@ end by themselves. Alignments of LENGTH words or more on both
 sides are passages.
 
 Defined results: null and short texts have no seeds; rows alike in doc_id and
-text are one document; repeats within one text are not passages; a null
-doc_id is carried as such; an empty table has no passages. Frequent seeds are
-keys of an equi-join that is pre-aggregated, so Spark splits them; texts with
-many requests are asked for in shares of SHARE.
+text are one document, known by a 128-bit digest; repeats within one text are not
+passages, and what a text repeats is found at its first place (a seed with the
+same contexts counts once in a text); a null doc_id is carried as such; an empty
+table has no passages. Seeds of one text only are told by a count and a bit map
+before anything else is dealt. Frequent seeds are keys of an equi-join that is
+pre-aggregated, so Spark splits them; texts with many requests are asked for in
+shares of SHARE, counted by salted keys.
 """
 
 from __future__ import annotations
@@ -39,11 +42,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import bit_map, in_map, stored
-from spanlake.llm.textvec import SPACED, U, Words, grams, mix, powers, slices
+from spanlake.llm.common import bit_map, dropped, in_map, mark, stored
+from spanlake.llm.textvec import BASE, SPACED, U, Words, grams, mix, powers, slices
 
 SEED = 5
 SPARSE = 12
@@ -55,9 +59,11 @@ MARGIN = 64
 FURTHER = 8
 LENGTH = 45
 SHARE = 256
+#: Parts of the counts of a text's requests, so that a frequent text isn't one key.
+SALTS = 16
 #: (first word, counted from the seed's; words). A run of LENGTH + 5 words has a seed within
 #: its first SPARSE words, and from it one of the latter two windows lies within the run.
-CONTEXTS = ((0, 16), (0, LENGTH), (-SPARSE // 2, LENGTH))
+CONTEXTS = ((0, 24), (0, LENGTH), (-SPARSE // 2, LENGTH))
 AROUND = [f"c{i}" for i in range(len(CONTEXTS))]
 
 
@@ -101,23 +107,52 @@ def contexts(words: Words, at: np.ndarray, doc: np.ndarray) -> list[pa.Array]:
     return out
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """row (hash of doc_id and text), pos, seed, and hashes of the seed's contexts."""
+def repeated(docs: DataFrame) -> DataFrame:
+    """The seeds that several texts have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("row").to_numpy()
+            for _, _, data, offs in slices(batch.column("text")):
+                w = Words(data, offs, SPACED)
+                at = sown(w)
+                doc = np.searchsorted(w.first, at, "right") - 1
+                seed = grams(w.hash, SEED)[at]
+                once = np.unique(mix(doc.astype(U)) ^ seed, return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(seed[once].view(np.int64))], ["seed"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "seed long").groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+
+
+def seeds(docs: DataFrame, packed: Broadcast) -> DataFrame:
+    """row (digest of doc_id and text), pos, seed, and hashes of the seed's contexts, of seeds that are in a
+    map; of a text's occurrences with the same contexts the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("row")
             for i, _, data, offs in slices(batch.column("text")):
                 w = Words(data, offs, SPACED)
                 at = sown(w)
+                seed = grams(w.hash, SEED)[at]
+                some = in_map(packed.value, seed)
+                at, seed = at[some], seed[some]
                 doc = np.searchsorted(w.first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(rows[i + doc]), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(grams(w.hash, SEED)[at].view(np.int64)), *contexts(w, at, doc)], ["row", "pos", "seed", *AROUND])
+                near = contexts(w, at, doc)
+                same = mix(doc.astype(U)) ^ seed
+                for c in near:
+                    same = mix(same ^ c.fill_null(-1).to_numpy().view(np.uint32).astype(U) * BASE)
+                first = np.sort(np.unique(same, return_index=True)[1])
+                at, doc, seed, pick = at[first], doc[first], seed[first], pa.array(first)
+                yield pa.RecordBatch.from_arrays([rows.take(pa.array(i + doc)), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(seed.view(np.int64)), *(c.take(pick) for c in near)], ["row", "pos", "seed", *AROUND])
 
-    return with_row(docs).select("row", "text").mapInArrow(run, "row long, pos int, seed long, " + ", ".join(f"{c} int" for c in AROUND))
+    return with_row(docs).select("row", "text").mapInArrow(run, "row binary, pos int, seed long, " + ", ".join(f"{c} int" for c in AROUND))
 
 
 def with_row(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
+    """doc_id, row, key (hash of row), text."""
+    none = F.lit("\x00")
+    row = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), none), F.lit("\x1f"), F.coalesce(F.col("text").cast("string"), none))))
+    return docs.select("doc_id", row.alias("row"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("row"))
 
 
 def chains(points: list[tuple[int, int]], seed: int = SEED, gap: float = GAP, least: int = LEAST_SEEDS) -> list[list[tuple[int, int]]]:
@@ -127,6 +162,14 @@ def chains(points: list[tuple[int, int]], seed: int = SEED, gap: float = GAP, le
     that are before j on both axes: a prefix maximum over ranks of a.
     """
     points = sorted(set(points))
+    if all(p[0] < q[0] and p[1] < q[1] for p, q in zip(points, points[1:])):
+        # All in order: value + gap * (a + b) grows from point to point, so each follows the one before it, if any.
+        value, link = [float(seed)] * len(points), [-1] * len(points)
+        for j in range(1, len(points)):
+            before = value[j - 1] - gap * (points[j][0] - points[j - 1][0] + points[j][1] - points[j - 1][1])
+            if before > 0:
+                value[j], link[j] = seed + before, j - 1
+        return extracted(points, value, link, least)
     rank = {a: i for i, a in enumerate(sorted({a for _, a in points}), 1)}
     size = len(rank)
     tree: list[tuple[float, int]] = [(-1e18, -1)] * (size + 1)
@@ -153,6 +196,11 @@ def chains(points: list[tuple[int, int]], seed: int = SEED, gap: float = GAP, le
                     tree[r] = entry
                 r += r & -r
         i = j
+    return extracted(points, value, link, least)
+
+
+def extracted(points: list[tuple[int, int]], value: list[float], link: list[int], least: int) -> list[list[tuple[int, int]]]:
+    """Chains from the best last point on, along links to points that no better chain has."""
     used, out = [False] * len(points), []
     for x in sorted(range(len(points)), key=lambda x: -value[x]):
         chain = []
@@ -222,45 +270,61 @@ def aligned(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]], least:
     return out, more
 
 
-PASSAGES = "b_row long, b_doc {0}, b_start int, b_end int, a_row long, a_doc {0}, a_start int, a_end int, equal int, chain long, more boolean"
+PASSAGES = "b_row binary, b_doc {0}, b_start int, b_end int, a_row binary, a_doc {0}, a_start int, a_end int, equal int, chain binary, more boolean"
 
 
 def shared_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, other_id, other_start, other_end (in words), equal (words):
     each passage that a document shares with those that stand for its seeds and their contexts."""
-    kind = dict(docs.dtypes)["doc_id"]
-    sown_ = seeds(docs)
+    kind, begun = dict(docs.dtypes)["doc_id"], mark()
+    known = docs.sparkSession.sparkContext.broadcast(bit_map(stored(repeated(docs), "repeated"), "seed"))
+    sown_ = seeds(docs, known)
     # Written, so that the join deals both sides anew and Spark can split a frequent seed.
     first = sown_.groupBy("seed").agg(F.min(F.struct("row", "pos", *AROUND)).alias("f"), F.count("*").alias("n")).where("n > 1").select("seed", F.col("f.row").alias("a_row"), F.col("f.pos").alias("a"), *(F.col(f"f.{c}").alias(f"a_{c}") for c in AROUND))
     first = stored(first, "firsts")
-    # wide: a context is shared too; keys: the contexts that are not.
+    # wide: a context is shared too; the contexts that are not are kept.
     wide = F.coalesce(F.greatest(*(F.col(c) == F.col(f"a_{c}") for c in AROUND)), F.lit(False))
-    key = lambda i, at, n: F.struct(F.xxhash64(F.lit(i), "seed", AROUND[i]).alias("key"), (F.col("pos") + at).alias("from"), (F.col("pos") + at + n).alias("to"))
-    keys = F.array_compact(F.array(*(F.when(F.col(c).isNotNull() & ~F.col(c).eqNullSafe(F.col(f"a_{c}")), key(i, *CONTEXTS[i])) for i, c in enumerate(AROUND))))
-    met = sown_.join(first, "seed").select(F.col("row").alias("b_row"), "a_row", F.col("pos").alias("b"), "a", wide.alias("wide"), keys.alias("keys"))
-    met = stored(met.where((F.col("b_row") != F.col("a_row")) | (F.size("keys") > 0)), "met")
+    other = [F.when(~F.col(c).eqNullSafe(F.col(f"a_{c}")), F.col(c)).alias(c) for c in AROUND]
+    met = sown_.join(first, "seed").select(F.col("row").alias("b_row"), "a_row", F.col("pos").alias("b"), "a", wide.alias("wide"), "seed", *other)
+    unlike = F.coalesce(*AROUND).isNotNull()
+    met = stored(met.where((F.col("b_row") != F.col("a_row")) | unlike), "met")
     chained = chains_of(met.where("b_row != a_row").select("b_row", "a_row", "b", "a", "wide"))
     got = [with_slices(docs, chained, kind)]
     ranges = got[0].where("b_start is not null").groupBy("b_row", "a_row").agg(F.collect_list(F.struct("b_start", "b_end")).alias("ranges"))
-    rest = met.where(F.size("keys") > 0).join(ranges, ["b_row", "a_row"], "left").select(F.explode("keys").alias("k"), "b_row", "b", "ranges")
+    key = lambda i, at, n: F.struct(F.xxhash64(F.lit(i), "seed", AROUND[i]).alias("key"), (F.col("b") + at).alias("from"), (F.col("b") + at + n).alias("to"))
+    keys = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), key(i, *CONTEXTS[i])) for i, c in enumerate(AROUND))))
+    rest = met.where(unlike).join(ranges, ["b_row", "a_row"], "left").select(F.explode(keys).alias("k"), "b_row", "b", "ranges")
     within = F.exists("ranges", lambda r: (r["b_start"] <= F.col("k.from")) & (r["b_end"] >= F.col("k.to")))
     rest = stored(rest.select("k.key", "b_row", "b", (~F.coalesce(within, F.lit(False))).alias("left")), "rest")
+    # Windows of one text only, or that are all within passages, go before their rows are dealt.
+    due = rest.groupBy("key").agg(F.count("*").alias("n"), F.max("left").alias("any")).where("n > 1 and any").select("key")
+    due = docs.sparkSession.sparkContext.broadcast(bit_map(stored(due, "due"), "key"))
+    rest = kept(rest, due)
     heads = rest.groupBy("key").agg(F.min(F.struct("left", "b_row", "b")).alias("f"), F.count("*").alias("n"), F.max("left").alias("any")).where("n > 1 and any")
     heads = stored(heads.select("key", F.col("f.b_row").alias("a_row"), F.col("f.b").alias("a")), "heads")
     again = rest.where("left").join(heads, "key").where("b_row != a_row").select("b_row", "a_row", "b", "a", F.lit(True).alias("wide"))
     later = chains_of(again)
     while True:
-        open_ = got[-1].where("more").select("chain", "b_row", "a_row").distinct()
-        chained = chained.join(open_, ["chain", "b_row", "a_row"], "left_semi").withColumn("margin", F.col("margin") * FURTHER).select(*later.columns)
+        open_ = got[-1].where("more").select("chain").distinct()
+        chained = chained.join(open_, "chain", "left_semi").withColumn("margin", F.col("margin") * FURTHER).select(*later.columns)
         chained = stored(chained if len(got) > 1 else chained.unionByName(later), "further")
         if chained.isEmpty():
             break
         got.append(with_slices(docs, chained, kind))
     passages = reduce(DataFrame.unionByName, got).where("not more")
-    return passages.dropDuplicates(["b_row", "b_start", "b_end", "a_row", "a_start", "a_end"]).select(
-        F.col("b_doc").alias("doc_id"), F.col("b_start").alias("start"), F.col("b_end").alias("end"),
-        F.col("a_doc").alias("other_id"), F.col("a_start").alias("other_start"), F.col("a_end").alias("other_end"), F.col("equal").alias("equal_words"),
-    )
+    dropped(docs.sparkSession, begun, passages)
+    place = {"doc_id": "b_doc", "start": "b_start", "end": "b_end", "other_id": "a_doc", "other_start": "a_start", "other_end": "a_end"}
+    return passages.groupBy(*(F.col(c).alias(n) for n, c in place.items())).agg(F.max("equal").alias("equal_words"))
+
+
+def kept(rows: DataFrame, packed: Broadcast) -> DataFrame:
+    """The rows whose key is in a map; only keys go to Python."""
+
+    @F.arrow_udf("boolean")
+    def hit(key: pa.Array) -> pa.Array:
+        return pa.array(in_map(packed.value, key.to_numpy().view(U)))
+
+    return rows.where(hit("key"))
 
 
 def chains_of(links: DataFrame) -> DataFrame:
@@ -269,7 +333,7 @@ def chains_of(links: DataFrame) -> DataFrame:
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, points, strong = None, set(), set()
         rows: list[tuple] = []
-        schema = pa.schema([("b_row", pa.int64()), ("a_row", pa.int64()), ("b_from", pa.int32()), ("b_to", pa.int32()), ("a_from", pa.int32()), ("a_to", pa.int32()), ("anchors", pa.binary())])
+        schema = pa.schema([("b_row", pa.binary()), ("a_row", pa.binary()), ("b_from", pa.int32()), ("b_to", pa.int32()), ("a_from", pa.int32()), ("a_to", pa.int32()), ("anchors", pa.binary())])
 
         def close() -> None:
             if len(points) >= LEAST_SEEDS or strong:
@@ -295,44 +359,43 @@ def chains_of(links: DataFrame) -> DataFrame:
         close()
         yield out()
 
-    found = links.repartition("b_row", "a_row").sortWithinPartitions("b_row", "a_row", "b").mapInArrow(chain, "b_row long, a_row long, b_from int, b_to int, a_from int, a_to int, anchors binary")
-    # A chain is named by its texts and its first point, which no other chain of theirs has.
-    return stored(found.withColumn("chain", F.xxhash64("b_row", "a_row", "anchors")).withColumn("margin", F.lit(MARGIN)), "chains")
+    found = links.repartition("b_row", "a_row").sortWithinPartitions("b_row", "a_row", "b").mapInArrow(chain, "b_row binary, a_row binary, b_from int, b_to int, a_from int, a_to int, anchors binary")
+    # A chain is named by a digest of its texts and its points.
+    return stored(found.withColumn("chain", F.unhex(F.md5(F.concat("b_row", "a_row", "anchors")))).withColumn("margin", F.lit(MARGIN)), "chains")
 
 
 def with_slices(docs: DataFrame, named: DataFrame, kind: str) -> DataFrame:
     """PASSAGES of chains by the slices they ask for, written; more: a wider slice could change the chain's."""
     spark = docs.sparkSession
     sides = [
-        named.select(F.col(f"{side}_row").alias("row"), "chain", F.lit(side).alias("side"), F.greatest(F.col(f"{side}_from") - F.col("margin"), F.lit(0)).alias("from"), (F.col(f"{side}_to") + SEED + F.col("margin")).alias("to"), "b_row", "a_row", (F.col("anchors") if side == "b" else F.lit(None).cast("binary")).alias("anchors"))
+        named.select(F.col(f"{side}_row").alias("row"), "chain", F.lit(side).alias("side"), F.greatest(F.col(f"{side}_from") - F.col("margin"), F.lit(0)).alias("from"), (F.col(f"{side}_to") + SEED + F.col("margin")).alias("to"), *(F.col(c) if side == "b" else F.lit(None).cast("binary").alias(c) for c in ("b_row", "a_row", "anchors")))
         for side in "ba"
     ]
     wanted = sides[0].unionByName(sides[1])
-    many = wanted.groupBy("row").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
-    asked = wanted.join(many, "row").groupBy("row", F.pmod(F.col("chain"), F.col("shares")).alias("share")).agg(F.collect_list(F.struct("chain", "side", "from", "to", "b_row", "a_row", "anchors")).alias("asks"))
-    packed = spark.sparkContext.broadcast(bit_map(many, "row"))
-
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_map(packed.value, batch.column("row").to_numpy().view(U))))
+    many = stored(wanted.groupBy("row").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).withColumn("key", F.xxhash64("row")), "many")
+    # A few texts may have most of the requests: their counts are joined on in SALTS parts.
+    parts = many.select("row", "shares", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    counted = wanted.withColumn("salt", F.pmod(F.xxhash64("chain"), F.lit(SALTS)).cast("int")).join(parts, ["row", "salt"])
+    asked = counted.groupBy("row", F.pmod(F.xxhash64("chain"), F.col("shares")).cast("int").alias("share")).agg(F.collect_list(F.struct("chain", "side", "from", "to", "b_row", "a_row", "anchors")).alias("asks"))
+    packed = spark.sparkContext.broadcast(bit_map(many, "key"))
 
-    texts = with_row(docs).mapInArrow(needed, f"doc_id {kind}, row long, text string").join(many.select("row"), "row", "left_semi").dropDuplicates(["row"])
+    rows = kept(with_row(docs), packed).join(many.select("row", "shares"), "row").dropDuplicates(["row"])
+    texts = rows.select("doc_id", "row", "text", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_type = batch.schema.field("doc_id").type
+            ids, asks = batch.column("doc_id"), batch.column("asks")
             for at in range(len(batch)):
                 _, _, data, offs = next(slices(batch.column("text").slice(at, 1)))
-                h = Words(data, offs, SPACED).hash.view(np.int64)
-                asks = batch.column("asks")[at].as_py()
-                cols = [[x[c] for x in asks] for c in ("chain", "side", "from", "b_row", "a_row", "anchors")]
-                words = [h[x["from"] : x["to"]].tobytes() for x in asks]
-                types = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                ids = pa.array([batch.column("doc_id")[at].as_py()] * len(asks), doc_type)
-                last = pa.array([x["to"] >= len(h) for x in asks])
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), ids, pa.array(words, pa.binary()), last], ["chain", "side", "from", "b_row", "a_row", "anchors", "doc_id", "words", "last"])
+                h = (Words(data, offs, SPACED).hash >> U(32)).astype(np.uint32)
+                own = asks[at].values
+                begins, ends = own.field("from").to_numpy(), own.field("to").to_numpy()
+                words = [h[x:y].tobytes() for x, y in zip(begins.tolist(), ends.tolist())]
+                cols = [own.field(c) for c in ("chain", "side", "from", "b_row", "a_row", "anchors")]
+                doc = ids.take(pa.array(np.full(len(own), at)))
+                yield pa.RecordBatch.from_arrays([*cols, doc, pa.array(words, pa.binary()), pa.array(ends >= len(h))], ["chain", "side", "from", "b_row", "a_row", "anchors", "doc_id", "words", "last"])
 
-    pieces = texts.join(asked, "row").select("doc_id", "text", "asks").mapInArrow(cut, f"chain long, side string, from int, b_row long, a_row long, anchors binary, doc_id {kind}, words binary, last boolean")
+    pieces = texts.join(asked, ["row", "share"]).select("doc_id", "text", "asks").mapInArrow(cut, f"chain binary, side string, from int, b_row binary, a_row binary, anchors binary, doc_id {kind}, words binary, last boolean")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PASSAGES.split(", ")]
@@ -340,22 +403,23 @@ def with_slices(docs: DataFrame, named: DataFrame, kind: str) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             doc_type = batch.schema.field("doc_id").type
-            for r in batch.to_pylist():
-                if r["side"] == "a":
-                    other = r
+            columns = [batch.column(c).to_pylist() for c in ("side", "chain", "doc_id", "from", "last", "words", "b_row", "a_row", "anchors")]
+            for side, chain, doc, begin, last, words, b_row, a_row, anchors in zip(*columns):
+                if side == "a":
+                    other = chain, doc, begin, last, np.frombuffer(words, np.uint32)
                     continue
-                if other is None or (other["chain"], other["b_row"], other["a_row"]) != (r["chain"], r["b_row"], r["a_row"]):
+                if other is None or other[0] != chain:
                     raise ValueError("a chain came without its other side")
-                x, y = np.frombuffer(r["words"], np.int64), np.frombuffer(other["words"], np.int64)
-                points = np.frombuffer(r["anchors"], "<i4").reshape(-1, 2) - [r["from"], other["from"]]
-                own, more = aligned(x, y, [tuple(p) for p in points.tolist()], ends=(not r["from"], r["last"], not other["from"], other["last"]))
+                _, a_doc, a_begin, a_last, y = other
+                points = np.frombuffer(anchors, "<i4").reshape(-1, 2) - [begin, a_begin]
+                own, more = aligned(np.frombuffer(words, np.uint32), y, [tuple(p) for p in points.tolist()], ends=(not begin, last, not a_begin, a_last))
                 for b0, b1, a0, a1, equal in own:
-                    out.append((r["b_row"], r["doc_id"], b0 + r["from"], b1 + r["from"], r["a_row"], other["doc_id"], a0 + other["from"], a1 + other["from"], equal, r["chain"], more))
+                    out.append((b_row, doc, b0 + begin, b1 + begin, a_row, a_doc, a0 + a_begin, a1 + a_begin, equal, chain, more))
                 if more and not own:
-                    out.append((r["b_row"], r["doc_id"], None, None, r["a_row"], other["doc_id"], None, None, None, r["chain"], more))
+                    out.append((b_row, doc, None, None, a_row, a_doc, None, None, None, chain, more))
             cols = list(zip(*out)) or [[]] * 11
-            types = (pa.int64(), doc_type, pa.int32(), pa.int32(), pa.int64(), doc_type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+            types = (pa.binary(), doc_type, pa.int32(), pa.int32(), pa.binary(), doc_type, pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    passages = pieces.repartition("chain").sortWithinPartitions("chain", "b_row", "a_row", "side").mapInArrow(align, PASSAGES.format(kind))
+    passages = pieces.repartition("chain").sortWithinPartitions("chain", "side").mapInArrow(align, PASSAGES.format(kind))
     return stored(passages, "passages")
