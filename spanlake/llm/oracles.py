@@ -53,5 +53,33 @@ comp AS (SELECT node, min(root) AS component_id FROM walk GROUP BY node),
 named AS (SELECT s.doc_id, len(s.g) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id
           FROM s LEFT JOIN c ON c.g = list_sort(s.g) LEFT JOIN comp ON comp.node = c.rep)
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM named
+""",
+    "op11_vector_codes": r"""
+WITH RECURSIVE ok AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+     WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+width AS (SELECT len(x) // 16 AS k FROM ok LIMIT 1),
+p AS (SELECT ok.*, part, list_slice(x, part * k + 1, part * k + k) AS v FROM ok, width, (SELECT unnest(generate_series(0, 15)) AS part)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT vec_id FROM ok ORDER BY vec_id LIMIT 64)),
+b0 AS MATERIALIZED (SELECT part, e, v AS c FROM p JOIN first USING (vec_id)),
+a0 AS MATERIALIZED (SELECT vec_id, p.part, any_value(v) AS v, min(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e) AS m FROM p JOIN b0 ON p.part = b0.part GROUP BY 1, 2),
+s0 AS (SELECT part, CAST(m % 64 AS INT) AS e, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT a0.*, unnest(generate_series(1, len(v))) AS i FROM a0) GROUP BY 1, 2, 3),
+b1 AS MATERIALIZED (SELECT part, e, coalesce(n.c, b0.c) AS c FROM b0 LEFT JOIN (SELECT part, e, list(CAST((s - (((s % n) + n) % n)) // n AS BIGINT) ORDER BY i) AS c FROM s0 GROUP BY 1, 2) n USING (part, e)),
+a1 AS MATERIALIZED (SELECT vec_id, p.part, any_value(v) AS v, min(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e) AS m FROM p JOIN b1 ON p.part = b1.part GROUP BY 1, 2),
+s1 AS (SELECT part, CAST(m % 64 AS INT) AS e, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT a1.*, unnest(generate_series(1, len(v))) AS i FROM a1) GROUP BY 1, 2, 3),
+b2 AS MATERIALIZED (SELECT part, e, coalesce(n.c, b1.c) AS c FROM b1 LEFT JOIN (SELECT part, e, list(CAST((s - (((s % n) + n) % n)) // n AS BIGINT) ORDER BY i) AS c FROM s1 GROUP BY 1, 2) n USING (part, e)),
+a2 AS MATERIALIZED (SELECT vec_id, p.label, p.part, min(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e) AS m FROM p JOIN b2 ON p.part = b2.part GROUP BY 1, 2, 3),
+r AS (SELECT vec_id, label, string_agg(printf('%02x', CAST(m % 64 AS INT)), '' ORDER BY part) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a2 GROUP BY 1, 2),
+d AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS h FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM r, d
+""",
+    "op12_near_vectors": r"""
+WITH RECURSIVE ok AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM embeddings
+     WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id != b.vec_id WHERE list_dot_product(a.v, b.v) / a.norm / b.norm >= 0.93),
+walk(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, walk.root FROM walk JOIN l ON walk.node = l.a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+c AS (SELECT node, min(root) AS component_id FROM walk GROUP BY node)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """,
 }

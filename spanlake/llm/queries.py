@@ -104,3 +104,30 @@ def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlake.llm.passages import shared_passages
 
     return shared_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm import codes
+
+    found, books = codes.encode(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+@query
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm.neighbours import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm.whitening import whiten
+
+    found, w = whiten(table(spark, sf_dir, "embeddings"))
+    explained = F.array(*(F.lit(e) for e in w.explained)) if w else F.array()
+    return found.select(F.col("id").alias("vec_id"), F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("k", "whitened")).select(
+        "vec_id", (F.col("k") + 1).alias("component"), F.lit(w.n if w else 0).cast("long").alias("n"), "deviation", "whitened",
+        explained.cast("array<double>")[F.col("k")].alias("explained"), F.lit(w.identity_error if w else None).cast("double").alias("identity_error"),
+    )
