@@ -153,27 +153,29 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _scaled(v: Column) -> Column:
-    norm = F.sqrt(_dot(v, v))
-    return F.transform(v, lambda x: x / norm)
-
-
-def _norm_one(v: Column) -> Column:
-    x = F.transform(v, lambda y: y.cast("double"))
-    return _scaled(F.transform(x, lambda y: y / F.array_max(F.transform(x, F.abs))))
-
-
 def _angle(members: DataFrame, centres: DataFrame, name: str) -> DataFrame:
     """members with the angle (name) to their root's centre."""
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(F.col("u"), F.col("centre"))))
     return members.join(centres, "root").withColumn(name, F.coalesce(F.acos(cosine), F.lit(math.pi))).drop("centre")
 
 
+def _with_unit(batches):
+    """Members with u, their vector at norm 1, in place of v."""
+    for batch in batches:
+        for _, same in batch.groupby("d", sort=False):
+            yield same.drop(columns=["v", "d"]).assign(u=list(_unit(same["v"])))
+
+
+def _means(batches):
+    for batch in batches:
+        sums = [np.stack(vectors).sum(0) for vectors in batch["all"]]
+        yield pd.DataFrame({"root": batch["root"], "centre": [s / max(np.sqrt(s @ s), 1e-300) for s in sums]})
+
+
 def _centres(members: DataFrame) -> DataFrame:
     """(root, centre): the direction of the mean of at most SAMPLED members, chosen by hash."""
     chosen = members.withColumn("h", F.xxhash64("node")).groupBy("root", F.pmod("h", F.lit(SAMPLED)).alias("of")).agg(F.min_by("u", "h").alias("u"))
-    added = F.aggregate("all", F.transform(F.col("all")[0], lambda x: F.lit(0.0)), lambda s, u: F.zip_with(s, u, lambda x, y: x + y))
-    return chosen.groupBy("root").agg(F.collect_list("u").alias("all")).select("root", _scaled(added).alias("centre"))
+    return chosen.groupBy("root").agg(F.collect_list("u").alias("all")).mapInPandas(_means, "root long, centre array<double>")
 
 
 def _counted(threshold: float):
@@ -241,7 +243,9 @@ def near_duplicates(
 
     roots = stored(components(edges(classes, threshold, window, block, recall), "passes"), "roots")
     roots = roots.union(roots.select("root", "root").distinct())
-    members = stored(classes.join(roots, "node").select("node", "root", "n", "least", _norm_one(F.col("v")).alias("u")), "members")
+    kind = dict(classes.dtypes)["least"]
+    members = classes.join(roots, "node").select("node", "root", "n", "least", "d", "v")
+    members = stored(members.mapInPandas(_with_unit, f"node long, root long, n long, least {kind}, u array<double>"), "members")
     least = members.groupBy("root").agg(F.min("least").alias("component"))
     found = members.select("node", "root").join(least, "root").join(links(members.drop("least"), threshold, tile), "node")
     found = classes.join(found, "node", "left").select("label", "v", F.coalesce("component", "least").alias("component_id"), F.coalesce("links", F.col("n") - 1).alias("n_links"))
