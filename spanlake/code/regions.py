@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable
 
 Range = tuple[int, int]
 
 FENCE = re.compile(r"^(`{3,})(.*)$")
-HTML = re.compile(r"<(code|pre)(\s[^>]*)?>.*?</\1>", re.I | re.S)
+TAG = re.compile(r"<(/?)(code|pre)(?:\s[^<>]*)?>", re.I)
 
 
 def fenced(text: str) -> list[tuple[int, int, str]]:
@@ -30,8 +31,27 @@ def fenced(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def tagged(text: str) -> list[Range]:
+    """From <code> or <pre> to the next closing tag of its kind; what is within it, or never
+    closed, opens nothing. Tags are found once, and closing ones looked up from the right."""
+    tags = [(m.start(), m.end(), m[2].lower(), m[1] == "/") for m in TAG.finditer(text)]
+    closes: dict[str, int] = {}
+    close_of: list[int | None] = [None] * len(tags)
+    for k in range(len(tags) - 1, -1, -1):
+        _, end, kind, closing = tags[k]
+        close_of[k] = closes.get(kind)
+        if closing:
+            closes[kind] = end
+    out, at = [], 0
+    for (start, _, _, closing), end in zip(tags, close_of):
+        if not closing and start >= at and end is not None:
+            out.append((start, end))
+            at = end
+    return out
+
+
 def code_regions(text: str) -> list[Range]:
-    return [(a, b) for a, b, _ in fenced(text)] + [m.span() for m in HTML.finditer(text)]
+    return [(a, b) for a, b, _ in fenced(text)] + tagged(text)
 
 
 # ---- runs of lines that look like code
@@ -49,7 +69,7 @@ ASSIGNS = ("=", "+=", ":=")
 TOKEN = re.compile(r"#include|[^\W\d][\w$]*|\$[\w$]*|\d[\w.]*|\"[^\"]*\"|'[^']*'|`[^`]*`|===|!==|=>|->|::|:=|==|!=|\+=|&&|\|\||\S")
 _WORDS, _CODE = frozenset(KEYWORDS), frozenset(CODE_WORDS)
 _SENTENCE = re.compile(r"[.!?:]\s+")
-#: Any text in which line_points() or fenced() or HTML finds something has one of these.
+#: Any text in which line_points(), fenced() or tagged() finds something has one of these.
 MAY_BE = r"(?mU)```|(?i:<code|<pre)|[;{}=]|->|::|&&|\|\||[\w$]\(|\(\s*$|\)\s*:|^\s*(?:" + "|".join(KEYWORDS) + r")(?![\w$])"
 
 
@@ -175,60 +195,125 @@ LABELS = {
 #: Formats whose labels are known besides; they have no signals.
 FORMATS = {"html": "htm", "css": "", "json": "", "yaml": "yml"}
 _LABEL = {label: name for name, labels in (LABELS | FORMATS).items() for label in (name, *labels.split())}
-SIGNALS = {
-    "python": [r"^\s*def \w+\(.*\).*:\s*$", r"^\s*(?:from [\w.]+ )?import [\w., ]+$", r"\bself\.", r"^\s*elif ", r"\bNone\b|\bTrue\b"],
-    "javascript": [r"\b(?:const|let|var) \w+\s*=", r"=>\s*[{(]?", r"\bfunction\s*\w*\(", r"\bconsole\.log\(", r"===|!=="],
-    "typescript": [r"\binterface \w+ \{", r"\b(?:const|let) \w+:\s*\w+", r"\w+\??:\s*(?:string|number|boolean)\b", r"\bas \w+;", r"^\s*export type "],
-    "java": [r"\bpublic (?:static )?(?:class|void|final|\w+) ", r"\bSystem\.out\.", r"^\s*import [\w.]+;\s*$", r"@Override", r"\bnew \w+<?.*>?\("],
-    "csharp": [r"^\s*using [\w.]+;\s*$", r"\bnamespace \w+", r"\bConsole\.Write", r"\{ get; (?:private )?set; \}", r"\basync Task\b"],
-    "go": [r"^\s*package \w+\s*$", r"\bfunc (?:\(\w+ \*?\w+\) )?\w+\(", r":=", r"\bfmt\.", r"\bif err != nil"],
-    "rust": [r"\bfn \w+(?:<.*>)?\(", r"\blet mut ", r"\bimpl(?:<.*>)? \w+", r"\w+!\(", r"&(?:mut )?\w+|::<"],
-    "kotlin": [r"\bfun \w+\(", r"\bval \w+", r"\bdata class ", r"\?\.|!!", r"\bprintln\("],
-    "php": [r"<\?php", r"\$\w+\s*=", r"->\w+\(", r"\becho ", r"\bfunction \w+\("],
-    "ruby": [r"^\s*def \w+[?!]?(?:\(.*\))?\s*$", r"^\s*end\s*$", r"\bputs ", r"\battr_accessor\b", r"\|\w+\|"],
-    "c": [r"^\s*#include\s*<\w+\.h>", r"\bint main\(", r"\bprintf\(", r"\w+ \*\w+", r"\bmalloc\("],
-    "cpp": [r"^\s*#include\s*<\w+>\s*$", r"\bstd::", r"\bcout\s*<<", r"\btemplate\s*<", r"\bauto \w+ ="],
-    "sql": [r"(?i)^\s*select\b.*\bfrom\b", r"(?i)\bwhere\b", r"(?i)\binsert into\b", r"(?i)\bgroup by\b", r"(?i)\bjoin \w+ on\b"],
-    "bash": [r"^#!.*\bsh\b", r"^\s*(?:echo|cd|export|sudo|grep) ", r"\$\{?\w+\}?", r"^\s*fi\s*$", r"\bthen\s*$"],
-}
-#: Phrases that only one language uses, from its own documentation; a * stands for a name.
-PHRASES = {
-    "swift": ["import Foundation", "import UIKit", "import SwiftUI", "guard let *", "if let *", "func * -> *", "@IBOutlet", "some View"], "powershell": ["Write-Host", "Get-ChildItem", "Get-Content", "$PSScriptRoot", "-eq $*", "[CmdletBinding()]", "ForEach-Object"],
-    "r": ["<- function(", "<- c(", "library(*)", "data.frame(", "%>%", "ggplot("], "dart": ["import 'package:", "void main() {", "extends StatelessWidget", "@override Widget", "Widget build(", "late final *"],
-    "scala": ["extends App", "case class *", "import scala.", "implicit val *", "def *: * = {", "sealed trait *"], "lua": ["local function *", "local * =", "elseif * then", "ipairs(", "pairs(", "~= nil", "require \""],
-    "perl": ["use strict;", "use warnings;", "my $*", "my @*", "my %*", "sub * {", "=~ /"], "haskell": ["module * where", "import qualified *", ":: IO ()", "deriving (", "where\n", "main :: "], "elixir": ["defmodule *", "defp *", "|> Enum.", "IO.puts", "do\\n  def", ", do:"],
-    "erlang": ["-module(*)", "-export([", "io:format("], "julia": ["using LinearAlgebra", "using DataFrames", "::Float64", "::Int", "println(\"", "end\n\nfunction *("], "objectivec": ["#import <", "@interface *", "@implementation *", "@property (", "NSString *", "NSLog(@"],
-    "vbnet": ["Imports System", "End Sub", "End Function", "Dim * As *", "Public Class *", "ByVal *"], "vbscript": ["WScript.Echo", "CreateObject(\"", "MsgBox \"", "Option Explicit", "Set * = CreateObject"], "fsharp": ["open System", "printfn \"", "let mutable *", "|> List.", "|> Seq."],
-    "groovy": ["apply plugin:", "println \"", "def * = [", "dependencies {", "implementation '", "it."], "clojure": ["(ns *", "(defn *", "(let [", "(:require ["], "ocaml": ["let rec *", "Printf.printf", "match * with", "List.map", ";;"],
-    "matlab": ["zeros(", "disp(", "end\nend", "function * = *(", "plot(", "linspace("], "fortran": ["implicit none", "end program", "end subroutine", "integer ::", "real ::", "write(*,*)", "print *,"], "delphi": ["procedure *;", "begin\n", "WriteLn(", "end.", "unit *;", "uses\n"],
-    "x86asm": ["section .text", "section .data", "global _start", "mov eax,", "mov rax,", "int 0x80", "push rbp"], "ada": ["with Ada.", "use Ada.", "Put_Line (", "Put_Line(", "procedure * is", "end loop;"], "lisp": ["(defun *", "(defvar *", "(setf *", "(defmacro *", "(format t "],
-    "scheme": ["(define (*", "#lang racket", "(display *", "(let loop (", "call/cc"], "prolog": [":- module(", ":- use_module(", ":- initialization", "?- *(", ":- dynamic *"], "smalltalk": ["Transcript show:", "ifTrue: [", "ifFalse: [", "Object subclass:", "^ self"],
-    "tcl": ["proc * {", "puts $*", "[expr {", "set * [", "foreach * $*"], "d": ["import std.", "writeln(", "immutable *", "void main()"], "nim": ["proc *(", "echo \"", "import strutils", "var *: seq["], "crystal": ["Int32", "property * :", "def *(* : ", "getter * :"],
-    "elm": ["exposing (", "import Html", "type alias *", "Html.text"], "haxe": ["trace(", "class Main {", "static function main()", "package;"], "coffeescript": ["= (*) ->", "= ->", "=> \n", "unless *", "extends *\n"], "vhdl": ["entity * is", "architecture * of *", "std_logic", "library ieee;", "library IEEE;"],
-    "verilog": ["endmodule", "always @", "module *(", "module * (", "input wire", "output reg", "posedge clk"],
-}
-SIGNALS |= {name: [r"(?<![\w$])" * p[0].isalnum() + re.escape(p).replace(r"\*", r"[\w.$]+").replace(r"\ ", r"\s+") for p in phrases] for name, phrases in PHRASES.items()}
-#: What rules a language out, whatever else is there.
-NOT_PYTHON = re.compile(r";\s*$|&&|\|\||===|\bfunction\b", re.M)
-_SIGNALS = {k: [re.compile(p, re.M) for p in v] for k, v in SIGNALS.items()}
-FAMILIES = {
-    "javascript": "script", "typescript": "script", "coffeescript": "script", "c": "c", "cpp": "c", "objectivec": "c", "d": "c", "java": "jvm", "kotlin": "jvm", "groovy": "jvm", "scala": "jvm", "ocaml": "ml", "fsharp": "ml",
-    "lisp": "lisp", "scheme": "lisp", "clojure": "lisp", "vbnet": "vb", "vbscript": "vb", "ruby": "ruby", "crystal": "ruby",
+#: How code in a language looks, as we describe it: words that lines begin with, what begins
+#: a comment, lines that close a block, pieces of text that hardly any other language has
+#: (~ is a blank), and whether statements end in semicolons. Of these rows all else is derived.
+GRAMMARS = {
+    "python": ("def class import from elif except return with for while try raise", "#", "", "self. None __init__ ):", False),
+    "javascript": ("const let var function return for import export class async if", "//", "} });", "=> === console. function( document. window.", True),
+    "typescript": ("const let interface type export import enum class function readonly private", "//", "} });", ":string :number :boolean :void => readonly", True),
+    "java": ("public private protected package import class return for if final", "//", "}", "System.out new @Override String[] throws void", True),
+    "csharp": ("using namespace public private protected internal class return foreach if", "//", "}", "get; set; Console. async string var", True),
+    "go": ("package import func type return for if var defer go", "//", "}", ":= fmt. err!=nil chan []string map[string]", False),
+    "rust": ("fn let use pub impl struct enum mod match for", "//", "}", "println! vec![ &mut ->Result &str let~mut ::new( unwrap()", True),
+    "kotlin": ("fun val var class import package data when object override", "//", "}", "println( ?. !! fun val :String :Int", False),
+    "php": ("echo function class use namespace public return foreach if", "//", "}", "<?php $this-> array( echo =>", True),
+    "cpp": ("#include using template class struct namespace return for int auto", "//", "};", "std:: cout<< <vector> <iostream> template< ::", True),
+    "c": ("#include #define int void char struct return for static typedef", "//", "}", "printf( .h> malloc( char* sizeof( NULL", True),
+    "ruby": ("def class module require attr_accessor puts end unless elsif begin", "#", "end", "puts .each nil? @ do| :", False),
+    "swift": ("import func let var guard struct class enum extension protocol", "//", "}", "guard~let if~let ->String @State nil ??", False),
+    "sql": ("select from where insert update create group order join left delete", "--", ");", "select from where group~by order~by insert~into", True),
+    "bash": ("echo export if then fi for do done cd sudo case", "#", "fi done esac", "$( ${ ]]; $1 |grep", False),
+    "powershell": ("param function if foreach Write-Host Get-Content Import-Module try", "#", "}", "Write- Get- $_ -eq $true [string]", False),
+    "r": ("library function if for source require", "#", "}", "<- %>% c( data.frame( TRUE", False),
+    "dart": ("import void class final return Widget late", "//", "}", "package: @override Widget StatelessWidget setState(", True),
+    "scala": ("object def val var class trait import package case", "//", "}", "case~class extends~App => :Int= List( Option[", False),
+    "lua": ("local function if end elseif for return repeat until", "--", "end", "local ~= .. nil then ipairs", False),
+    "perl": ("use my sub package foreach unless print if", "#", "}", "my~$ my~@ =~ ->{ use~strict @_", True),
+    "haskell": ("module import data type instance where newtype class deriving", "--", "", "::IO <- >>= where -> Maybe qualified", False),
+    "elixir": ("defmodule def defp use alias import case end", "#", "end", "|> do: IO. %{ defp ->", False),
+    "erlang": ("-module -export -include -spec -record", "%", "", "io:format -> -export ). ++", False),
+    "julia": ("function using end struct for module mutable", "#", "end", "::Int ::Float64 println( .+ end", False),
+    "objectivec": ("#import @interface @implementation @property @end", "//", "@end", "NSString NSLog( alloc] @\" @end", True),
+    "vbnet": ("Imports Public Dim End Sub Function If Private", "'", "End~Sub End~Function", "As~String As~Integer End~If ByVal Handles", False),
+    "vbscript": ("Dim Set Option WScript.Echo MsgBox End Sub", "'", "End~Sub", "CreateObject( WScript. MsgBox vbCrLf", False),
+    "fsharp": ("let open module type match member namespace", "//", "", "|> printfn -> let~mutable |", False),
+    "groovy": ("def apply dependencies plugins repositories implementation task", "//", "}", "println apply~plugin: implementation~' it. mavenCentral()", False),
+    "clojure": ("(ns (defn (def (let (defmacro (:require", ";", "", "(ns (defn (:require [] #(", False),
+    "ocaml": ("let open module type match and", "(*", ";;", "let~rec -> ;; Printf. | List.", False),
+    "matlab": ("function end for plot clear clc figure", "%", "end", "zeros( disp( linspace( .* ... end;", True),
+    "fortran": ("program subroutine implicit integer real end do call print use", "!", "end", "implicit~none :: end~program end~do write(*", False),
+    "delphi": ("unit uses program begin procedure function var end. interface", "//", "end; end.", ":= WriteLn( end. begin TForm", True),
+    "x86asm": ("section global mov push call int jmp xor", ";", "ret", "eax rax .text _start 0x80 rsp", False),
+    "ada": ("with use procedure begin end package function is", "--", "end", "Put_Line Ada.  is Integer~range end~loop", True),
+    "lisp": ("(defun (defvar (setf (defmacro (format (let", ";", "", "(defun (setf (format~t (car", False),
+    "scheme": ("(define (display (let (lambda #lang (cond", ";", "", "(define~( (display (cond call/cc racket", False),
+    "prolog": (":- ?-", "%", "", ":- ?- use_module( ), is", False),
+    "smalltalk": ("Transcript Object ^self |", '"', "!", "ifTrue: show: subclass: ^self value:", False),
+    "tcl": ("proc set puts foreach package expr", "#", "}", "[expr puts~$ set proc [list", False),
+    "d": ("import module void auto immutable struct unittest", "//", "}", "std. writeln( immutable foreach( .length", True),
+    "nim": ("proc import echo var let type template", "#", "", "echo seq[ strutils ref~object", False),
+    "crystal": ("require property getter def class struct end", "#", "end", "Int32 :String Array(", False),
+    "elm": ("module import type main view update", "--", "", "exposing Html. type~alias ->Msg |>", False),
+    "haxe": ("package import class static function var trace", "//", "}", "trace( class~Main static~function~main ->Void haxe.", True),
+    "coffeescript": ("class unless module.exports require", "#", "", "-> => @ unless ?", False),
+    "vhdl": ("library use entity architecture signal port begin process end", "--", "end", "std_logic ieee rising_edge <= architecture", True),
+    "verilog": ("module input output reg wire always assign endmodule", "//", "endmodule", "posedge input~wire output~reg always~@ endmodule <=", True),
 }
+#: Points that make a guess, its lead over the next, and how alike first words make relatives.
+ENOUGH, LEAD, RELATED = 1.5, 0.4, 0.3
+_FIRST = re.compile(r"^\s*((?:[-#@(:?^]{1,2})?[^\W\d][\w.-]*|[:?]-)", re.M)
+
+
+@functools.cache
+def _grammars() -> tuple:
+    """(weights of first words by word and language, weights of marks, relatives)."""
+    heads: dict[str, list[str]] = {}
+    marks: dict[str, list[str]] = {}
+    for name, (words, _, _, pieces, _) in GRAMMARS.items():
+        for w in words.split():
+            heads.setdefault(w, []).append(name)
+        for m in pieces.split():
+            marks.setdefault(m, []).append(name)
+    own = {name: set(g[0].split()) for name, g in GRAMMARS.items()}
+    near = {(a, b) for a in own for b in own if len(own[a] & own[b]) > RELATED * len(own[a] | own[b])}
+    find = [(re.compile(_piece(m)), names) for m, names in marks.items()]
+    return heads, find, near
+
+
+def _piece(mark: str) -> str:
+    """A mark as a pattern: blanks may stand between its words and signs, and must where it has a ~."""
+    parts = re.findall(r"\w+|[^\w]", mark)
+    edge = r"(?<![\w$])" if parts[0][0].isalnum() else ""
+    tail = r"(?![\w])" if parts[-1][-1].isalnum() else ""
+    return edge + "".join(r"\s+" if p == "~" else re.escape(p) + (r"[ \t]*" if k + 1 < len(parts) and parts[k + 1] != "~" and (p[-1].isalnum() != parts[k + 1][0].isalnum()) else "") for k, p in enumerate(parts)) + tail
+
+
+def evidence(code: str) -> dict[str, float]:
+    """Points of each language. A line's first word, a mark, a comment or a closing line
+    counts once, and less the more languages have it."""
+    heads, marks, _ = _grammars()
+    points = dict.fromkeys(GRAMMARS, 0.0)
+    first = set(_FIRST.findall(code))
+    for word in first:
+        names = heads.get(word) or heads.get(word.lower() if word.isupper() else "") or ()
+        for n in names:
+            points[n] += 1.0 / len(names) ** 0.5
+    for p, names in marks:
+        if p.search(code):
+            for n in names:
+                points[n] += 1.0 / len(names) ** 0.5
+    lines = [x.strip() for x in code.split("\n") if x.strip() and not x.startswith("```")]
+    ended = sum(x.endswith(";") for x in lines) * 3 > len(lines)
+    for name, (_, comment, ends, _, semicolons) in GRAMMARS.items():
+        points[name] += 0.25 * any(x.startswith(comment) for x in lines) + 0.25 * any(x.rstrip(";") == e.replace("~", " ") for x in lines for e in ends.split())
+        points[name] -= 1.0 * (ended and not semicolons)
+    return points
 
 
 def language_of(code: str, label: str = "") -> tuple[str, float]:
     """(language or unknown, confidence): a known label decides; else the language with the
-    most signals, if it leads by one, its family counting as one."""
+    most points, if it leads all that are not its relatives."""
     name = re.split(r"[\s{,]", label.strip().lower())[0]
     if name in _LABEL:
         return _LABEL[name], 1.0
-    ranked = sorted(((sum(bool(p.search(code)) for p in ps), k) for k, ps in _SIGNALS.items() if k != "python" or not NOT_PYTHON.search(code)), reverse=True)
-    best, lang = ranked[0]
-    rival = next((n for n, k in ranked[1:] if FAMILIES.get(k, k) != FAMILIES.get(lang, lang)), 0)
-    if best < 2 or best - rival < 1:
+    points, near = evidence(code), _grammars()[2]
+    lang = max(points, key=lambda k: (points[k], k))
+    best = points[lang]
+    rival = max((v for k, v in points.items() if k != lang and (k, lang) not in near), default=0.0)
+    if best < ENOUGH or best - rival < LEAD:
         return "unknown", 0.0
-    return lang, min(1.0, 0.55 + 0.1 * best + 0.05 * (best - rival))
+    return lang, min(1.0, 0.55 + 0.08 * best + 0.05 * (best - rival))
 
 
 SURE = 0.85
@@ -243,7 +328,7 @@ def languages(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, shared if lang == "unknown" else lang) for a, b, lang, _ in found]
 
 
-#: Signals of libraries; any one is enough. Our own, from their documentation.
+#: Signals of libraries; any one is enough.
 PROFILES = {
     "react": [r"\bfrom ['\"]react['\"]", r"\buseState\("], "vue": [r"\bfrom ['\"]vue['\"]", r"\bdefineComponent\("], "angular": [r"@angular/"], "express": [r"\brequire\(['\"]express['\"]\)", r"\bexpress\(\)"],
     "node": [r"\brequire\(['\"](?:fs|path|http|os)['\"]\)", r"\bprocess\.env\b"], "jest": [r"\bdescribe\(.*\bit\(|\bexpect\(.*\)\.to[A-Z]"], "django": [r"\bfrom django\b"], "flask": [r"\bfrom flask\b", r"@app\.route\("],

@@ -1,125 +1,16 @@
-"""Own names in code: found, told from libraries' names, and given aliases.
-
-A lexical analysis of our own: tokens with comments, strings and their
-interpolations; declarations by keyword, type, parameter list, member and
-import; a fixed order of decisions; then one alias for each name, everywhere.
+"""Own names in code and their aliases: which names are one's own, every place of
+them, and one alias for each, everywhere.
 """
 
 from __future__ import annotations
 
-import keyword
 import re
 from dataclasses import dataclass, field
 
+from spanlake.code import lexicon, symbols, traces
 from spanlake.code.identifiers import IDENTIFIER
-from spanlake.code.regions import languages
-
-HASH_COMMENTS = {"python", "ruby", "bash", "yaml"}
-TEMPLATES = {"javascript": r"\$\{", "typescript": r"\$\{", "kotlin": r"\$\{", "python": r"\{", "csharp": r"\{", "ruby": r"#\{", "php": r"\{"}
-CONTROL = set(keyword.kwlist) | set(
-    "abstract as async await base bool boolean break byte case catch char const constructor continue debugger decimal default defer delegate delete do double dyn else end enum export extends extern false final "
-    "finally float fn for foreach func function get go goto if impl implements import in init instanceof int interface internal let long loop match mod module mut namespace new nil null number object of operator "
-    "out override package params private protected pub public readonly ref return self set short static string struct super switch synchronized template this throw throws trait true try type typeof undefined "
-    "union unsafe use using val var virtual void volatile when where while with yield String Integer Boolean Object None True False".split()
-)
-#: Names that languages or their standard libraries bring along.
-BUILTIN = CONTROL | set(
-    "print len range list dict str set tuple open super map filter zip sum min max abs any all sorted enumerate isinstance console log error warn document window Math JSON Promise Array Date Map Set Error require module exports "
-    "parseInt fetch setTimeout push pop slice splice join split length forEach reduce then catch toString System out println Console WriteLine ReadLine List Dictionary Task fmt Println Printf Sprintf err append make panic Vec Some Ok Err "
-    "unwrap clone vec format std cout cin endl printf main args argv argc self cls this value key item index i j k n x y e".split()
-)
-
-
-@dataclass
-class Token:
-    start: int
-    end: int
-    kind: str  # name, comment, string or other
-
-
-def tokens(code: str, language: str) -> list[Token]:
-    """Comments, strings and names; names inside interpolations count as code."""
-    hash_ = language in HASH_COMMENTS or language == "php"
-    parts = [r"(?P<comment>//[^\n]*|/\*.*?\*/" + (r"|\#[^\n]*" if hash_ else "") + (r"|--[^\n]*" if language == "sql" else "") + ")"]
-    if language in HASH_COMMENTS:
-        parts = [r"(?P<comment>\#[^\n]*)"]
-    parts += [r'(?P<string>[fFrRbBuU]?"""(?:.|\n)*?"""|[fFrRbBuU]?\'\'\'(?:.|\n)*?\'\'\'|[$@fFrRbBuU]{0,2}"(?:\\.|[^"\\\n])*"|[fFrRbBuU]?\'(?:\\.|[^\'\\\n])*\'' + ("|`(?:\\\\.|[^`\\\\])*`" if language in ("javascript", "typescript", "go") else "") + ")", r"(?P<name>[^\W\d][\w$]*|\$[\w$]+)"]
-    out = []
-    for m in re.finditer("|".join(parts), code, re.S):
-        kind = m.lastgroup or "other"
-        out.append(Token(m.start(), m.end(), kind))
-        opener = TEMPLATES.get(language)
-        if kind == "string" and opener and (m[0][0] in "`fF$" or language in ("kotlin", "ruby", "php")):
-            for t in re.finditer(opener + r"([^{}]*)\}", m[0]):
-                for n in IDENTIFIER.finditer(t[1]):
-                    out.append(Token(m.start() + t.start(1) + n.start(), m.start() + t.start(1) + n.end(), "name"))
-    return out
-
-
-DECLARATIONS = [(role, re.compile(p, re.M)) for role, p in (
-    ("class", r"\b(?:class|interface|struct|enum|trait|record|impl|object)\s+([^\W\d]\w*)"),
-    ("type", r"\b(?:type|typedef)\s+([^\W\d]\w*)\s*(?:=|struct|interface|\{)"),
-    ("function", r"\b(?:def|function|func|fn|fun|sub)\s+(?:\([^)]*\)\s*)?([^\W\d]\w*)"),
-    ("variable", r"\b(?:const|let|var|val|mut)\s+(?:mut\s+)?([^\W\d][\w$]*)"),
-    ("variable", r"\b(?:const|let|var)\s*[\[{]([^=\]}]+)[\]}]\s*="),
-    ("variable", r"^\s*(\$?[^\W\d]\w*)\s*(?::\s*[\w.\[\]<>, |]+)?\s*(?::=|=)(?!=)"),
-    ("variable", r"^\s*([^\W\d]\w*(?:\s*,\s*[^\W\d]\w*)+)\s*:?=(?!=)"),
-    ("variable", r"\b(?:for|foreach)\s*\(?\s*(?:const|let|var|auto|final)?\s*(?:[\w<>\[\]]+\s+)?([^\W\d]\w*(?:\s*,\s*[^\W\d]\w*)*)\s+(?:in|of|:)\s"),
-    ("variable", r"\bfor\s+([^\W\d]\w*(?:\s*,\s*[^\W\d]\w*)*)\s*:=\s*range\b"),
-    ("variable", r"\b(?:as|catch\s*\(\s*[\w.]+)\s+([^\W\d]\w*)\s*[:){]"),
-    ("function", r"^\s*(?:(?:public|private|protected|internal|static|final|async|override|virtual|abstract|unsafe|pub|export)\s+)*(?:[A-Za-z_][\w.<>\[\],?]*\s+)([^\W\d]\w*)\s*\([^;{}]*\)\s*(?:\{|=>|throws)"),
-    ("variable", r"^\s*(?:(?:public|private|protected|internal|static|final|readonly|const|volatile)\s+)*(?:int|long|short|float|double|bool|boolean|char|byte|string|String|var|auto|decimal|[A-Z][\w.]*(?:<[^>;]*>)?(?:\[\])?)\s+([^\W\d]\w*)\s*(?:=|;|\{)"),
-    ("property", r"^\s+([^\W\d]\w*)[?!]?\s*:\s*[A-Za-z_][\w.<>\[\]|, ]*[;,]?\s*$"),
-    ("property", r"\b(?:self|this)\.([^\W\d]\w*)\s*(?::[^=\n]+)?=(?!=)"),
-)]
-PARAMETERS = re.compile(r"(?:\b(?:def|function|func|fn|fun)\b[^(\n]*|[\w>\]]\s+[^\W\d]\w*\s*|\bconstructor\s*|^\s*)\(([^()]*)\)\s*(?:->\s*[\w<>\[\]., &]+\s*)?(?::\s*[\w<>\[\]., |]+\s*)?(?:\{|:\s*$|=>|throws)", re.M)
-ARROW = re.compile(r"(?<![\w$.])([^\W\d][\w$]*)\s*=>")
-IMPORTS = [re.compile(p, re.M) for p in (
-    r"^\s*from\s+[\w.]+\s+import\s+\(?([\w, \n]+)\)?", r"^\s*import\s+([\w., ]+?)(?:\s+as\s+(\w+))?\s*;?\s*$", r"^\s*import\s+(.+?)\s+from\s+['\"]([^'\"]+)['\"]", r"\brequire\(['\"]([^'\"]+)['\"]\)",
-    r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;", r"^\s*use\s+([\w:{}, ]+);",
-)]
-LOCAL_IMPORT = re.compile(r"^\s*(?:from\s+\.|import\s+.+?\s+from\s+['\"]\.|(?:const|let|var)\s+.+?=\s*require\(['\"]\.|use\s+crate::)", re.M)
-
-
-def declared(code: str, language: str = "") -> dict[str, str]:
-    """name -> role of everything the code declares; the first role holds."""
-    out: dict[str, str] = {}
-
-    def add(names: str, role: str) -> None:
-        for n in re.findall(r"[^\W\d][\w$]*|\$[\w$]+", names):
-            n = n.lstrip("$")
-            if n and n not in CONTROL:
-                out.setdefault(n, "constant" if role == "variable" and re.fullmatch(r"[A-Z][A-Z0-9_]+", n) else role)
-
-    for role, p in DECLARATIONS:
-        for m in p.finditer(code):
-            add(m[1], role)
-    for m in PARAMETERS.finditer(code):
-        for part in m[1].split(","):
-            part = re.sub(r"\s*=.*$", "", part).strip()
-            if language == "go" and " " in part:
-                part = part.split()[0]  # the type comes second
-            typed = re.match(r"^[&*.]*(?:mut\s+)?([^\W\d][\w$]*)\s*[?]?:", part)
-            if typed:
-                add(typed[1], "parameter")
-            elif part and re.match(r"^[&*.\w<>\[\], ]*?[&*.]*[^\W\d][\w$]*$", part):
-                add(re.split(r"[\s&*.]+", part)[-1], "parameter")  # the last word: what is before it is a type
-    for m in ARROW.finditer(code):
-        add(m[1], "parameter")
-    return out
-
-
-def imported(code: str) -> set[str]:
-    """Names that come from elsewhere; relative imports are one's own."""
-    out = set()
-    for p in IMPORTS:
-        for m in p.finditer(code):
-            if LOCAL_IMPORT.match(m[0]):
-                continue
-            for g in m.groups():
-                if g:
-                    out.update(re.findall(r"[^\W\d][\w$]*", g))
-    return out
+from spanlake.code.lexer import tokens
+from spanlake.code.regions import TAG, languages, subtracted
 
 
 @dataclass
@@ -130,22 +21,10 @@ class Plan:
     identifiers: set[str] = field(default_factory=set)
 
 
-def is_own(name: str, roles: dict[str, str], external: set[str], members: set[str]) -> bool:
-    """The order of decisions: too short, a keyword, imported, declared here, a built-in,
-    a member of something imported, else not our own."""
-    if len(name) < 3 or name.startswith("__"):
-        return False
-    if name in CONTROL or name in external:
-        return False
-    if name in roles:
-        return name not in BUILTIN
-    if name in BUILTIN or name in members:
-        return False
-    return False
-
-
 def inner(text: str, a: int, b: int) -> tuple[int, int]:
     """A region without the lines of its fences or its tags."""
+    if text.startswith("<", a) and (m := TAG.match(text, a, b)):
+        return m.end(), max(m.end(), text.rfind("<", a, b)) if text[b - 1 : b] == ">" else b
     if text.startswith("```", a):
         first = text.find("\n", a, b)
         a = b if first < 0 else first + 1
@@ -155,35 +34,61 @@ def inner(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def telling(name: str) -> bool:
+    """Whether a word can hardly be prose."""
+    return "_" in name or bool(re.search(r"[a-z][A-Z]", name))
+
+
+def bodies(text: str, regions: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The code of regions, without fences and tags, and without error output."""
+    errors = traces.error_regions(text)
+    return [(x, y, lang) for a, b, lang in regions for x, y in subtracted([inner(text, a, b)], errors)]
+
+
+def framed(text: str) -> list[tuple[traces.Slot, list[tuple[int, str]]]]:
+    """What error output names: each slot with the identifiers in it, (place, name)."""
+    return [(s, [(m.start(), m[0]) for m in IDENTIFIER.finditer(text, s.start, s.end)]) for s in traces.error_slots(text) if s.kind != "path"]
+
+
+def names_of(text: str, regions: list[tuple[int, int, str]]) -> dict[str, symbols.Evidence]:
+    """The evidence of all of a text's code, and of its own functions in error output."""
+    out = symbols.merged([symbols.evidence(text[a:b], lang, a) for a, b, lang in bodies(text, regions)])
+    for slot, names in framed(text):
+        if slot.kind != "function" or slot.library:
+            continue
+        for at, name in names:
+            role = "function" if (at, name) == names[-1] else "class" if name[:1].isupper() else "namespace"
+            e = out.setdefault(name, symbols.Evidence(name, "unknown", at, role))
+            e.declared, e.first, e.uses = e.declared or not e.imported, min(e.first, at), e.uses + 1
+    return out
+
+
 def rename_plan(text: str, regions: list[tuple[int, int, str]] | None = None) -> Plan:
-    """Own names of the code in a text and every place of them: in code, its comments and
-    strings as whole words, and in prose where they could be nothing else."""
-    regions = [(*inner(text, a, b), lang) for a, b, lang in (languages(text) if regions is None else regions)]
-    plan, roles, external, members = Plan(), {}, set(), set()
-    for a, b, lang in regions:
-        code = text[a:b]
-        plan.languages.append(lang)
-        for n, r in declared(code, lang).items():
-            roles.setdefault(n, r)
-        external |= imported(code)
-        members |= set(re.findall(r"(?<=\.)([^\W\d]\w*)", code)) - set(roles)
-        plan.identifiers |= set(IDENTIFIER.findall(code))
-    own = {n: r for n, r in roles.items() if is_own(n, roles, external, members)}
-    plan.roles = own
+    """Own names of the code in a text and every place of them: in code, its comments, and
+    in prose where they could be nothing else."""
+    found = languages(text) if regions is None else regions
+    names = names_of(text, found)
+    steps = symbols.decide(names, lexicon.known, set(), set(lexicon.RESERVED))
+    regions = bodies(text, found)
+    own = {n: role for n, (role, step) in steps.items() if step in ("declared", "undeclared")}
+    plan = Plan(own, languages=[lang for _, _, lang in regions])
     taken = set()
     for a, b, lang in regions:
+        plan.identifiers |= set(IDENTIFIER.findall(text[a:b]))
         for t in tokens(text[a:b], lang):
-            found = [(t.start, t.end)] if t.kind == "name" else [m.span() for m in IDENTIFIER.finditer(text, a + t.start, a + t.end)] if t.kind == "comment" else []
-            for x, y in found:
-                x, y = (a + x, a + y) if t.kind == "name" else (x, y)
-                x += text[x] == "$"
-                if text[x:y] in own and (x, y) not in taken:
+            places = [(a + t.start, a + t.end)] if t.kind == "name" else [m.span() for m in IDENTIFIER.finditer(text, a + t.start, a + t.end)] if t.kind == "comment" else []
+            for x, y in places:
+                if text[x:y] in own and (x, y) not in taken and (t.kind == "name" or telling(text[x:y]) or len(text[x:y]) > 2):
                     taken.add((x, y))
                     plan.occurrences.append((x, y, text[x:y]))
+    for _, named in framed(text):
+        for x, name in named:
+            if name in own and (x, x + len(name)) not in taken:
+                taken.add((x, x + len(name)))
+                plan.occurrences.append((x, x + len(name), name))
     inside = [(a, b) for a, b, _ in regions]
     for m in IDENTIFIER.finditer(text):
-        telling = "_" in m[0] or re.search(r"[a-z][A-Z]", m[0])
-        if m[0] in own and telling and m.span() not in taken and not any(a <= m.start() < b for a, b in inside):
+        if m[0] in own and telling(m[0]) and m.span() not in taken and not any(a <= m.start() < b for a, b in inside):
             plan.occurrences.append((*m.span(), m[0]))
     plan.occurrences.sort()
     return plan

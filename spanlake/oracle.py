@@ -6,8 +6,10 @@ the tables queried here.
 
 from __future__ import annotations
 
+import re
+
 from spanlake import rules
-from spanlake.plans import fixtures
+from spanlake.plans import fixtures, planted
 
 
 def q(s: str) -> str:
@@ -161,23 +163,23 @@ ORACLES: dict[str, str] = {}
 for name, kind in {"scan_email": "EMAIL", "scan_phone": "PHONE", "scan_ssn": "SSN", "scan_card": "CREDIT_CARD", "scan_ip": "IP_ADDRESS", "scan_iban": "IBAN", "scan_date": "DATE"}.items():
     ORACLES[name] = f"""WITH {candidates()} SELECT doc_id, start, start + CAST(strlen(m) AS INT) AS "end", m AS text, score FROM cand WHERE entity_type = '{kind}'"""
 
-FIXTURE = fixtures.values(fixtures.TEXTS, "id, text")
-ORACLES["scan_fixture"] = f"""WITH fx AS (SELECT * FROM {FIXTURE} WHERE id <> 7), {candidates("fx", "id")} SELECT CAST(id AS BIGINT) AS id, start, start + CAST(strlen(m) AS INT) AS "end", entity_type, m AS text, score FROM cand"""
+FIXTURE = fixtures.texts_sql()
+ORACLES["scan_fixture"] = f"""WITH fx AS (SELECT id, CASE case_id WHEN 7 THEN replace(replace(text, 'é', 'zz'), 'ü', 'zz') ELSE text END AS text FROM {FIXTURE}), {candidates("fx", "id")} SELECT CAST(id AS BIGINT) AS id, start, start + CAST(strlen(m) AS INT) AS "end", entity_type, m AS text, score FROM cand"""
 ORACLES["luhn_valid_cards"] = f"WITH {candidates()} SELECT doc_id, start, m AS text FROM cand WHERE entity_type = 'CREDIT_CARD' AND {luhn('m')}"
-ORACLES["checksums"] = f"SELECT CAST(id AS BIGINT) AS id, entity_type, {valid('entity_type', 'text')} AS valid FROM {fixtures.values([(i, *r) for i, r in enumerate(fixtures.NUMBERS)], 'id, text, entity_type')}"
+ORACLES["checksums"] = f"SELECT id, entity_type, {valid('entity_type', 'text')} AS valid FROM {fixtures.each_sql(fixtures.NUMBERS, 'text, entity_type')}"
 ORACLES["context_boosted_spans"] = f'WITH {candidates()}, {BOOSTED} SELECT doc_id, start, "end", entity_type, text, score FROM boosted'
 ORACLES["merged_spans"] = f'WITH {candidates()}, {BOOSTED}, {MERGED} SELECT doc_id, start, "end", entity_type, score FROM kept'
 ORACLES["detect_all"] = with_spans("""SELECT doc_id, start, "end", entity_type, score, text, 'regex' AS source FROM spans""")
 ORACLES["spans_by_type"] = with_spans("SELECT entity_type, count(*) AS n, count(DISTINCT doc_id) AS docs FROM spans GROUP BY 1")
 ORACLES["spans_by_lang"] = with_spans("SELECT d.lang, count(s.doc_id) AS n FROM documents d LEFT JOIN spans s USING (doc_id) GROUP BY 1")
 ORACLES["spans_by_source"] = with_spans("SELECT 'regex' AS source, count(*) AS n FROM spans")
-ORACLES["config_parsed"] = """SELECT * FROM (VALUES (1, 0.5::DOUBLE, 0.15::DOUBLE, 5, false, 'off', true), (2, 0.7, 0.15, 5, false, 'full', true), (3, 0.5, 0.15, 5, false, 'off', true),
- (4, 0.5, 0.15, 2, true, 'off', true), (5, 0.5, 0.15, 5, false, 'off', true)) AS v(id, min_confidence, context_boost, context_window, ner_enabled, code_mode, regex_enabled)"""
+_CONFIGS = [("0.5", "5", "false", "off"), ("0.7", "5", "false", "full"), ("0.5", "5", "false", "off"), ("0.5", "2", "true", "off"), ("0.5", "5", "false", "off")]
+ORACLES["config_parsed"] = f"""SELECT id, m::DOUBLE AS min_confidence, 0.15::DOUBLE AS context_boost, w::INT AS context_window, n::BOOLEAN AS ner_enabled, c AS code_mode, true AS regex_enabled FROM {fixtures.each_sql(_CONFIGS, 'm, w, n, c')}"""
 PAGES = "(SELECT page_id AS k, url AS u FROM pages)"
 ORACLES["url_parts"] = f"WITH {url_table(PAGES)} SELECT k AS page_id, scheme, host, path, query, fragment FROM parts"
 ORACLES["url_private_flag"] = f"WITH {url_table(PAGES)} SELECT k AS page_id, {private_flag()} AS private FROM parts"
-ORACLES["url_private_fixture"] = f"WITH {url_table('(SELECT CAST(id AS BIGINT) AS k, url AS u FROM ' + fixtures.values(list(enumerate(fixtures.URLS)), 'id, url') + ')')} SELECT k AS id, {private_flag(['unknown.biz'])} AS private FROM parts"
-ORACLES["path_private_fixture"] = f"SELECT CAST(id AS BIGINT) AS id, {private_path('path')} AS private FROM {fixtures.values(list(enumerate(fixtures.PATHS)), 'id, path')}"
+ORACLES["url_private_fixture"] = f"WITH {url_table('(SELECT id AS k, url AS u FROM ' + fixtures.each_sql([(u,) for u in fixtures.URLS], 'url') + ')')} SELECT k AS id, {private_flag(['unknown.biz'])} AS private FROM parts"
+ORACLES["path_private_fixture"] = f"SELECT id, {private_path('path')} AS private FROM {fixtures.each_sql([(p,) for p in fixtures.PATHS], 'path')}"
 ORACLES["url_hosts_topk"] = f"WITH {url_table(PAGES)} SELECT host, count(*) AS n FROM parts GROUP BY host ORDER BY n DESC, host LIMIT 10"
 ORACLES["thresholded_global"] = with_spans(f"SELECT doc_id, start, entity_type, score FROM spans WHERE score >= {threshold_case(0.1)}")
 ORACLES["thresholded_individual"] = with_spans(f"SELECT doc_id, start, entity_type, score FROM spans WHERE score >= {threshold_case(0.5, {'Contact': 0.0, 'Network': 1.0})}")
@@ -240,7 +242,7 @@ ORACLES["negative_quota"] = with_spans(
     f"""SELECT id, bucket FROM (SELECT doc_id AS id, lang || ':' || {BUCKET.format('length(text)')} AS bucket FROM documents WHERE lang IN ('en', 'de') AND doc_id NOT IN (SELECT doc_id FROM spans))
 QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY id) <= CASE WHEN bucket = 'en:short' THEN 5 ELSE 4 END ORDER BY id LIMIT 25"""
 )
-ORACLES["label_map"] = "SELECT * FROM (VALUES (0, 'PERSON'), (1, 'PERSON'), (2, NULL), (3, 'PERSON'), (4, 'MISC'), (5, NULL), (6, NULL), (7, 'MISC'), (8, 'MISC')) AS v(id, entity_type)"
+ORACLES["label_map"] = "SELECT id, entity_type FROM " + fixtures.each_sql([(x,) for x in ("PERSON", "PERSON", None, "PERSON", "MISC", None, None, "MISC", "MISC")], "entity_type")
 #: The planted shifts are 0, 1 or 10 bytes, so a detection can match its own gold span only, unless spans are closer than that.
 SCORED = f"""rows AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS idx, start, "end", entity_type, start + doc_id AS k FROM spans),
 shifted AS (SELECT *, CASE WHEN k % 11 = 0 THEN 10 WHEN k % 5 = 0 THEN 1 ELSE 0 END AS moved, "end" - start AS n FROM rows),
@@ -272,10 +274,10 @@ PRIVATE_LINKS = [
     (10, "https://user:pw@host.example.com/"), (10, "https://example.com/u/550e8400-e29b-41d4-a716-446655440000"), (10, "https://drive.google.com/file"), (10, "https://unknown-host.biz/page"),
 ]
 _at = [(i, dict(fixtures.TEXTS)[i].encode().find(u.encode()), u) for i, u in PRIVATE_LINKS]
-ORACLES["private_links_in_text"] = 'SELECT CAST(id AS BIGINT) AS id, start, "end", text FROM ' + fixtures.values([(i, a, a + len(u), u) for i, a, u in _at], 'id, start, "end", text')
+ORACLES["private_links_in_text"] = 'SELECT id, start, "end", v.text FROM ' + FIXTURE + " f JOIN " + fixtures.values([(i, a, a + len(u), u) for i, a, u in _at], 'case_id, start, "end", text') + " USING (case_id)"
 ORACLES["domains_normalized"] = r"SELECT page_id, regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?(?:www\.)?([^/:?#]+)', 1) AS domain FROM pages"
 ORACLES["chunk_merge"] = f"""WITH {candidates()} SELECT doc_id, start, start + CAST(strlen(m) AS INT) AS "end", entity_type, m AS text FROM cand WHERE entity_type IN ('EMAIL', 'IP_ADDRESS')"""
-ORACLES["model_labels"] = "SELECT * FROM (VALUES (0, 'PERSON'), (1, 'LOCATION'), (2, 'PERSON'), (3, 'ORGANIZATION'), (4, NULL), (5, NULL), (6, NULL)) AS v(id, entity_type)"
+ORACLES["model_labels"] = "SELECT id, entity_type FROM " + fixtures.each_sql([(x,) for x in ("PERSON", "LOCATION", "PERSON", "ORGANIZATION", None, None, None)], "entity_type")
 ORACLES["code_tags"] = "SELECT i = 0 AS in_code, CASE i WHEN 0 THEN '10.1.2.3' ELSE '10.9.8.7' END AS text, count(*) AS n FROM conversations, generate_series(0, 1) g(i) GROUP BY ALL"
 ORACLES["stream_debounce"] = """WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
@@ -295,7 +297,7 @@ FROM (SELECT *, regexp_extract(text, '^[^\\s]+') AS w FROM documents WHERE lang
 ORACLES["auto_approved"] = with_spans("SELECT doc_id, start, score FROM spans WHERE score >= 0.8")
 ORACLES["used_mappings"] = f"WITH {CHATS} SELECT '[PERSON_' || i || ']' AS token, 'p' || i AS original, count(*) AS n FROM chats, generate_series(1, 9) g(i) WHERE contains(text, 'PERSON_' || i) GROUP BY i"
 ORACLES["gazetteer"] = "SELECT id, strlen(substr(t, 1, instr(t, w) - 1))::INT AS start, k AS entity_type, w AS text FROM (SELECT id::BIGINT AS id, concat_ws(' ', text, 'by Anna Müller, Berlin') AS t FROM " + FIXTURE + "), (VALUES ('Anna Müller', 'PERSON'), ('Berlin', 'LOCATION')) AS g(w, k)"
-ORACLES["code_alias"] = "SELECT * FROM (VALUES (1, 'var1'), (2, '_field2'), (3, 'Field3'), (4, 'CONST_4'), (5, 'func_5'), (6, 'Class6'), (7, 'param7')) AS v(id, alias)"
+ORACLES["code_alias"] = "SELECT id, alias FROM " + fixtures.each_sql([(x,) for x in ("var1", "_field2", "Field3", "CONST_4", "func_5", "Class6", "param7")], "alias")
 
 #: Text between tags; comments and what pages don't show are cut out first. The pages have four kinds of references.
 ORACLES["page_transcripts"] = r"""
@@ -314,3 +316,73 @@ _LOCAL = f"regexp_replace(regexp_replace(lower({pooled(rules.POOLS['PERSON'])}),
 _DOMAIN = f"{listed(rules.EMAIL_DOMAINS)}[1 + (index - 1) % {len(rules.EMAIL_DOMAINS)}]"
 ORACLES["synthetic_values"] = f"""WITH {ALL}, {VAULT} SELECT '[' || entity_type || '_' || index || ']' AS placeholder,
 CASE entity_type WHEN 'EMAIL' THEN {_LOCAL} || '@' || {_DOMAIN} {' '.join(f"WHEN '{t}' THEN {pooled(v)}" for t, v in rules.POOLS.items() if t != 'EMAIL')} ELSE '' END AS synthetic_value FROM vault"""
+
+# ---- code planted in documents: what the templates of plans/planted.py must give, {0} to {3} being a document's words
+
+_KIND = f"coalesce((doc_id % {len(planted.PIECES)} + {len(planted.PIECES)}) % {len(planted.PIECES)}, 0)"
+CODED = f"coded AS MATERIALIZED (SELECT doc_id, {_KIND} AS kind, {planted.sql_words()} AS w, text FROM (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{4,}}')[1:4] AS f FROM documents))"
+
+
+def filled(column: str) -> str:
+    for k in range(4):
+        column = f"replace({column}, '{{{k}}}', w[{k + 1}])"
+    return column
+
+
+def per_kind(rows: list[tuple], names: str, texts: str) -> str:
+    """Rows (kind, ...) for each document of that kind; the columns in texts have its words put in."""
+    out = ", ".join(f"{filled('v.' + c)} AS {c}" if c in texts.split() else f"v.{c}" for c in names.split(", "))
+    return f"WITH {CODED} SELECT doc_id, {out} FROM coded JOIN {fixtures.values(rows, 'kind, ' + names)} USING (kind)"
+
+
+_PLAIN = [p.replace("{{", "\x01").replace("}}", "\x02") for p in planted.PIECES]
+_SIZES = [len(p.replace("\x01", "{").replace("\x02", "}")) - 3 * sum(p.count(f"{{{k}}}") for k in range(4)) for p in _PLAIN]
+#: Bytes of a piece: what is fixed, and each word as often as it stands there.
+_BYTES = "CASE kind " + " ".join(f"WHEN {k} THEN {_SIZES[k]} + " + " + ".join(f"{p.count('{%d}' % n)} * strlen(w[{n + 1}])" for n in range(4)) for k, p in enumerate(_PLAIN)) + " END"
+_MARK = "strlen('<code>{0}_{1} = {2}({3})</code>') - 12 + strlen(w[1]) + strlen(w[2]) + strlen(w[3]) + strlen(w[4])"
+ORACLES["code_regions"] = f"""WITH {CODED} SELECT doc_id, CAST(CASE kind WHEN 5 THEN 4 ELSE 0 END AS INT) AS start, CAST(CASE kind WHEN 5 THEN {_MARK} WHEN 4 THEN {_BYTES} - strlen(w[3]) - {len(chr(10) + "ValueError: bad '_id'")} ELSE {_BYTES} END AS INT) AS bytes,
+CASE kind WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'java' WHEN 3 THEN 'go' ELSE 'unknown' END AS language FROM coded"""
+ORACLES["marked_regions"] = f"""WITH {CODED}, r AS (SELECT *, CAST(strlen(text) + CASE kind WHEN 5 THEN 6 ELSE 2 END AS INT) AS start FROM coded WHERE kind <> 4)
+SELECT doc_id, start, CAST(start + CASE kind WHEN 5 THEN {_MARK} ELSE {_BYTES} END AS INT) AS "end" FROM r"""
+_SLOTS = [
+    (4, "ValueError", "type", False), (4, "/home/{0}/app/main.py", "path", False), (4, "run", "function", True), (4, "/usr/lib/python3/site-packages/a.py", "path", True), (4, "{2}_id", "mention", False), (4, "load_{1}", "function", False),
+    (5, "src/{0}.ts", "path", False), (5, "{1}Name", "mention", False),
+]
+ORACLES["error_slots"] = f"SELECT doc_id, CAST(strlen(name) AS INT) AS bytes, name, slot AS kind, library FROM ({per_kind(_SLOTS, 'name, slot, library', 'name')})"
+ORACLES["language_guess"] = per_kind([(0, "python"), (1, "javascript"), (2, "java"), (3, "go")], "languages", "")
+ORACLES["profiles"] = per_kind([(0, "pandas"), (1, "react"), (2, ""), (3, ""), (4, ""), (5, "")], "profiles", "")
+#: kind, name, role, the step that decides, and its alias, if it is one's own.
+_NAMES = [
+    (0, "load_{0}", "function", "declared", "func_1"), (0, "{1}_name", "parameter", "declared", "param_2"), (0, "limit", "parameter", "declared", "param3"), (0, "{2}_total", "variable", "declared", "var_4"), (0, "{3}_row", "variable", "declared", "var_5"),
+    (0, "{0}_key", "property", "undeclared", "field_6"), (0, "render_{3}", "function", "undeclared", "func_7"), (0, "pandas", "variable", "imported", None), (0, "pd", "variable", "imported", None), (0, "os", "variable", "imported", None),
+    (0, "environ", "variable", "imported", None), (0, "read_csv", "function", "receiver", None), (0, "head", "function", "receiver", None), (0, "sep", "property", "option", None),
+    (1, "{0}Name", "variable", "declared", "var1"), (1, "{1}Url", "variable", "undeclared", "var2"), (1, "{2}Data", "parameter", "declared", "param3"), (1, "show{3}", "function", "undeclared", "func4"), (1, "load{1}", "function", "declared", "func5"),
+    (1, "id", "parameter", "declared", "param6"), (1, "{3}Box", "variable", "undeclared", "var7"), (1, "useState", "variable", "imported", None), (1, "$", "function", "lexicon", None), (1, "addClass", "function", "receiver", None), (1, "ajax", "function", "receiver", None),
+    (1, "url", "property", "option", None), (1, "success", "property", "option", None), (1, "console", "variable", "lexicon", None), (1, "log", "function", "receiver", None), (1, "fetch", "function", "lexicon", None),
+    (2, "{0}Service", "class", "declared", "Class1"), (2, "{1}Base", "class", "undeclared", "Class2"), (2, "{2}Count", "property", "declared", "field3"), (2, "{3}Order", "variable", "verdict", "var4"), (2, "load{0}", "function", "declared", "func5"),
+    (2, "{1}Id", "parameter", "declared", "param6"), (2, "{3}Parts", "variable", "declared", "var7"), (2, "helper", "variable", "fallback", "var8"), (2, "split", "function", "undeclared", "func9"), (2, "java", "variable", "imported", None),
+    (2, "util", "property", "imported", None), (2, "List", "class", "imported", None), (2, "IOException", "class", "lexicon", None),
+    (3, "{0}Total", "function", "declared", "func1"), (3, "{1}Items", "parameter", "declared", "param2"), (3, "{2}Sum", "variable", "declared", "var3"), (3, "{3}Price", "variable", "declared", "var4"), (3, "main", "namespace", "reserved", None),
+    (3, "fmt", "variable", "imported", None), (3, "_", "variable", "reserved", None), (3, "Println", "function", "receiver", None),
+    (4, "load_{1}", "function", "declared", "func_1"), (5, "{0}_{1}", "variable", "declared", "var_1"), (5, "{2}", "function", "undeclared", "func2"), (5, "{3}", "variable", "undeclared", "var3"),
+]
+ORACLES["code_symbols"] = per_kind([(k, n, role, step, step in ("declared", "undeclared")) for k, n, role, step, _ in _NAMES], "name, role, step, own", "name")
+ORACLES["rename_plan"] = per_kind([(k, n, alias) for k, n, _, _, alias in _NAMES if alias], "name, alias", "name")
+
+
+def _redacted(kind: int) -> str:
+    """A piece with its own names' aliases; names that hold others first. Words that are left stay as they are."""
+    out = _PLAIN[kind]
+    for _, n, _, _, alias in sorted((r for r in _NAMES if r[0] == kind and r[4]), key=lambda r: -len(r[1])):
+        out = re.sub(r"(?<![\w{}/$])" + re.escape(n) + r"(?![\w{}])(?!/)", alias, out)
+    return out.replace("\x01", "{").replace("\x02", "}")
+
+
+ORACLES["redact_code"] = f"SELECT doc_id, sha256(code) AS code FROM ({per_kind([(k, _redacted(k)) for k in range(len(planted.PIECES))], 'code', 'code')})"
+_VIEW = r"replace(replace(replace(regexp_replace(regexp_replace(code, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '_', ' '), '$(', chr(1)), chr(1), '$(')"
+ORACLES["split_identifiers"] = f"SELECT doc_id, {_VIEW} AS view FROM ({per_kind([(k, _PLAIN[k].replace(chr(1), '{').replace(chr(2), '}')) for k in range(4)], 'code', 'code')})"
+ORACLES["identifiers_propagated"] = f"SELECT doc_id, CAST(n AS BIGINT) AS n, CAST(strlen(before) AS INT) AS first FROM ({per_kind([(0, 3, _PLAIN[0].split('{1}')[0]), (1, 1, _PLAIN[1].split('{1}')[0]), (2, 3, _PLAIN[2].split('{1}')[0]), (3, 2, _PLAIN[3].split('{1}')[0])], 'n, before', 'before')})".replace("\x01", "{").replace("\x02", "}")
+ORACLES["identifiers_widened"] = f"SELECT doc_id, text, CAST(n AS BIGINT) AS n FROM ({per_kind([(0, '{1}_name', 3), (1, '{1}Url', 1), (2, '{1}Base', 1), (3, '{1}Items', 2)], 'text, n', 'text')})"
+ORACLES["generic_dropped"] = per_kind([(0, "total", "regex")], "text, source", "")
+ORACLES["bare_positions"] = per_kind([(k, True) for k in range(4)], "bare", "")
+ORACLES["path_views"] = f"WITH {CODED} SELECT doc_id, ' home ' || w[1] || ' ' || w[2] || '.' || w[3] AS view FROM coded"

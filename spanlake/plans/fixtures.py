@@ -1,8 +1,9 @@
-"""Small inline tables that Spark and the SQL oracle share."""
+"""Cases that the given texts lack, dealt to the rows of a given table; Spark and SQL share them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TEXTS = [
     (1, "Pay DE89370400440532013000 or GB82WEST12345698765432 or DE89370400440532013001 today."),
@@ -37,20 +38,30 @@ def values(rows: list[tuple], names: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows) + f") AS v({names})"
 
 
-def texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEXTS, "id long, text string")
+def each(documents: DataFrame, rows: list[tuple], names: str) -> DataFrame:
+    """id (doc_id), own (the text) and one of the rows for each document, by its id."""
+    columns = names.split(", ")
+    kinds = [next((type(r[c]) for r in rows if r[c] is not None), str) for c in range(len(columns))]
+    lit = lambda v, kind: F.lit(v).cast("string" if kind is str else "int")
+    cases = F.array(*(F.struct(*(lit(v, k).alias(c) for v, k, c in zip(r, kinds, columns))) for r in rows))
+    dealt = documents.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("own"), cases[F.coalesce(F.pmod("doc_id", F.lit(len(rows))), F.lit(0)).cast("int")].alias("case__"))
+    return dealt.select("id", "own", "case__.*")
 
 
-def urls(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(URLS)), "id long, url string")
+def each_sql(rows: list[tuple], names: str) -> str:
+    """each() for DuckDB."""
+    n, columns = len(rows), ", ".join(f"v.{c}" for c in names.split(", "))
+    return f"(SELECT doc_id AS id, coalesce(d.text, '') AS own, {columns} FROM documents d JOIN {values([(i, *r) for i, r in enumerate(rows)], 'nth, ' + names)} ON nth = coalesce((doc_id % {n} + {n}) % {n}, 0))"
 
 
-def paths(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(PATHS)), "id long, path string")
+def texts(documents: DataFrame) -> DataFrame:
+    """A case and the document's own text after it."""
+    return each(documents, [(i, t) for i, t in TEXTS], "case_id, text").withColumn("text", F.concat_ws("\n", "text", "own"))
 
 
-def numbers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(NUMBERS)], "id long, text string, entity_type string")
+def texts_sql() -> str:
+    return f"(SELECT id, case_id, text || chr(10) || own AS text FROM {each_sql(TEXTS, 'case_id, text')})"
+
 
 CODE = [
     (1, "Please look:\n```python\nimport pandas as pd\ndef load_invoice(customer_name, total=0):\n    invoice_total = total + 1\n    # customer_name is a person\n    return invoice_total\nprint(load_invoice('a'))\n```\nDoes load_invoice work?"),

@@ -11,8 +11,8 @@ from spanlake import rules
 from spanlake.code import columns as code
 from spanlake.config import Config, parsed_config
 from spanlake.functions import checksum, spans, text, urls
-from spanlake.operators import detection, models, pseudonym, restore, review, scoring, synthetic
-from spanlake.plans import fixtures
+from spanlake.operators import detection, models, pseudonym, restore, review, scoring, symbols, synthetic
+from spanlake.plans import fixtures, planted
 from spanlake.plans.scratch import scratch, stored
 from spanlake.sources import corpus
 from spanlake.streaming import observe
@@ -63,7 +63,7 @@ QUERIES.update({name: _scan(kind) for name, kind in NAMES.items()})
 
 @query
 def scan_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = fixtures.texts(spark).where("id != 7").select("id", F.explode(spans.recognized(F.col("text"))).alias("s"))
+    got = fixtures.texts(documents(spark, sf_dir)).select("id", F.explode(spans.recognized(F.col("text"))).alias("s"))
     return got.select("id", "s.start", "s.end", "s.entity_type", "s.text", "s.score")
 
 
@@ -75,7 +75,7 @@ def luhn_valid_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.numbers(spark).select("id", "entity_type", checksum.valid(F.struct("entity_type", "text")).alias("valid"))
+    return fixtures.each(documents(spark, sf_dir), fixtures.NUMBERS, "text, entity_type").select("id", "entity_type", checksum.valid(F.struct("entity_type", "text")).alias("valid"))
 
 
 @query
@@ -131,8 +131,8 @@ def external_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def config_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "{}"), (2, '{"min_confidence":0.7,"code_mode":"full"}'), (3, "not json"), (4, '{"code_mode":"odd","context_window":2,"ner_enabled":true}'), (5, None)]
-    got = spark.createDataFrame(rows, "id int, j string").select("id", parsed_config(F.col("j")).alias("c"))
+    cases = [(1, "{}"), (2, '{"min_confidence":0.7,"code_mode":"full"}'), (3, "not json"), (4, '{"code_mode":"odd","context_window":2,"ner_enabled":true}'), (5, None)]
+    got = fixtures.each(documents(spark, sf_dir), cases, "case_id, j").select("id", parsed_config(F.col("j")).alias("c"))
     return got.select("id", "c.min_confidence", "c.context_boost", "c.context_window", "c.ner_enabled", "c.code_mode", "c.regex_enabled")
 
 
@@ -152,12 +152,12 @@ def url_private_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def url_private_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.urls(spark).select("id", urls.private_url(F.col("url"), ("www.unknown.biz",)).alias("private"))
+    return fixtures.each(documents(spark, sf_dir), [(u,) for u in fixtures.URLS], "url").select("id", urls.private_url(F.col("url"), ("www.unknown.biz",)).alias("private"))
 
 
 @query
 def path_private_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.paths(spark).select("id", urls.private_path(F.col("path")).alias("private"))
+    return fixtures.each(documents(spark, sf_dir), [(p,) for p in fixtures.PATHS], "path").select("id", urls.private_path(F.col("path")).alias("private"))
 
 
 @query
@@ -168,7 +168,7 @@ def url_hosts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def private_links_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = fixtures.texts(spark).select("id", F.explode(urls.private_links(F.col("text"))).alias("s"))
+    got = fixtures.texts(documents(spark, sf_dir)).select("id", F.explode(urls.private_links(F.col("text"))).alias("s"))
     return got.select("id", "s.start", "s.end", "s.text")
 
 
@@ -401,8 +401,8 @@ def coverage_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(i, x) for i, x in enumerate(["first name", "GIVEN_NAME", "e-mail address", "PERSON", "zip-code", "nonsense", "", "driver license", "Tax ID"])]
-    return spark.createDataFrame(rows, "id int, label string").select("id", text.corpus_label(F.col("label")).alias("entity_type"))
+    cases = [(i, x) for i, x in enumerate(["first name", "GIVEN_NAME", "e-mail address", "PERSON", "zip-code", "nonsense", "", "driver license", "Tax ID"])]
+    return fixtures.each(documents(spark, sf_dir), cases, "case_id, label").select("id", text.corpus_label(F.col("label")).alias("entity_type"))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -517,14 +517,14 @@ def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fixtures.texts(spark).select("id", F.concat_ws(" ", "text", F.lit("by Anna Müller, Berlin")).alias("text"))
+    t = fixtures.texts(documents(spark, sf_dir)).select("id", F.concat_ws(" ", "text", F.lit("by Anna Müller, Berlin")).alias("text"))
     return t.select("id", F.explode(models.gazetteer(F.col("text"))).alias("s")).select("id", "s.start", "s.entity_type", "s.text")
 
 
 @query
 def model_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(i, x) for i, x in enumerate(["B-PER", "I-LOC", "givenName", "[ORG]", "TELEPHONENUM", "odd", "O"])]
-    return spark.createDataFrame(rows, "id int, raw string").select("id", models.model_label(F.col("raw")).alias("entity_type"))
+    cases = [(i, x) for i, x in enumerate(["B-PER", "I-LOC", "givenName", "[ORG]", "TELEPHONENUM", "odd", "O"])]
+    return fixtures.each(documents(spark, sf_dir), cases, "case_id, raw").select("id", models.model_label(F.col("raw")).alias("entity_type"))
 
 
 @query
@@ -540,44 +540,63 @@ def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- code
 
 
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, kind, words, code and text: documents with a piece of code or error output set after each."""
+    return planted.coded(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 @query
 def code_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.code(spark).select("id", F.explode(code.code_regions(F.col("text"))).alias("r")).select("id", "r.start", "r.end", "r.language")
+    """Regions of what was planted, and their languages."""
+    got = coded(spark, sf_dir).select("doc_id", F.explode(code.code_regions(F.col("code"))).alias("r"))
+    return got.select("doc_id", "r.start", (F.col("r.end") - F.col("r.start")).alias("bytes"), "r.language")
 
 
 @query
 def marked_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.code(spark).select("id", F.explode(code.marked_regions(F.col("text"))).alias("r")).select("id", "r.start", "r.end")
+    return coded(spark, sf_dir).select("doc_id", F.explode(code.marked_regions(F.col("text"))).alias("r")).select("doc_id", "r.start", "r.end")
 
 
 @query
 def error_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.code(spark).select("id", F.explode(code.error_slots(F.col("text"))).alias("s")).select("id", "s.start", "s.end", "s.name", "s.kind", "s.library")
+    return coded(spark, sf_dir).select("doc_id", F.explode(code.error_slots(F.col("text"))).alias("s")).select("doc_id", (F.col("s.end") - F.col("s.start")).alias("bytes"), "s.name", "s.kind", "s.library")
 
 
 @query
 def language_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.code(spark).select("id", F.transform(code.code_regions(F.col("text")), lambda r: r["language"]).alias("languages"))
+    """Languages of the planted code without its fences' labels."""
+    bare = coded(spark, sf_dir).where("kind < 4").withColumn("text", F.regexp_replace("code", "(?m)^```.*$", ""))
+    return bare.select("doc_id", F.array_join(F.array_distinct(F.transform(code.code_regions(F.col("text")), lambda r: r["language"])), " ").alias("languages"))
 
 
 @query
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.code(spark).select("id", code.profiles(F.col("text")).alias("profiles"))
+    return coded(spark, sf_dir).select("doc_id", F.array_join(code.profiles(F.col("text")), " ").alias("profiles"))
+
+
+@query
+def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name of the planted code, its role, and which step decided whose it is; a table of verdicts holds one name of each Java piece."""
+    docs = coded(spark, sf_dir)
+    verdicts = docs.where("kind = 2").select(F.concat(F.col("words")[3], F.lit("Order")).alias("name"), F.lit(False).alias("own"))
+    found = symbols.evidence(docs.select("doc_id", F.col("code").alias("text")), "doc_id")
+    return symbols.decided(found, "doc_id", verdicts=verdicts.distinct(), fallback=("helper",)).select("doc_id", "name", "role", "step", "own")
 
 
 @query
 def rename_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.code(spark).select("id", F.explode(code.renamed(F.col("text"))["aliases"]).alias("name", "alias"))
+    return coded(spark, sf_dir).select("doc_id", F.explode(code.renamed(F.col("code"))["aliases"]).alias("name", "alias"))
 
 
 @query
 def redact_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.code(spark).select("id", code.renamed(F.col("text"))["renamed"].alias("renamed"))
+    """Planted code written with aliases."""
+    return coded(spark, sf_dir).select("doc_id", F.sha2(code.renamed(F.col("code"))["renamed"], 256).alias("code"))
 
 
 @query
 def split_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.code(spark).select("id", code.split_identifiers(F.col("text")).alias("view"))
+    return coded(spark, sf_dir).where("kind < 4").select("doc_id", code.split_identifiers(F.col("code")).alias("view"))
 
 
 @query
@@ -619,47 +638,52 @@ def token_filing(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- more of code, stores and scores
 
 
-def _names_in_code(spark: SparkSession) -> DataFrame:
-    """Code with a model's spans on a word of an identifier."""
-    t = fixtures.code(spark)
-    a = F.instr("text", "nvoice") - 1
-    own = F.when(a >= 0, F.array(spans.span(F.octet_length(F.left("text", a)), F.octet_length(F.left("text", a + 6)), F.lit("PERSON"), F.lit(0.9), F.lit("nvoice"), F.lit("ner"), F.lit(0)))).otherwise(spans.no_spans())
-    return spans.computed(t, "spans", own)
+def _names_in_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted code with a model's span on its second word, at its first place."""
+    t = coded(spark, sf_dir).where("kind < 4").select("doc_id", F.col("words")[1].alias("word"), F.col("code").alias("text"))
+    a = F.instr(F.col("text"), F.col("word")) - 1
+    return spans.computed(t, "spans", F.array(spans.span(a, a + F.length("word"), F.lit("PERSON"), F.lit(0.9), F.col("word"), F.lit("ner"), F.lit(0))))
 
 
 @query
 def identifiers_propagated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spans.computed(fixtures.code(spark), "spans", F.array(spans.span(F.lit(0), F.lit(7), F.lit("PERSON"), F.lit(0.9), F.lit("Invoice"), F.lit("ner"), F.lit(0))))
-    return t.select("id", F.explode(code.propagated(F.col("text"), F.col("spans"))).alias("p")).select("id", "p.start", "p.end", "p.text")
+    got = _names_in_code(spark, sf_dir).select("doc_id", F.explode(code.propagated(F.col("text"), F.col("spans"))).alias("p"))
+    return got.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("p.start").alias("first"))
 
 
 @query
 def identifiers_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _names_in_code(spark).select("id", F.explode(code.widened(F.col("text"), F.col("spans"))).alias("p")).select("id", "p.start", "p.end", "p.text")
+    got = _names_in_code(spark, sf_dir).select("doc_id", F.explode(code.widened(F.col("text"), F.col("spans"))).alias("p"))
+    return got.groupBy("doc_id", F.col("p.text").alias("text")).agg(F.count("*").alias("n"))
 
 
 @query
 def generic_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fixtures.code(spark).where("text LIKE '%total%'")
-    a = F.instr("text", "total") - 1
-    both = F.array(*(spans.span(F.octet_length(F.left("text", a)), F.octet_length(F.left("text", a + 5)), F.lit("PERSON"), F.lit(0.9), F.lit("total"), F.lit(source), F.lit(0)) for source in ("ner", "regex")))
-    df = spans.computed(t, "spans", both)
-    return df.select("id", F.explode(code.without_generic(F.col("text"), F.col("spans"))).alias("s")).select("id", "s.text", "s.source")
+    """Spans of a model and of a pattern on the word total in planted code: the model's goes."""
+    t = coded(spark, sf_dir).where("kind = 0").select("doc_id", F.col("code").alias("text"))
+    a = F.instr("text", "_total") + 0
+    both = F.array(*(spans.span(a, a + 5, F.lit("PERSON"), F.lit(0.9), F.lit("total"), F.lit(source), F.lit(0)) for source in ("ner", "regex")))
+    return spans.computed(t, "spans", both).select("doc_id", F.explode(code.without_generic(F.col("text"), F.col("spans"))).alias("s")).select("doc_id", "s.text", "s.source")
 
 
 @query
 def bare_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _names_in_code(spark).select("id", code.takes_bare(F.col("text"), F.col("spans")).alias("bare"))
+    return _names_in_code(spark, sf_dir).select("doc_id", code.takes_bare(F.col("text"), F.col("spans"))[0].alias("bare"))
+
+
+def _planted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = planted.words(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", F.concat(F.lit("/home/"), w[0], F.lit("/"), w[1], F.lit("."), w[2]).alias("path"))
 
 
 @query
 def path_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.paths(spark).select("id", code.path_view("path").alias("view"))
+    return _planted_paths(spark, sf_dir).select("doc_id", code.path_view("path").alias("view"))
 
 
 @query
 def synthetic_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.paths(spark).select("id", synthetic.paths("path").alias("path"))
+    return _planted_paths(spark, sf_dir).select("doc_id", synthetic.paths("path").alias("path"))
 
 
 @query
@@ -723,5 +747,5 @@ def used_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def code_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "alma", "variable"), (2, "_etags", "property"), (3, "ClientName", "property"), (4, "MAX_SIZE", "constant"), (5, "load_user", "function"), (6, "acme", "class"), (7, "x1", "parameter")]
-    return spark.createDataFrame(rows, "id int, name string, role string").select("id", code.alias(F.col("role"), F.col("name"), F.col("id")).alias("alias"))
+    cases = [(1, "alma", "variable"), (2, "_etags", "property"), (3, "ClientName", "property"), (4, "MAX_SIZE", "constant"), (5, "load_user", "function"), (6, "acme", "class"), (7, "x1", "parameter")]
+    return fixtures.each(documents(spark, sf_dir), cases, "case_id, name, role").select("id", code.alias(F.col("role"), F.col("name"), F.col("case_id")).alias("alias"))

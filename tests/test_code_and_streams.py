@@ -101,13 +101,13 @@ def test_traces():
 
 
 def test_single_lines_of_error_output(spark):
-    from spanlake.queries import QUERIES
+    from spanlake.code import columns
 
     want = {
         (11, "./main.go", "path"), (11, "customerName", "mention"), (12, "src/a.kt", "path"), (12, "loadInvoice", "mention"), (13, "KeyboardInterrupt", "type"), (14, "com.acme.BillingExit", "type"), (15, "java.lang.Throwable", "type"),
         (16, "acme.LedgerPanic", "type"), (17, "acme.SegmentFault", "type"), (18, "src/ledger.rs", "path"), (19, "/home/anna/app/main.py", "path"), (19, "load_invoice", "function"), (20, "/home/anna/ledger.go", "path"),
     }
-    assert {(r["id"], r["name"], r["kind"]) for r in QUERIES["error_slots"](spark, "").where("id > 10").collect()} == want
+    assert {(r["id"], r["name"], r["kind"]) for r in fixtures.code(spark).where("id > 10").select("id", F.explode(columns.error_slots(F.col("text"))).alias("s")).select("id", "s.*").collect()} == want
     assert traces.error_slots("console.log(total)\nledger.load(a, b)") == []
 
 
