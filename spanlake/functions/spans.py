@@ -50,18 +50,19 @@ def scan(text: Column, pattern: str, entity_type: str, score: float, order: int,
     come right before and is no part of the span.
 
     Matches are put between two marks, the text is split at the first, and lengths
-    are added up; texts without a match skip all of that.
+    are added up; texts without a match skip all of that. Where the text has a mark
+    itself, another control character stands for it meanwhile.
     """
     whole = pattern if prefix is None else f"({prefix})({pattern})"
     mark = "\x01$0\x02" if prefix is None else "$1\x01$2\x02"
     unicode = "(?U)" + whole
-    clean = F.translate(text, "\x01\x02", "  ")
+    clean = F.translate(text, "\x01\x02", "\x03\x04")
     cut = F.split(F.regexp_replace(clean, unicode, mark), "\x01", -1)
 
     def add(acc: Column, part: Column) -> Column:
         found = F.substring_index(part, "\x02", 1)
         size = F.octet_length(found)
-        own = span(acc["at"], acc["at"] + size, F.lit(entity_type), F.lit(score), found, F.lit(source), F.lit(order))
+        own = span(acc["at"], acc["at"] + size, F.lit(entity_type), F.lit(score), F.when(text.rlike("[\x01\x02]"), byte_slice(text, acc["at"], acc["at"] + size)).otherwise(found), F.lit(source), F.lit(order))
         return F.struct((acc["at"] + F.octet_length(part) - 1).alias("at"), F.concat(acc["spans"], F.array(own)).alias("spans"))
 
     begin = lambda parts: F.struct(F.octet_length(F.element_at(parts, 1)).alias("at"), no_spans().alias("spans"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake import rules
 from spanlake.functions.spans import byte_slice, computed
 from spanlake.functions.text import normalized_key
+from spanlake.plans.order import placed
 from spanlake.plans.scratch import stored
 
 
@@ -83,34 +86,32 @@ VAULT = "id string, original_text string, normalized_key string, entity_type str
 def identities(spans: DataFrame, key: str) -> DataFrame:
     """entity_type, normalized_key, k, start, original_text of each identity's first span, and
     how often it is used. spans: long (key, start, entity_type, text)."""
-    own = spans.select(F.col(key).cast("long").alias("k"), "start", "entity_type", F.col("text").alias("original_text"), normalized_key(F.col("text")).alias("normalized_key")).where("normalized_key != ''")
+    own = spans.select(F.col(key).alias("k"), "start", "entity_type", F.col("text").alias("original_text"), normalized_key(F.col("text")).alias("normalized_key")).where("normalized_key != ''")
     seen = own.groupBy("entity_type", "normalized_key").agg(F.min(F.struct("k", "start", "original_text")).alias("f"), F.count("*").alias("used"))
     return stored(seen.select("entity_type", "normalized_key", "f.k", "f.start", "f.original_text", "used"), "identities")
 
 
-def numbered(seen: DataFrame, vault: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+def numbered(seen: DataFrame, vault: DataFrame | None = None, counters: Mapping[str, int] | None = None) -> DataFrame:
     """Vault records of those of identities() that the vault lacks, numbered per type on from
-    what it has, in the order (k, start).
+    what it has (or from counters, by type), in the order (k, start). Keys are of any type with an order.
 
-    Numbering is global, but no task sees a whole type: identities are sorted into
-    ranges, counted per range and type, and a range's numbers begin after the counts
-    of the ranges before it.
+    Numbering is global, but no task sees a whole type: identities are sorted by type
+    and key, take their places in that order, and each type begins at its least place.
     """
     spark = seen.sparkSession
     if vault is not None:
         seen = seen.join(vault.select("entity_type", "normalized_key"), ["entity_type", "normalized_key"], "left_anti")
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = [b for b in sorted(set(seen.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5])).first()[0] or []))]
-    where = F.size(F.filter(F.array(*(F.lit(int(b)) for b in bounds)), lambda b: b <= F.col("k"))) if bounds else F.lit(0)
-    ranged = seen.withColumn("range", where)
-    # A row for each range and type, whatever the data.
-    counts = ranged.groupBy("range", "entity_type").count()
-    before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("entity_type").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))).select("range", "entity_type", F.coalesce("before", F.lit(0)).alias("before"))
-    local = F.row_number().over(Window.partitionBy("range", "entity_type").orderBy("k", "start", "normalized_key"))
-    new = ranged.withColumn("local", local).join(before, ["range", "entity_type"])
-    if vault is not None:
-        new = new.join(vault.groupBy("entity_type").agg(F.max("index").alias("most")), "entity_type", "left")
-    index = (F.col("local") + F.col("before") + (F.coalesce("most", F.lit(0)) if vault is not None else 0)).cast("long")
+    new = placed(seen, ["entity_type", "k", "start", "normalized_key"], "numbered")
+    begins = new.groupBy("entity_type").agg(F.min("pos").alias("begins"))
+    if counters is not None:
+        most = spark.createDataFrame([*counters.items()], "entity_type string, most long")
+        begins = begins.join(most, "entity_type", "left")
+    elif vault is not None:
+        begins = begins.join(vault.groupBy("entity_type").agg(F.max("index").alias("most")), "entity_type", "left")
+    else:
+        begins = begins.withColumn("most", F.lit(0).cast("long"))
+    new = new.join(F.broadcast(begins), "entity_type")  # a row for each type
+    index = (F.col("pos") - F.col("begins") + 1 + F.coalesce("most", F.lit(0))).cast("long")
     return new.withColumn("index", index).select(
         F.sha1(F.concat_ws("\x1f", "entity_type", "normalized_key")).alias("id"), "original_text", "normalized_key", "entity_type",
         placeholder(F.col("entity_type"), F.col("index")).alias("placeholder"), "index", stand_in(F.col("entity_type"), F.col("index"), F.col("original_text")).alias("synthetic_value"),
@@ -118,11 +119,11 @@ def numbered(seen: DataFrame, vault: DataFrame | None = None, parts: int | None
     )
 
 
-def vault_update(spans: DataFrame, key: str, vault: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+def vault_update(spans: DataFrame, key: str, vault: DataFrame | None = None) -> DataFrame:
     """The vault with the identities of long spans (key, start, entity_type, text). Identities are
     written once; the spans are read once."""
     seen = identities(spans, key)
-    new = numbered(seen, vault, parts)
+    new = numbered(seen, vault)
     if vault is None:
         return new
     known = vault.join(seen.select("entity_type", "normalized_key", "used"), ["entity_type", "normalized_key"], "left").withColumn("usage_count", F.col("usage_count") + F.coalesce("used", F.lit(0))).drop("used")

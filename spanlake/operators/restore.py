@@ -30,14 +30,10 @@ def has_shape(text: Column) -> Column:
 
 def strict(text: Column, tokens: Column) -> Column:
     """Known placeholders in brackets replaced (tokens: MAP token -> original)."""
-    parts = F.split(F.regexp_replace(F.translate(text, "\x01\x02", "  "), PLACEHOLDER, "\x01$0\x02"), "\x01", -1)
-
-    def put(part: Column) -> Column:
-        token, rest = F.substring_index(part, "\x02", 1), F.substring_index(part, "\x02", -1)
-        return F.concat(F.coalesce(F.try_element_at(tokens, token), token), rest)
-
-    whole = F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.size(parts)), put)), "")
-    return F.when(text.rlike(PLACEHOLDER), whole).otherwise(text)
+    rest = F.split(text, PLACEHOLDER, -1)
+    found = F.regexp_extract_all(text, F.lit(f"({PLACEHOLDER})"), 1)
+    put = F.zip_with(found, F.slice(rest, F.lit(2), F.size(rest)), lambda t, after: F.concat(F.coalesce(F.try_element_at(tokens, t), t), after))
+    return F.when(text.rlike(PLACEHOLDER), F.concat(F.element_at(rest, 1), F.array_join(put, ""))).otherwise(text)
 
 
 def _word(c: str) -> bool:

@@ -386,3 +386,13 @@ ORACLES["identifiers_widened"] = f"SELECT doc_id, text, CAST(n AS BIGINT) AS n F
 ORACLES["generic_dropped"] = per_kind([(0, "total", "regex")], "text, source", "")
 ORACLES["bare_positions"] = per_kind([(k, True) for k in range(4)], "bare", "")
 ORACLES["path_views"] = f"WITH {CODED} SELECT doc_id, ' home ' || w[1] || ' ' || w[2] || '.' || w[3] AS view FROM coded"
+#: What of a type has no synthetic value keeps its placeholder.
+_SYNTHETIC = listed([*rules.POOLS, "EMAIL", "URL", "FILE_PATH"])
+ORACLES["vault_edits"] = f"""WITH {ALL}, {VAULT} SELECT entity_type, normalized_key, index, CASE WHEN index % 3 = 0 AND index % 6 <> 0 AND list_contains({_SYNTHETIC}, entity_type) THEN 'synthetic' ELSE 'placeholder' END AS mode,
+index % 3 = 0 AS pinned, CASE WHEN index % 3 = 0 THEN 'seen' END AS notes, CAST(CASE WHEN index % 6 = 0 THEN 4 WHEN index % 3 = 0 THEN 2 ELSE 1 END AS INT) AS updated FROM vault WHERE index % 5 <> 0"""
+ORACLES["vault_reverse"] = f"""WITH {ALL}, {VAULT}, firsts AS (SELECT entity_type, normalized_key, arg_min(text, (doc_id, start)) AS original_text FROM keyed GROUP BY ALL)
+SELECT '[' || entity_type || '_' || index || ']' AS token, original_text FROM vault JOIN firsts USING (entity_type, normalized_key)"""
+_OWN = [(k, n) for k, n, _, step, alias in _NAMES if alias and step in ("declared", "undeclared")] + [(2, "{3}Order"), (2, "helper")]
+_USES = [(k, n, sum(len(re.findall(r"(?<![\w{}/$])" + re.escape(n) + r"(?![\w{}])", line.split("# ")[0])) for line in (_PLAIN[k].split("\n") if k != 4 else ["load_{1}"])[: None if k != 5 else 1])) for k, n in _OWN]
+ORACLES["alias_allocation"] = f"SELECT name, true AS unique, true AS free, CAST(sum(n) AS BIGINT) AS uses FROM ({per_kind(_USES, 'name, n', 'name')}) GROUP BY name"
+ORACLES["rename_preview"] = f"SELECT DISTINCT name, true AS same FROM ({per_kind(_OWN, 'name', 'name')})"

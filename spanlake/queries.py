@@ -11,7 +11,8 @@ from spanlake import rules
 from spanlake.code import columns as code
 from spanlake.config import Config, parsed_config
 from spanlake.functions import checksum, spans, text, urls
-from spanlake.operators import detection, models, pseudonym, restore, review, scoring, symbols, synthetic
+from spanlake.operators import aliases, detection, models, pseudonym, restore, review, scoring, symbols, synthetic
+from spanlake.operators.vault_table import VaultTable
 from spanlake.plans import fixtures, planted
 from spanlake.plans.scratch import scratch, stored
 from spanlake.sources import corpus
@@ -281,12 +282,14 @@ def vault_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vault as a stream of documents fills it."""
-    path = scratch(spark, "vault-stream")
-    # A pattern, as the table may be a folder or a file and a stream reads no single file.
-    stream = spark.readStream.schema(documents(spark, sf_dir).schema).parquet(f"{sf_dir}/documents.parque[t]")
+    """The vault as a stream of documents fills it, in two batches: those of lower and of higher ids."""
+    path, docs = scratch(spark, "vault-stream"), documents(spark, sf_dir)
+    middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0] or 0
+    for half in (docs.where(F.col("doc_id") <= middle), docs.where(F.col("doc_id") > middle)):
+        half.coalesce(1).write.mode("append").parquet(f"{path}/documents")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/documents")
     observe.vault_stream(detection.long(detection.detect(stream), "doc_id"), "doc_id", f"{path}/vault", f"{path}/state").awaitTermination()
-    return spark.read.schema(pseudonym.VAULT).parquet(f"{path}/vault").select("entity_type", "normalized_key", "placeholder", "index", "usage_count")
+    return observe.stream_vault(spark, f"{path}/vault").select("entity_type", "normalized_key", "placeholder", "index", "usage_count")
 
 
 @query
@@ -337,6 +340,61 @@ def synthetic_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("placeholder", "synthetic_value")
 
 
+def _vault_table(spark: SparkSession, sf_dir: str) -> tuple[VaultTable, DataFrame, DataFrame]:
+    """A table with the documents' identities, and own names of planted code with the names that texts have."""
+    t = VaultTable(spark, scratch(spark, "vault-table"))
+    t.put(pseudonym.vault_update(found_long(spark, sf_dir), "doc_id"))
+    found = stored(symbols.evidence(coded(spark, sf_dir).select("doc_id", F.col("code").alias("text")), "doc_id"), "names")
+    own = symbols.decided(found, "doc_id")
+    names = aliases.first_roles(own, "doc_id").join(own.groupBy("name").agg(F.sum("uses").alias("uses")), "name")
+    # every third document's id is part of a function's name elsewhere
+    taken = found.select(F.col("name").alias("alias")).union(documents(spark, sf_dir).where("doc_id % 3 = 0").select(F.concat(F.lit("func"), "doc_id")))
+    return t, names, taken
+
+
+@query
+def vault_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vault that is edited, deleted from, compacted, edited again and read back."""
+    t = VaultTable(spark, scratch(spark, "vault-table"))
+    t.put(pseudonym.vault_update(found_long(spark, sf_dir), "doc_id"))
+    v = t.load()
+    t.edit(v.where("index % 3 = 0").select("id", F.lit("synthetic").alias("mode"), F.lit(True).alias("pinned"), F.lit("seen").alias("notes")))
+    t.edit(v.select("id", (F.col("index") % 5 == 0).alias("deleted")).where("deleted").union(v.limit(1).select(F.lit("no such id"), F.lit(True))))
+    t.compact()
+    t.edit(t.load().where("index % 6 = 0").select("id", F.lit("placeholder").alias("mode"), F.lit(None).cast("string").alias("notes")))
+    return t.load().select("entity_type", "normalized_key", "index", "mode", "pinned", "notes", F.col("updated").cast("int").alias("updated"))
+
+
+@query
+def vault_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens stand for each original of the vault: its placeholder, and its synthetic value if it has one."""
+    t = VaultTable(spark, scratch(spark, "vault-table"))
+    t.put(pseudonym.vault_update(found_long(spark, sf_dir), "doc_id"))
+    return t.reverse().where(F.col("token").startswith("[")).select("token", "original_text")
+
+
+@query
+def alias_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every own name in the documents' code, and whether its alias is one of its own: unique, and no name of any text."""
+    t, names, taken = _vault_table(spark, sf_dir)
+    t.upsert_aliases(names, taken)
+    got = t.load().where(F.col("entity_type") == aliases.TYPE)
+    shared = got.groupBy("synthetic_value").agg(F.count("*").alias("n"))
+    met = got.join(shared, "synthetic_value").join(taken.select(F.col("alias").alias("synthetic_value"), F.lit(True).alias("clash")).distinct(), "synthetic_value", "left")
+    return met.select(F.col("original_text").alias("name"), (F.col("n") == 1).alias("unique"), F.col("clash").isNull().alias("free"), F.col("usage_count").alias("uses"))
+
+
+@query
+def rename_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each own name, whether what a preview shows is what the next write gives; the preview writes nothing."""
+    t, names, taken = _vault_table(spark, sf_dir)
+    shown = stored(t.preview(names, taken), "preview")
+    assert t.version == 1
+    t.upsert_aliases(names, taken)
+    written = t.load().where(F.col("entity_type") == aliases.TYPE).select(F.col("original_text").alias("name"), F.col("synthetic_value").alias("written"))
+    return shown.join(written, "name", "full").select("name", F.col("alias").eqNullSafe(F.col("written")).alias("same"))
+
+
 def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations with planted placeholders."""
     t = F.concat_ws(" ", "text", F.format_string("[PERSON_%d]", F.col("conv_id") % 7 + 1), F.format_string("[EMAIL_%d]", F.col("turn") + 1), F.lit("[NOPE_1]"))

@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanlake.operators.pseudonym import VAULT, identities, numbered
+from spanlake.operators.pseudonym import identities, numbered
 from spanlake.plans.scratch import dropped, mark
 
 QUIET = "500 milliseconds"
@@ -60,22 +60,31 @@ def vault_stream(spans: DataFrame, key: str, path: str, checkpoint: str, **trigg
     identities of a batch that the vault lacks are numbered on from it, in the order (key, start).
 
     The vault is a table, not a state: a batch is joined with it, so no task holds a type, and
-    its own records make up the folder batch=<number>. A batch that is run again sees
-    the batches before it only and writes the same folder anew. Uses are those of the
-    batch in which an identity is first seen.
+    its own records make up the folder records/batch=<number>. The uses that a batch has of
+    each identity, known or new, are in uses/batch=<number>; stream_vault() adds them up. A
+    batch that is run again sees the batches before it only and writes the same folders anew.
     """
 
     def extend(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         begun = mark()
-        known = spark.read.schema(VAULT + ", batch long").parquet(path).where(F.col("batch") < number) if number else None
-        new = numbered(identities(batch, key), known)
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        seen = identities(batch, key)
+        known = spark.read.parquet(f"{path}/records").where(F.col("batch") < number) if number else None
+        new = numbered(seen, known)
+        new.drop("usage_count").write.mode("overwrite").parquet(f"{path}/records/batch={number}")
+        seen.select("entity_type", "normalized_key", "used", F.col("k").alias("first_key")).write.mode("overwrite").parquet(f"{path}/uses/batch={number}")
         dropped(spark, begun)
 
     return spans.writeStream.foreachBatch(extend).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def stream_vault(spark: SparkSession, path: str) -> DataFrame:
+    """The vault that a stream has filled so far, with the uses and the first and last batch of each identity."""
+    records, uses = (spark.read.parquet(f"{path}/{kind}") for kind in ("records", "uses"))
+    used = uses.groupBy("entity_type", "normalized_key").agg(F.sum("used").alias("usage_count"), F.min("batch").alias("first_batch"), F.max("batch").alias("last_batch"))
+    return records.drop("batch").join(used, ["entity_type", "normalized_key"])
+
+
 def filed(sightings: DataFrame) -> DataFrame:
     """token, conversation: where each token is filed, by its last sighting; filing again
     changes nothing. sightings: (token, conversation, seen)."""

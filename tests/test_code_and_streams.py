@@ -1,6 +1,7 @@
 """Code analysis, corpora, stores and streams."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,12 +228,19 @@ def test_vault_stream(spark, tmp_path):
     for _ in range(2):
         q = observe.vault_stream(stream, "k", path, state)
         q.awaitTermination(120)
-    got = spark.read.parquet(path).collect()
+    got = spark.read.parquet(f"{path}/records").collect()
     assert {r["batch"] for r in got} == {0, 1}
     for kind in ("EMAIL", "PHONE"):
         own = [r for r in got if r["entity_type"] == kind]
         assert sorted(r["index"] for r in own) == list(range(1, len(own) + 1)) and len({r["normalized_key"] for r in own}) == len(own)
     assert {(r["entity_type"], r["normalized_key"]) for r in got} == {(t, n.lower()) for _, _, t, n in rows}
+    used = Counter((t, n.lower()) for _, _, t, n in rows)
+    assert {(r["entity_type"], r["normalized_key"]): r["usage_count"] for r in observe.stream_vault(spark, path).collect()} == used
+    # the last batch's commit is lost: it is run again, and changes nothing
+    (tmp_path / "state" / "commits" / "1").unlink()
+    (tmp_path / "state" / "commits" / ".1.crc").unlink(missing_ok=True)
+    observe.vault_stream(stream, "k", path, state).awaitTermination(120)
+    assert {(r["entity_type"], r["normalized_key"]): r["usage_count"] for r in observe.stream_vault(spark, path).collect()} == used
 
 
 def test_quiet_periods_in_a_stream(spark, tmp_path):

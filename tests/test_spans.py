@@ -154,13 +154,13 @@ def test_anonymize_and_restore(spark):
 def test_vault_numbers_are_global_and_stable(spark):
     rows = [(i, i % 3, "EMAIL" if i % 2 else "PHONE", f"Name {i % 40}  x") for i in range(400)]
     long = spark.createDataFrame(rows, "doc long, start int, entity_type string, text string")
-    a = pseudonym.vault_update(long, "doc", parts=5).collect()
+    a = pseudonym.vault_update(long, "doc").collect()
     for kind in ("EMAIL", "PHONE"):
         own = sorted((r for r in a if r["entity_type"] == kind), key=lambda r: r["index"])
         assert [r["index"] for r in own] == list(range(1, len(own) + 1))
         assert [r["first_key"] for r in own] == sorted(r["first_key"] for r in own)
-    first = pseudonym.vault_update(long.where("doc < 17"), "doc", parts=3)
-    both = {(r["entity_type"], r["normalized_key"]): r["index"] for r in pseudonym.vault_update(long.where("doc >= 17"), "doc", first, parts=4).collect()}
+    first = pseudonym.vault_update(long.where("doc < 17"), "doc")
+    both = {(r["entity_type"], r["normalized_key"]): r["index"] for r in pseudonym.vault_update(long.where("doc >= 17"), "doc", first).collect()}
     assert both == {(r["entity_type"], r["normalized_key"]): r["index"] for r in a}
     edits = spark.createDataFrame([(a[0]["id"], "synthetic", None, True, False), (a[1]["id"], None, None, None, True)], "id string, mode string, synthetic_value string, pinned boolean, deleted boolean")
     left = {r["id"]: r for r in pseudonym.vault_edit(spark.createDataFrame(a, pseudonym.VAULT), edits).collect()}
