@@ -396,3 +396,9 @@ _OWN = [(k, n) for k, n, _, step, alias in _NAMES if alias and step in ("declare
 _USES = [(k, n, sum(len(re.findall(r"(?<![\w{}/$])" + re.escape(n) + r"(?![\w{}])", line.split("# ")[0])) for line in (_PLAIN[k].split("\n") if k != 4 else ["load_{1}"])[: None if k != 5 else 1])) for k, n in _OWN]
 ORACLES["alias_allocation"] = f"SELECT name, true AS unique, true AS free, CAST(sum(n) AS BIGINT) AS uses FROM ({per_kind(_USES, 'name, n', 'name')}) GROUP BY name"
 ORACLES["rename_preview"] = f"SELECT DISTINCT name, true AS same FROM ({per_kind(_OWN, 'name', 'name')})"
+_PASSED = "epoch_ms((SELECT max(ts) FROM events)) - 3600000"
+ORACLES["stream_debounce_live"] = f"""WITH d AS (SELECT DISTINCT user_id, ts FROM events), e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 10 MINUTE AS fires, count(*) AS n_updates FROM s GROUP BY user_id, n HAVING epoch_ms(max(ts) + INTERVAL 10 MINUTE) <= {_PASSED}"""
+ORACLES["stream_suppressed_live"] = f"""WITH e AS (SELECT user_id, ts, max(event_type) AS v FROM events GROUP BY ALL), l AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM e)
+SELECT user_id, count(*) AS n FROM l WHERE (b IS NULL OR b <> v) AND epoch_ms(ts) + 1 <= {_PASSED} GROUP BY user_id"""

@@ -252,11 +252,15 @@ def test_quiet_periods_in_a_stream(spark, tmp_path):
 
 
 def test_changed_stream_equals_table(spark, tmp_path):
-    rows = [("k" + str(i % 2), i, "abba"[i // 2 % 4]) for i in range(16)]
-    schema = "k string, t long, v string"
-    got = run(observe.changed_stream(stream_of(spark, tmp_path, "c", rows, schema, files=1), "k", "t", "v"), "changed_s", tmp_path)
-    table = observe.changed(spark.createDataFrame(rows, schema), "k", "t", "v").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, table))
+    """Three batches, out of order; a last check far later lets the watermark pass the others."""
+    rows = [("k" + str(i % 2), 5000.0 + i, "abba"[i // 2 % 4]) for i in range(16)]
+    schema = "k string, s double, v string"
+    at = lambda df: df.withColumn("t", F.timestamp_micros((F.col("s") * 1_000_000).cast("long"))).drop("s")
+    for lot in (rows[8:], rows[:8], [("end", 6000.0, "x"), ("end", 7000.0, "y")]):
+        df = stream_of(spark, tmp_path, "c", lot, schema, files=1)
+    got = run(observe.changed_stream(at(df), "k", "t", "v", late="60 seconds"), "changed_s", tmp_path)
+    table = observe.changed(at(spark.createDataFrame(rows, schema)), "k", "t", "v").select("k", "t", "v").collect()
+    assert sorted(tuple(r) for r in got if r["k"] != "end") == sorted(map(tuple, table))
 
 
 def test_scratch_tables_are_dropped(spark):
