@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlake.plans.scratch import dropped as dropped
+from spanlake.plans.scratch import mark as mark
+from spanlake.plans.scratch import scratch as scratch
+from spanlake.plans.scratch import shared_dir as shared_dir
+from spanlake.plans.scratch import stored as stored
+
 #: Rows in an Arrow batch. Documents are long, so a batch of the default 10,000
 #: rows could take a large part of a Python worker's memory.
 BATCH_ROWS = 500
@@ -28,56 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where that is unset on a
-    single machine, as in tests, a temporary one is set; on a cluster it must be set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        base = spark.sparkContext.getCheckpointDir()
-        if base is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="spanlake-")
-            spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-_made: list[str] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends here, and a lost
-    executor costs no more than the stage that was running."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def mark() -> int:
-    """A point in the list of scratch folders, for dropped()."""
-    return len(_made)
-
-
-def dropped(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
-    """Delete the scratch folders made since a mark, but for those that keep reads. An
-    operator drops what its result doesn't read; when the result is written, its
-    caller may drop the rest."""
-    needed = keep.inputFiles() if keep is not None else []
-    for path in _made[since:]:
-        if any(path.rsplit("/", 1)[1] in f for f in needed):
-            continue
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        _made.remove(path)
-
-
 def bit_map(df: DataFrame, key: str) -> np.ndarray:
     """A one-hash Bloom map of an int64 column: bit (key >> (64 - bits)).
 

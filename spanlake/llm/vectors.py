@@ -1,5 +1,5 @@
 """What the operators on vectors share: which vectors are sound, matrices of
-Arrow columns, exact whole components, and places in a global order."""
+Arrow columns, exact whole components and sums."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import stored
+from spanlake.plans.order import placed as placed
 
 #: Whole components below this keep sums of squares within a long for vectors of up to 4096.
 SMALL = 2**24
@@ -18,9 +18,6 @@ SMALL = 2**24
 #: Bits of the parts in which sums of any size are added.
 LIMB = 40
 
-#: Low bits of monotonically_increasing_id, which count rows within a partition.
-ROW_BITS = 33
-
 
 def sound(vector: Column | str) -> Column:
     """Whether a vector has components, none of them null or non-finite."""
@@ -56,21 +53,3 @@ def limbs(total: int) -> Iterator[tuple[int, int]]:
         yield k, total & ((1 << LIMB) - 1)
         total, k = total >> LIMB, k + 1
     yield k, total
-
-
-def placed(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """df with `pos`, each row's place (from 0) in the order of these columns.
-
-    Sorted ranges are written once; rows are numbered in them, and the driver sees
-    one count for each range. No task holds more than a range.
-    """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id())
-    ranged = stored(ranged, name)
-    part = F.shiftright("at_", ROW_BITS)
-    sizes = {r["p"]: r["n"] for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, starts = 0, []
-    for p in sorted(sizes):
-        starts.append((p, before))
-        before += sizes[p]
-    starts = df.sparkSession.createDataFrame(starts, "p_ long, start_ long")
-    return ranged.join(F.broadcast(starts), part == F.col("p_")).withColumn("pos", F.col("start_") + F.col("at_").bitwiseAND((1 << ROW_BITS) - 1)).drop("at_", "p_", "start_")

@@ -17,11 +17,13 @@ alike in id, uri and payload give the same record as often as they occur; of
 equal payloads the largest id (then the largest content hash) is the response,
 and rows without an id come last; an empty table gives no records. A record
 whose segments are missing, out of number or of wrong total length comes back
-with intact false and a null payload.
+with intact false, the reason and a null payload; one that is damaged in another
+way (see read()) with the reason and what there is of it.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESPONSE_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-FIELDS = "record_id string, type string, uri string, refers_to string, digest string, payload binary, payload_length long, intact boolean"
+FIELDS = "record_id string, type string, uri string, refers_to string, digest string, payload binary, payload_length long, intact boolean, reason string"
 
 
 def base32(hexed: Column) -> Column:
@@ -48,11 +50,14 @@ def chunked(payload: bytes, size: int) -> bytes:
 
 
 def unchunked(body: bytes) -> bytes:
+    """A body without its chunks' framing. ValueError: it is none, or doesn't end."""
     out, at = [], 0
     while True:
-        end = body.index(b"\r\n", at)
-        size = int(body[at:end].split(b";")[0], 16)
-        at = end + 2
+        end = body.find(b"\r\n", at)
+        line = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", line):
+            raise ValueError("no size of a chunk")
+        size, at = int(line, 16), end + 2
         if not size:
             return b"".join(out)
         if body[at + size : at + size + 2] != b"\r\n":
@@ -129,61 +134,124 @@ def inflated(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
         raise ValueError("archive ends within a member")
 
 
-def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields with lower-case names, block) of each record."""
-    data, buffer, at = inflated(content), bytearray(), 0
+NUMBER = re.compile(r"[0-9]{1,18}")
+#: What every record must have.
+NEEDED = ("warc-type", "warc-record-id", "content-length")
+#: The longest head of a record that is looked for.
+HEAD_BYTES = 1 << 20
+
+
+def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(fields with lower-case names, block, what is wrong with it or None) of each record.
+
+    After what is no record, reading goes on at the next line that begins one; an archive that is
+    cut off or can't be inflated further gives what it has before that.
+    """
+    data, buffer, at, damaged = inflated(content), bytearray(), 0, None
 
     def upto(n: int) -> bool:
+        nonlocal damaged
         while len(buffer) - at < n:
-            more = next(data, None)
+            try:
+                more = next(data, None)
+            except (zlib.error, ValueError) as e:
+                damaged, more = f"archive: {e}", None
             if more is None:
                 return False
             buffer.extend(more)
         return True
 
-    while True:
-        while (end := buffer.find(b"\r\n\r\n", at)) < 0:
+    def following(start: int) -> int:
+        """Where the next record begins; the buffer's end if nowhere."""
+        seen = start
+        while (n := buffer.find(b"\nWARC/1.", seen)) < 0:
+            seen = max(start, len(buffer) - 8)
             if not upto(len(buffer) - at + 1):
-                if bytes(buffer[at:]).strip():
-                    raise ValueError("archive ends within a record's fields")
-                return
-        head = bytes(buffer[at:end]).decode("utf-8", "replace").split("\r\n")
-        if not head[0].startswith("WARC/"):
-            raise ValueError(f"no record begins with {head[0][:40]!r}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
+                return len(buffer)
+        return n + 1
+
+    while True:
+        while upto(2) and buffer[at : at + 2] == b"\r\n":  # blank lines between records
+            at += 2
+        end = -1
+        while (end := buffer.find(b"\r\n\r\n", at)) < 0 and len(buffer) - at < HEAD_BYTES and upto(len(buffer) - at + 1):
+            pass
+        if not buffer[at:].strip():
+            if damaged:
+                yield {}, b"", damaged
+            return
+        lines = bytes(buffer[at : max(end, at)]).decode("utf-8", "replace").split("\r\n")
+        if end < 0 or not lines[0].startswith("WARC/"):
+            stop = following(at)
+            yield {}, bytes(buffer[at:stop]), damaged if damaged and stop == len(buffer) else "no record begins here"
+            at = stop
+            continue
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         at = end + 4
+        lacking = [f for f in NEEDED if not fields.get(f)]
+        if "content-length" in lacking or not NUMBER.fullmatch(fields["content-length"]):
+            stop = following(at)
+            yield fields, bytes(buffer[at:stop]), f"without {lacking[0]}" if lacking else "length of block"
+            at = stop
+            continue
         size = int(fields["content-length"])
-        if not upto(size + 4):
-            raise ValueError("archive ends within a block")
-        yield fields, bytes(buffer[at : at + size])
-        at += size + 4
+        upto(size + 4)
+        block, wrong = bytes(buffer[at : at + size]), f"without {lacking[0]}" if lacking else None
+        if len(block) < size:
+            wrong = damaged or "archive ends within a block"
+        elif buffer[at + size : at + size + 4] not in (b"\r\n\r\n", b"\r\n", b""):
+            wrong = wrong or "length of block"
+            size = following(at) - at
+        yield fields, block, wrong
+        at = min(at + size, len(buffer))
         if at > 1 << 20:
             del buffer[:at]
             at = 0
 
 
-def payload(block: bytes) -> tuple[bytes, int | None]:
-    """An HTTP block's payload without its transfer framing, and its declared length."""
+def payload(block: bytes) -> tuple[bytes, int | None, str | None]:
+    """An HTTP block's payload without its transfer framing, its declared length, and what is wrong. A
+    body that isn't framed as its fields say is given as it is."""
     head, _, body = block.partition(b"\r\n\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
+    wrong = None
     if b"chunked" in fields.get(b"transfer-encoding", b"").lower():
-        body = unchunked(body)
-    return body, int(fields[b"content-length"]) if b"content-length" in fields else None
+        try:
+            body = unchunked(body)
+        except ValueError as e:
+            wrong = f"framing: {e}"
+    length = fields.get(b"content-length")
+    if length is not None and not NUMBER.fullmatch(length.decode("latin-1")):
+        length, wrong = None, wrong or "length of payload"
+    return body, length if length is None else int(length), wrong
 
 
 def _bare(x: str | None) -> str | None:
     return x and x.strip("<>")
 
 
-def _whole(fields: dict, block: bytes | None) -> tuple:
+def _whole(fields: dict, block: bytes | None, wrong: str | None) -> tuple:
     """A row of FIELDS; block None: it could not be put together."""
-    kind = fields["warc-type"]
-    body, declared = (None, None) if block is None else payload(block)
+    kind = fields.get("warc-type")
+    body, declared, bad = (None, None, None) if block is None else payload(block)
+    if not fields:
+        body, bad = block, None
     if kind == "revisit":
         body, length = None, declared
     else:
         length = None if body is None else len(body)
-    return _bare(fields["warc-record-id"]), kind, fields.get("warc-target-uri"), _bare(fields.get("warc-refers-to")), fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, body, length, block is not None
+    wrong = wrong or bad
+    return _bare(fields.get("warc-record-id")), kind, fields.get("warc-target-uri"), _bare(fields.get("warc-refers-to")), fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, body, length, wrong is None, wrong
+
+
+def _segment(fields: dict[str, str]) -> bool:
+    """Whether a record is one of a row of segments that can be put together."""
+    return bool(NUMBER.fullmatch(fields.get("warc-segment-number", ""))) and len(fields["warc-segment-number"]) < 10 and NUMBER.fullmatch(fields.get("warc-segment-total-length", "0")) is not None and bool(fields.get("warc-segment-origin-id", fields.get("warc-record-id")))
+
+
+def _alone(fields: dict[str, str], wrong: str | None) -> bool:
+    """Whether a record is a row by itself: a response or revisit, or one that can't be read."""
+    return not _segment(fields) and (wrong is not None or fields["warc-type"] in ("response", "revisit", "continuation") or "warc-segment-number" in fields)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -191,7 +259,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-WHOLE = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("payload", pa.binary()), ("payload_length", pa.int64()), ("intact", pa.bool_())])
+WHOLE = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("payload", pa.binary()), ("payload_length", pa.int64()), ("intact", pa.bool_()), ("reason", pa.string())])
 PART = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("head", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
 
 
@@ -208,20 +276,34 @@ def _flush(rows: Iterator[tuple], schema: pa.Schema, at: int, limit: int = 4 <<
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All response and revisit records of the archives under path: FIELDS."""
+    """All response and revisit records of the archives under path, and what can't be read as a record: FIELDS.
+
+    A damaged record has intact = false and the reason: fields that lack or are no numbers, a block that
+    isn't as long as it says, an archive that is cut off or can't be inflated, framing that isn't there
+    or doesn't end (the body is given as it is then), segments that lack or don't add up
+    (payload null). Sound records beside it come back all the same.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _flush((_whole(f, b) for batch in batches for c in batch.column(0) for f, b in parsed(c.as_py()) if "warc-segment-number" not in f and f["warc-type"] in ("response", "revisit")), WHOLE, 5)
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for c in batch.column(0):
+                    for f, b, wrong in parsed(c.as_py()):
+                        if _alone(f, wrong):
+                            stray = "segment's fields" if "warc-segment-number" in f or f.get("warc-type") == "continuation" else None
+                            yield _whole(f, b, wrong or stray)
+
+        yield from _flush(rows(), WHOLE, 5)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for c in batch.column(0):
-                    for f, b in parsed(c.as_py()):
-                        if "warc-segment-number" in f:
+                    for f, b, wrong in parsed(c.as_py()):
+                        if _segment(f):
                             total = f.get("warc-segment-total-length")
-                            yield _bare(f.get("warc-segment-origin-id", f["warc-record-id"])), int(f["warc-segment-number"]), total and int(total), None if "warc-segment-origin-id" in f else list(f.items()), b
+                            yield _bare(f.get("warc-segment-origin-id", f.get("warc-record-id"))), int(f["warc-segment-number"]), total and int(total), None if "warc-segment-origin-id" in f else list(f.items()), None if wrong else b
 
         yield from _flush(rows(), PART, 4)
 
@@ -231,9 +313,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             pieces = {g["number"]: g for g in group}
             head = pieces.get(1, {}).get("head")
             fields = dict(head) if head else {"warc-type": "response", "warc-record-id": group[0]["origin"]}
-            block = b"".join(pieces[n]["block"] for n in sorted(pieces))
-            good = head is not None and sorted(pieces) == list(range(1, len(pieces) + 1)) and pieces[len(pieces)]["total"] == len(block)
-            row = _whole(fields, block if good else None)
+            block = b"".join(pieces[n]["block"] or b"" for n in sorted(pieces))
+            good = head is not None and all(g["block"] is not None for g in pieces.values()) and sorted(pieces) == list(range(1, len(pieces) + 1)) and pieces[len(pieces)]["total"] == len(block)
+            row = _whole(fields, block if good else None, None if good else "segments")
             yield from (row for _ in range(copies))
 
         def rows() -> Iterator[tuple]:

@@ -59,7 +59,7 @@ def test_warc_round_trip(spark):
         warc.write(warc.with_revisits(pages, "page_id", "url", "html"), path, segment_bytes=segment if segment > 64 else 997, chunk_bytes=777, file_bytes=40_000)
         files = spark.read.format("binaryFile").load(path).select("content").collect()
         for f in files:
-            held = [(x.get("warc-segment-origin-id", x["warc-record-id"]), len(b)) for x, b in warc.parsed(bytes(f["content"]))]
+            held = [(x.get("warc-segment-origin-id", x["warc-record-id"]), len(b)) for x, b, _ in warc.parsed(bytes(f["content"]))]
             assert sum(n for _, n in held) <= 40_000 or len({o for o, _ in held}) == 1
         assert len(files) > 3
         got = warc.read(spark, path).withColumn("id", warc.id_of(F.col("record_id"), "long")).collect()
@@ -102,14 +102,53 @@ def test_warc_reports_broken_records(spark):
         df.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").text(path)
         (row,) = warc.read(spark, path).collect()
         assert row["intact"] == (name == "whole") and (row["payload"] is None) == (name != "whole")
-    with pytest.raises(ValueError):
-        list(warc.parsed(parts[0][:-5]))
+    ((fields, block, wrong),) = warc.parsed(parts[0][:-5])
+    assert fields["warc-type"] == "response" and block == parts[0][-40:-5] and wrong == "archive ends within a block"
     with pytest.raises(ValueError):
         warc.unchunked(b"5\r\nabcdeXX0\r\n\r\n")
     with pytest.raises(ValueError):
         list(warc.inflated(zlib.compress(b"x" * 100, wbits=31)[:-12]))
 
 
+def malformed():
+    """(record, its id, reason's beginning or None, payload)."""
+    http = lambda fields, body: b"HTTP/1.1 200 OK\r\n" + fields + b"\r\n\r\n" + body
+    rec = lambda i, block, *more, drop=(), length=None: (
+        "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [("WARC-Type", "response"), ("WARC-Record-ID", f"<{i}>"), ("Content-Length", len(block) if length is None else length), *more] if k not in drop) + "\r\n"
+    ).encode() + block
+    chunked = b"Transfer-Encoding: chunked"
+    return [
+        (rec("ok1", http(chunked, b"5\r\nhello\r\n0\r\n\r\n")), "ok1", None, b"hello"), (rec("plain", http(chunked, b"<html>not framed</html>")), "plain", "framing", b"<html>not framed</html>"),
+        (rec("short", http(chunked, b"5\r\nhel")), "short", "framing", b"5\r\nhel"), (rec("noend", http(chunked, b"5\r\nhello\r\n")), "noend", "framing", b"5\r\nhello\r\n"), (rec("negative", http(chunked, b"-5\r\nhello\r\n")), "negative", "framing", b"-5\r\nhello\r\n"),
+        (rec("length", http(b"Content-Length: many", b"x")), "length", "length of payload", b"x"), (rec("ok2", http(b"Content-Type: a", b"WARC/1.1\r\n\r\n")), "ok2", None, b"WARC/1.1\r\n\r\n"), (b"garbage between\r\nrecords", None, "no record begins here", None), (rec("untyped", http(b"a: b", b"y"), drop=("WARC-Type",)), "untyped", "without warc-type", b"y"),
+        (rec("", http(b"a: b", b"z"), drop=("WARC-Record-ID",)), None, "without warc-record-id", b"z"), (rec("unsized", http(b"a: b", b"w"), drop=("Content-Length",)), "unsized", "without content-length", None), (rec("odd", http(b"a: b", b"v"), length="1e3"), "odd", "length of block", None),
+        (rec("less", http(b"a: b", b"0123456789"), length=24), "less", "length of block", None), (rec("segment", http(b"a: b", b"u"), ("WARC-Segment-Number", "x")), "segment", "segment's fields", b"u"),
+        (rec("total", http(b"a: b", b"t"), ("WARC-Segment-Number", "1"), ("WARC-Segment-Total-Length", "?")), "total", "segment's fields", b"t"), (rec("info", b"software: x", ("WARC-Type", "warcinfo"), drop=()), "info", "skip", None), (rec("ok3", http(b"a: b", b"last")), "ok3", None, b"last"),
+    ]
+
+
+@pytest.mark.parametrize("form", ["plain", "gzip", "members", "cut gzip"])
+def test_warc_reads_on_after_malformed_records(spark, tmp_path, form):
+    import gzip
+
+    from spanlake.llm import warc
+
+    rows = malformed()
+    data = b"".join(r[0] + b"\r\n\r\n" for r in rows)
+    packed = {"plain": data, "gzip": gzip.compress(data), "members": b"".join(gzip.compress(r[0] + b"\r\n\r\n") for r in rows), "cut gzip": gzip.compress(data) + gzip.compress(bytes(range(256)) * 4000)[:-900]}[form]
+    (tmp_path / "a.warc").write_bytes(packed)
+    (tmp_path / "b.warc").write_bytes(rows[0][0] + b"\r\n\r\n" + rows[-1][0][:-2])
+    got = warc.read(spark, str(tmp_path)).collect()
+    for record, name, reason, body in rows:
+        if reason == "skip":
+            continue
+        mine = [r for r in got if r["record_id"] == name and (reason is None) == r["intact"] and (r["reason"] or "").startswith(reason or "")]
+        assert len(mine) >= 1 and (body is None or any(bytes(r["payload"]) == body for r in mine)), (name, [tuple(r) for r in got if r["record_id"] == name])
+    assert sum(r["intact"] for r in got) == 4 and all(r["intact"] == (r["reason"] is None) for r in got)
+    assert any(r["reason"] == "archive ends within a block" for r in got)
+    assert form != "cut gzip" or any((r["reason"] or "").startswith("archive:") or r["reason"] == "no record begins here" for r in got)
+
+
 def test_warc_empty(spark):
     from spanlake.llm import warc
     from spanlake.llm.common import scratch
