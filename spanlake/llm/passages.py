@@ -63,7 +63,7 @@ SHARE = 256
 SALTS = 16
 #: (first word, counted from the seed's; words). A run of LENGTH + 5 words has a seed within
 #: its first SPARSE words, and from it one of the latter two windows lies within the run.
-CONTEXTS = ((0, 24), (0, LENGTH), (-SPARSE // 2, LENGTH))
+CONTEXTS = ((0, 16), (0, LENGTH), (-SPARSE // 2, LENGTH))
 AROUND = [f"c{i}" for i in range(len(CONTEXTS))]
 
 
@@ -103,7 +103,7 @@ def contexts(words: Words, at: np.ndarray, doc: np.ndarray) -> list[pa.Array]:
         ok = (a >= words.first[doc]) & (a + n <= words.first[doc + 1])
         a = np.where(ok, a, 0)
         h = mix((total[np.where(ok, a + n, 0)] - total[a]) * down[a])
-        out.append(pa.array((h >> U(32)).astype(np.uint32).view(np.int32), mask=~ok))
+        out.append(pa.array(h.view(np.int64), mask=~ok))
     return out
 
 
@@ -140,12 +140,12 @@ def seeds(docs: DataFrame, packed: Broadcast) -> DataFrame:
                 near = contexts(w, at, doc)
                 same = mix(doc.astype(U)) ^ seed
                 for c in near:
-                    same = mix(same ^ c.fill_null(-1).to_numpy().view(np.uint32).astype(U) * BASE)
+                    same = mix(same ^ c.fill_null(-1).to_numpy().view(U) * BASE)
                 first = np.sort(np.unique(same, return_index=True)[1])
                 at, doc, seed, pick = at[first], doc[first], seed[first], pa.array(first)
                 yield pa.RecordBatch.from_arrays([rows.take(pa.array(i + doc)), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(seed.view(np.int64)), *(c.take(pick) for c in near)], ["row", "pos", "seed", *AROUND])
 
-    return with_row(docs).select("row", "text").mapInArrow(run, "row binary, pos int, seed long, " + ", ".join(f"{c} int" for c in AROUND))
+    return with_row(docs).select("row", "text").mapInArrow(run, "row binary, pos int, seed long, " + ", ".join(f"{c} long" for c in AROUND))
 
 
 def with_row(docs: DataFrame) -> DataFrame:

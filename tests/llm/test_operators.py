@@ -545,6 +545,31 @@ def test_passages_whose_seeds_are_all_elsewhere(spark):
     assert any(" ".join(texts[x["doc_id"]].split()[x["start"] : x["end"]]) == " ".join(exact) for x in got)
 
 
+def test_fuzzy_passages_whose_seeds_are_elsewhere(spark):
+    """Blocks in two texts, changed independently, while all their 10-word pieces stand in other texts as well."""
+    from spanlake.llm.passages import shared_passages
+
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8))) for _ in range(20_000)]
+    fill = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    docs, pairs, pieces = [], {}, []
+    for rate in (0.02, 0.05):
+        for _ in range(25):
+            block = fill(120)
+            for _ in range(2):
+                docs.append((len(docs), " ".join(fill(60) + [w if r.random() >= rate else r.choice(vocabulary) for w in block] + fill(60))))
+            pairs[len(docs) - 2, len(docs) - 1] = rate
+            pieces += [block[s : s + 10] for s in range(0, 111, 3)]
+    for _ in range(2):
+        r.shuffle(pieces)
+        for k in range(0, len(pieces), 5):
+            docs.append((len(docs), " ".join(w for p in pieces[k : k + 5] for w in [*fill(10), *p])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {tuple(sorted((x["doc_id"], x["other_id"]))) for x in shared_passages(df).collect()}
+    found = Counter(rate for pair, rate in pairs.items() if pair in got)
+    assert found[0.02] >= 24 and found[0.05] >= 23
+
+
 def test_passages_go_on_past_the_slices_first_asked_for(spark):
     from spanlake.llm.passages import shared_passages
 
