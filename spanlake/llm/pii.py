@@ -6,11 +6,14 @@ a plus, cards with dots, defanged and version 6 IPs), and secrets, values that
 are assigned to a key, password or token. It is a bidirectional LSTM over
 classes of characters with a linear-chain CRF, trained in numpy on labelled
 spans that a generator of fixed seed and size writes (its bound is TRAINING
-texts). A text is cut to overlapping windows; each is decoded by Viterbi, and
+texts), among words of syllables, letters and few words over and over. Secrets are given
+apart from the spans of the four kinds. A text is cut to overlapping windows; each is decoded by Viterbi, and
 the text's tags are put together by taking every character's tag from the
 window in which it lies most centrally, so spans that cross windows are whole.
 
-A span of any kind has a mark: a digit, an @ or a spelled-out dot. Windows with a
+What is tagged stands for the whole address that it is a part of (SHAPES).
+
+A span of any kind has a mark: a digit, an @, a spelled-out dot, or how a key begins. Windows with a
 mark are decoded, and the windows that overlap them, so every character of a
 window with a mark has the tag that decoding all windows would give it; other
 characters have none. Added spans must be what their kind is (sound()) and
@@ -24,6 +27,7 @@ CHUNK at a time, and a text's own length.
 from __future__ import annotations
 
 import ipaddress
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,7 +56,7 @@ STRIDE = 32
 HIDDEN = 20
 EMBED = 12
 TRAINING = 4000
-EPOCHS = 11
+EPOCHS = 9
 CHUNK = 2048
 
 Span = tuple[int, int, str]
@@ -125,16 +129,16 @@ def codes(text: str) -> np.ndarray:
 @dataclass
 class Tagger:
     embed: np.ndarray
-    inputs: list[np.ndarray]  # of the forward and the backward LSTM: EMBED x 4 HIDDEN
-    states: list[np.ndarray]  # HIDDEN x 4 HIDDEN
-    biases: list[np.ndarray]
+    inputs: np.ndarray  # of the forward and the backward LSTM: EMBED x 4 HIDDEN
+    states: np.ndarray  # of both, HIDDEN x 4 HIDDEN
+    biases: np.ndarray
     out: np.ndarray  # 2 HIDDEN x tags
     out_bias: np.ndarray
     moves: np.ndarray  # tags x tags
     first: np.ndarray
 
     def parts(self) -> list[np.ndarray]:
-        return [self.embed, *self.inputs, *self.states, *self.biases, self.out, self.out_bias, self.moves, self.first]
+        return [self.embed, self.inputs, self.states, self.biases, self.out, self.out_bias, self.moves, self.first]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -142,16 +146,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """Outputs (T, B, HIDDEN) of an LSTM over x (T, B, EMBED)."""
-    steps, batch, _ = x.shape
-    h = c = np.zeros((batch, HIDDEN), np.float32)
-    pre = x @ wx + b
-    hs = np.empty((steps, batch, HIDDEN), np.float32)
+    """Outputs (T, 2, B, HIDDEN) of both LSTMs, a step of either at once, over x (T, 2, B, EMBED)."""
+    steps, _, batch, _ = x.shape
+    h = c = np.zeros((2, batch, HIDDEN), np.float32)
+    pre = x @ wx + b[:, None]
+    hs = np.empty((steps, 2, batch, HIDDEN), np.float32)
     for t in range(steps):
         z = pre[t] + h @ wh
-        gates = _sigmoid(z[:, : 3 * HIDDEN])
-        i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
-        g = np.tanh(z[:, 3 * HIDDEN :])
+        gates = _sigmoid(z[..., : 3 * HIDDEN])
+        i, f, o = gates[..., :HIDDEN], gates[..., HIDDEN : 2 * HIDDEN], gates[..., 2 * HIDDEN :]
+        g = np.tanh(z[..., 3 * HIDDEN :])
         before, h_before = c, h
         c = f * before + i * g
         tc = np.tanh(c)
@@ -162,28 +166,31 @@ def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, keep: li
 
 
 def _lstm_back(dh_out: np.ndarray, x: np.ndarray, wx: np.ndarray, wh: np.ndarray, kept: list) -> tuple:
-    steps, batch, _ = x.shape
-    dwh, dz_all = np.zeros_like(wh), np.empty((steps, batch, 4 * HIDDEN), np.float32)
-    dh = dc = np.zeros((batch, HIDDEN), np.float32)
+    """Slopes of x, inputs, states and biases, for slopes (T, 2, B, HIDDEN) of the outputs."""
+    steps, _, batch, size = x.shape
+    dwh, dz_all = np.zeros_like(wh), np.empty((steps, 2, batch, 4 * HIDDEN), np.float32)
+    dh = dc = np.zeros((2, batch, HIDDEN), np.float32)
+    back = wh.transpose(0, 2, 1)
     for t in reversed(range(steps)):
         i, f, o, g, before, tc, h_before = kept[t]
         dh = dh + dh_out[t]
         dc = dc + dh * o * (1 - tc * tc)
-        dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-        dz_all[t] = dz
-        dwh += h_before.T @ dz
-        dh, dc = dz @ wh.T, dc * f
-    flat = dz_all.reshape(-1, 4 * HIDDEN)
-    return dz_all @ wx.T, x.reshape(-1, x.shape[2]).T @ flat, dwh, flat.sum(axis=0)
+        dz = dz_all[t]
+        dz[..., :HIDDEN], dz[..., HIDDEN : 2 * HIDDEN] = dc * g * i * (1 - i), dc * before * f * (1 - f)
+        dz[..., 2 * HIDDEN : 3 * HIDDEN], dz[..., 3 * HIDDEN :] = dh * tc * o * (1 - o), dc * i * (1 - g * g)
+        dwh += h_before.transpose(0, 2, 1) @ dz
+        dh, dc = dz @ back, dc * f
+    flat = dz_all.transpose(1, 0, 2, 3).reshape(2, -1, 4 * HIDDEN)
+    return dz_all @ wx.transpose(0, 2, 1), x.transpose(1, 0, 2, 3).reshape(2, -1, size).transpose(0, 2, 1) @ flat, dwh, flat.sum(axis=1)
 
 
 def emissions(m: Tagger, chars: np.ndarray, keep: dict | None = None) -> np.ndarray:
     """(T, B, tags) for windows (B, T) of codes."""
     x = m.embed[chars.T]
-    kept: list[list | None] = [None, None] if keep is None else [[], []]
-    fwd = _lstm(x, m.inputs[0], m.states[0], m.biases[0], kept[0])
-    bwd = _lstm(x[::-1], m.inputs[1], m.states[1], m.biases[1], kept[1])[::-1]
-    both = np.concatenate([fwd, bwd], axis=2)
+    x = np.stack([x, x[::-1]], axis=1)
+    kept: list | None = None if keep is None else []
+    h = _lstm(x, m.inputs, m.states, m.biases, kept)
+    both = np.concatenate([h[:, 0], h[::-1, 1]], axis=2)
     if keep is not None:
         keep.update(x=x, both=both, kept=kept)
     return both @ m.out + m.out_bias
@@ -205,40 +212,36 @@ def viterbi(m: Tagger, e: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def _crf(m: Tagger, e: np.ndarray, tags: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """Mean loss and its slopes by emissions, moves and first, for tags (T, B)."""
+    """Mean loss and its slopes by emissions, moves and first, for tags (T, B). Forward and backward
+    passes are in probabilities, scaled to one at each step."""
     steps, batch, k = e.shape
-    alpha, beta = np.empty_like(e), np.zeros_like(e)
-    alpha[0] = m.first + e[0]
-    for t in range(1, steps):
-        alpha[t] = _log_sum(alpha[t - 1][:, :, None] + m.moves, 1) + e[t]
+    e = e.astype(np.float64)
+    top = e.max(axis=2, keepdims=True)
+    local, move = np.exp(e - top), np.exp(m.moves.astype(np.float64))
+    alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((steps, batch, 1))
+    for t in range(steps):
+        a = local[t] * (alpha[t - 1] @ move if t else np.exp(m.first.astype(np.float64)))
+        scale[t] = a.sum(axis=1, keepdims=True)
+        alpha[t] = a / scale[t]
     for t in range(steps - 2, -1, -1):
-        beta[t] = _log_sum(m.moves + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-    z = _log_sum(alpha[-1], 1)
-    p = np.exp(alpha + beta - z[None, :, None])
-    rows = np.arange(batch)
-    gold = m.first[tags[0]] + e[0, rows, tags[0]]
-    dmoves = np.zeros_like(m.moves)
-    for t in range(1, steps):
-        gold = gold + m.moves[tags[t - 1], tags[t]] + e[t, rows, tags[t]]
-        dmoves += np.exp(alpha[t - 1][:, :, None] + m.moves + (e[t] + beta[t])[:, None, :] - z[:, None, None]).sum(axis=0)
-        np.add.at(dmoves, (tags[t - 1], tags[t]), -1)
-    de = p
-    de[np.arange(steps)[:, None], rows[None, :], tags] -= 1
-    dfirst = de[0].sum(axis=0)
-    return float((z - gold).mean()), de / batch, dmoves / batch, dfirst / batch
+        beta[t] = (local[t + 1] * beta[t + 1]) @ move.T / scale[t + 1]
+    z = (np.log(scale) + top).sum(axis=0)[:, 0]
+    at, rows = np.arange(steps)[:, None], np.arange(batch)[None, :]
+    gold = m.first[tags[0]] + m.moves[tags[:-1], tags[1:]].sum(axis=0) + e[at, rows, tags].sum(axis=0)
+    after = (local[1:] * beta[1:] / scale[1:]).reshape(-1, k)
+    dmoves = move * (alpha[:-1].reshape(-1, k).T @ after)
+    np.add.at(dmoves, (tags[:-1], tags[1:]), -1)
+    de = alpha * beta
+    de[at, rows, tags] -= 1
+    return float((z - gold).mean()), de / batch, dmoves / batch, de[0].sum(axis=0) / batch
 
 
 def fit(chars: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, seed: int = 3, batch: int = 96, rate: float = 0.012) -> Tagger:
     """A tagger of windows of codes (N, T) with tags (N, T), by Adam steps."""
     r, k = np.random.default_rng(seed), len(KINDS) + 1
-    init = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-    m = Tagger(init(CLASSES, EMBED), [init(EMBED, 4 * HIDDEN) for _ in range(2)], [init(HIDDEN, 4 * HIDDEN) for _ in range(2)], [np.zeros(4 * HIDDEN, np.float32) for _ in range(2)], init(2 * HIDDEN, k), np.zeros(k, np.float32), np.zeros((k, k), np.float32), np.zeros(k, np.float32))
+    init = lambda *s: (r.standard_normal(s) / np.sqrt(s[-2])).astype(np.float32)
+    m = Tagger(init(CLASSES, EMBED), init(2, EMBED, 4 * HIDDEN), init(2, HIDDEN, 4 * HIDDEN), np.zeros((2, 4 * HIDDEN), np.float32), init(2 * HIDDEN, k), np.zeros(k, np.float32), np.zeros((k, k), np.float32), np.zeros(k, np.float32))
     parts = m.parts()
     mean, square, step = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
     for epoch in range(epochs):
@@ -251,11 +254,11 @@ def fit(chars: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, seed: int = 3
             de = de.astype(np.float32)
             dboth = de @ m.out.T
             dout = keep["both"].reshape(-1, 2 * HIDDEN).T @ de.reshape(-1, k)
-            dx0, dwx0, dwh0, db0 = _lstm_back(dboth[:, :, :HIDDEN], keep["x"], m.inputs[0], m.states[0], keep["kept"][0])
-            dx1, dwx1, dwh1, db1 = _lstm_back(dboth[::-1, :, HIDDEN:], keep["x"][::-1], m.inputs[1], m.states[1], keep["kept"][1])
+            dh = np.stack([dboth[:, :, :HIDDEN], dboth[::-1, :, HIDDEN:]], axis=1)
+            dx, dwx, dwh, db = _lstm_back(dh, keep["x"], m.inputs, m.states, keep["kept"])
             dembed = np.zeros_like(m.embed)
-            np.add.at(dembed, c.T, dx0 + dx1[::-1])
-            slopes = [dembed, dwx0, dwx1, dwh0, dwh1, db0, db1, dout, de.sum(axis=(0, 1)), dmoves, dfirst]
+            np.add.at(dembed, c.T, dx[:, 0] + dx[::-1, 1])
+            slopes = [dembed, dwx, dwh, db, dout, de.sum(axis=(0, 1)), dmoves, dfirst]
             step += 1
             lr = rate * (1 - 0.9 * epoch / epochs)
             for p, g, a, b in zip(parts, slopes, mean, square):
@@ -269,18 +272,22 @@ def labelled(count: int = TRAINING, seed: int = 5) -> list[tuple[str, list[Span]
     """Generated texts of up to some 200 characters with their labelled spans: each kind
     in notations that the patterns know and that they miss, in running text, lists,
     tables and settings, and numbers and names that are none of them."""
-    r = np.random.default_rng(seed)
-    pick = lambda xs: xs[int(r.integers(len(xs)))]
-    digits = lambda n: "".join(str(int(d)) for d in r.integers(0, 10, n))
+    r = random.Random(seed)
+    pick = r.choice
+    digits = lambda n: "".join(r.choices("0123456789", k=n))
     syllables = ["an", "the", "ti", "on", "er", "ou", "le", "ge", "ch", "st", "ñ", "é", "ü", "ra", "do", "in", "es", "ción", "ß", "k", "wh", "au", "m", "pa"]
     letters = "abcdefghijklmnopqrstuvwxyzxqjyzvABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
     def word() -> str:
-        out = "".join(pick(syllables) for _ in range(int(r.integers(1, 5)))) if r.random() < 0.75 else "".join(pick(letters) for _ in range(int(r.integers(1, 12))))
+        out = "".join(pick(syllables) for _ in range(r.randrange(1, 5))) if r.random() < 0.75 else "".join(pick(letters) for _ in range(r.randrange(1, 12)))
         return out.capitalize() if r.random() < 0.15 else out
 
-    plain = lambda: "".join(c for c in word() if c.isascii()) or "jo"
-    drawn = lambda alphabet, n: "".join(pick(alphabet) for _ in range(n))
+    def plain() -> str:
+        if r.random() < 0.5:
+            return "".join(c for c in word() if c.isascii()) or "jo"
+        return "".join(pick("bcdfghjklmnprstvwz") + pick("aeiouy") + pick(["", "", "n", "r", "s", "l"]) for _ in range(r.randrange(1, 4)))
+
+    drawn = lambda alphabet, n: "".join(r.choices(alphabet, k=n))
 
     def card() -> str:
         d = pick(["4", "5", "6", "2", "37"])
@@ -303,36 +310,39 @@ def labelled(count: int = TRAINING, seed: int = 5) -> list[tuple[str, list[Span]
         ])
 
     def ip() -> str:
-        parts = [str(int(x)) for x in r.integers(0, 256, 4)]
-        six = [drawn("0123456789abcdef", int(r.integers(1, 5))) for _ in range(8)]
+        parts = [str(r.randrange(256)) for _ in range(4)]
+        six = [drawn("0123456789abcdef", r.randrange(1, 5)) for _ in range(8)]
         return pick([".".join(parts), "[.]".join(parts), "[.]".join(parts), "(.)".join(parts), " . ".join(parts), ":".join(six), ":".join(six), ":".join(six[:3]) + "::" + ":".join(six[3:5])])
 
     def secret() -> tuple[str, str, str]:
         key = pick(["token", "password", "secret", "api_key", "apikey", "access_key", "auth", "client_secret", "API_KEY", "passwd", "private_key"])
-        value = pick([drawn("0123456789abcdef", 40), drawn("0123456789abcdef", pick([32, 40, 64])), drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", int(r.integers(16, 49))), "sk_" + drawn("abcdefghijklmnopqrstuvwxyz0123456789", 24)])
+        if r.random() < 0.3:  # keys that show what they are
+            return "", pick(["AKIA", "ASIA"]) + drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16) if r.random() < 0.6 else pick(["ghp_", "sk_live_", "pat-"]) + drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 28), ""
+        value = pick([drawn("0123456789abcdef", 40), drawn("0123456789abcdef", pick([32, 40, 64])), drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", r.randrange(16, 49)), "sk_" + drawn("abcdefghijklmnopqrstuvwxyz0123456789", 24)])
         q = pick(['"', '"', "'", ""])
-        return f"{key}{pick([' = ', ' = ', '=', ': ', ' := '])}{q}", value, q
+        return f"{key}{pick([' = ', ' = ', '=', ': ', ': ', ' := ', ' '])}{q}", value, q
 
     def other() -> str:
         return pick([
-            digits(int(r.integers(1, 8))), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(2)}/{digits(2)}/{digits(4)}", f"{digits(1)}.{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(1)}", "@" + word(), f"0x{digits(8)}",
+            digits(r.randrange(1, 8)), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(2)}/{digits(2)}/{digits(4)}", f"{digits(1)}.{digits(2)}", f"v{digits(1)}.{digits(1)}.{digits(1)}", "@" + word(), f"0x{digits(8)}",
             f"{digits(2)}:{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", drawn("0123456789abcdef", 40), f"id={drawn('0123456789abcdef', 32)}", f"{word()} at {word()}", f"{word()} (at) {word()}", f"{digits(3)},{digits(3)}", f"{digits(2)}%", f"${digits(3)}.{digits(2)}", f"the {word()} dot {word()}", digits(12), f"{digits(1)}, {digits(1)}, {digits(1)}",
         ])
 
     make = {"email": email, "ip": ip, "card": card, "phone": phone}
     out = []
     for _ in range(count):
-        gap = pick([" ", " ", " ", " ", " | ", "### ", "\n", ", "])
-        run = lambda lo, hi: gap.join(word() for _ in range(int(r.integers(lo, hi))))
+        gap = pick([" ", " ", " ", " ", " ", " | ", "### ", "\n", ", "])
+        again = [word() for _ in range(3)] if r.random() < 0.3 else []  # a text of few words, over and over
+        run = lambda lo, hi: gap.join(pick(again) if again else word() for _ in range(r.randrange(lo, hi)))
         text, spans = run(0, 12), []
-        for _ in range(int(r.integers(1, 4))):
-            kind = pick([*KINDS, "secret", None, None])
-            text += pick([gap, ": ", " (", "=", ". "]) if text else ""
+        for _ in range(r.randrange(1, 4)):
+            kind = pick([*KINDS, "email", "phone", "secret", "secret", None, None])
+            text += pick([gap, gap, gap, ": ", " (", "=", ". "]) if text else ""
             lead, piece, tail = ("", other(), "") if kind is None else secret() if kind == "secret" else ("", make[kind](), "")
             text += lead
             if kind:
                 spans.append((len(text), len(text) + len(piece), kind))
-            text += piece + tail + pick(["", "", ",", ".", ")", ";"]) + gap + run(0, 10)
+            text += piece + tail + pick(["", "", "", ",", ".", ")", ";"]) + gap + run(0, 10)
         out.append((text, spans))
     return out
 
@@ -362,7 +372,7 @@ def trained(count: int = TRAINING, epochs: int = EPOCHS) -> Tagger:
 
 
 #: What spans have at least one of.
-MARK = r"[0-9@]|(?i:[\s\[({]dot[\s\])}])"
+MARK = r"[0-9@]|(?i:[\x20\t\r\n\[({]dot[\x20\t\r\n\])}])|AKIA|ASIA"
 _MARK = re.compile(MARK)
 
 
@@ -400,6 +410,12 @@ AT = re.compile(r"\s*[\[({]\s*at\s*[\])}]\s*|\s+at\s+|\s*@\s*", re.I)
 DOT = re.compile(r"\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*|\s+dot\s+", re.I)
 DATE = re.compile(r"[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:[0-9]{2}|[0-9]{4})")
 SECRET = re.compile(r"[A-Za-z0-9+/=_.-]{16,}")
+#: An address with its at and dots spelled out, or set apart.
+SPELLED = re.compile(rf"[A-Za-z0-9._%+-]+(?:{AT.pattern})[A-Za-z0-9-]+(?:(?:{DOT.pattern}|\.)[A-Za-z0-9-]+)+", re.I)
+#: What addresses look like as a whole, in any notation.
+SHAPES = {"email": SPELLED, "ip": re.compile(r"[0-9]{1,3}(?:\s?[\[(]?\.[\])]?\s?[0-9]{1,3}){3}|(?<![\w:])[0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){3,7}(?![\w:])")}
+#: How far from what is tagged the rest of an address is looked for.
+NEAR = 64
 #: Characters over which a span of a kind goes on.
 GOES_ON = {"email": LOCAL, "ip": re.compile("[0-9a-fA-F]"), "card": re.compile("[0-9]"), "phone": re.compile("[0-9+(]"), "secret": re.compile("[A-Za-z0-9+/=_-]")}
 
@@ -421,7 +437,7 @@ def sound(kind: str, s: str) -> bool:
         return 14 <= d <= 19 and luhn(_digits(s)) and set(s) <= set("0123456789 -./_")
     if kind == "phone":
         return 9 <= d <= 15 and set(s) <= set("0123456789 -./()+") and any(c in s for c in "+ (-./") and not DATE.fullmatch(s)
-    return SECRET.fullmatch(s) is not None and 0 < d < len(s)
+    return SECRET.fullmatch(s) is not None and (0 < d < len(s) or s.startswith(("AKIA", "ASIA")))
 
 
 def added_spans(text: str, tags: np.ndarray, base: list[Span]) -> list[Span]:
@@ -436,6 +452,9 @@ def added_spans(text: str, tags: np.ndarray, base: list[Span]) -> list[Span]:
                 a -= 1
             while b < len(text) and more.match(text[b]):
                 b += 1
+            if kind in SHAPES:
+                near = SHAPES[kind].finditer(text, max(a - NEAR, 0), min(b + NEAR, len(text)))
+                a, b = next((m.span() for m in near if m.start() < b and a < m.end() and sound(kind, m[0])), (a, b))
             piece = text[a:b]
             a, b = a + len(piece) - len(piece.lstrip(" ,;:=.|\"'")), b - (len(piece) - len(piece.rstrip(" ,;:=(.|\"'")))
             while kind == "phone" and text[a:b].startswith("(") and text.count("(", a, b) > text.count(")", a, b):
@@ -463,23 +482,23 @@ def decoded(m: Tagger, texts: list[str], every: bool = False) -> list[np.ndarray
 
 
 def find(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
-    """doc_id, base, spans (each written as kind:start:end by start), base counts, n_added and n_spans of each row."""
+    """doc_id, base, spans (base and added) and secrets, each written as kind:start:end by start, base counts, n_added, n_spans and n_secrets of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(model or trained())
     kind = dict(docs.dtypes)["doc_id"]
-    counts = [*(f"n_{k}" for k in BASE_KINDS), "n_added", "n_spans"]
+    counts = [*(f"n_{k}" for k in BASE_KINDS), "n_added", "n_spans", "n_secrets"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column("text")
             hot = np.flatnonzero(pc.fill_null(pc.match_substring_regex(col, MARK), False)).tolist()
             texts = [col[i].as_py() for i in hot]
-            base, spans = [[] for _ in range(len(batch))], [[] for _ in range(len(batch))]
+            base, spans, secrets = ([[] for _ in range(len(batch))] for _ in range(3))
             for i, text, tags in zip(hot, texts, decoded(sent.value, texts)):
                 base[i] = base_spans(text)
-                spans[i] = in_order(base[i] + added_spans(text, tags, base[i]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([written(x) for x in base]), pa.array([written(x) for x in spans]), *(pa.array([sum(s[2] == k for s in x) for x in base], pa.int64()) for k in BASE_KINDS), pa.array([len(x) - len(y) for x, y in zip(spans, base)], pa.int64()), pa.array([len(x) for x in spans], pa.int64())],
-                ["doc_id", "base", "spans", *counts],
-            )
+                added = added_spans(text, tags, base[i])
+                spans[i] = in_order(base[i] + [x for x in added if x[2] in BASE_KINDS])
+                secrets[i] = in_order([x for x in added if x[2] not in BASE_KINDS])
+            numbers = [*([sum(x[2] == k for x in b) for b in base] for k in BASE_KINDS), [len(x) - len(y) for x, y in zip(spans, base)], [len(x) for x in spans], [len(x) for x in secrets]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([written(x) for x in rows]) for rows in (base, spans, secrets)), *(pa.array(n, pa.int64()) for n in numbers)], ["doc_id", "base", "spans", "secrets", *counts])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, base string, spans string, {', '.join(c + ' long' for c in counts)}")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, base string, spans string, secrets string, {', '.join(c + ' long' for c in counts)}")

@@ -96,7 +96,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlake.llm.pii import find
 
     found = find(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added", "n_spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "secrets", "n_added", "n_spans", "n_secrets")
 
 
 @query

@@ -728,6 +728,39 @@ def test_viterbi_equals_enumeration():
         assert worth[tuple(best.tolist())] >= max(worth.values()) - 1e-4
 
 
+def test_pii_notations_among_documents(spark, data):
+    """Notations that the patterns miss, with names that the training lacks, set into given documents; clean ones stay clean."""
+    from spanlake.llm.pii import added_spans, base_spans, decoded, luhn, trained
+
+    r, m = random.Random(7), trained()
+    texts = [x["text"] for x in spark.read.parquet(f"{data}/documents.parquet").where("length(text) BETWEEN 20 AND 6000").collect()]
+    drawn = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    digits = lambda n: drawn("0123456789", n)
+    name = lambda: r.choice(["anna", "jo.miller", "petra_k", "hans", "maria.lopez", "oliver22", "zoe", "ravi.patel"])
+    host = lambda: r.choice(["mailbox", "web-host", "firma", "northwind"])
+    end = lambda: r.choice(["de", "com", "org", "net"])
+
+    def card():
+        d = next(d for d in iter(lambda: "4" + digits(15), None) if luhn(d))
+        return ".".join(d[i : i + 4] for i in range(0, 16, 4))
+
+    notations = [
+        (0.9, lambda: f"{name()} (at) {host()} (dot) {end()}"), (0.85, lambda: f"{name()} at {host()} dot {end()}"), (0.9, lambda: f"{name()} [at] {host()} [dot] {end()}"), (0.9, card), (0.85, lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"),
+        (0.85, lambda: "[.]".join(str(r.randrange(256)) for _ in range(4))), (0.85, lambda: ":".join(drawn("0123456789abcdef", 4) for _ in range(8))), (0.85, lambda: "AKIA" + drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)),
+    ]
+    for least, make in notations:
+        planted, places = [], []
+        for _ in range(40):
+            text, piece = r.choice(texts), make()
+            at = r.choice([0, *(i + 1 for i, c in enumerate(text) if c == " ")])
+            planted.append(f"{text[:at]}{piece} {text[at:]}")
+            places.append((at, at + len(piece)))
+        found = sum(p in [x[:2] for x in added_spans(t, tags, base_spans(t))] for t, p, tags in zip(planted, places, decoded(m, planted)))
+        assert found >= least * 40, (make(), found)
+    unplanted = [x for t, tags in zip(texts, decoded(m, texts)) for x in added_spans(t, tags, base_spans(t)) if x[2] != "secret"]
+    assert len(unplanted) <= 0.01 * len(texts)
+
+
 def test_pii_spans_of_tables_equal_those_of_single_texts(spark):
     from spanlake.llm.pii import added_spans, base_spans, decoded, find, in_order, labelled, trained, written
 
@@ -736,8 +769,10 @@ def test_pii_spans_of_tables_equal_those_of_single_texts(spark):
     for i, t in enumerate(texts):
         base = base_spans(t or "")
         added = added_spans(t, decoded(trained(), [t])[0], base) if t else []
-        assert got[i]["spans"] == written(in_order(base + added)) and got[i]["n_added"] == len(added) and got[i]["n_spans"] == len(base + added)
-    assert got[43]["spans"].startswith("secret:19:59")
+        own, secrets = [x for x in added if x[2] != "secret"], [x for x in added if x[2] == "secret"]
+        assert got[i]["spans"] == written(in_order(base + own)) and got[i]["n_added"] == len(own) and got[i]["n_spans"] == len(base + own)
+        assert got[i]["secrets"] == written(in_order(secrets)) and got[i]["n_secrets"] == len(secrets)
+    assert got[43]["secrets"].startswith("secret:19:59")
 
 
 def test_tagger_spans_cross_windows():
