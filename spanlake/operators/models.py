@@ -70,6 +70,41 @@ def fitted(text: str, tokens, limit: int) -> list[tuple[int, int]]:
     return [r for r in out if r[0] < r[1]]
 
 
+class TokenChunks:
+    """A table function: (text, tokenizer file, limit, overlap) -> a row for each chunk of at most limit tokens.
+
+    Chunks begin at tokens and reach to where the next chunk's first new token begins, so
+    they cover all characters; each is encoded by itself, and one that has more tokens so is halved
+    until its parts fit (one character at least).
+    """
+
+    def __init__(self) -> None:
+        self.known: dict = {}
+
+    def eval(self, text: str | None, path: str, limit: int, overlap: int) -> Iterator[tuple[int, int, int, int]]:
+        if not text:
+            return
+        if path not in self.known:
+            from tokenizers import Tokenizer
+
+            self.known[path] = Tokenizer.from_file(path)
+        encode = lambda t: self.known[path].encode(t, add_special_tokens=False)
+        offsets, n = encode(text).offsets, 0
+        for a, b in token_chunks(len(offsets), limit, min(overlap, limit - 1)) if offsets else [(0, 0)]:
+            start, end = offsets[a][0] if a else 0, offsets[b][0] if b < len(offsets) else len(text)
+            if b < len(offsets) and offsets[b][0] < offsets[b - 1][1]:
+                end = offsets[b - 1][1]  # the boundary is within a character
+            for x, y in fitted(text[start:end], lambda t: len(encode(t).ids), limit):
+                yield n, start + x, start + y, len(encode(text[start + x : start + y]).ids)
+                n += 1
+
+
+def token_chunked(df: DataFrame, path: str, text: str = "text", limit: int = 480, overlap: int = 64) -> DataFrame:
+    """df and a row for each token chunk of its text: chunk, start_char, end_char, tokens. Null and empty texts have none."""
+    table = F.udtf(TokenChunks, returnType="chunk: int, start_char: int, end_char: int, tokens: int")
+    return df.lateralJoin(table(F.col(text).outer(), F.lit(path), F.lit(limit), F.lit(overlap)))
+
+
 CHUNKS = "array<struct<start_char:int,end_char:int,start_byte:int,end_byte:int,text:string>>"
 
 

@@ -12,12 +12,23 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+#: Bytes of a bin. Spans meet in the bins that both reach into, and are told once, where the later one begins.
+BIN = 256
+
+
+def _binned(spans: DataFrame) -> DataFrame:
+    bins = F.sequence(F.floor(F.col("start") / BIN), F.floor((F.col("end") - 1) / BIN))
+    return spans.where("start < end").withColumn("bin", F.explode(bins))
+
+
 def match_candidates(gold: DataFrame, found: DataFrame, drift: int = 2, gold_cover: float = 0.8, found_cover: float = 0.5) -> DataFrame:
     """Overlapping pairs within the tolerances. gold and found: example_id, start, end,
-    entity_type, and idx, the place within the example."""
-    g = gold.select("example_id", *(F.col(c).alias(f"g_{c}") for c in ("idx", "start", "end", "entity_type")))
-    d = found.select("example_id", *(F.col(c).alias(f"d_{c}") for c in ("idx", "start", "end", "entity_type")))
-    pairs = g.join(d, "example_id").where("g_start < d_end AND d_start < g_end")
+    entity_type, and idx, the place within the example. An interval join by bins, so a long
+    example's spans don't all meet each other; empty spans overlap with none."""
+    g = _binned(gold).select("example_id", "bin", *(F.col(c).alias(f"g_{c}") for c in ("idx", "start", "end", "entity_type")))
+    d = _binned(found).select("example_id", "bin", *(F.col(c).alias(f"d_{c}") for c in ("idx", "start", "end", "entity_type")))
+    once = F.floor(F.greatest("g_start", "d_start") / BIN) == F.col("bin")
+    pairs = g.join(d, ["example_id", "bin"]).where("g_start < d_end AND d_start < g_end").where(once).drop("bin")
     both = F.least("g_end", "d_end") - F.greatest("g_start", "d_start")
     pairs = pairs.withColumns({"overlap": both, "g_size": F.col("g_end") - F.col("g_start"), "d_size": F.col("d_end") - F.col("d_start")})
     pairs = pairs.withColumns({

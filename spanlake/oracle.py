@@ -402,3 +402,4 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED P
 SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 10 MINUTE AS fires, count(*) AS n_updates FROM s GROUP BY user_id, n HAVING epoch_ms(max(ts) + INTERVAL 10 MINUTE) <= {_PASSED}"""
 ORACLES["stream_suppressed_live"] = f"""WITH e AS (SELECT user_id, ts, max(event_type) AS v FROM events GROUP BY ALL), l AS (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM e)
 SELECT user_id, count(*) AS n FROM l WHERE (b IS NULL OR b <> v) AND epoch_ms(ts) + 1 <= {_PASSED} GROUP BY user_id"""
+ORACLES["token_chunks"] = "SELECT doc_id, true AS fits, true AS covers FROM documents WHERE text <> ''"

@@ -564,6 +564,18 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("end_char").alias("chars"), F.max("end_byte").alias("bytes"))
 
 
+@query
+def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the token chunks of each text are within the budget, follow each other without a gap, and reach from its beginning to its end."""
+    import public_tokenizers
+
+    got = models.token_chunked(documents(spark, sf_dir).where("text <> ''").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    rows = got.groupBy("doc_id", F.length("text").cast("int").alias("size")).agg(F.max("tokens").alias("most"), F.array_sort(F.collect_list(F.struct("chunk", "start_char", "end_char"))).alias("c"))
+    gap = F.exists(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.col("c")[i]["start_char"] > F.col("c")[i - 1]["end_char"])
+    whole = (F.col("c")[0]["start_char"] == 0) & (F.element_at("c", -1)["end_char"] == F.col("size"))
+    return rows.select("doc_id", (F.col("most") <= 480).alias("fits"), (whole & ((F.size("c") == 1) | ~gap)).alias("covers"))
+
+
 @query
 def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans found chunk by chunk, moved to their place and merged: those of whole texts."""

@@ -264,3 +264,40 @@ def test_words_that_are_generic_are_a_parameter(spark):
     df = spark.createDataFrame([("const walrusData = f(1);", [(6, 16, "walrusData", "ner")])], f"t string, s {s}")
     kept = lambda *words: len(df.select(columns.without_generic(F.col("t"), F.col("s"), *words).alias("s")).first()["s"])
     assert kept() == 1 and kept({"walrus", "data"}) == 0
+
+
+def test_matches_meet_across_bins_once(spark):
+    """Random spans of all lengths, some over many bins, against all pairs."""
+    import random
+
+    r = random.Random(3)
+    rows = lambda n: [(r.randrange(3), i, a := r.randrange(3000), a + r.choice([0, 1, 5, 250, 260, 1500]), "PERSON") for i in range(n)]
+    gold, found = rows(120), [*rows(120)]
+    found += [(e, 500 + i, a + r.randrange(3), b, t) for e, i, a, b, t in gold]
+    schema = "example_id int, idx int, start int, end int, entity_type string"
+    got = sorted((x["example_id"], x["g_idx"], x["d_idx"]) for x in scoring.match_candidates(*(spark.createDataFrame(t, schema) for t in (gold, found))).collect())
+    want = []
+    for e, i, a, b, _ in gold:
+        for f, j, c, d, _ in found:
+            o = min(b, d) - max(a, c)
+            if e == f and a < b and c < d and o > 0 and max(c - a, b - d, 0) <= 2 and o / (b - a) >= 0.8 and o / (d - c) >= 0.5:
+                want.append((e, i, j))
+    assert got == sorted(want)
+
+
+def test_token_chunks_cover_texts_of_any_script(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["plain words " * 40, "日本語のテキスト" * 30, "é" * 100, "a", " \n ", "𝔘𝔫𝔦" * 20 + "x" * 90, "one two" + "̀" * 40, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for r in models.token_chunked(df, path, limit=16, overlap=4).collect():
+        got.setdefault(r["id"], []).append((r["chunk"], r["start_char"], r["end_char"], r["tokens"]))
+    assert set(got) == {i for i, x in enumerate(texts) if x}
+    for i, chunks in got.items():
+        chunks.sort()
+        assert chunks[0][1] == 0 and chunks[-1][2] == len(texts[i]) and all(b[1] <= a[2] for a, b in zip(chunks, chunks[1:]))
+        assert all(n == len(t.encode(texts[i][a:b], add_special_tokens=False).ids) and (n <= 16 or b - a == 1) for _, a, b, n in chunks)
