@@ -142,17 +142,39 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)[^\w]+", -1), lambda w: w != "")
 
 
+#: log2 of the bits of the map of values that runs of words are held against first.
+GATE_BITS = 20
+
+
+def _gate(values: DataFrame, run: str):
+    """A test that lets through every text of a column, and few others: a map of hashes of a fixed size, as a literal.
+    The driver sees one number for each bit that is set."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << GATE_BITS))
+    packed = bytearray(1 << (GATE_BITS - 3))
+    for r in values.select(slot(F.col(run)).alias("s")).distinct().collect():
+        packed[r["s"] >> 3] |= 1 << (r["s"] & 7)
+    bits = F.lit(bytes(packed))
+
+    def passes(c: Column) -> Column:
+        byte = F.conv(F.hex(F.call_function("substring", bits, (F.shiftright(slot(c), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.pmod(F.call_function("shiftright", byte, F.pmod(slot(c), F.lit(8)).cast("int")), F.lit(2)) == 1
+
+    return passes
+
+
 def restored_by_vault(replies: DataFrame, vault: DataFrame, text: str = "reply") -> DataFrame:
     """replies plus restored. A reply meets only the records whose placeholder (in any
     variant) or synthetic value it may hold: those of its tokens' numbers, and those whose
     synthetic value has the words of a run of its words; joined on the whole run, as many
-    values share their first words. The runs' lengths are those of the vault's values."""
+    values share their first words. The runs' lengths are those of the vault's values, and
+    runs that can be none of them stop at a map of hashes."""
     rows = stored(replies.withColumn("row__", F.monotonically_increasing_id()), "replies")
     value = vault.where("synthetic_value != ''").withColumn("w__", _words(F.col("synthetic_value")))
     sizes = sorted(r[0] for r in value.select(F.size("w__")).distinct().collect() if r[0])  # as many as pools have lengths
     words = _words(F.col(text))
     runs = [F.transform(F.sequence(F.lit(1), F.size("w__") - n + 1), lambda i, n=n: F.array_join(F.slice("w__", i, n), " ")) for n in sizes]
-    some = [F.when(F.size("w__") >= n, r).otherwise(F.array().cast("array<string>")) for n, r in zip(sizes, runs)]
+    passes = _gate(value.select(F.array_join("w__", " ").alias("run")), "run")
+    some = [F.when(F.size("w__") >= n, F.filter(r, passes)).otherwise(F.array().cast("array<string>")) for n, r in zip(sizes, runs)]
     digits = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([0-9]+)"), 1), lambda n: F.concat(F.lit("#"), F.regexp_replace(n, "^0+(?=.)", "")))
     asked = rows.select("row__", digits.alias("d__"), words.alias("w__")).select("row__", F.explode(F.array_distinct(F.concat("d__", *some))).alias("k"))
     record = ["placeholder", "synthetic_value", "original_text"]
