@@ -278,7 +278,7 @@ def shared_passages(docs: DataFrame) -> DataFrame:
     each passage that a document shares with those that stand for its seeds and their contexts."""
     kind, begun = dict(docs.dtypes)["doc_id"], mark()
     known = docs.sparkSession.sparkContext.broadcast(bit_map(stored(repeated(docs), "repeated"), "seed"))
-    sown_ = seeds(docs, known)
+    sown_ = stored(seeds(docs, known), "sown")
     # Written, so that the join deals both sides anew and Spark can split a frequent seed.
     first = sown_.groupBy("seed").agg(F.min(F.struct("row", "pos", *AROUND)).alias("f"), F.count("*").alias("n")).where("n > 1").select("seed", F.col("f.row").alias("a_row"), F.col("f.pos").alias("a"), *(F.col(f"f.{c}").alias(f"a_{c}") for c in AROUND))
     first = stored(first, "firsts")
