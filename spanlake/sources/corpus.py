@@ -220,19 +220,23 @@ def coverage_sample(examples: DataFrame, limit: int, negative: int = 25, misc: i
     language x type x length: quotas for examples without gold, with MISC, and the rest,
     which go to the emptiest of their buckets in order; reserves fill what is left.
 
-    Choosing is sequential. Only rows that could be chosen reach the one task that does
-    it: the first limit rows of each kind and bucket, and the first 5 x limit of all.
+    Choosing is sequential, but few rows can be chosen, whatever the table: one that is taken for
+    a bucket has before it, in that bucket, only rows that were taken too, so it is among
+    the bucket's first limit rows; and reserves are among the first 2 x limit rows of all. These
+    (limit x the number of buckets, and 2 x limit) are what one task reads.
     """
-    kind = F.when(F.size("types") == 0, "negative").when(F.array_contains("types", "MISC"), "misc").otherwise("supported")
-    keyed = examples.withColumn("kind__", kind).withColumn("bucket__", F.concat_ws(":", "kind__", "language", "length_bucket", F.array_join(F.array_sort(F.array_distinct("types")), "+")))
-    first = keyed.withColumn("n__", F.row_number().over(Window.partitionBy("bucket__").orderBy(order))).where(F.col("n__") <= limit)
-    early = keyed.orderBy(order).limit(5 * limit).select(F.col(order).alias("early__"))
-    rest = keyed.join(early, keyed[order] == F.col("early__"), "left_semi")
-    pool = first.drop("n__").unionByName(rest).dropDuplicates([order])
     langs, sizes = ["en", "de"], ["short", "medium", "long"]
     supported = [t for t in rules.ENTITY_TYPES if t not in ("MISC", "SECRET", "HOSTNAME", "FILE_PATH", "IDENTIFIER")]
     pairs = [f"{a}:{b}" for a in langs for b in sizes]
     triples = [f"{a}:{t}:{b}" for a in langs for t in supported for b in sizes]
+    kind = F.when(F.size("types") == 0, "negative").when(F.array_contains("types", "MISC"), "misc").otherwise("supported")
+    keyed = examples.withColumn("kind__", kind)
+    of_types = F.transform(F.array_distinct("types"), lambda t: F.concat_ws(":", F.col("language"), t, F.col("length_bucket")))
+    buckets = F.when(F.col("kind__") == "supported", of_types).otherwise(F.array(F.concat_ws(":", "language", "length_bucket")))
+    each = keyed.select(order, F.explode(buckets).alias("bucket__"), "kind__").where(F.col("bucket__").isin(*pairs, *triples))
+    first = each.withColumn("n__", F.row_number().over(Window.partitionBy("kind__", "bucket__").orderBy(order))).where(F.col("n__") <= limit).select(order)
+    wanted = first.unionByName(keyed.orderBy(order).limit(2 * limit).select(order)).distinct()
+    pool = keyed.join(wanted, order, "left_semi")
     goal = {"negative": min(negative, limit)}
     goal["misc"] = min(misc, limit - goal["negative"])
     goal["supported"] = max(0, limit - goal["negative"] - goal["misc"])
@@ -248,7 +252,7 @@ def coverage_sample(examples: DataFrame, limit: int, negative: int = 25, misc: i
                 used[k, free[0][2]] = free[0][0] + 1
                 total[k] += 1
                 taken.append(key)
-            elif len(spare) < 4 * limit:
+            else:
                 spare.append(key)
         taken += spare[: max(0, limit - len(taken))]
         return pdf[pdf[order].isin(taken)][[order]]
