@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake import rules
-from spanlake.functions.spans import byte_slice, computed
+from spanlake.functions.spans import computed, let
 from spanlake.functions.text import normalized_key
 from spanlake.plans.order import placed
 from spanlake.plans.scratch import stored
@@ -38,11 +38,17 @@ def observed_tokens(text: Column, types: tuple[str, ...]) -> Column:
     return F.array_distinct(F.filter(every, lambda t: parsed(t)["type"].isin(*types)))
 
 
-def spliced(text: Column, spans: Column, replacement) -> Column:
-    """text with each span replaced; spans sorted and disjoint. replacement: span -> Column."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    fold = F.aggregate(spans, start, lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], byte_slice(text, acc["at"], s["start"]), replacement(s)).alias("out")))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(fold["out"], byte_slice(text, fold["at"], F.octet_length(text))))
+def spliced(text: Column, spans: Column, replacement: Callable[[Column], Column]) -> Column:
+    """text with each span replaced; spans sorted and disjoint. replacement: span -> Column. The text is
+    encoded once, and its pieces are joined once."""
+
+    def put(raw: Column, own: Column) -> Column:
+        piece = lambda a, b: F.call_function("substring", raw, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")).cast("string")
+        end = lambda i: F.coalesce(F.get(own, i)["end"], F.lit(0))
+        parts = F.transform(own, lambda s, i: F.concat(piece(end(i - 1), s["start"]), F.coalesce(replacement(s), F.lit(""))))
+        return F.concat(F.array_join(parts, ""), piece(end(F.size(own) - 1), F.octet_length(raw)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.encode(text, "UTF-8"), lambda raw: let(spans, lambda own: put(raw, own))))
 
 
 def entity_map(spans: DataFrame, key: str, reserved: DataFrame | None = None) -> DataFrame:
