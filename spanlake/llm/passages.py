@@ -385,15 +385,17 @@ def with_slices(docs: DataFrame, named: DataFrame, kind: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, asks = batch.column("doc_id"), batch.column("asks")
-            for at in range(len(batch)):
-                _, _, data, offs = next(slices(batch.column("text").slice(at, 1)))
-                h = (Words(data, offs, SPACED).hash >> U(32)).astype(np.uint32)
-                own = asks[at].values
-                begins, ends = own.field("from").to_numpy(), own.field("to").to_numpy()
+            for i, j, data, offs in slices(batch.column("text")):
+                w = Words(data, offs, SPACED)
+                h = (w.hash >> U(32)).astype(np.uint32)
+                own = asks.slice(i, j - i)
+                flat, count = own.flatten(), own.value_lengths().to_numpy()
+                doc = np.repeat(np.arange(j - i), count)
+                first, end = w.first[doc], w.first[doc + 1]
+                begins, ends = first + flat.field("from").to_numpy(), np.minimum(first + flat.field("to").to_numpy(), end)
                 words = [h[x:y].tobytes() for x, y in zip(begins.tolist(), ends.tolist())]
-                cols = [own.field(c) for c in ("chain", "side", "from", "b_row", "a_row", "anchors")]
-                doc = ids.take(pa.array(np.full(len(own), at)))
-                yield pa.RecordBatch.from_arrays([*cols, doc, pa.array(words, pa.binary()), pa.array(ends >= len(h))], ["chain", "side", "from", "b_row", "a_row", "anchors", "doc_id", "words", "last"])
+                cols = [flat.field(c) for c in ("chain", "side", "from", "b_row", "a_row", "anchors")]
+                yield pa.RecordBatch.from_arrays([*cols, ids.take(pa.array(i + doc)), pa.array(words, pa.binary()), pa.array(first + flat.field("to").to_numpy() >= end)], ["chain", "side", "from", "b_row", "a_row", "anchors", "doc_id", "words", "last"])
 
     pieces = texts.join(asked, ["row", "share"]).select("doc_id", "text", "asks").mapInArrow(cut, f"chain binary, side string, from int, b_row binary, a_row binary, anchors binary, doc_id {kind}, words binary, last boolean")
 
