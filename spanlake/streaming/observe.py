@@ -6,13 +6,14 @@ own addition: it makes a quiet period final, and drops what comes later than tha
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanlake.operators.pseudonym import identities, numbered
 from spanlake.plans.scratch import dropped, mark
@@ -37,69 +38,45 @@ def changed(checks: DataFrame, key: str, time: str, value: str) -> DataFrame:
     return checks.withColumn("before__", before).where(~F.col(value).eqNullSafe(F.col("before__")) | F.col("before__").isNull()).drop("before__")
 
 
-class _Changes(StatefulProcessor):
-    """Holds a key's checks until the watermark has passed them, so that they are compared in the
-    order of their times whatever batch brought them; then only the last value is kept, and that for
-    no longer than ttl after it was last written."""
-
-    def __init__(self, names: list[str], types: list[str], ttl: int | None):
-        self.names, self.types, self.ttl = names, types, ttl
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        key, time, value = self.types
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", f"at timestamp, value {value}")
-        self.last = handle.getValueState("last", f"value {value}", self.ttl)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        _, time, value = self.names
-        held = {int(t) for t in self.handle.listTimers()}
-        for batch in rows:
-            for at, v in zip(batch[time], batch[value]):
-                self.waiting.appendValue((at, v))
-                due = int(at.timestamp() * 1000) + 1
-                if due not in held:
-                    held.add(due)
-                    self.handle.registerTimer(due)
-        return iter(())
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        rows = sorted(self.waiting.get(), key=lambda r: r[0])
-        ripe = [r for r in rows if r[0].timestamp() * 1000 < due]
-        if ripe:
-            if len(ripe) < len(rows):
-                self.waiting.put([r for r in rows if r[0].timestamp() * 1000 >= due])
-            else:
-                self.waiting.clear()
-        last, known = (self.last.get()[0], True) if self.last.exists() else (None, False)
-        keep = []
-        for at, v in ripe:
-            if not known or v != last:
-                keep.append((key[0], at, v))
-            last, known = v, True
-        if ripe:
-            self.last.update((last,))
-        return iter([pd.DataFrame(keep, columns=self.names)] if keep else [])
-
-    def close(self) -> None:
-        pass
-
-
-#: The state store that keyed processors need.
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def changed_stream(checks: DataFrame, key: str, time: str, value: str, late: str = "10 seconds", ttl: int | None = None) -> DataFrame:
     """The same on a stream: checks are compared in the order of their times once the watermark, late
     after the latest, has passed them. ttl: milliseconds after which a key that had no further
-    check is forgotten; its next check then counts as changed."""
-    checks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    check is forgotten; its next check then counts as changed.
+
+    A key's state is one row: the checks that wait, so that they are compared in the order of
+    their times whatever batch brought them, and the last value. Its timer is that of the earliest check
+    that waits; all that the watermark has passed by then go at once.
+    """
     types = dict(checks.dtypes)
-    names = [key, time, value]
-    schema = ", ".join(f"{n} {types[n]}" for n in names)
-    keyed = checks.select(*names).withWatermark(time, late).groupBy(key)
-    return keyed.transformWithStateInPandas(_Changes(names, [types[n] for n in names], ttl), schema, "Append", "EventTime")
+
+    def changes(of: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ats, values, last, known, written = state.get if state.exists else ([], [], None, False, 0)
+        waiting = [*zip(ats, values)] + [r for batch in rows for r in zip(batch["at"].tolist(), batch["v"].tolist())]
+        passed, now = state.getCurrentWatermarkMs(), state.getCurrentProcessingTimeMs()
+        waiting.sort(key=lambda r: r[0])
+        n = bisect_left(waiting, passed * 1000, key=lambda r: r[0])  # all of the milliseconds before the watermark's
+        keep = []
+        known = known and (ttl is None or now - written <= ttl)
+        for at, v in waiting[:n]:
+            if not known or v != last:
+                keep.append((of[0], at, v))
+            last, known, written = v, True, now
+        rest = waiting[n:]
+        if rest or known:
+            state.update(([at for at, _ in rest], [v for _, v in rest], last, known, written))
+            if rest:
+                state.setTimeoutTimestamp(rest[0][0] // 1000)
+            elif ttl is not None:
+                state.setTimeoutTimestamp(passed + ttl)
+        elif state.exists:
+            state.remove()
+        if keep:
+            yield pd.DataFrame(keep, columns=["k", "at", "v"])
+
+    slim = checks.withWatermark(time, late).select(F.col(key).alias("k"), F.col(time), F.unix_micros(time).alias("at"), F.col(value).alias("v"))
+    held = f"ats array<bigint>, vs array<{types[value]}>, last {types[value]}, known boolean, written bigint"
+    got = slim.groupBy("k").applyInPandasWithState(changes, f"k {types[key]}, at bigint, v {types[value]}", held, "append", GroupStateTimeout.EventTimeTimeout)
+    return got.select(F.col("k").alias(key), F.timestamp_micros("at").alias(time), F.col("v").alias(value))
 
 
 def vault_stream(spans: DataFrame, key: str, path: str, checkpoint: str, **trigger: object) -> StreamingQuery:

@@ -263,6 +263,20 @@ def test_changed_stream_equals_table(spark, tmp_path):
     assert sorted(tuple(r) for r in got if r["k"] != "end") == sorted(map(tuple, table))
 
 
+def test_a_key_with_many_checks_has_one_timer(spark, tmp_path):
+    """Each of a key's checks once had a timer, and each timer read all that waited."""
+    import time
+
+    rows = [("k", 5000.0 + i, "ab"[i // 3 % 2]) for i in range(6000)]
+    schema = "k string, s double, v string"
+    for lot in (rows, [("end", 50000.0, "x")], [("end", 60000.0, "y")]):
+        df = stream_of(spark, tmp_path, "many", lot, schema, files=1)
+    at = df.withColumn("t", F.timestamp_micros((F.col("s") * 1_000_000).cast("long"))).drop("s")
+    begun = time.time()
+    got = run(observe.changed_stream(at, "k", "t", "v", late="60 seconds"), "changed_many", tmp_path)
+    assert len([r for r in got if r["k"] == "k"]) == 2000 and time.time() - begun < 60
+
+
 def test_scratch_tables_are_dropped(spark):
     from pathlib import Path
     from urllib.parse import urlparse
