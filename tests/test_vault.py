@@ -154,3 +154,19 @@ def test_control_characters_stay(spark):
     got = spark.createDataFrame([(text,)], "t string").select(F.explode(spans.recognized(F.col("t"), ("EMAIL",))).alias("s")).select("s.*").collect()
     assert [(r["start"], r["text"]) for r in got] == [(text.find(m), m) for m in ("a@example.org", "b@example.org", "c@example.org")]
     assert all(text[r["start"] : r["end"]] == r["text"] for r in got)
+
+
+def test_a_vault_stream_reads_many_files(spark, tmp_path):
+    """The halves of the documents were once written, and read, as one file each."""
+    from pathlib import Path
+
+    from spanlake.plans.scratch import shared_dir
+    from spanlake.queries import QUERIES
+
+    docs = [(i, f"mail ann{i}@example.org now", "en", "s", 20) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    shared = Path(shared_dir(spark).removeprefix("file://").removeprefix("file:"))
+    before = set(shared.glob("vault-stream-*"))
+    assert QUERIES["stream_vault"](spark, str(tmp_path)).count() == 40
+    (made,) = set(shared.glob("vault-stream-*")) - before
+    assert len([*made.glob("documents/*.parquet")]) > 2
