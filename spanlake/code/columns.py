@@ -6,6 +6,8 @@ Texts without any sign of code or of error output are answered natively.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -106,7 +108,10 @@ def split_identifiers(text: Column) -> Column:
 
 def profiles(text: Column) -> Column:
     """Libraries whose signals a text has."""
-    found = [F.when(text.rlike("(?m)" + "|".join(f"(?:{p})" for p in ps)), F.lit(name)) for name, ps in sorted(regions.PROFILES.items())]
+    found = []
+    for name, patterns in sorted(regions.PROFILES.items()):
+        has = reduce(or_, (F.contains(text, F.lit(needle)) for needle in regions.PROFILE_NEEDS[name]))
+        found.append(F.when(has & text.rlike("(?m)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(name)))
     return F.array_compact(F.array(*found))
 
 
