@@ -301,3 +301,64 @@ def test_token_chunks_cover_texts_of_any_script(spark):
         chunks.sort()
         assert chunks[0][1] == 0 and chunks[-1][2] == len(texts[i]) and all(b[1] <= a[2] for a, b in zip(chunks, chunks[1:]))
         assert all(n == len(t.encode(texts[i][a:b], add_special_tokens=False).ids) and (n <= 16 or b - a == 1) for _, a, b, n in chunks)
+
+
+def test_token_chunks_encode_a_text_about_once(monkeypatch):
+    """Each chunk was once encoded twice more by itself."""
+    import public_tokenizers
+    import tokenizers
+
+    real, seen = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), []
+
+    class Counting:
+        from_file = staticmethod(lambda path: Counting())
+        to_str = real.to_str
+
+        def encode(self, text, **options):
+            seen.append(len(text))
+            return real.encode(text, **options)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    value = " ".join(f"wordélike thing{i} isn't  here, (so)\n" for i in range(2000))
+    got = [*models.TokenChunks().eval(value, "x", 64, 8)]
+    assert len(got) > 100 and sum(seen) < 2.5 * len(value)
+    assert all(n == len(real.encode(value[a:b], add_special_tokens=False).ids) for _, a, b, n in got)
+
+
+def test_folding_asks_once_for_each_character(monkeypatch):
+    asked = []
+    real = models.unicodedata.normalize
+    want = lambda t: "".join((real("NFD", c)[0].lower() or c)[:1] for c in t)
+    monkeypatch.setattr(models.unicodedata, "normalize", lambda form, c: asked.append(c) or real(form, c))
+    value = "Größe ÉLAN İı ẞ 한국 Ång\u0130 plain ASCII " * 200
+    assert models.folded(value) == want(value) and models.folded("Plain ASCII") == "plain ascii" and len(asked) <= len(set(value))
+
+
+def test_token_spans_behind_characters_of_many_bytes(spark):
+    df = spark.createDataFrame([("é한 Ann und 😀 Bo\nÜx Cy",)], "text string")
+    items = F.transform(F.split("text", r"\s+"), lambda w: F.struct(w.alias("word"), F.when(w.rlike("^[A-Z]"), F.lit("PERSON")).alias("entity"), F.lit(0.9).alias("score")))
+    got = df.select(models.spans_of_tokens(F.col("text"), items).alias("s")).first()["s"]
+    raw = "é한 Ann und 😀 Bo\nÜx Cy".encode()
+    assert [s["text"] for s in got] == [raw[s["start"] : s["end"]].decode() for s in got] and got
+
+
+def test_chunks_are_cut_in_the_jvm(spark):
+    """Python gives back places only; a chunk's text was once part of what it gave back."""
+    value = ("é" * 7 + " 한국 ") * 1200
+    rows = models.chunked(spark.createDataFrame([(1, value), (2, ""), (3, None), (4, "short é")], "id int, text string"), "id")
+    assert not hasattr(models, "CHUNKS") and "text" not in models.RANGES
+    got = rows.orderBy("id", "chunk").collect()
+    assert [(r["start_char"], r["end_char"]) for r in got if r["id"] == 1] == [*models.char_chunks(value)]
+    assert all(r["text"] == (value if r["id"] == 1 else "short é")[r["start_char"] : r["end_char"]] for r in got) and {r["id"] for r in got} == {1, 4}
+    assert all(r["text"].encode() == value.encode()[r["start_byte"] : r["end_byte"]] for r in got if r["id"] == 1)
+
+
+def test_profiles_are_looked_for_where_their_words_are(spark):
+    from spanlake.code import columns, regions
+
+    texts = ["from 'react'", "useState(1)", 'from "vue"', "defineComponent(", "@angular/core", "require('express')", "a = express()", "require('fs')", "process.env", "describe('x') it('y')", "expect(a).toBe(1)", "from django import x", "from flask", "@app.route('/')",
+             "import pandas", "pd.DataFrame", "import numpy", "np.array(", "import pytest", "org.springframework", "@Autowired", "@RestController", "org.junit", "Microsoft.AspNetCore", "DbContext", "github.com/gin-gonic/gin", "serde::x", "#[derive(Debug, Serialize)]", "react, vue and prose"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = {t: [k for k, ps in sorted(regions.PROFILES.items()) if any(re.search(p, t, re.M) for p in ps)] for t in texts}
+    assert {r["t"]: r["p"] for r in df.select("t", columns.profiles(F.col("t")).alias("p")).collect()} == want and sum(map(bool, want.values())) == len(texts) - 1
+    assert set(regions.PROFILE_NEEDS) == set(regions.PROFILES)
