@@ -104,16 +104,17 @@ def resolve(text: str, tokens: Mapping[str, str], strict_only: Iterable[str] = (
 
 
 def restore_with_vault(text: str, records: list[tuple[str, str, str]]) -> str:
-    """Records (placeholder, synthetic value, original), in three passes, each over what the
-    one before wrote: placeholders, their variants, synthetic values."""
+    """Records (placeholder, synthetic value, original): placeholders, then their variants, then synthetic
+    values in what these leave. What was put back isn't read again: an original may look like another record's value."""
     tokens: dict[str, str] = {}
     for token, _, original in records:
         tokens.setdefault(token, original)
-    text = TOKEN.sub(lambda m: tokens.get(m[0], m[0]), text)
-    text = _apply(text, [(a, b, tokens[t]) for a, b, t in variant_matches(text, tokens)])
+    found = [(*m.span(), tokens[m[0]]) for m in TOKEN.finditer(text) if m[0] in tokens]
+    held = list(found)
+    found += [(a, b, tokens[t]) for a, b, t in variant_matches(text, tokens) if not any(a < y and x < b for x, y, _ in held)]
     for _, needle, original in sorted((r for r in records if r[1]), key=lambda r: -len(r[1])):
-        text = _apply(text, [(a, b, original) for a, b, _ in literal_matches(text, [needle], [])])
-    return text
+        found += [(a, b, original) for a, b, _ in literal_matches(text, [needle], found)]
+    return _apply(text, found)
 
 
 @arrow("struct<restored:string,found:array<string>>")
