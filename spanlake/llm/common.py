@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanlake.plans.scratch import dropped as dropped
 from spanlake.plans.scratch import mark as mark
+from spanlake.plans.scratch import released as released
 from spanlake.plans.scratch import scratch as scratch
 from spanlake.plans.scratch import shared_dir as shared_dir
 from spanlake.plans.scratch import stored as stored

@@ -46,7 +46,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import bit_map, dropped, in_map, mark, stored
+from spanlake.llm.common import bit_map, in_map, mark, released, stored
 from spanlake.llm.textvec import BASE, SPACED, U, Words, grams, mix, powers, slices
 
 SEED = 5
@@ -55,8 +55,10 @@ GAP = 0.1
 LEAST_SEEDS = 2
 RESYNC = 24
 RESUME = 4
+#: Words passed over on either side, the nearest resumptions first, which are most of them.
+NEAR = [(i, n - i) for n in (1, 2, 3) for i in range(n + 1)]
 MARGIN = 64
-FURTHER = 8
+FURTHER = 64
 LENGTH = 45
 SHARE = 256
 #: Parts of the counts of a text's requests, so that a frequent text isn't one key.
@@ -215,35 +217,43 @@ def extracted(points: list[tuple[int, int]], value: list[float], link: list[int]
 
 def stretch(x: np.ndarray, y: np.ndarray, i: int, j: int) -> tuple[int, int, int]:
     """Align x[i:] with y[j:] from their beginnings: the ends reached and the equal words."""
-    equal = 0
+    equal, size = 0, x.itemsize
+    # Runs and near resumptions are compared as bytes, which takes a tenth of the time of small arrays.
+    xs, ys = x.tobytes(), y.astype(x.dtype, copy=False).tobytes()
     while i < len(x) and j < len(y):
         n = min(len(x) - i, len(y) - j)
         step = 64
         run = 0
         while run < n:
-            same = x[i + run : i + min(run + step, n)] == y[j + run : j + min(run + step, n)]
-            if same.all():
-                run += len(same)
+            more = min(step, n - run)
+            p, q = i + run, j + run
+            if xs[p * size : (p + more) * size] == ys[q * size : (q + more) * size]:
+                run += more
                 step *= 2
             else:
-                run += int(same.argmin())
+                run += int((x[p : p + more] == y[q : q + more]).argmin())
                 break
         i, j, equal = i + run, j + run, equal + run
         if i == len(x) or j == len(y):
             break
-        # The resumption with the fewest words passed over, RESUME equal words long.
-        p, q = x[i : i + RESYNC + RESUME], y[j : j + RESYNC + RESUME]
-        n, m = len(p) - RESUME + 1, len(q) - RESUME + 1
-        if n <= 0 or m <= 0:
-            break
-        hit = np.ones((n, m), bool)
-        for s in range(RESUME):
-            hit &= p[s : s + n, None] == q[None, s : s + m]
-        di, dj = np.nonzero(hit)
-        if not len(di):
-            break
-        best = int(np.argmin(di + dj))
-        i, j = i + int(di[best]), j + int(dj[best])
+        # The resumption with the fewest words passed over, RESUME equal words long; of as many, the fewest of x.
+        for di, dj in NEAR:
+            if i + di + RESUME <= len(x) and j + dj + RESUME <= len(y) and xs[(i + di) * size : (i + di + RESUME) * size] == ys[(j + dj) * size : (j + dj + RESUME) * size]:
+                i, j = i + di, j + dj
+                break
+        else:
+            p, q = x[i : i + RESYNC + RESUME], y[j : j + RESYNC + RESUME]
+            n, m = len(p) - RESUME + 1, len(q) - RESUME + 1
+            if n <= 0 or m <= 0:
+                break
+            hit = np.ones((n, m), bool)
+            for s in range(RESUME):
+                hit &= p[s : s + n, None] == q[None, s : s + m]
+            di, dj = np.nonzero(hit)
+            if not len(di):
+                break
+            best = int(np.argmin(di + dj))
+            i, j = i + int(di[best]), j + int(dj[best])
     return i, j, equal
 
 
@@ -276,29 +286,36 @@ PASSAGES = "b_row binary, b_doc {0}, b_start int, b_end int, a_row binary, a_doc
 def shared_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, other_id, other_start, other_end (in words), equal (words):
     each passage that a document shares with those that stand for its seeds and their contexts."""
-    kind, begun = dict(docs.dtypes)["doc_id"], mark()
-    known = docs.sparkSession.sparkContext.broadcast(bit_map(stored(repeated(docs), "repeated"), "seed"))
+    spark, kind, begun = docs.sparkSession, dict(docs.dtypes)["doc_id"], mark()
+    known = spark.sparkContext.broadcast(bit_map(stored(repeated(docs), "repeated"), "seed"))
+    released(spark, begun)
     sown_ = stored(seeds(docs, known), "sown")
     # Written, so that the join deals both sides anew and Spark can split a frequent seed.
     first = sown_.groupBy("seed").agg(F.min(F.struct("row", "pos", *AROUND)).alias("f"), F.count("*").alias("n")).where("n > 1").select("seed", F.col("f.row").alias("a_row"), F.col("f.pos").alias("a"), *(F.col(f"f.{c}").alias(f"a_{c}") for c in AROUND))
     first = stored(first, "firsts")
+    released(spark, begun, sown_, first)
     # wide: a context is shared too; the contexts that are not are kept.
     wide = F.coalesce(F.greatest(*(F.col(c) == F.col(f"a_{c}") for c in AROUND)), F.lit(False))
     other = [F.when(~F.col(c).eqNullSafe(F.col(f"a_{c}")), F.col(c)).alias(c) for c in AROUND]
     met = sown_.join(first, "seed").select(F.col("row").alias("b_row"), "a_row", F.col("pos").alias("b"), "a", wide.alias("wide"), "seed", *other)
     unlike = F.coalesce(*AROUND).isNotNull()
     met = stored(met.where((F.col("b_row") != F.col("a_row")) | unlike), "met")
+    released(spark, begun, met)
     chained = chains_of(met.where("b_row != a_row").select("b_row", "a_row", "b", "a", "wide"))
-    got = [with_slices(docs, chained, kind)]
+    released(spark, begun, met, chained)
+    words = hashed(docs, chained, kind)
+    got = [with_slices(words, chained, kind)]
+    released(spark, begun, met, chained, got[0])
     ranges = got[0].where("b_start is not null").groupBy("b_row", "a_row").agg(F.collect_list(F.struct("b_start", "b_end")).alias("ranges"))
     key = lambda i, at, n: F.struct(F.xxhash64(F.lit(i), "seed", AROUND[i]).alias("key"), (F.col("b") + at).alias("from"), (F.col("b") + at + n).alias("to"))
     keys = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), key(i, *CONTEXTS[i])) for i, c in enumerate(AROUND))))
     rest = met.where(unlike).join(ranges, ["b_row", "a_row"], "left").select(F.explode(keys).alias("k"), "b_row", "b", "ranges")
     within = F.exists("ranges", lambda r: (r["b_start"] <= F.col("k.from")) & (r["b_end"] >= F.col("k.to")))
     rest = stored(rest.select("k.key", "b_row", "b", (~F.coalesce(within, F.lit(False))).alias("left")), "rest")
+    released(spark, begun, rest, chained, got[0])
     # Windows of one text only, or that are all within passages, go before their rows are dealt.
     due = rest.groupBy("key").agg(F.count("*").alias("n"), F.max("left").alias("any")).where("n > 1 and any").select("key")
-    due = docs.sparkSession.sparkContext.broadcast(bit_map(stored(due, "due"), "key"))
+    due = spark.sparkContext.broadcast(bit_map(stored(due, "due"), "key"))
     rest = kept(rest, due)
     heads = rest.groupBy("key").agg(F.min(F.struct("left", "b_row", "b")).alias("f"), F.count("*").alias("n"), F.max("left").alias("any")).where("n > 1 and any")
     heads = stored(heads.select("key", F.col("f.b_row").alias("a_row"), F.col("f.b").alias("a")), "heads")
@@ -310,9 +327,13 @@ def shared_passages(docs: DataFrame) -> DataFrame:
         chained = stored(chained if len(got) > 1 else chained.unionByName(later), "further")
         if chained.isEmpty():
             break
-        got.append(with_slices(docs, chained, kind))
+        if len(got) == 1:
+            released(spark, begun, chained, *got)
+            words = hashed(docs, chained, kind)
+        got.append(with_slices(words, chained, kind))
+        released(spark, begun, words, chained, *got)
     passages = reduce(DataFrame.unionByName, got).where("not more")
-    dropped(docs.sparkSession, begun, passages)
+    released(spark, begun, passages)
     place = {"doc_id": "b_doc", "start": "b_start", "end": "b_end", "other_id": "a_doc", "other_start": "a_start", "other_end": "a_end"}
     return passages.groupBy(*(F.col(c).alias(n) for n, c in place.items())).agg(F.max("equal").alias("equal_words"))
 
@@ -364,57 +385,87 @@ def chains_of(links: DataFrame) -> DataFrame:
     return stored(found.withColumn("chain", F.unhex(F.md5(F.concat("b_row", "a_row", "anchors")))).withColumn("margin", F.lit(MARGIN)), "chains")
 
 
-def with_slices(docs: DataFrame, named: DataFrame, kind: str) -> DataFrame:
-    """PASSAGES of chains by the slices they ask for, written; more: a wider slice could change the chain's."""
-    spark = docs.sparkSession
-    sides = [
-        named.select(F.col(f"{side}_row").alias("row"), "chain", F.lit(side).alias("side"), F.greatest(F.col(f"{side}_from") - F.col("margin"), F.lit(0)).alias("from"), (F.col(f"{side}_to") + SEED + F.col("margin")).alias("to"), *(F.col(c) if side == "b" else F.lit(None).cast("binary").alias(c) for c in ("b_row", "a_row", "anchors")))
-        for side in "ba"
-    ]
-    wanted = sides[0].unionByName(sides[1])
-    many = stored(wanted.groupBy("row").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).withColumn("key", F.xxhash64("row")), "many")
-    # A few texts may have most of the requests: their counts are joined on in SALTS parts.
-    parts = many.select("row", "shares", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    counted = wanted.withColumn("salt", F.pmod(F.xxhash64("chain"), F.lit(SALTS)).cast("int")).join(parts, ["row", "salt"])
-    asked = counted.groupBy("row", F.pmod(F.xxhash64("chain"), F.col("shares")).cast("int").alias("share")).agg(F.collect_list(F.struct("chain", "side", "from", "to", "b_row", "a_row", "anchors")).alias("asks"))
-    packed = spark.sparkContext.broadcast(bit_map(many, "key"))
-
-    rows = kept(with_row(docs), packed).join(many.select("row", "shares"), "row").dropDuplicates(["row"])
-    texts = rows.select("doc_id", "row", "text", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+def hashed(docs: DataFrame, named: DataFrame, kind: str) -> DataFrame:
+    """row, doc_id, words (32-bit hashes) of the texts that chains ask for, written once for all slices that are
+    cut from them; with a few others that a map lets through. Rows alike come as often as they are there."""
+    both = named.select(F.xxhash64("b_row").alias("key")).unionByName(named.select(F.xxhash64("a_row").alias("key")))
+    packed = docs.sparkSession.sparkContext.broadcast(bit_map(both, "key"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, asks = batch.column("doc_id"), batch.column("asks")
             for i, j, data, offs in slices(batch.column("text")):
                 w = Words(data, offs, SPACED)
-                h = (w.hash >> U(32)).astype(np.uint32)
-                own = asks.slice(i, j - i)
-                flat, count = own.flatten(), own.value_lengths().to_numpy()
-                doc = np.repeat(np.arange(j - i), count)
-                first, end = w.first[doc], w.first[doc + 1]
-                begins, ends = first + flat.field("from").to_numpy(), np.minimum(first + flat.field("to").to_numpy(), end)
-                words = [h[x:y].tobytes() for x, y in zip(begins.tolist(), ends.tolist())]
-                cols = [flat.field(c) for c in ("chain", "side", "from", "b_row", "a_row", "anchors")]
-                yield pa.RecordBatch.from_arrays([*cols, ids.take(pa.array(i + doc)), pa.array(words, pa.binary()), pa.array(first + flat.field("to").to_numpy() >= end)], ["chain", "side", "from", "b_row", "a_row", "anchors", "doc_id", "words", "last"])
-
-    pieces = texts.join(asked, ["row", "share"]).select("doc_id", "text", "asks").mapInArrow(cut, f"chain binary, side string, from int, b_row binary, a_row binary, anchors binary, doc_id {kind}, words binary, last boolean")
+                h = (w.hash >> U(32)).astype("<u4")
+                words = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((w.first * 4).astype(np.int32)), pa.py_buffer(h)])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, j - i), batch.column("doc_id").slice(i, j - i), words], ["row", "doc_id", "words"])
+
+    return stored(kept(with_row(docs), packed).select("row", "doc_id", "text").mapInArrow(run, f"row binary, doc_id {kind}, words binary"), "words")
+
+
+SLICES = "row binary, share int, chain binary, doc_id {0}, words binary, b_row binary, begin int, last boolean, a_begin int, a_end int, anchors binary"
+
+
+def with_slices(words: DataFrame, named: DataFrame, kind: str) -> DataFrame:
+    """PASSAGES of chains by the slices they ask for, written; more: a wider slice could change the chain's.
+
+    A slice of a chain's text b is sent to its text a, which is sent once for all its chains, or for SHARE of them.
+    A text's chains as b are bounded by its seeds, those as a are not."""
+    spark = words.sparkSession
+    map_of = lambda df, row: spark.sparkContext.broadcast(bit_map(df.select(F.xxhash64(row).alias("key")), "key"))
+    keyed = words.withColumn("key", F.xxhash64("row"))
+    hubs = named.groupBy(F.col("a_row").alias("row")).agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).where("shares > 1")
+    hubs = stored(hubs, "hubs")
+    # A few texts may have most of the chains: their counts are joined on in SALTS parts.
+    parts = hubs.select(F.col("row").alias("a_row"), "shares", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = named.withColumn("salt", F.pmod(F.xxhash64("chain"), F.lit(SALTS)).cast("int")).join(parts, ["a_row", "salt"], "left")
+    begin = lambda c: F.greatest(F.col(c) - F.col("margin"), F.lit(0))
+    end = lambda c: F.col(c) + SEED + F.col("margin")
+    share = F.coalesce(F.pmod(F.xxhash64("chain"), F.col("shares")), F.lit(0)).cast("int").alias("share")
+    asks = dealt.select(F.col("b_row").alias("row"), "chain", "a_row", share, begin("b_from").alias("begin"), end("b_to").alias("end"), begin("a_from").alias("a_begin"), end("a_to").alias("a_end"), "anchors")
+    # By row, its text before what is asked of it: a null chain comes first.
+    asked = kept(keyed, map_of(named, "b_row")).drop("key").unionByName(asks, allowMissingColumns=True)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, text, doc = None, b"", None
+        for batch in batches:
+            picked, begins, lasts, cuts, docs = [], [], [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("row", "chain", "doc_id", "words", "begin", "end")]
+            for i, (row, chain, doc_id, whole, first, past) in enumerate(zip(*columns)):
+                if chain is None:
+                    now, text, doc = row, whole, doc_id
+                    continue
+                if row != now:
+                    raise ValueError("a slice is asked of a text that is not there")
+                picked.append(i)
+                cuts.append(text[4 * first : 4 * past])
+                lasts.append(4 * past >= len(text))
+                docs.append(doc)
+            own = batch.take(pa.array(picked, pa.int32()))
+            arrays = [own.column("a_row"), own.column("share"), own.column("chain"), pa.array(docs, batch.schema.field("doc_id").type), pa.array(cuts, pa.binary()), own.column("row"), own.column("begin"), pa.array(lasts, pa.bool_()), own.column("a_begin"), own.column("a_end"), own.column("anchors")]
+            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in SLICES.split(", ")])
+
+    asked = asked.repartition("row").sortWithinPartitions("row", "chain")
+    pieces = asked.mapInArrow(cut, SLICES.format(kind))
+    whole = kept(keyed, map_of(named, "a_row")).drop("key").withColumn("share", F.lit(0))
+    more = kept(keyed, map_of(hubs, "row")).drop("key").join(hubs, "row").withColumn("share", F.explode(F.sequence(F.lit(1), F.col("shares") - 1))).drop("shares")
+    met = pieces.unionByName(whole.unionByName(more), allowMissingColumns=True)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PASSAGES.split(", ")]
-        other = None
+        now, text, a_doc = None, np.zeros(0, np.uint32), None
         for batch in batches:
             out: list[tuple] = []
             doc_type = batch.schema.field("doc_id").type
-            columns = [batch.column(c).to_pylist() for c in ("side", "chain", "doc_id", "from", "last", "words", "b_row", "a_row", "anchors")]
-            for side, chain, doc, begin, last, words, b_row, a_row, anchors in zip(*columns):
-                if side == "a":
-                    other = chain, doc, begin, last, np.frombuffer(words, np.uint32)
+            columns = [batch.column(c).to_pylist() for c in ("row", "share", "chain", "doc_id", "words", "b_row", "begin", "last", "a_begin", "a_end", "anchors")]
+            for a_row, part, chain, doc, words, b_row, begin, last, a_begin, a_end, anchors in zip(*columns):
+                if chain is None:
+                    now, text, a_doc = (a_row, part), np.frombuffer(words, "<u4"), doc
                     continue
-                if other is None or other[0] != chain:
+                if now != (a_row, part):
                     raise ValueError("a chain came without its other side")
-                _, a_doc, a_begin, a_last, y = other
                 points = np.frombuffer(anchors, "<i4").reshape(-1, 2) - [begin, a_begin]
-                own, more = aligned(np.frombuffer(words, np.uint32), y, [tuple(p) for p in points.tolist()], ends=(not begin, last, not a_begin, a_last))
+                ends = not begin, last, not a_begin, a_end >= len(text)
+                own, more = aligned(np.frombuffer(words, "<u4"), text[a_begin:a_end], points.tolist(), ends=ends)
                 for b0, b1, a0, a1, equal in own:
                     out.append((b_row, doc, b0 + begin, b1 + begin, a_row, a_doc, a0 + a_begin, a1 + a_begin, equal, chain, more))
                 if more and not own:
@@ -423,5 +474,5 @@ def with_slices(docs: DataFrame, named: DataFrame, kind: str) -> DataFrame:
             types = (pa.binary(), doc_type, pa.int32(), pa.int32(), pa.binary(), doc_type, pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    passages = pieces.repartition("chain").sortWithinPartitions("chain", "side").mapInArrow(align, PASSAGES.format(kind))
+    passages = met.repartition("row", "share").sortWithinPartitions("row", "share", "chain").mapInArrow(align, PASSAGES.format(kind))
     return stored(passages, "passages")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,14 +45,22 @@ def mark() -> int:
     return len(_made)
 
 
-def dropped(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
-    """Delete the scratch folders made since a mark, but for those that keep reads. An
+def dropped(spark: SparkSession, since: int = 0, keep: DataFrame | None = None, *more: DataFrame) -> None:
+    """Delete the scratch folders made since a mark, but for those that keep or more read. An
     operator drops what its result doesn't read; when the result is written, its
     caller may drop the rest."""
-    needed = keep.inputFiles() if keep is not None else []
+    needed = [f for df in (keep, *more) if df is not None for f in df.inputFiles()]
     for path in _made[since:]:
         if any(path.rsplit("/", 1)[1] in f for f in needed):
             continue
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
         _made.remove(path)
+
+
+def released(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """dropped(), and the shuffle files of ended jobs too: Spark deletes these when the driver's JVM finds, by
+    collecting garbage, that nothing refers to them, which on an idle driver may be after the query's end."""
+    dropped(spark, since, *keep)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

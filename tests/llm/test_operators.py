@@ -586,6 +586,40 @@ def test_passages_go_on_past_the_slices_first_asked_for(spark):
         assert max(x["end"] - x["start"] for x in got if {x["doc_id"], x["other_id"]} == pair) >= 950
 
 
+def test_passages_keep_on_disk_what_is_still_read(spark, monkeypatch):
+    """Tables go when nothing reads them any more, texts' words are written twice at most however often slices
+    are cut, and a text that many ask for is dealt in shares with the same result."""
+    from spanlake.llm import passages
+    from spanlake.plans import scratch
+
+    r = random.Random(31)
+    own = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    block, tail = own(70), own(6000)
+    rows = [(i, own(20) + block + own(20)) for i in range(40)]
+    rows += [(50, own(50) + block + tail), (51, own(30) + block + [w if i % 9 else f"x{i}" for i, w in enumerate(tail)])]
+    # Beyond the block all seeds stand in other texts.
+    rows += [(100 + i, own(9) + tail[i : i + 5] + own(9)) for i in range(len(tail) - 4)]
+    df = documents(spark, [(i, " ".join(w)) for i, w in rows], extra=False)
+    begun, alive, write = scratch.mark(), [], passages.stored
+
+    def stored(df, name):
+        alive.append((name, {x.rsplit("/", 1)[1].rsplit("-", 1)[0] for x in scratch._made[begun:]}))
+        return write(df, name)
+
+    monkeypatch.setattr(passages, "stored", stored)
+    key = ["doc_id", "start", "end", "other_id", "other_start", "other_end", "equal_words"]
+    got = sorted(tuple(x[k] for k in key) for x in passages.shared_passages(df).collect())
+    names = [name for name, _ in alive]
+    assert names.count("passages") > 2 and names.count("words") == 2
+    first = lambda name: alive[names.index(name)][1]
+    assert first("sown") == set() and first("firsts") == {"sown"} and first("chains") == {"met"}
+    assert first("words") == {"met", "chains"} and first("rest") == {"met", "chains", "passages"}
+    assert all("met" not in x and "rest" not in x for name, x in alive[names.index("further") + 1 :])
+    assert max(e - b for d, b, e, o, *_ in got if {d, o} == {50, 51}) > 5000 and {d for d, *_ in got} | {x[3] for x in got} == {x for x, _ in rows[:42]}
+    monkeypatch.setattr(passages, "SHARE", 4)
+    assert sorted(tuple(x[k] for k in key) for x in passages.shared_passages(df).collect()) == got
+
+
 def test_chains_equal_quadratic_search():
     from spanlake.llm.passages import GAP, SEED, chains
 
