@@ -18,7 +18,7 @@ the alignment brings together, as it goes on past a chain's ends.
 The links of a pair of texts are chained: the best sequence ascending in both,
 worth SEED for each seed, less GAP for each word from one to the next on either side,
 found with a Fenwick tree of prefix maxima in n log n. Chains ask for their
-surroundings; those slices alone are fetched, as 32-bit word hashes, and aligned from
+surroundings; those slices alone, of 32-bit word hashes, are cut from one text, sent to the other and aligned from
 the chain outwards: runs of equal words, and where they end the cheapest
 resumption within RESYNC words. A chain whose alignment comes to the edge of a
 slice within its text asks again for slices that go FURTHER, until all alignments
@@ -31,8 +31,8 @@ passages, and what a text repeats is found at its first place (a seed with the
 same contexts counts once in a text); a null doc_id is carried as such; an empty
 table has no passages. Seeds of one text only are told by a count and a bit map
 before anything else is dealt. Frequent seeds are keys of an equi-join that is
-pre-aggregated, so Spark splits them; texts with many requests are asked for in
-shares of SHARE, counted by salted keys.
+pre-aggregated, so Spark splits them; texts that many chains compare others with are
+dealt in shares of SHARE chains, counted by salted keys.
 """
 
 from __future__ import annotations
